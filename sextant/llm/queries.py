@@ -8,14 +8,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.llm import packing
 from sextant.llm.exact_dedup import DigestIndex, dedup_batch
 from sextant.llm.simhash import hex16, near_duplicates
+from sextant.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    from public_tokenizers import path
+
+    return path("word_bpe_49k.json")
+
+
+#: The end-of-text id of that vocabulary.
+END_OF_TEXT = 49407
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer(), END_OF_TEXT)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     out = dedup_batch(_table(spark, sf_dir, "documents"), index)
@@ -27,9 +43,16 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack(pieces.drop("ids")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import packing
+from sextant.llm import packing, warc
+from sextant.llm.common import table_path
+from sextant.llm.decontaminate import contaminated
 from sextant.llm.exact_dedup import DigestIndex, dedup_batch
 from sextant.llm.simhash import hex16, near_duplicates
 from sextant.llm.token_counts import token_counts
@@ -43,6 +45,17 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = table_path(spark, "warc")
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    back = warc.read_archives(spark, folder, archives, with_payload=False).where("reason IS NULL")
+    return back.select(F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), _tokenizer())
     return packing.pack(pieces.drop("ids")).withColumnRenamed("id", "doc_id")
@@ -52,7 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_warc_salvage": op9_warc_salvage,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -61,4 +76,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h)""",
+    "op9_warc_salvage": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+        q AS (SELECT page_id, octet_length(b) AS n, h, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+        FROM q""",
 }

@@ -1,8 +1,9 @@
 """Quality classifier on supervised subword embeddings (operator 2).
 
-Each word and each character n-gram of a word, its borders included, has a
-learned vector in a hashed table; a document is their mean, and a softmax over
-two classes reads it. Stochastic gradient descent in numpy fits both. As the
+Each word, each pair of neighbouring words and each character n-gram of a word,
+its borders included, has a learned vector in a hashed table; a document is
+their mean, and a softmax over two classes reads it. A pair's hash is that of
+the difference of its words' hashes, so all repeated words share one vector. Stochastic gradient descent in numpy fits both. As the
 mean and the output are linear, scoring needs one number for each table row:
 its part in the difference of the two logits.
 """
@@ -23,6 +24,8 @@ from sextant.llm.vectext import joined, mixed, span_hashes, white_words
 BITS, SIZES, DIMS = 18, (3, 4, 5), 8
 #: Labelled documents of each class that fitting reads at most.
 PER_CLASS = 1500
+#: Small samples are read more often, for this many steps at least.
+LEAST_STEPS = 800
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +41,11 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
     np.cumsum(inside, out=solid[1:])
     plain = np.where(inside, cp, np.uint32(32)).astype(np.uint64)
-    rows, places = [span_hashes(cp, start, end) >> np.uint64(64 - BITS)], [start]
+    word = span_hashes(cp, start, end)
+    rows, places = [word >> np.uint64(64 - BITS)], [start]
+    pair = np.flatnonzero(np.searchsorted(at, start[:-1], side="right") == np.searchsorted(at, start[1:], side="right"))
+    rows.append(mixed(word[pair] - word[pair + 1] + np.uint64(1)) >> np.uint64(64 - BITS))
+    places.append(start[pair])
     for n in SIZES:
         h = plain[: len(plain) - n + 1] + np.uint64(n)
         for j in range(1, n):
@@ -60,7 +67,7 @@ class QualityModel:
         self.weight, self.bias = weight, bias
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], prior: float = 0.5, epochs: int = 8, rate: float = 2.0, batch: int = 16, seed: int = 7) -> QualityModel:
+    def fit(cls, texts: list[str], labels: list[int], prior: float = 0.5, epochs: int = 5, rate: float = 2.0, batch: int = 16, seed: int = 7) -> QualityModel:
         """Fit by SGD. With fewer than two classes every score is the prior."""
         if len(set(labels)) < 2:
             return cls(np.zeros(1 << BITS, np.float32), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
@@ -76,6 +83,7 @@ class QualityModel:
         table = rng.normal(0, 0.1, (1 << BITS, DIMS)).astype(np.float32)
         out = np.zeros((DIMS, 2), np.float32)
         bias = np.zeros(2, np.float32)
+        epochs = max(epochs, -(-LEAST_STEPS * batch // len(docs)))
         steps, step = epochs * -(-len(docs) // batch), 0
         for _ in range(epochs):
             order = rng.permutation(len(docs))

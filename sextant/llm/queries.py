@@ -12,8 +12,11 @@ from sextant.llm import packing, warc
 from sextant.llm.common import table_path
 from sextant.llm.decontaminate import contaminated
 from sextant.llm.exact_dedup import DigestIndex, dedup_batch
+from sextant.llm.labelled import fold
+from sextant.llm.quality import fit_quality, score_texts
 from sextant.llm.simhash import hex16, near_duplicates
 from sextant.llm.token_counts import token_counts
+from sextant.llm.toxicity import fit_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer(), END_OF_TEXT)
 
 
+def _scored(docs: DataFrame, model, folds: int, held_out: int) -> DataFrame:
+    out = score_texts(docs, model)
+    return out.select("doc_id", (fold(folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"), fold(3) != 1)
+    return _scored(docs, model, 3, 1)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     out = dedup_batch(_table(spark, sf_dir, "documents"), index)
@@ -61,13 +75,21 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.drop("ids")).withColumnRenamed("id", "doc_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), fold(5) != 0)
+    return _scored(docs, model, 5, 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_warc_salvage": op9_warc_salvage,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -22,7 +22,7 @@ from sextant.llm.vectext import alnum_words, joined, mixed, ragged, span_hashes
 WINDOW, STRIDE = 24, 12
 DIMS, STATE, ATTEND, GRAM_BITS = 8, 8, 8, 16
 #: Labelled documents of each class that fitting reads at most.
-PER_CLASS = 2000
+PER_CLASS = 1000
 #: Documents of the sample that a word must be in to have a place of its own, and the most places.
 SEEN, VOCABULARY = 3, 20_000
 
@@ -62,6 +62,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _by_row(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sum of each one's values."""
+    order = np.argsort(row, kind="stable")
+    first = np.flatnonzero(np.diff(row[order], prepend=-1))
+    return row[order][first], np.add.reduceat(value[order], first)
+
+
 class ToxicityModel:
     def __init__(self, vocabulary: np.ndarray, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -99,14 +106,20 @@ class ToxicityModel:
             out[t] = h
         return out, kept
 
-    def _forward(self, x: np.ndarray, index: np.ndarray, keep: bool = False):
-        """Logits of windows; index are rows of x, -1 for none."""
+    def _gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """What each word adds to the gates of either direction, and a last row for a step without a word."""
+        out = {}
+        for d in "fb":
+            out[d] = np.zeros((len(x) + 1, 3 * STATE), np.float32)
+            out[d][:-1] = x @ self.p[f"in_{d}"] + self.p[f"b_{d}"]
+            out[d][-1, :STATE] = 30  # the state stays as it is
+        return out
+
+    def _forward(self, gates: dict[str, np.ndarray], index: np.ndarray, keep: bool = False):
+        """Logits of windows; index are words, -1 for none."""
         p, states, kept = self.p, [], {}
         for d in "fb":
-            gates = np.zeros((len(x) + 1, 3 * STATE), np.float32)
-            gates[:-1] = x @ p[f"in_{d}"] + p[f"b_{d}"]
-            gates[-1, :STATE] = 30  # a step without a word leaves the state as it is
-            s, kept[d] = self._states(gates, index, d, keep)
+            s, kept[d] = self._states(gates[d], index, d, keep)
             states.append(s)
         h = np.concatenate(states, axis=2)
         u = np.tanh(h @ p["attend"])
@@ -116,10 +129,11 @@ class ToxicityModel:
         c = np.einsum("tb,tbk->bk", a, h)
         return c @ p["out"] + p["bias"][0], (h, u, a, c, kept)
 
-    def _gradients(self, word, gram, first, index, target, weight) -> dict[str, np.ndarray]:
+    def _gradients(self, word, gram, first, index, target, weight):
+        """Gradients of the dense weights, and (rows, gradients) of the two tables."""
         p = self.p
         x = self._inputs(word, gram, first)
-        logit, (h, u, a, c, kept) = self._forward(x, index, keep=True)
+        logit, (h, u, a, c, kept) = self._forward(self._gates(x), index, keep=True)
         dl = ((_sigmoid(logit) - target) * weight).astype(np.float32)
         g = {"out": c.T @ dl, "bias": dl.sum(keepdims=True)}
         dc = dl[:, None] * p["out"]
@@ -128,12 +142,12 @@ class ToxicityModel:
         de = a * (da - (a * da).sum(0))
         g["query"] = np.einsum("tb,tbk->k", de, u)
         du = de[:, :, None] * p["query"] * (1 - u * u)
-        g["attend"] = np.einsum("tbi,tbj->ij", h, du)
+        g["attend"] = h.reshape(-1, 2 * STATE).T @ du.reshape(-1, ATTEND)
         dh += du @ p["attend"].T
-        dx = np.zeros((len(x) + 1, 2 * DIMS), np.float32)
+        dx = np.zeros((len(x), 2 * DIMS), np.float32)
         for d, side in (("f", slice(0, STATE)), ("b", slice(STATE, 2 * STATE))):
             rec, back = p[f"rec_{d}"], np.zeros((len(index), STATE), np.float32)
-            g[f"rec_{d}"], dg = np.zeros_like(rec), np.zeros((len(x) + 1, 3 * STATE), np.float32)
+            g[f"rec_{d}"], steps = np.zeros_like(rec), np.empty((WINDOW, len(index), 3 * STATE), np.float32)
             for t, before, z, q, n, rn in reversed(kept[d]):
                 s = dh[t, :, side] + back
                 dn = s * (1 - z) * (1 - n * n)
@@ -143,31 +157,31 @@ class ToxicityModel:
                 inner = np.concatenate((dz, dq, dn * q), axis=1)
                 g[f"rec_{d}"] += before.T @ inner
                 back = s * z + inner @ rec.T
-                np.add.at(dg, index[:, t], step)
-            dg = dg[:-1]
+                steps[t] = step
+            flat = index.T.ravel()
+            dg = np.zeros((len(x), 3 * STATE), np.float32)
+            dg[flat[flat >= 0]] = steps.reshape(-1, 3 * STATE)[flat >= 0]  # each word is in one window of the batch
             g[f"in_{d}"], g[f"b_{d}"] = x.T @ dg, dg.sum(0)
-            dx[:-1] += dg @ p[f"in_{d}"].T
-        dx = dx[:-1]
-        g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-        np.add.at(g["word"], word, dx[:, :DIMS])
+            dx += dg @ p[f"in_{d}"].T
         size = np.diff(first)
         most = p["gram"][gram] == np.repeat(x[:, DIMS:], size, axis=0)
-        np.add.at(g["gram"], gram, most * np.repeat(dx[:, DIMS:], size, axis=0))
-        return g
+        rows = {"word": _by_row(word, dx[:, :DIMS]), "gram": _by_row(gram, most * np.repeat(dx[:, DIMS:], size, axis=0))}
+        return g, rows
 
     def _logits(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         index, doc = tokens.windows()
         x = self._inputs(self.places(tokens.hash), tokens.gram, tokens.first)
-        parts = [self._forward(x, index[a : a + 4096])[0] for a in range(0, len(index), 4096)]
+        gates = self._gates(x)
+        parts = [self._forward(gates, index[a : a + 1024])[0] for a in range(0, len(index), 1024)]
         return np.concatenate(parts), index, doc
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], prior: float = 0.5, seed: int = 11, rounds: int = 14, steps: int = 40, batch: int = 384) -> ToxicityModel:
+    def fit(cls, texts: list[str], labels: list[int], prior: float = 0.5, seed: int = 11, rounds: int = 12, steps: int = 30, batch: int = 256) -> ToxicityModel:
         """Fit to documents' labels alone.
 
         The first rounds learn from random windows with their document's label;
-        the later ones from each document's highest windows as the model then
-        stands, clean documents' too. With fewer than two classes every score
+        the later ones from the highest windows, as the model then stands, of a
+        third of the documents each time, clean ones too. With fewer than two classes every score
         is the prior."""
         prior = min(max(prior, 1e-3), 1 - 1e-3)
         if len(set(labels)) < 2:
@@ -190,21 +204,23 @@ class ToxicityModel:
         local = np.concatenate([np.arange(len(d)) for _, d in made])
         doc = np.concatenate([d + offset[i] for i, (_, d) in enumerate(made)])
         places = [model.places(t.hash) for t in parts]
-        m1, m2, step = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2)), None, 0
-        m1, m2 = m1
+        m1 = {k: np.zeros_like(v) for k, v in model.p.items()}
+        m2 = {k: np.zeros_like(v) for k, v in model.p.items()}
+        step = 0
         for r in range(rounds):
-            if r < 4:
-                pool = rng.permutation(len(doc))
+            if r < 5:
                 weight = balance[doc] / np.bincount(doc)[doc]
                 pick = rng.choice(len(doc), steps * batch, p=weight / weight.sum())
             else:
-                logit = np.concatenate([model._logits(t)[0] for t in parts])
+                looked = rng.permutation(len(parts))[: -(-len(parts) // 3)]
+                logit = np.concatenate([model._logits(t)[0] if i in looked else np.full(len(made[i][1]), -np.inf) for i, t in enumerate(parts)])
                 order = np.lexsort((-logit, doc))
+                order = order[logit[order] > -np.inf]
                 rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
                 top = order[rank < np.where(y[doc[order]] == 1, 1, 3)]
                 weight = balance[doc[top]] / np.where(y[doc[top]] == 1, 1, 3)
                 pick = rng.choice(top, steps * batch, p=weight / weight.sum())
-            del_rate = 0.01 * (1 - r / rounds) + 0.001
+            pace = 1 - 0.9 * r / rounds
             for a in range(0, len(pick), batch):
                 some = pick[a : a + batch]
                 flat_word, flat_gram, size, index, base = [], [], [], np.full((len(some), WINDOW), -1), 0
@@ -226,12 +242,15 @@ class ToxicityModel:
                 word = np.where(rng.random(len(word)) < 0.3, len(model.vocabulary), word)  # so that trigrams learn too
                 first = np.concatenate(([0], np.cumsum(np.concatenate(size))))
                 target = y[doc[some]]
-                grads = model._gradients(word, np.concatenate(flat_gram), first, index, target, np.full(len(some), 1 / len(some), np.float32))
+                dense, tables = model._gradients(word, np.concatenate(flat_gram), first, index, target, np.full(len(some), 1 / len(some), np.float32))
                 step += 1
-                for k, v in grads.items():
+                for k, v in dense.items():  # Adam
                     m1[k] += 0.1 * (v - m1[k])
                     m2[k] += 0.01 * (v * v - m2[k])
-                    model.p[k] -= del_rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
+                    model.p[k] -= pace * 0.01 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
+                for k, (row, v) in tables.items():  # Adagrad, as most rows are rare
+                    m2[k][row] += v * v
+                    model.p[k][row] -= pace * 0.1 * v / (np.sqrt(m2[k][row]) + 1e-6)
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, doc, np.concatenate([model._logits(t)[0] for t in parts]))
         model._calibrate(top, y, np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -16,8 +17,11 @@ _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 @cache
 def classes() -> np.ndarray:
     """The class of each code point: white space, letter, number or other."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    table = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(map(chr, range(0x110000)))
+    for m in re.finditer(r"[^\W_]", every):
+        kind = unicodedata.category(m[0])[0]
+        table[m.start()] = {"L": LETTER, "N": NUMBER}.get(kind, OTHER)
     table[WHITE] = SPACE
     return table
 

@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     from public_tokenizers import path
 
     return path("word_bpe_49k.json")
@@ -34,7 +34,7 @@ END_OF_TEXT = 49407
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer(), END_OF_TEXT)
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_TEXT)
 
 
 def _scored(docs: DataFrame, model, folds: int, held_out: int) -> DataFrame:
@@ -71,7 +71,7 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), _tokenizer())
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), tokenizer_path())
     return packing.pack(pieces.drop("ids")).withColumnRenamed("id", "doc_id")
 
 

@@ -13,6 +13,8 @@ from sextant.llm.common import table_path
 from sextant.llm.decontaminate import contaminated
 from sextant.llm.exact_dedup import DigestIndex, dedup_batch
 from sextant.llm.labelled import fold
+from sextant.llm.licences import licences
+from sextant.llm.pii import pseudonymise
 from sextant.llm.quality import fit_quality, score_texts
 from sextant.llm.simhash import hex16, near_duplicates
 from sextant.llm.token_counts import token_counts
@@ -48,6 +50,15 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, model, 3, 1)
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licences(_table(spark, sf_dir, "documents"), "doc_id", path)
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents"), key=b"a key that each deployment replaces")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     out = dedup_batch(_table(spark, sf_dir, "documents"), index)
@@ -84,7 +95,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_licence_scan": op3_licence_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,

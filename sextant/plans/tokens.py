@@ -1 +1,253 @@
-"""Queries."""
+"""Queries of coded evidence and lookups (PRJ, JN, AG54, ML01-06)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sextant.operators import tokens as K
+from sextant.plans import standin as S
+from sextant.plans.registry import query
+
+N = F.count(F.lit(1))
+PARSED = f"""{S.TOK}, parsed AS (SELECT case_id, raw, regexp_extract(raw, '^(E_[0-9]+)', 1) AS code,
+    CASE WHEN NOT contains(raw, '_@_') THEN 'binary' WHEN raw LIKE '%@_V_11' THEN 'na' WHEN raw LIKE '%@_V_%' THEN 'value' ELSE 'ordinal' END AS kind,
+    CASE WHEN raw LIKE '%@_V_%' THEN split_part(raw, '_@_', 2) END AS value,
+    CASE WHEN contains(raw, '_@_') AND raw NOT LIKE '%@_V_%' THEN CAST(split_part(raw, '_@_', 2) AS INT) END AS ordinal FROM tok)"""
+JUDGED = f"""{PARSED}, {S.SPECS}, judged AS (SELECT p.*, s.is_antecedent, CASE kind WHEN 'binary' THEN true WHEN 'na' THEN false ELSE coalesce(value, CAST(ordinal AS VARCHAR)) IS DISTINCT FROM default_value END AS positive FROM parsed p JOIN specs s USING (code))"""
+
+
+def parsed(t):
+    return K.parse(S.tokens(t))
+
+
+def judged(t):
+    return K.positive(parsed(t), S.specs(t))
+
+
+@query("prj01_token_parse", f"WITH {PARSED} SELECT case_id, raw, code, kind, value, ordinal FROM parsed")
+def token_parse(t):
+    return parsed(t)
+
+
+@query("prj03_positivity", f"WITH {JUDGED} SELECT code, positive, count(*) AS n FROM judged GROUP BY ALL")
+def positivity(t):
+    return judged(t).groupBy("code", "positive").agg(N.alias("n"))
+
+
+@query("prj04_positive_codes", f"WITH {JUDGED} SELECT case_id, list_sort(list(DISTINCT code)) AS codes FROM judged WHERE positive GROUP BY case_id")
+def positive_codes(t):
+    return K.positive_codes(judged(t))
+
+
+@query("prj02_list_literal_parse", "SELECT o_orderkey, list_sort(list(DISTINCT l_returnflag)) AS codes FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def list_literal(t):
+    cell = t.lineitem.groupBy("l_orderkey").agg(F.concat(F.lit("['"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "', '"), F.lit("']")).alias("cell"))
+    return t.orders.join(cell, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.from_json(F.translate("cell", "'", '"'), "array<string>").alias("codes"))
+
+
+@query("prj05_differential_decode", f"""WITH {S.PRI}, {S.CASES}, d AS (SELECT custkey, truth AS pathology, count(*) AS n FROM cases GROUP BY ALL)
+    SELECT custkey, pathology, CASE WHEN pathology <> '5-LOW' THEN pathology END AS condition_id, round(n / sum(n) OVER (PARTITION BY custkey), 6) AS probability FROM d""")
+def differential(t):
+    scope = S.conditions(t).where("condition_id <> '5-LOW'").select(F.col("condition_id").alias("pathology"), "condition_id")
+    d = S.cases(t).groupBy("custkey", F.col("truth").alias("pathology")).agg(N.alias("n")).join(F.broadcast(scope), "pathology", "left")
+    return d.select("custkey", "pathology", "condition_id", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("custkey")), 6).alias("probability"))
+
+
+@query("prj06_scope_filter_decode", f"WITH {S.PRI} SELECT 'orders-all-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS case_id, ord FROM orders JOIN pri ON condition_id = o_orderpriority WHERE condition_id <> '5-LOW'")
+def scope_filter(t):
+    scope = S.conditions(t).where("condition_id <> '5-LOW'")
+    return t.orders.join(F.broadcast(scope), F.col("o_orderpriority") == F.col("condition_id")).select(F.concat(F.lit("orders-all-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")).alias("case_id"), "ord")
+
+
+FINDINGS = f"{JUDGED}, findings AS (SELECT DISTINCT case_id, code AS concept_id, CASE WHEN bool_or(positive) OVER (PARTITION BY case_id, code) THEN 'present' ELSE 'absent' END AS assertion FROM judged)"
+
+
+def findings(t):
+    any_yes = F.max("positive").alias("yes")
+    return judged(t).groupBy("case_id", F.col("code").alias("concept_id")).agg(any_yes).select("case_id", "concept_id", F.when(F.col("yes"), "present").otherwise("absent").alias("assertion"))
+
+
+@query("prj08_present_absent", f"WITH {FINDINGS} SELECT case_id, list_sort(coalesce(list(concept_id) FILTER (assertion = 'present'), [])) AS present, list_sort(coalesce(list(concept_id) FILTER (assertion = 'absent'), [])) AS absent FROM findings GROUP BY case_id")
+def present_absent(t):
+    pick = lambda a: F.array_sort(F.collect_set(F.when(F.col("assertion") == a, F.col("concept_id")))).alias(a)
+    return findings(t).groupBy("case_id").agg(pick("present"), pick("absent"))
+
+
+@query("prj10_label_normalisation", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type), '\s*/\s*', '/', 'g'), '\s+', ' ', 'g')) AS label FROM part")
+def label_normal(t):
+    label = F.lower(F.concat("p_name", F.lit(" / "), "p_type"))
+    return t.part.select("p_partkey", F.trim(F.regexp_replace(F.regexp_replace(label, r"\s*/\s*", "/"), r"\s+", " ")).alias("label"))
+
+
+@query("prj11_score_validity", "SELECT count(*) AS n, count(*) FILTER (isfinite(l_extendedprice) AND l_extendedprice >= 0) AS valid FROM lineitem")
+def validity(t):
+    p = F.col("l_extendedprice")
+    return t.lineitem.agg(N.alias("n"), F.count_if(~F.isnan(p) & (F.abs(p) < float("inf")) & (p >= 0)).alias("valid"))
+
+
+@query("prj14_citation_link", r"SELECT doc_id, CASE WHEN regexp_full_match(source, 'src[0-9]+') THEN 'https://example.org/' || source END AS link FROM documents")
+def citation_link(t):
+    return t.documents.select("doc_id", F.when(F.col("source").rlike(r"^src\d+$"), F.concat(F.lit("https://example.org/"), "source")).alias("link"))
+
+
+@query("prj15_licence_code", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)CC BY(-NC)?(-SA)? [0-9.]+') THEN upper(regexp_extract(text, '(?i)(CC BY(-NC)?(-SA)? [0-9.]+)', 1))
+    WHEN regexp_matches(text, '(?i)apache license') THEN 'APACHE' WHEN regexp_matches(text, '(?i)mit license') THEN 'MIT' WHEN regexp_matches(text, '(?i)general public license') THEN 'GPL' END AS code FROM documents""")
+def licence_code(t):
+    cc = F.upper(F.regexp_extract("text", r"(?i)(CC BY(-NC)?(-SA)? [0-9.]+)", 1))
+    has = lambda p: F.col("text").rlike("(?i)" + p)
+    return t.documents.select("doc_id", F.when(cc != "", cc).when(has("apache license"), "APACHE").when(has("mit license"), "MIT").when(has("general public license"), "GPL").alias("code"))
+
+
+@query("prj16_clip_escape", r"SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN left(p_name, 11) || '…' ELSE p_name END AS clipped, regexp_replace(p_name, '([*_`])', '\\\1', 'g') AS escaped FROM part")
+def clip(t):
+    return t.part.select("p_partkey", F.when(F.length("p_name") > 12, F.concat(F.left("p_name", F.lit(11)), F.lit("…"))).otherwise(F.col("p_name")).alias("clipped"), F.regexp_replace("p_name", r"([*_`])", r"\\$1").alias("escaped"))
+
+
+@query("prj17_flag_grade_parsing", "SELECT event_id, lower(trim(event_type)) IN ('1', 'x', 'yes', 'true', 'click') AS flag, CASE WHEN TRY_CAST(props->>'k' AS DOUBLE) IN (0, 1, 2) THEN CAST(TRY_CAST(props->>'k' AS DOUBLE) AS INT) END AS grade FROM events")
+def flag_grade(t):
+    k = F.get_json_object("props", "$.k").try_cast("double")
+    return t.events.select("event_id", F.lower(F.trim("event_type")).isin("1", "x", "yes", "true", "click").alias("flag"), F.when(k.isin(0.0, 1.0, 2.0), k.cast("int")).alias("grade"))
+
+
+@query("prj18_age_bands", "SELECT band, count(*) AS n FROM (SELECT CASE WHEN p_size IS NULL THEN 'unknown' WHEN p_size < 10 THEN '0-9' WHEN p_size < 20 THEN '10-19' WHEN p_size < 30 THEN '20-29' WHEN p_size < 40 THEN '30-39' ELSE '40+' END AS band FROM part) GROUP BY band")
+def age_bands(t):
+    a = F.col("p_size")
+    band = F.when(a.isNull(), "unknown").when(a < 10, "0-9").when(a < 20, "10-19").when(a < 30, "20-29").when(a < 40, "30-39").otherwise("40+")
+    return t.part.groupBy(band.alias("band")).agg(N.alias("n"))
+
+
+@query("prj21_trailing_tag", r"SELECT p_partkey, regexp_extract(p_brand || ' (' || p_type || ')', '\(([^()]*)\)\s*$', 1) IN ('ECONOMY', 'PROMO', 'STANDARD') AS tagged FROM part")
+def trailing_tag(t):
+    text = F.concat("p_brand", F.lit(" ("), "p_type", F.lit(")"))
+    return t.part.select("p_partkey", F.regexp_extract(text, r"\(([^()]*)\)\s*$", 1).isin("ECONOMY", "PROMO", "STANDARD").alias("tagged"))
+
+
+@query("jn01_jn02_registry_lookup", f"WITH {S.PRI}, {PARSED}, {S.SPECS} SELECT s.code, data_type, count(*) AS n FROM parsed p JOIN specs s USING (code) GROUP BY ALL")
+def lookup(t):
+    return judged(t).groupBy("code", "data_type").agg(N.alias("n"))
+
+
+PATTERNS = [("C_flag_a", "E_1", ["V_1"], None, None), ("C_any_status", "E_2", None, None, None), ("C_much", "E_3", None, 4, None), ("C_discount", "E_4", ["V_1", "V_2", "V_3"], None, "low"), ("C_discount", "E_4", ["V_7", "V_8", "V_9"], None, "high")]
+
+
+def patterns(t):
+    return t.spark.createDataFrame(PATTERNS, "concept_id string, code string, vals array<string>, min_ordinal int, side string")
+
+
+@query("jn03_crosswalk_match", f"""WITH {PARSED} SELECT DISTINCT case_id, concept_id FROM (
+    SELECT case_id, 'C_flag_a' AS concept_id FROM parsed WHERE code = 'E_1' AND value = 'V_1' UNION ALL SELECT case_id, 'C_any_status' FROM parsed WHERE code = 'E_2' UNION ALL
+    SELECT case_id, 'C_much' FROM parsed WHERE code = 'E_3' AND ordinal >= 4 UNION ALL SELECT case_id, 'C_discount' FROM parsed WHERE code = 'E_4' AND value IN ('V_1', 'V_2', 'V_3', 'V_7', 'V_8', 'V_9'))""")
+def crosswalk(t):
+    return K.crosswalk_matches(parsed(t), patterns(t))
+
+
+@query("jn03_side_cover", f"""WITH {PARSED} SELECT case_id, 'C_discount' AS concept_id, count(DISTINCT CASE WHEN value IN ('V_1', 'V_2', 'V_3') THEN 1 ELSE 2 END) AS sides FROM parsed
+    WHERE code = 'E_4' AND value IN ('V_1', 'V_2', 'V_3', 'V_7', 'V_8', 'V_9') GROUP BY case_id HAVING count(DISTINCT CASE WHEN value IN ('V_1', 'V_2', 'V_3') THEN 1 ELSE 2 END) >= 2""")
+def side_cover(t):
+    return K.side_cover(parsed(t), patterns(t))
+
+
+IMPLIES = [("E_1", "present", "Q_flag", "present"), ("E_3", "present", "Q_amount", "present"), ("E_4", "present", "Q_amount", "present"), ("E_4", "absent", "Q_amount", "absent"), ("E_1", "absent", "E_2", "absent"), ("E_3", "present", "Q_root", "present")]
+
+
+@query("jn04_case_expansion", f"""WITH {FINDINGS}, imp AS (SELECT * FROM (VALUES ('E_1', 'present', 'Q_flag', 'present'), ('E_3', 'present', 'Q_amount', 'present'), ('E_4', 'present', 'Q_amount', 'present'), ('E_4', 'absent', 'Q_amount', 'absent'), ('E_1', 'absent', 'E_2', 'absent'), ('E_3', 'present', 'Q_root', 'present')) v(concept_id, assertion, i, ia)),
+    d AS (SELECT case_id, i AS concept_id, min(ia) AS assertion, min(f.concept_id) AS origin FROM findings f JOIN imp USING (concept_id, assertion) GROUP BY ALL HAVING count(DISTINCT ia) = 1)
+    SELECT case_id, concept_id, assertion, NULL AS origin FROM findings UNION ALL SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.case_id = d.case_id AND f.concept_id = d.concept_id)""")
+def expansion(t):
+    implies = t.spark.createDataFrame(IMPLIES, "concept_id string, assertion string, implied_id string, implied_assertion string")
+    return K.expand(findings(t), implies)
+
+
+@query("jn12_alias_resolver", "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON lower(n_name) = lower('' || (SELECT any_value(n_name) FROM nation n WHERE n.n_nationkey = c_nationkey))")
+def alias_resolver(t):
+    names = t.nation.select("n_nationkey", F.explode(F.array(F.col("n_nationkey").cast("string"), F.lower("n_name"))).alias("alias"))
+    asked = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lower(F.upper("n_name")).alias("alias"))
+    return asked.join(F.broadcast(names), "alias").select("c_custkey", "n_nationkey")
+
+
+@query("jn13_same_cases_join", f"WITH {S.CASES} SELECT count(*) AS paired, CAST(0 AS BIGINT) AS unpaired FROM cases")
+def same_cases(t):
+    a, b = S.cases(t).select("case_id", F.lit(1).alias("a")), t.orders.select(F.col("o_orderkey").alias("case_id"), F.lit(1).alias("b"))
+    j = a.join(b, "case_id", "full")
+    return j.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("paired"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unpaired"))
+
+
+@query("jn14_paired_intersection", "SELECT count(*) AS n FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)")
+def intersection(t):
+    return t.orders.select("o_custkey").intersect(t.customer.select(F.col("c_custkey").alias("o_custkey"))).agg(N.alias("n"))
+
+
+@query("jn15_orphans", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def orphans(t):
+    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("jn18_set_containment", """WITH s AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT l_returnflag || l_linestatus || CAST(l_tax AS VARCHAR))) AS v FROM lineitem GROUP BY l_suppkey)
+    SELECT a.k AS a, b.k AS b, list_has_all(b.v, a.v) AS a_in_b, round(len(list_intersect(a.v, b.v)) / len(list_distinct(list_concat(a.v, b.v))), 6) AS jaccard FROM s a JOIN s b ON a.k < b.k""")
+def containment(t):
+    key = F.concat("l_returnflag", "l_linestatus", F.col("l_tax").cast("string"))
+    s = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set(key).alias("v"))
+    a, b = s.select(F.col("k").alias("a"), F.col("v").alias("va")), s.select(F.col("k").alias("b"), F.col("v").alias("vb"))
+    both = a.join(b, F.col("a") < F.col("b"))
+    return both.select("a", "b", (F.size(F.array_except("va", "vb")) == 0).alias("a_in_b"), F.round(F.size(F.array_intersect("va", "vb")) / F.size(F.array_union("va", "vb")), 6).alias("jaccard"))
+
+
+@query("jn21_sheet_key_join", """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'unknown' ELSE 'ok' END AS problem FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id""")
+def sheet_key(t):
+    d, l = t.documents.select("doc_id", F.lit(1).alias("d")), t.labels.select("doc_id", F.lit(1).alias("l"))
+    return d.join(l, "doc_id", "full").select("doc_id", F.when(F.col("l").isNull(), "missing").when(F.col("d").isNull(), "unknown").otherwise("ok").alias("problem"))
+
+
+@query("ml01_feature_encoder", f"""WITH {PARSED} SELECT case_id, CASE WHEN kind = 'ordinal' THEN code WHEN kind = 'binary' THEN code ELSE raw END AS feature, max(CASE WHEN kind = 'ordinal' THEN CAST(ordinal AS DOUBLE) ELSE 1.0 END) AS value FROM parsed GROUP BY ALL""")
+def features(t):
+    p = parsed(t)
+    name = F.when(F.col("kind").isin("ordinal", "binary"), F.col("code")).otherwise(F.col("raw"))
+    return p.groupBy("case_id", name.alias("feature")).agg(F.max(F.when(F.col("kind") == "ordinal", F.col("ordinal").cast("double")).otherwise(1.0)).alias("value"))
+
+
+@query("ml02_code_scope", f"WITH {PARSED} SELECT DISTINCT code FROM parsed")
+def code_scope(t):
+    return parsed(t).select("code").distinct()
+
+
+@query("ml05_evidence_masks", f"""WITH {S.TOK}, m AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY sha256(case_id || ':' || raw)) AS k, count(*) OVER (PARTITION BY case_id) AS n FROM tok)
+    SELECT case_id, raw FROM m WHERE k <= round_even(n * 0.5, 0)""")
+def masks(t):
+    w = Window.partitionBy("case_id")
+    m = S.tokens(t).withColumn("k", F.row_number().over(w.orderBy(F.sha2(F.concat_ws(":", F.col("case_id").cast("string"), "raw"), 256)))).withColumn("n", F.count(F.lit(1)).over(w))
+    return m.where(F.col("k") <= F.bround(F.col("n") * 0.5, 0)).select("case_id", "raw")
+
+
+@query("ml06_mask_augment", f"WITH {S.TOK} SELECT share, count(*) AS n FROM (SELECT 1.0 AS share, case_id FROM tok UNION ALL SELECT 0.5, case_id FROM tok) GROUP BY share")
+def augment(t):
+    tok = S.tokens(t)
+    return tok.withColumn("share", F.lit(1.0)).unionByName(tok.withColumn("share", F.lit(0.5))).groupBy("share").agg(N.alias("n"))
+
+
+@query("ml07_stratified_holdout", f"WITH {S.CASES}, r AS (SELECT case_id, truth, row_number() OVER (PARTITION BY truth ORDER BY sha256('h:' || case_id), case_id) AS k, count(*) OVER (PARTITION BY truth) AS n FROM cases) SELECT case_id, k <= n * 0.2 AS held_out FROM r")
+def holdout(t):
+    w = Window.partitionBy("truth")
+    r = S.cases(t).withColumn("k", F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit("h:"), F.col("case_id").cast("string")), 256), "case_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    return r.select("case_id", (F.col("k") <= F.col("n") * 0.2).alias("held_out"))
+
+
+@query("ml09_linear_softmax", S.with_graph(""", x AS (SELECT case_id, condition_id, kg - max(kg) OVER (PARTITION BY case_id) AS s FROM kg)
+    SELECT case_id, condition_id, round(exp(s) / sum(exp(s)) OVER (PARTITION BY case_id), 6) AS p FROM x"""))
+def softmax(t):
+    w = Window.partitionBy("case_id")
+    s = S.kg_scores(t).withColumn("s", F.col("kg") - F.max("kg").over(w))
+    return s.select("case_id", "condition_id", F.round(F.exp("s") / F.sum(F.exp("s")).over(w), 6).alias("p"))
+
+
+@query("ml20_column_grouping", f"WITH {PARSED} SELECT split_part(raw, '_@_', 1) AS grp, count(DISTINCT raw) AS columns, min(raw) AS first FROM parsed GROUP BY grp")
+def column_grouping(t):
+    return S.tokens(t).groupBy(F.substring_index("raw", "_@_", 1).alias("grp")).agg(F.count_distinct("raw").alias("columns"), F.min("raw").alias("first"))
+
+
+@query("ml04_case_tokens_audit", f"""WITH {FINDINGS}, q AS (SELECT f.*, s.data_type FROM findings f JOIN specs s ON s.code = concept_id)
+    SELECT CASE WHEN assertion = 'absent' AND data_type <> 'B' THEN 'default answer' WHEN assertion = 'absent' THEN 'denied' WHEN data_type = 'C' THEN 'ordinal' ELSE 'kept' END AS reason, count(*) AS n FROM q GROUP BY reason""")
+def case_tokens_audit(t):
+    q = findings(t).join(F.broadcast(S.specs(t)), F.col("code") == F.col("concept_id"))
+    reason = F.when((F.col("assertion") == "absent") & (F.col("data_type") != "B"), "default answer").when(F.col("assertion") == "absent", "denied").when(F.col("data_type") == "C", "ordinal").otherwise("kept")
+    return q.groupBy(reason.alias("reason")).agg(N.alias("n"))

@@ -1 +1,109 @@
-"""Queries."""
+"""Queries of fusion and calibration (FU)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sextant.operators import fusion as P
+from sextant.operators import metrics as M
+from sextant.operators import ranking as R
+from sextant.plans import standin as S
+from sextant.plans.registry import query
+
+ALPHAS = [0.0, 0.05, 0.25, 0.5, 1.0]
+BASE = """, s AS (SELECT case_id, ord, condition_id, p, kg, condition_id <> '5-LOW' AS in_model FROM ml JOIN kg USING (case_id, ord, condition_id)),
+    a0 AS (SELECT s.*, alpha FROM s CROSS JOIN (VALUES (0.0::DOUBLE), (0.05), (0.25), (0.5), (1.0)) v(alpha)),
+    a1 AS (SELECT *, kg - max(kg) OVER w - ln(sum(exp(kg)) OVER w / exp(max(kg) OVER w)) AS lkg0, max(kg) OVER w AS mk FROM a0 WINDOW w AS (PARTITION BY case_id, alpha)),
+    a2 AS (SELECT *, kg - mk - ln(sum(exp(kg - mk)) OVER w) AS lkg, max(CASE WHEN in_model THEN p END) OVER w - min(CASE WHEN in_model THEN p END) OVER w < 1e-12 AS mute FROM a1 WINDOW w AS (PARTITION BY case_id, alpha)),
+    a3 AS (SELECT *, (1 - alpha) * CASE WHEN alpha = 0 THEN CASE WHEN p > 0 THEN ln(p) ELSE -700 END ELSE ln(greatest(p, 0.01)) END + alpha * lkg AS t FROM a2),
+    a4 AS (SELECT *, max(CASE WHEN in_model THEN t END) OVER w AS mt, ln(sum(CASE WHEN in_model THEN exp(lkg) ELSE 0 END) OVER w) AS mass FROM a3 WINDOW w AS (PARTITION BY case_id, alpha)),
+    f AS (SELECT case_id, ord, condition_id, alpha, greatest(-700, CASE WHEN mute OR alpha = 1 OR NOT in_model THEN lkg ELSE mass + t - mt - ln(sum(CASE WHEN in_model THEN exp(t - mt) ELSE 0 END) OVER w) END) AS fused FROM a4 WINDOW w AS (PARTITION BY case_id, alpha))"""
+BASE = BASE.replace("*, kg - max(kg) OVER w - ln(sum(exp(kg)) OVER w / exp(max(kg) OVER w)) AS lkg0, max(kg) OVER w AS mk", "*, max(kg) OVER w AS mk")
+
+
+def base(t):
+    s = S.ml_scores(t).join(S.kg_scores(t).select("case_id", "condition_id", "kg"), ["case_id", "condition_id"])
+    return s.withColumn("in_model", F.col("condition_id") != "5-LOW")
+
+
+def swept(t):
+    alphas = t.spark.createDataFrame([(a,) for a in ALPHAS], "alpha double")
+    return P.opinion_pool(base(t).crossJoin(F.broadcast(alphas)), F.col("alpha"), ("case_id", "alpha"))
+
+
+@query("fu01_alpha_from_weights", "SELECT p_partkey, round(p_size / (p_size + p_retailprice), 6) AS alpha FROM part WHERE p_size + p_retailprice > 0")
+def alpha(t):
+    return t.part.where("p_size + p_retailprice > 0").select("p_partkey", F.round(F.col("p_size") / (F.col("p_size") + F.col("p_retailprice")), 6).alias("alpha"))
+
+
+@query("fu02_log_softmax", S.with_graph(", m AS (SELECT *, max(kg) OVER (PARTITION BY case_id) AS mk FROM kg) SELECT case_id, condition_id, round(kg - mk - ln(sum(exp(kg - mk)) OVER (PARTITION BY case_id)), 6) AS lp FROM m"))
+def log_softmax(t):
+    return P.log_softmax(S.kg_scores(t), "kg", "lp").select("case_id", "condition_id", F.round("lp", 6).alias("lp"))
+
+
+@query("fu03_abstention", S.with_outcomes("SELECT case_id, coalesce(sum(p) FILTER (condition_id <> '5-LOW') <= 0 OR max(p) FILTER (condition_id <> '5-LOW') - min(p) FILTER (condition_id <> '5-LOW') < 1e-12, true) AS mute FROM ml GROUP BY case_id"))
+def abstention(t):
+    return S.ml_scores(t).withColumn("in_model", F.col("condition_id") != "5-LOW").withColumn("mute", P.abstains()).select("case_id", "mute").distinct()
+
+
+@query("fu04_opinion_pool", S.with_all(BASE + " SELECT case_id, condition_id, alpha, round(fused, 6) AS fused FROM f WHERE alpha = 0.25"))
+def pool(t):
+    return P.opinion_pool(base(t), F.lit(0.25)).select("case_id", "condition_id", F.lit(0.25).alias("alpha"), F.round("fused", 6).alias("fused"))
+
+
+SWEEP = BASE + """, r AS (SELECT f.*, c.truth, row_number() OVER (PARTITION BY f.case_id, alpha ORDER BY round(fused, 9) DESC, f.ord) AS rank FROM f JOIN cases c USING (case_id)),
+    w AS (SELECT alpha, round(avg(1.0 / rank), 6) AS mrr, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS recall FROM r WHERE condition_id = truth GROUP BY alpha)"""
+
+
+def sweep(t):
+    r = swept(t).withColumn("fused", F.round("fused", 9)).withColumn("rank", F.row_number().over(Window.partitionBy("case_id", "alpha").orderBy(F.desc("fused"), "ord")))
+    hits = r.join(S.cases(t).select("case_id", F.col("truth").alias("condition_id")), ["case_id", "condition_id"])
+    return hits.groupBy("alpha").agg(F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), M.share(F.col("rank") <= 3).alias("recall"))
+
+
+@query("fu05_weight_sweep", S.with_all(SWEEP + " SELECT * FROM w"))
+def weight_sweep(t):
+    return sweep(t)
+
+
+@query("fu06_alpha_choice", S.with_all(SWEEP + " SELECT alpha FROM w WHERE recall >= 0.5 ORDER BY mrr DESC, alpha LIMIT 1"))
+def alpha_choice(t):
+    return P.choose_alpha(sweep(t), 0.5)
+
+
+FITTED = [("1-URGENT", 0.1, 1.2), ("2-HIGH", -0.2, 0.9), ("3-MEDIUM", 0.0, 1.0)]
+
+
+@query("fu10_calibrator_transform", S.with_outcomes(""", fit AS (SELECT * FROM (VALUES ('1-URGENT', 0.1, 1.2), ('2-HIGH', -0.2, 0.9), ('3-MEDIUM', 0.0, 1.0)) v(condition_id, a, b)),
+    z AS (SELECT ml.*, a IS NOT NULL AS f, 1 / (1 + exp(-(a + b * ln(greatest(p, 1e-9))))) AS c FROM ml LEFT JOIN fit USING (condition_id))
+    SELECT case_id, condition_id, round(CASE WHEN f THEN c * sum(CASE WHEN f THEN p END) OVER w / sum(c) OVER w ELSE p END, 6) AS calibrated FROM z WINDOW w AS (PARTITION BY case_id)"""))
+def calibrate(t):
+    fitted = t.spark.createDataFrame(FITTED, "condition_id string, a double, b double")
+    return P.calibrate(S.ml_scores(t), fitted).select("case_id", "condition_id", F.round("calibrated", 6).alias("calibrated"))
+
+
+@query("fu12_cross_fitting_folds", f"WITH {S.CASES} SELECT case_id, (row_number() OVER (ORDER BY sha256('fold:' || case_id), case_id) - 1) % 5 AS fold FROM cases")
+def folds(t):
+    digest = F.sha2(F.concat(F.lit("fold:"), F.col("case_id").cast("string")), 256)
+    # exact dealing needs a total order: ranks within digest prefixes, offset by the counts of the prefixes before
+    c = S.cases(t).select("case_id", digest.alias("d")).withColumn("part", F.substring("d", 1, 2))
+    sizes = c.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    k = c.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("d", "case_id"))).join(F.broadcast(before), "part")
+    return k.select("case_id", ((F.col("before") + F.col("k") - 1) % 5).alias("fold"))
+
+
+@query("fu13_method_choice", "SELECT method FROM (SELECT l_returnflag AS method, avg(l_discount) AS brier, min(l_returnflag) AS ord FROM lineitem GROUP BY 1) q WHERE brier <= (SELECT min(b) FROM (SELECT avg(l_discount) AS b FROM lineitem GROUP BY l_returnflag)) + 0.0005 ORDER BY q.ord LIMIT 1")
+def method_choice(t):
+    m = t.lineitem.groupBy(F.col("l_returnflag").alias("method")).agg(F.avg("l_discount").alias("brier"))
+    return m.crossJoin(m.agg(F.min("brier").alias("best"))).where("brier <= best + 0.0005").agg(F.min("method").alias("method"))
+
+
+@query("fu15_fused_ece", S.with_all(BASE + """, q AS (SELECT f.*, exp(fused) / sum(exp(fused)) OVER (PARTITION BY case_id) AS q FROM f WHERE alpha = 0.25), r AS (SELECT q.*, c.truth, row_number() OVER (PARTITION BY q.case_id ORDER BY round(q, 9) DESC, q.ord) AS rank FROM q JOIN cases c USING (case_id))
+    SELECT round(sum(n * gap) / sum(n), 6) AS ece FROM (SELECT least(CAST(floor(round(q, 9) * 10) AS INT), 9) AS bin, count(*) AS n, abs(avg(round(q, 9)) - avg(CASE WHEN condition_id = truth THEN 1.0 ELSE 0 END)) AS gap FROM r WHERE rank = 1 GROUP BY bin)"""))
+def fused_ece(t):
+    w = Window.partitionBy("case_id")
+    q = P.opinion_pool(base(t), F.lit(0.25)).withColumn("q", F.round(F.exp("fused") / F.sum(F.exp("fused")).over(w), 9))
+    r = R.rank_scores(q, "q").where("rank = 1").join(S.cases(t).select("case_id", "truth"), "case_id").withColumn("y", M.hit())
+    return M.ece(r, "q", "y")

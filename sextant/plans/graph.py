@@ -1 +1,200 @@
-"""Queries."""
+"""Queries of the evidence graph (KG, JN05-10, AG07-14)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sextant.operators import graph as G
+from sextant.plans import standin as S
+from sextant.plans.registry import query
+
+N = F.count(F.lit(1))
+
+
+def with_edges(body: str) -> str:
+    return f"WITH {S.PRI}, {S.CASES}, {S.TOK}, {S.EDGES} {body}"
+
+
+@query("kg01_graph_build", with_edges("SELECT concept_id AS id, CASE WHEN concept_id LIKE 'E_3%' OR concept_id LIKE 'E_4%' THEN 'antecedent' ELSE 'symptom' END AS type, count(DISTINCT condition_id) AS conditions FROM edges GROUP BY concept_id"))
+def graph_build(t):
+    antecedent = F.col("concept_id").startswith("E_3") | F.col("concept_id").startswith("E_4")
+    return S.edges(t).groupBy(F.col("concept_id").alias("id"), F.when(antecedent, "antecedent").otherwise("symptom").alias("type")).agg(F.count_distinct("condition_id").alias("conditions"))
+
+
+@query("kg03_jn06_graph_merge", """WITH n AS (SELECT 'N' || n_nationkey AS id, 'nation' AS type, 1 AS src FROM nation UNION ALL SELECT 'N' || s_nationkey, 'supplier', 2 FROM supplier UNION ALL SELECT 'R' || r_regionkey, 'region', 1 FROM region)
+    SELECT id, min_by(type, src) AS type, count(DISTINCT type) > 1 AS anomaly FROM n GROUP BY id""")
+def merge(t):
+    node = lambda df, p, k, kind, src: df.select(F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), F.lit(kind).alias("type"), F.lit(src).alias("src_ord"))
+    nodes = node(t.nation, "N", "n_nationkey", "nation", 1).union(node(t.supplier, "N", "s_nationkey", "supplier", 2)).union(node(t.region, "R", "r_regionkey", "region", 1))
+    return G.merge_nodes(nodes)
+
+
+@query("jn06_duplicate_edges", "SELECT l_partkey AS condition_id, l_suppkey AS concept_id, l_returnflag AS source, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicates(t):
+    return G.duplicate_edges(t.lineitem.select(F.col("l_partkey").alias("condition_id"), F.col("l_suppkey").alias("concept_id"), F.col("l_returnflag").alias("source")))
+
+
+@query("jn07_source_filter", with_edges("SELECT count(*) AS n FROM edges WHERE source IN ('closed')"))
+def source_filter(t):
+    return S.edges(t).where(F.col("source").isin("closed")).agg(N.alias("n"))
+
+
+@query("jn09_finding_paths", with_edges("SELECT t.case_id, e.condition_id, t.raw AS concept_id, min(e.source) AS source FROM tok t JOIN edges e ON e.concept_id = t.raw GROUP BY ALL"))
+def paths(t):
+    e = S.edges(t).groupBy("condition_id", F.col("concept_id").alias("raw")).agg(F.min("source").alias("source"))
+    return S.tokens(t).join(F.broadcast(e), "raw").select("case_id", "condition_id", F.col("raw").alias("concept_id"), "source")
+
+
+@query("jn10_assessment", with_edges(""", x AS (SELECT DISTINCT condition_id, concept_id FROM edges)
+    SELECT c.case_id, x.condition_id, count(*) FILTER (t.raw IS NOT NULL) AS supporting, count(*) FILTER (t.raw IS NULL) AS missing FROM cases c CROSS JOIN x LEFT JOIN tok t ON t.case_id = c.case_id AND t.raw = x.concept_id GROUP BY ALL"""))
+def assessment(t):
+    x = S.edges(t).select("condition_id", "concept_id").distinct()
+    expected = x.groupBy("condition_id").agg(N.alias("expected"))
+    met = S.tokens(t).join(F.broadcast(x), F.col("raw") == F.col("concept_id")).groupBy("case_id", "condition_id").agg(N.alias("supporting"))
+    grid = S.cases(t).select("case_id").crossJoin(F.broadcast(expected)).join(met, ["case_id", "condition_id"], "left").withColumn("supporting", F.coalesce("supporting", F.lit(0)))
+    return grid.select("case_id", "condition_id", "supporting", (F.col("expected") - F.col("supporting")).alias("missing"))
+
+
+@query("ag07_strongest_edge", with_edges("SELECT condition_id, concept_id, max(weight) AS weight FROM edges GROUP BY ALL"))
+def strongest(t):
+    return G.strongest_edges(S.edges(t))
+
+
+@query("ag08_edge_fold", with_edges("SELECT condition_id, max(weight) AS weight, list_sort(list(DISTINCT source)) AS sources, count(DISTINCT concept_id) AS concepts FROM edges GROUP BY condition_id"))
+def fold(t):
+    return S.edges(t).groupBy("condition_id").agg(F.max("weight").alias("weight"), F.array_sort(F.collect_set("source")).alias("sources"), F.count_distinct("concept_id").alias("concepts"))
+
+
+@query("ag09_coverage_counts", with_edges("SELECT condition_id, count(*) AS facts, count(*) FILTER (weight <= 0.03) AS weak, count(*) FILTER (concept_id LIKE 'E_1%') AS mapped FROM edges GROUP BY condition_id"))
+def coverage(t):
+    return S.edges(t).groupBy("condition_id").agg(N.alias("facts"), F.count_if(F.col("weight") <= 0.03).alias("weak"), F.count_if(F.col("concept_id").startswith("E_1")).alias("mapped"))
+
+
+@query("ag10_kg04_noisy_or", with_edges("SELECT condition_id, split_part(concept_id, '_@_', 1) AS question, round(1 - product(1 - weight), 6) AS p FROM edges GROUP BY ALL"))
+def noisy_or(t):
+    rows = S.edges(t).withColumn("question", F.substring_index("concept_id", "_@_", 1))
+    return G.noisy_or(rows, ["condition_id", "question"]).withColumn("p", F.round("p", 6))
+
+
+@query("ag11_kg05_imputation", with_edges(""", q AS (SELECT condition_id, split_part(concept_id, '_@_', 1) AS question, avg(weight) AS m, 1 - product(1 - weight) AS cap FROM edges GROUP BY ALL)
+    SELECT condition_id, question, round(least(m, cap), 6) AS imputed FROM q"""))
+def imputation(t):
+    rows = S.edges(t).groupBy("condition_id", F.substring_index("concept_id", "_@_", 1).alias("question"))
+    return rows.agg(F.round(F.least(F.avg("weight"), 1 - F.product(1 - F.col("weight"))), 6).alias("imputed"))
+
+
+@query("ag12_kg07_nb_score", S.with_graph("SELECT case_id, ord, condition_id, round(kg, 6) AS kg FROM kg"))
+def nb_score(t):
+    return S.kg_scores(t).withColumn("kg", F.round("kg", 6))
+
+
+@query("kg08_contributions", S.with_graph("SELECT t.case_id, s.condition_id, t.raw AS concept_id, round(ln(greatest(least(s.weight, 0.9), 0.01)), 6) AS part FROM tok t JOIN strongest s ON s.concept_id = t.raw WHERE s.condition_id = '1-URGENT'"))
+def contributions(t):
+    e = G.strongest_edges(S.edges(t)).where("condition_id = '1-URGENT'")
+    return S.tokens(t).join(F.broadcast(e), F.col("raw") == F.col("concept_id")).select("case_id", "condition_id", "concept_id", F.round(F.log(F.greatest(F.least("weight", F.lit(G.CAP)), F.lit(G.LEAK))), 6).alias("part"))
+
+
+@query("ag13_hypothesis_scores", S.with_graph(""", h AS (SELECT DISTINCT raw AS hypothesis FROM tok)
+    SELECT h.hypothesis, s.condition_id, round(ln(greatest(least(s.weight, 0.9), 0.01)) - ln(1 - least(s.weight, 0.9)), 6) AS difference FROM h JOIN strongest s ON s.concept_id = h.hypothesis"""))
+def hypotheses(t):
+    p = F.least("weight", F.lit(G.CAP))
+    h = S.tokens(t).select("raw").distinct()
+    return h.join(G.strongest_edges(S.edges(t)), F.col("raw") == F.col("concept_id")).select(F.col("raw").alias("hypothesis"), "condition_id", F.round(F.log(F.greatest(p, F.lit(G.LEAK))) - F.log(1 - p), 6).alias("difference"))
+
+
+@query("ag14_graph_card", with_edges(""", d AS (SELECT concept_id, count(DISTINCT condition_id) AS degree FROM edges GROUP BY ALL) SELECT degree, count(*) AS nodes, (SELECT count(*) FROM edges) AS edges FROM d GROUP BY degree"""))
+def card(t):
+    e = S.edges(t)
+    d = e.groupBy("concept_id").agg(F.count_distinct("condition_id").alias("degree")).groupBy("degree").agg(N.alias("nodes"))
+    return d.crossJoin(e.agg(N.alias("edges")))
+
+
+FINDINGS = "f AS (SELECT user_id AS case_id, event_type AS concept_id, CASE WHEN value > 50 THEN 'present' ELSE 'absent' END AS assertion FROM events)"
+
+
+def _findings(t):
+    return t.events.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("concept_id"), F.when(F.col("value") > 50, "present").otherwise("absent").alias("assertion"))
+
+
+@query("kg06_usable_findings", f"WITH {FINDINGS} SELECT case_id, concept_id, min(assertion) AS assertion FROM f GROUP BY ALL HAVING count(DISTINCT assertion) = 1")
+def usable(t):
+    return G.usable(_findings(t))
+
+
+@query("kg09_overlap_score", f"WITH {FINDINGS} SELECT case_id, round(greatest(0.0, (count(DISTINCT CASE WHEN assertion = 'present' THEN concept_id END) - 0.5 * count(DISTINCT CASE WHEN assertion = 'absent' THEN concept_id END)) / 5.0), 6) AS score FROM f GROUP BY case_id")
+def overlap_score(t):
+    n = lambda a: F.count_distinct(F.when(F.col("assertion") == a, F.col("concept_id")))
+    return _findings(t).groupBy("case_id").agg(F.round(F.greatest(F.lit(0.0), (n("present") - 0.5 * n("absent")) / 5.0), 6).alias("score"))
+
+
+@query("kg10_expected_order", with_edges("SELECT condition_id, concept_id, row_number() OVER (PARTITION BY condition_id ORDER BY concept_id LIKE 'E_3%' OR concept_id LIKE 'E_4%', concept_id) AS k FROM (SELECT DISTINCT condition_id, concept_id FROM edges)"))
+def expected_order(t):
+    late = F.col("concept_id").startswith("E_3") | F.col("concept_id").startswith("E_4")
+    return S.edges(t).select("condition_id", "concept_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("condition_id").orderBy(late, "concept_id")))
+
+
+@query("kg11_question_gain", S.with_graph(""", post AS (SELECT case_id, condition_id, exp(kg - max(kg) OVER (PARTITION BY case_id)) AS u FROM kg), pp AS (SELECT case_id, condition_id, u / sum(u) OVER (PARTITION BY case_id) AS p FROM post),
+    q AS (SELECT pp.case_id, s.concept_id, sum(p * s.weight) AS yes, sum(p * (s.weight * log2(s.weight) + (1 - s.weight) * log2(1 - s.weight))) AS neg FROM pp JOIN strongest s USING (condition_id) WHERE s.concept_id LIKE 'E_1%' GROUP BY ALL HAVING count(*) = 5)
+    SELECT case_id, concept_id, round(neg - (yes * log2(yes) + (1 - yes) * log2(1 - yes)), 6) AS gain FROM q"""))
+def question_gain(t):
+    w = Window.partitionBy("case_id")
+    u = F.exp(F.col("kg") - F.max("kg").over(w))
+    post = S.kg_scores(t).withColumn("u", u).withColumn("p", F.col("u") / F.sum("u").over(w))
+    bits = lambda x: x * F.log2(x) + (1 - x) * F.log2(1 - x)
+    e = G.strongest_edges(S.edges(t)).where(F.col("concept_id").startswith("E_1"))
+    q = post.join(F.broadcast(e), "condition_id").groupBy("case_id", "concept_id").agg(F.sum(F.col("p") * F.col("weight")).alias("yes"), F.sum(F.col("p") * bits(F.col("weight"))).alias("neg"), N.alias("n")).where("n = 5")
+    return q.select("case_id", "concept_id", F.round(F.col("neg") - bits(F.col("yes")), 6).alias("gain"))
+
+
+@query("kg12_entropy_bits", S.with_outcomes("SELECT case_id, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS bits FROM o GROUP BY case_id"))
+def entropy(t):
+    return S.ml_scores(t).groupBy("case_id").agg(F.round(-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2("p")).otherwise(0.0)), 6).alias("bits"))
+
+
+RULE_SQL = "list_has_all(c, ['E_1_@_V_1', 'E_2']) AND len(list_intersect(c, ['E_3_@_4', 'E_3_@_3', 'E_4_@_V_9'])) >= 2"
+
+
+@query("kg14_red_flag_rules", f"WITH {S.TOK}, g AS (SELECT case_id, list(raw) AS c FROM tok GROUP BY case_id) SELECT case_id, {RULE_SQL} AS flagged, list_has_any(c, ['E_1_@_V_3']) AND list_has_any(c, ['E_4_@_V_0', 'E_4_@_V_10']) AS grouped FROM g")
+def rules(t):
+    g = S.tokens(t).groupBy("case_id").agg(F.collect_set("raw").alias("c"))
+    lits = lambda *x: F.array(*map(F.lit, x))
+    all_of = F.size(F.array_except(lits("E_1_@_V_1", "E_2"), "c")) == 0
+    any_of = F.size(F.array_intersect("c", lits("E_3_@_4", "E_3_@_3", "E_4_@_V_9"))) >= 2
+    groups = F.array(lits("E_1_@_V_3"), lits("E_4_@_V_0", "E_4_@_V_10"))
+    return g.select("case_id", (all_of & any_of).alias("flagged"), (F.size(F.filter(groups, lambda x: F.arrays_overlap(x, F.col("c")))) >= 2).alias("grouped"))
+
+
+@query("kg15_kg16_system_rankings", S.with_all(""", s AS (SELECT case_id, ord, condition_id, 'model' AS system, p AS score, 0 AS f FROM o UNION ALL SELECT case_id, ord, condition_id, 'graph', kg, 0 FROM kg UNION ALL SELECT case_id, ord, condition_id, 'model+flags', p, CAST(flagged AS INT) FROM o),
+    r AS (SELECT *, row_number() OVER (PARTITION BY system, case_id ORDER BY f DESC, score DESC, ord) AS rank FROM s)
+    SELECT system, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(1.0 / rank), 6) AS mrr FROM r JOIN cases c USING (case_id) WHERE r.condition_id = c.truth GROUP BY system"""))
+def systems(t):
+    o = S.outcomes(t)
+    part = lambda df, name, score, f: df.select("case_id", "ord", "condition_id", F.lit(name).alias("system"), F.col(score).alias("score"), f.alias("f"))
+    s = part(o, "model", "p", F.lit(False)).union(part(S.kg_scores(t), "graph", "kg", F.lit(False))).union(part(o, "model+flags", "p", F.col("flagged")))
+    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("system", "case_id").orderBy(F.desc("f"), F.desc("score"), "ord")))
+    hits = r.join(S.cases(t).select("case_id", F.col("truth").alias("condition_id")), ["case_id", "condition_id"])
+    return hits.groupBy("system").agg(F.round(F.avg((F.col("rank") == 1).cast("double")), 6).alias("top1"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))
+
+
+@query("kg20_crosswalk_validation", with_edges("SELECT concept_id, 'no condition' AS problem FROM edges GROUP BY concept_id HAVING count(DISTINCT condition_id) = 0 UNION ALL SELECT concept_id, 'one source' FROM edges GROUP BY concept_id HAVING count(DISTINCT source) = 1"))
+def validation(t):
+    return S.edges(t).groupBy("concept_id").agg(F.count_distinct("source").alias("n")).where("n = 1").select("concept_id", F.lit("one source").alias("problem"))
+
+
+@query("kg22_wide_matrices", S.with_outcomes("SELECT case_id, " + ", ".join(f"round(max(CASE WHEN ord = {i} THEN p END), 6) AS c{i}" for i in range(1, 6)) + " FROM o GROUP BY case_id"))
+def wide(t):
+    m = S.ml_scores(t).groupBy("case_id").pivot("ord", [1, 2, 3, 4, 5]).agg(F.round(F.max("p"), 6))
+    return m.withColumnsRenamed({str(i): f"c{i}" for i in range(1, 6)})
+
+
+@query("st15_store_differential", with_edges("SELECT 'closed' AS only_in, condition_id, concept_id FROM (SELECT condition_id, concept_id FROM edges WHERE source = 'closed' EXCEPT SELECT condition_id, concept_id FROM edges WHERE source = 'open') UNION ALL SELECT 'open', condition_id, concept_id FROM (SELECT condition_id, concept_id FROM edges WHERE source = 'open' EXCEPT SELECT condition_id, concept_id FROM edges WHERE source = 'closed')"))
+def differential(t):
+    e = S.edges(t)
+    a, b = (e.where(F.col("source") == x).select("condition_id", "concept_id") for x in ("closed", "open"))
+    return a.exceptAll(b).select(F.lit("closed").alias("only_in"), "*").union(b.exceptAll(a).select(F.lit("open").alias("only_in"), "*"))
+
+
+@query("st17_graph_fingerprint", with_edges("SELECT sha256(string_agg(r, chr(10) ORDER BY r)) AS fingerprint FROM (SELECT condition_id || '|' || concept_id || '|' || source AS r FROM edges)"))
+def fingerprint(t):
+    return S.edges(t).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "condition_id", "concept_id", "source"))), "\n"), 256).alias("fingerprint"))

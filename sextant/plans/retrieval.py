@@ -1 +1,196 @@
-"""Queries."""
+"""Queries of retrieval (RT, WN05-06)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sextant.operators import ranking as R
+from sextant.operators import text as X
+from sextant.plans.registry import query
+
+N = F.count(F.lit(1))
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+
+
+def words_sql(col: str) -> str:
+    raw = f"regexp_extract_all(lower({col}), '[a-z0-9]+')"
+    return f"list_transform(list_filter({raw}, lambda w: w NOT IN ({_STOP}) AND (length(w) > 1 OR regexp_full_match(w, '[0-9]'))), lambda w: regexp_replace(regexp_replace(w, 'oe|ae', 'e', 'g'), '^(.{{2,}}[^sui])s$', '\\1'))"
+
+
+POSTS = f"p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unnest({words_sql('text')}) AS term FROM documents) GROUP BY ALL)"
+ASKED = f"q AS (SELECT DISTINCT item_id AS query, unnest({words_sql('text')}) AS term FROM benchmark)"
+BM25 = f"""{POSTS}, {ASKED}, len AS (SELECT doc, sum(tf) AS len FROM p GROUP BY doc), st AS (SELECT (SELECT sum(len) FROM len) / (SELECT count(*) FROM documents) AS avgdl, (SELECT count(*) FROM documents) AS n),
+    idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, st GROUP BY term, n),
+    s AS (SELECT query, doc, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM q JOIN p USING (term) JOIN idf USING (term) JOIN len USING (doc), st GROUP BY ALL)"""
+
+
+def _posts(t):
+    return X.postings(t.documents, "doc_id", "text")
+
+
+def _asked(t):
+    return t.benchmark.select(F.col("item_id").alias("query"), F.explode(X.words(F.col("text"))).alias("term"))
+
+
+def _bm25(t):
+    return X.bm25(_posts(t), _asked(t), t.documents.count())
+
+
+@query("rt01_tokenizer", f"SELECT doc_id, len(ws) AS n, len(list_distinct(ws)) AS distinct_words FROM (SELECT doc_id, {words_sql('text')} AS ws FROM documents)")
+def tokenizer(t):
+    return t.documents.select("doc_id", X.words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("distinct_words"))
+
+
+@query("rt02_phrase_mention", "SELECT source, count(*) FILTER (contains(' ' || array_to_string(" + words_sql("text") + ", ' ') || ' ', ' idiot ')) AS n FROM documents GROUP BY source")
+def mention(t):
+    return t.documents.groupBy("source").agg(F.count_if(X.mentions(F.col("text"), F.lit("idiot"))).alias("n"))
+
+
+@query("rt03_sentence_spans")
+def sentences(t):
+    """Java's look-behind; DuckDB's expressions have none."""
+    parts = F.split("text", r"(?<=[.!?])\s+(?=[\p{Lu}0-9(\[])")
+    return t.documents.select("doc_id", F.posexplode(parts).alias("pos", "sentence"))
+
+
+@query("rt05_bm25_index", f"WITH {POSTS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term")
+def index(t):
+    return _posts(t).groupBy("term").agg(N.alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("rt06_bm25_score", f"WITH {BM25} SELECT query, doc, round(score, 6) AS score FROM s")
+def score(t):
+    return _bm25(t).select("query", "doc", F.round("score", 6).alias("score"))
+
+
+@query("wn05_best_passage_per_article", f"""WITH {BM25}, b AS (SELECT query, d.source, doc, round(score, 9) AS score, row_number() OVER (PARTITION BY query, d.source ORDER BY round(score, 9) DESC, doc) AS k FROM s JOIN documents d ON d.doc_id = doc)
+    SELECT query, source, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM b WHERE k = 1) WHERE rank <= 5""")
+def best_passage(t):
+    rows = _bm25(t).withColumn("score", F.round("score", 9)).join(t.documents.select(F.col("doc_id").alias("doc"), "source"), "doc")
+    order = [F.desc("score"), F.col("doc")]
+    best = R.first_k(rows, ["query", "source"], order, 1)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where("rank <= 5").select("query", "source", "doc", "rank")
+
+
+MEANS = """m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL),
+    v AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY label)"""
+
+
+@query("rt08_condition_vectors", f"WITH {MEANS} SELECT label, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS x0, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS x63 FROM v")
+def condition_vectors(t):
+    v = X.mean_vectors(t.embeddings, "label", "embedding")
+    return v.select("label", F.round(F.col("v")[0], 6).alias("x0"), F.round(F.col("v")[63], 6).alias("x63"))
+
+
+@query("rt10_dense_cosine", f"WITH {MEANS} SELECT vec_id, v.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS cosine FROM embeddings, v")
+def cosine(t):
+    v = X.mean_vectors(t.embeddings, "label", "embedding")
+    return t.embeddings.select("vec_id", X.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("e")).crossJoin(F.broadcast(v)).select("vec_id", "label", F.round(X.dot(F.col("e"), F.col("v")), 6).alias("cosine"))
+
+
+@query("rt09_mixed_query_vector", f"WITH {MEANS}, u AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v), w AS (SELECT a.label, list_transform(list_zip(a.u, b.u), lambda z: 0.6 * z[1] + 0.4 * z[2]) AS w FROM u a JOIN u b ON b.label = (a.label + 1) % 10) SELECT label, round(w[1] / sqrt(list_dot_product(w, w)), 6) AS x0 FROM w")
+def mixed_vector(t):
+    v = X.mean_vectors(t.embeddings, "label", "embedding")
+    other = v.select(((F.col("label") + 9) % 10).alias("label"), F.col("v").alias("o"))
+    w = v.join(other, "label").select("label", F.zip_with("v", "o", lambda a, b: 0.6 * a + 0.4 * b).alias("w"))
+    return w.select("label", F.round(X.unit(F.col("w"))[0], 6).alias("x0"))
+
+
+@query("rt15_mix_fidelity", f"WITH {MEANS} SELECT e.label, round(avg(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v)), 6) AS fidelity FROM embeddings e JOIN v USING (label) GROUP BY e.label")
+def fidelity(t):
+    v = X.mean_vectors(t.embeddings, "label", "embedding")
+    e = t.embeddings.select("label", X.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("e")).join(F.broadcast(v), "label")
+    return e.groupBy("label").agg(F.round(F.avg(X.dot(F.col("e"), F.col("v"))), 6).alias("fidelity"))
+
+
+TWO = f"""{BM25}, r1 AS (SELECT query, doc AS item, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s),
+    r2 AS (SELECT query, doc AS item, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, doc) AS rank FROM q JOIN p USING (term) GROUP BY query, doc),
+    f AS (SELECT query, item, sum(1 / (60 + rank)) AS score FROM (SELECT * FROM r1 WHERE rank <= 20 UNION ALL SELECT * FROM r2 WHERE rank <= 20) GROUP BY ALL)"""
+
+
+def _two(t):
+    by = Window.partitionBy("query")
+    a = _bm25(t).withColumn("rank", F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), "doc")))
+    shared = _posts(t).join(F.broadcast(_asked(t).distinct()), "term").groupBy("query", "doc").agg(N.alias("n"))
+    b = shared.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "doc")))
+    return a.where("rank <= 20").select("query", F.col("doc").alias("item"), "rank").union(b.where("rank <= 20").select("query", "doc", "rank"))
+
+
+@query("wn06_rrf", f"WITH {TWO} SELECT query, item, round(score, 6) AS score FROM f")
+def rrf(t):
+    return X.rrf(_two(t)).select("query", "item", F.round("score", 6).alias("score"))
+
+
+@query("rt11_hybrid_rank", f"""WITH {TWO}, a AS (SELECT f.*, d.source, row_number() OVER (PARTITION BY query, d.source ORDER BY round(score, 9) DESC, item) AS k FROM f JOIN documents d ON d.doc_id = item)
+    SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, item) AS rank FROM a WHERE k = 1""")
+def hybrid(t):
+    rows = X.rrf(_two(t)).withColumn("score", F.round("score", 9)).join(t.documents.select(F.col("doc_id").alias("item"), "source"), "item")
+    order = [F.desc("score"), F.col("item")]
+    best = R.first_k(rows, ["query", "source"], order, 1)
+    return best.select("query", "item", F.row_number().over(Window.partitionBy("query").orderBy(*order)).alias("rank"))
+
+
+@query("rt07_eligibility_filter", f"WITH {POSTS}, {ASKED} SELECT query, count(DISTINCT doc) AS eligible FROM q JOIN p USING (term) JOIN documents d ON d.doc_id = doc WHERE NOT regexp_matches(d.text, '(?i)token = ') GROUP BY query")
+def eligibility(t):
+    fit = t.documents.where(~F.col("text").rlike("(?i)token = ")).select(F.col("doc_id").alias("doc"))
+    return _posts(t).join(fit, "doc", "left_semi").join(F.broadcast(_asked(t).distinct()), "term").groupBy("query").agg(F.count_distinct("doc").alias("eligible"))
+
+
+@query("rt13_query_composition", "SELECT o_custkey, 'orders ' || array_to_string(list_sort(list(DISTINCT o_orderpriority)), ' ') AS query FROM orders GROUP BY o_custkey")
+def composition(t):
+    return t.orders.groupBy("o_custkey").agg(F.concat_ws(" ", F.lit("orders"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), " ")).alias("query"))
+
+
+@query("rt14_query_vocabulary", "SELECT 'nation' AS kind, CAST(n_nationkey AS VARCHAR) AS id, n_name AS text FROM nation UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), r_name FROM region")
+def vocabulary(t):
+    part = lambda df, kind, k, n: df.select(F.lit(kind).alias("kind"), F.col(k).cast("string").alias("id"), F.col(n).alias("text"))
+    return part(t.nation, "nation", "n_nationkey", "n_name").union(part(t.region, "region", "r_regionkey", "r_name"))
+
+
+SENT = r"s AS (SELECT doc_id AS doc, pos, sentence FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS sentence, generate_subscripts(string_split(text, '. '), 1) AS pos FROM documents))"
+
+
+@query("rt16_treatment_free_runs", rf"""WITH {SENT}, d AS (SELECT *, regexp_matches(sentence, '[0-9@%$]') AS dirty FROM s), g AS (SELECT *, sum(CASE WHEN dirty THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS run FROM d)
+    SELECT doc, CAST(run AS BIGINT) AS run, length(string_agg(sentence, ' ' ORDER BY pos)) AS n_chars FROM g WHERE NOT dirty GROUP BY doc, run HAVING length(string_agg(sentence, ' ' ORDER BY pos)) >= 150""")
+def clean_runs(t):
+    s = t.documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\. ")).alias("pos", "sentence"))
+    return X.clean_runs(s, F.col("sentence").rlike("[0-9@%$]"), 150).select("doc", "run", F.length("text").alias("n_chars"))
+
+
+@query("rt17_window_chunking", r"""WITH w AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc, w, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 100) / 80) AS BIGINT)))) AS chunk FROM w WHERE len(w) > 0)
+    SELECT doc, chunk, md5(array_to_string(w[chunk * 80 + 1 : chunk * 80 + 100], ' ')) AS digest FROM c""")
+def chunking(t):
+    return X.windows(t.documents.select(F.col("doc_id").alias("doc"), "text"), 100, 20).select("doc", "chunk", F.md5("text").alias("digest"))
+
+
+@query("rt19_section_cap", "SELECT conv_id, turn, length(text) AS n, greatest(0, least(length(text), 500 - (before))) AS kept FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)")
+def section_cap(t):
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.length("text")
+    return t.conversations.withColumn("before", before).select("conv_id", "turn", n.alias("n"), F.greatest(F.lit(0), F.least(n, 500 - F.col("before"))).alias("kept"))
+
+
+@query("rt21_judging_pool", f"WITH {TWO} SELECT DISTINCT query, item, sha256('pool:' || query || ':' || item) AS digest FROM f")
+def pool(t):
+    return _two(t).select("query", "item").distinct().withColumn("digest", F.sha2(F.concat_ws(":", F.lit("pool"), F.col("query").cast("string"), F.col("item").cast("string")), 256))
+
+
+@query("rt23_consensus", "SELECT doc_id, CASE WHEN a = b THEN a WHEN doc_id % 2 = 0 THEN a END AS grade, a <> b AND doc_id % 2 <> 0 AS open FROM (SELECT doc_id, quality AS a, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS b FROM labels)")
+def consensus(t):
+    g = t.labels.select("doc_id", F.col("quality").alias("a"), F.when(F.col("doc_id") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("b"))
+    settled = F.col("doc_id") % 2 == 0
+    return g.select("doc_id", F.when((F.col("a") == F.col("b")) | settled, F.col("a")).alias("grade"), ((F.col("a") != F.col("b")) & ~settled).alias("open"))
+
+
+@query("rt24_jn20_word_overlap", f"WITH b AS (SELECT item_id, list_distinct({words_sql('text')}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM b a JOIN b ON a.item_id < b.item_id")
+def word_overlap(t):
+    w = t.benchmark.select("item_id", F.array_distinct(X.words(F.col("text"))).alias("w"))
+    a, b = w.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), w.select(F.col("item_id").alias("b"), F.col("w").alias("wb"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")), 6).alias("jaccard"))
+
+
+@query("rt25_search_terms", "SELECT r_regionkey, '(' || string_agg(n_name || '[ti]', ' OR ' ORDER BY n_name) || ') AND ' || r_name AS term FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+def search_terms(t):
+    names = F.array_join(F.transform(F.array_sort(F.collect_list("n_name")), lambda x: F.concat(x, F.lit("[ti]"))), " OR ")
+    return t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(names.alias("n")).select("r_regionkey", F.concat(F.lit("("), "n", F.lit(") AND "), "r_name").alias("term"))

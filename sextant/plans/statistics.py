@@ -1 +1,196 @@
-"""Queries."""
+"""Queries of statistics, fits, decisions and models (ST, FU07-09, ML08-15)."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from sextant.operators import metrics as M
+from sextant.operators import ranking as R
+from sextant.operators import statistics as T
+from sextant.plans import standin as S
+from sextant.plans.registry import query
+
+N = F.count(F.lit(1))
+FLAG_FIRST = ", f AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY flagged DESC, p DESC, ord) AS r2 FROM o), h AS (SELECT * FROM f WHERE condition_id = truth)"
+
+
+def both(t):
+    """Each case's true condition with its rank by score and its rank flags first."""
+    return M.of_truth(R.rank_scores(S.outcomes(t), "p", first=F.col("flagged"), name="r2"))
+
+
+@query("st01_bootstrap_ratio_ci")
+def bootstrap_ci(t):
+    """Hash-drawn Poisson resamples; rows only, as SQL lacks the hash."""
+    pairs = both(t).select("case_id", "seg", (F.col("rank") <= 3).cast("double").alias("num"), F.lit(1.0).alias("den"))
+    return T.poisson_bootstrap(pairs, "case_id", "num", "den", by=("seg",))
+
+
+@query("st02_binned_gap_ci")
+def binned_gap(t):
+    top = S.outcomes(t).where("rank = 1").withColumn("bin", F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int"))
+    pairs = top.select("case_id", "bin", (F.col("p") - M.hit().cast("double")).alias("num"), F.lit(1.0).alias("den"))
+    return T.poisson_bootstrap(pairs, "case_id", "num", "den", by=("bin",))
+
+
+@query("st03_mcnemar_counts", S.with_outcomes(FLAG_FIRST + " SELECT count(*) FILTER (rank = 1 AND r2 <> 1) AS only_a, count(*) FILTER (rank <> 1 AND r2 = 1) AS only_b FROM h"))
+def mcnemar_counts(t):
+    return T.discordant(both(t), F.col("rank") == 1, F.col("r2") == 1)
+
+
+@query("st03_mcnemar_p")
+def mcnemar_p(t):
+    c = T.discordant(both(t), F.col("rank") == 1, F.col("r2") == 1).first()
+    return t.spark.createDataFrame([(c["only_a"], c["only_b"], T.mcnemar(c["only_a"], c["only_b"]))], "only_a long, only_b long, p double")
+
+
+@query("st04_paired_difference_ci")
+def paired_difference(t):
+    pairs = both(t).select("case_id", ((F.col("r2") <= 3).cast("double") - (F.col("rank") <= 3).cast("double")).alias("num"), F.lit(1.0).alias("den"))
+    return T.poisson_bootstrap(pairs, "case_id", "num", "den").withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+@query("st05_paired_rate_difference", S.with_outcomes(FLAG_FIRST + " SELECT seg, round(avg(CASE WHEN r2 <= 3 THEN 1.0 ELSE 0 END) - avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS difference FROM h GROUP BY seg"))
+def rate_difference(t):
+    return both(t).groupBy("seg").agg(F.round(F.avg((F.col("r2") <= 3).cast("double")) - F.avg((F.col("rank") <= 3).cast("double")), 6).alias("difference"))
+
+
+@query("st06_degradation_contrast", S.with_outcomes(FLAG_FIRST + " SELECT round((avg(CASE WHEN r2 <= 1 THEN 1.0 ELSE 0 END) FILTER (sex = 'F') - avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) FILTER (sex = 'F')) - (avg(CASE WHEN r2 <= 1 THEN 1.0 ELSE 0 END) FILTER (sex <> 'F') - avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) FILTER (sex <> 'F')), 6) AS contrast FROM h"))
+def contrast(t):
+    hit = lambda r, where: F.avg(F.when(where, (F.col(r) <= 1).cast("double")))
+    f, g = F.col("sex") == "F", F.col("sex") != "F"
+    return both(t).agg(F.round((hit("r2", f) - hit("rank", f)) - (hit("r2", g) - hit("rank", g)), 6).alias("contrast"))
+
+
+@query("st07_compare_systems", S.with_outcomes(FLAG_FIRST + """ SELECT round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS top3_a, round(avg(CASE WHEN r2 <= 3 THEN 1.0 ELSE 0 END), 6) AS top3_b, round(avg(1.0 / rank), 6) AS mrr_a, round(avg(1.0 / r2), 6) AS mrr_b,
+    round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) FILTER (critical), 6) AS critical_a, round(avg(CASE WHEN r2 <= 3 THEN 1.0 ELSE 0 END) FILTER (critical), 6) AS critical_b FROM h"""))
+def compare(t):
+    crit = F.col("critical").cast("int")
+    out = []
+    for r, x in (("rank", "a"), ("r2", "b")):
+        out += [M.share(F.col(r) <= 3).alias(f"top3_{x}"), M.share(1 / F.col(r)).alias(f"mrr_{x}"), M.share((F.col(r) <= 3) & F.col("critical"), crit).alias(f"critical_{x}")]
+    return both(t).agg(*out)
+
+
+@query("st10_verdict_rules", S.with_outcomes("SELECT seg, n, misses, CASE WHEN misses <= 5 THEN 'ceiling' WHEN misses * 10 < n THEN 'met' ELSE 'not met' END AS status FROM (SELECT seg, count(*) AS n, count(*) FILTER (rank > 3) AS misses FROM o WHERE condition_id = truth GROUP BY seg)"))
+def verdicts(t):
+    g = M.of_truth(S.outcomes(t)).groupBy("seg").agg(N.alias("n"), F.count_if(F.col("rank") > 3).alias("misses"))
+    return g.withColumn("status", F.when(F.col("misses") <= 5, "ceiling").when(F.col("misses") * 10 < F.col("n"), "met").otherwise("not met"))
+
+
+@query("st11_safety_floor", S.with_outcomes(FLAG_FIRST + " SELECT round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) FILTER (critical), 6) AS a, round(avg(CASE WHEN r2 <= 3 THEN 1.0 ELSE 0 END) FILTER (critical), 6) AS b, avg(CASE WHEN r2 <= 3 THEN 1.0 ELSE 0 END) FILTER (critical) >= avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) FILTER (critical) - 0.005 AS non_inferior FROM h"))
+def safety_floor(t):
+    x = lambda r: F.avg(F.when(F.col("critical"), (F.col(r) <= 3).cast("double")))
+    return both(t).agg(F.round(x("rank"), 6).alias("a"), F.round(x("r2"), 6).alias("b"), (x("r2") >= x("rank") - 0.005).alias("non_inferior"))
+
+
+@query("st12_seed_agreement", "SELECT claim, count(*) FILTER (holds) AS seeds, count(*) = count(*) FILTER (holds) AS agree FROM (SELECT l_linenumber % 5 AS seed, l_returnflag AS claim, avg(l_discount) > 0.05 AS holds FROM lineitem GROUP BY ALL) GROUP BY claim")
+def seed_agreement(t):
+    s = t.lineitem.groupBy((F.col("l_linenumber") % 5).alias("seed"), F.col("l_returnflag").alias("claim")).agg((F.avg("l_discount") > 0.05).alias("holds"))
+    return s.groupBy("claim").agg(F.count_if("holds").alias("seeds"), (N == F.count_if("holds")).alias("agree"))
+
+
+@query("st13_reconciliation", "SELECT count(*) AS metrics, count(*) FILTER (abs(a - b) > 1e-9) AS differing FROM (SELECT l_returnflag AS m, sum(l_quantity) AS a FROM lineitem GROUP BY 1) x FULL JOIN (SELECT l_returnflag AS m, sum(l_quantity) AS b FROM lineitem GROUP BY 1) y USING (m)")
+def reconciliation(t):
+    a = t.lineitem.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("a"))
+    b = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("b")).groupBy("l_returnflag").agg(F.sum("b").alias("b"))
+    return a.join(b, "l_returnflag", "full").agg(N.alias("metrics"), F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-9).alias("differing"))
+
+
+def _scored(t):
+    return S.outcomes(t).select("p", M.hit().alias("y"))
+
+
+@query("fu07_temperature_fit")
+def temperature(t):
+    return T.fit_temperature(_scored(t), "p", "y")
+
+
+@query("fu08_platt_fit")
+def platt(t):
+    a, b = T.fit_platt(_scored(t), "p", "y")
+    return t.spark.createDataFrame([(a, b)], "a double, b double")
+
+
+@query("fu09_isotonic_fit")
+def isotonic(t):
+    return T.fit_isotonic(_scored(t), "p", "y")
+
+
+@query("ml08_multinomial_lr")
+def multinomial(t):
+    """Max-abs scaling and softmax regression by Spark's own learner; coefficients by class."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import MaxAbsScaler, VectorAssembler
+
+    kinds = t.events.select("event_type").distinct().orderBy("event_type")
+    ids = {r[0]: float(i) for i, r in enumerate(kinds.collect())}  # the classes, a handful
+    label = F.element_at(F.create_map(*[x for k, v in ids.items() for x in (F.lit(k), F.lit(v))]), F.col("event_type"))
+    rows = t.events.select(label.alias("label"), "value", F.hour("ts").cast("double").alias("hour"))
+    v = VectorAssembler(inputCols=["value", "hour"], outputCol="raw").transform(rows)
+    scaled = MaxAbsScaler(inputCol="raw", outputCol="features").fit(v).transform(v)
+    m = LogisticRegression(family="multinomial", maxIter=20).fit(scaled)
+    out = [(k, float(m.interceptVector[int(i)]), [float(x) for x in m.coefficientMatrix.toArray()[int(i)]]) for k, i in ids.items()]
+    return t.spark.createDataFrame(out, "class string, intercept double, coefficients array<double>")
+
+
+@query("ml10_tree_ensemble")
+def trees(t):
+    """A random forest stands in for multi-class boosted trees, which Spark lacks; importances by feature."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = t.lineitem.select((F.col("l_returnflag") == "R").cast("double").alias("label"), "l_quantity", "l_discount", "l_tax")
+    v = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(rows)
+    m = RandomForestClassifier(numTrees=10, maxDepth=4, seed=42).fit(v)
+    names = ["l_quantity", "l_discount", "l_tax"]
+    return t.spark.createDataFrame([(n, float(x)) for n, x in zip(names, m.featureImportances.toArray(), strict=True)], "feature string, importance double")
+
+
+@query("ml11_transformer_forward")
+def transformer(t):
+    """A small attention block over each vector's eight tokens of eight numbers, with fixed weights, in Arrow batches."""
+    rng = np.random.default_rng(3)
+    wq, wk, wv, wo = (rng.normal(0, 0.3, (8, 8)) for _ in range(4))
+
+    def run(parts):
+        for pdf in parts:
+            x = np.stack(pdf["embedding"].to_numpy()).astype(float).reshape(len(pdf), 8, 8)
+            a = np.einsum("bid,bjd->bij", x @ wq, x @ wk) / np.sqrt(8)
+            a = np.exp(a - a.max(axis=2, keepdims=True))
+            y = x + (a / a.sum(axis=2, keepdims=True)) @ (x @ wv) @ wo
+            pdf = pdf[["vec_id"]].copy()
+            pdf["score"] = y.mean(axis=(1, 2))
+            yield pdf
+
+    return t.embeddings.select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, score double")
+
+
+@query("ml13_complexity", "SELECT p_size AS width, count(*) AS n, p_size * p_size * 4 + p_size * 4 AS parameters FROM part GROUP BY p_size")
+def complexity(t):
+    w = F.col("p_size")
+    return t.part.groupBy(w.alias("width")).agg(N.alias("n")).withColumn("parameters", F.col("width") * F.col("width") * 4 + F.col("width") * 4)
+
+
+@query("ml14_occlusion_reasons", S.with_graph(", b AS (SELECT case_id, kg FROM kg WHERE condition_id = '2-HIGH') SELECT t.case_id, t.raw AS concept_id, round(kg - (kg - ln(greatest(least(coalesce(s.weight, 0.01), 0.9), 0.01))), 6) AS effect FROM tok t JOIN b USING (case_id) LEFT JOIN strongest s ON s.concept_id = t.raw AND s.condition_id = '2-HIGH'"))
+def occlusion(t):
+    e = S.G.strongest_edges(S.edges(t)).where("condition_id = '2-HIGH'").select(F.col("concept_id").alias("raw"), "weight")
+    return S.tokens(t).join(F.broadcast(e), "raw", "left").select("case_id", F.col("raw").alias("concept_id"), F.round(F.log(F.greatest(F.least(F.coalesce("weight", F.lit(0.01)), F.lit(0.9)), F.lit(0.01))), 6).alias("effect"))
+
+
+@query("ml15_constant_ranker", S.with_outcomes("SELECT case_id, condition_id, ord AS rank FROM ml"))
+def constant(t):
+    grid = S.cases(t).select("case_id").crossJoin(F.broadcast(S.conditions(t))).withColumn("p", F.lit(0.2))
+    return R.rank_scores(grid, "p").select("case_id", "condition_id", "rank")
+
+
+@query("ml17_empty_row_probe", f"WITH {S.CASES} SELECT truth AS answer FROM cases GROUP BY truth ORDER BY count(*) DESC, truth LIMIT 1")
+def empty_probe(t):
+    return S.cases(t).groupBy("truth").agg(N.alias("n")).orderBy(F.desc("n"), "truth").limit(1).select(F.col("truth").alias("answer"))
+
+
+@query("st18_alpha_source", "SELECT arm, coalesce(alpha, 0.5) AS alpha, CASE WHEN alpha IS NULL THEN 'default' ELSE 'tuned' END AS source FROM (VALUES ('A0', 0.05), ('A1', NULL), ('A4', 0.05)) v(arm, alpha)")
+def alpha_source(t):
+    arms, tuned = t.spark.createDataFrame([("A0",), ("A1",), ("A4",)], "arm string"), t.spark.createDataFrame([("A0", 0.05), ("A4", 0.05)], "arm string, alpha double")
+    return arms.join(F.broadcast(tuned), "arm", "left").select("arm", F.coalesce("alpha", F.lit(0.5)).alias("alpha"), F.when(F.col("alpha").isNull(), "default").otherwise("tuned").alias("source"))

@@ -1 +1,131 @@
-"""Queries."""
+"""Queries of sources, sinks and orchestration (SRC, PRJ07, OP)."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from sextant.operators import text as X
+from sextant.plans import standin as S
+from sextant.plans.registry import query
+from sextant.sources import files as I
+
+N = F.count(F.lit(1))
+
+
+def _scratch(t, name: str) -> str:
+    """A fresh folder that driver and executors share."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sextant")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src01_csv_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_scan(t):
+    path = _scratch(t, "csv")
+    t.nation.write.option("header", True).csv(path)
+    return I.read_csv(t.spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("src02_parquet_column_scan", "SELECT l_returnflag, round(sum(l_quantity), 6) AS q FROM lineitem WHERE l_discount >= 0.05 GROUP BY l_returnflag")
+def column_scan(t):
+    return t.lineitem.where("l_discount >= 0.05").groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 6).alias("q"))
+
+
+@query("src03_late_label_scan", "SELECT quality, toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def late_labels(t):
+    return t.documents.select("doc_id").join(t.labels, "doc_id").groupBy("quality", "toxic").agg(N.alias("n"))
+
+
+@query("src04_nested_parquet_sink", "SELECT l_orderkey AS k, list_sort(list(l_linenumber)) AS lines, round(sum(l_quantity), 6) AS q FROM lineitem GROUP BY l_orderkey")
+def nested_sink(t):
+    path = _scratch(t, "nested")
+    g = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.struct(F.array_sort(F.collect_list("l_linenumber")).alias("lines"), F.round(F.sum("l_quantity"), 6).alias("q")).alias("s"))
+    g.write.parquet(path)
+    return t.spark.read.schema(g.schema).parquet(path).select("k", "s.lines", "s.q")
+
+
+@query("src05_src06_vocabulary", "SELECT 'E_' || r_regionkey AS code, NULL AS value FROM region UNION ALL SELECT 'E_' || n_regionkey, n_name FROM nation")
+def vocabulary(t):
+    path = _scratch(t, "specs")
+    values = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("possible_values"))
+    spec = F.struct(F.lit("M").alias("data_type"), F.lit(None).cast("string").alias("default_value"), F.lit(False).alias("is_antecedent"), "possible_values", F.col("r_name").alias("question"))
+    rows = t.region.join(values, F.col("r_regionkey") == F.col("n_regionkey")).select(F.concat(F.lit("E_"), F.col("r_regionkey").cast("string")).alias("k"), spec.alias("s"))
+    whole = rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "s")))).alias("value"))
+    whole.coalesce(1).write.text(path)
+    return I.flatten_vocabulary(I.read_specs(t.spark, path))
+
+
+@query("src07_condition_extract", "SELECT p_brand, list_sort(list(DISTINCT p_type)) AS types FROM part GROUP BY p_brand")
+def condition_extract(t):
+    return t.part.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("types"))
+
+
+@query("src08_src09_jsonl", "SELECT item_id, length(text) AS n FROM benchmark")
+def jsonl(t):
+    path = _scratch(t, "jsonl")
+    t.benchmark.write.json(path)
+    return t.spark.read.schema("item_id bigint, text string").json(path).select("item_id", F.length("text").alias("n"))
+
+
+@query("src10_embedding_checks", "SELECT count(*) AS n, count(*) FILTER (len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS broken, count(*) FILTER (list_dot_product(embedding, embedding) = 0) AS zero FROM embeddings")
+def embeddings(t):
+    bad = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    return t.embeddings.agg(N.alias("n"), F.count_if(bad).alias("broken"), F.count_if(X.dot(F.col("embedding"), F.col("embedding")) == 0).alias("zero"))
+
+
+@query("src11_bundle_manifest")
+def bundle(t):
+    path = _scratch(t, "bundle")
+    t.benchmark.write.parquet(path)
+    return I.manifest(t.spark, f"{path}/*.parquet")
+
+
+@query("src12_referential_checks", "SELECT count(*) FILTER (d.doc_id IS NULL) AS orphans, count(*) AS labels FROM labels l LEFT JOIN documents d USING (doc_id)")
+def referential(t):
+    j = t.labels.join(t.documents.select("doc_id", F.lit(True).alias("there")), "doc_id", "left")
+    return j.agg(F.count_if(F.col("there").isNull()).alias("orphans"), N.alias("labels"))
+
+
+@query("src13_multi_csv_reader", r"SELECT 'customer' AS kind, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'supplier', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def multi_csv(t):
+    path = _scratch(t, "multi")
+    out = None
+    for kind, df, k in (("customer", t.customer, "c_nationkey"), ("supplier", t.supplier, "s_nationkey")):
+        df.select(F.col(k).alias("k")).write.option("header", True).csv(f"{path}/{kind}")
+        rows = I.read_csv(t.spark, f"{path}/{kind}", "k int").join(F.broadcast(t.nation), F.col("k") == F.col("n_nationkey")).select(F.lit(kind).alias("kind"))
+        out = rows if out is None else out.union(rows)
+    return out.groupBy("kind").agg(N.alias("n"))
+
+
+@query("src14_property_graph_store", f"WITH {S.PRI}, {S.CASES}, {S.TOK}, {S.EDGES} SELECT count(*) AS edges, true AS same FROM edges")
+def graph_store(t):
+    e = S.edges(t)
+    nodes = e.select(F.col("concept_id").alias("id")).distinct()
+    read_back = I.save_graph(nodes, e, _scratch(t, "graph"))
+    return e.agg(N.alias("edges")).withColumn("same", F.lit(read_back == I.fingerprint(e)))
+
+
+@query("src15_graph_codec", f"WITH {S.PRI}, {S.CASES}, {S.TOK}, {S.EDGES} SELECT condition_id, concept_id, source, weight FROM edges")
+def graph_codec(t):
+    rows = I.to_rows(S.edges(t))
+    schema = "condition_id string, concept_id string, source string, weight double"
+    return rows.select(F.from_json("row", schema).alias("r")).select("r.*")
+
+
+@query("src17_resumable_fetch", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resumable(t):
+    return I.pending(t.documents.select("doc_id"), t.labels.select("doc_id"), "doc_id")
+
+
+@query("src18_article_parse")
+def article_parse(t):
+    return I.parse_articles(t.pages, "page_id", "html")
+
+
+@query("src20_spreadsheet_safe", r"SELECT event_id, CASE WHEN regexp_matches(cell, '^[=+\-@\t\r]') THEN ' ' || cell ELSE cell END AS cell FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN '=' || event_type ELSE event_type END AS cell FROM events)")
+def spreadsheet_safe(t):
+    cell = F.when(F.col("event_type") == "click", F.concat(F.lit("="), "event_type")).otherwise(F.col("event_type"))
+    return t.events.select("event_id", I.guarded(cell).alias("cell"))

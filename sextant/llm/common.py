@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most characters of text that one vectorised call sees, unless a single text is longer.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:

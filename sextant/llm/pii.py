@@ -36,7 +36,7 @@ PATTERNS = {
     "ip": r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))",
     "card": r"(?P<card>(?<![\d\-])(?:\d[ \-]?){12,18}\d(?![\d\-]))",
     "ssn": r"(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))",
-    "phone": r"(?P<phone>(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{2,5}(?:[ .\-]?\d{2,5}){1,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?!\d))",
+    "phone": r"(?P<phone>(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{2,5}(?:[ .\-]?\d{2,5}){1,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?!\d))",
     "name": r"(?P<name>(?<=\b(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? )\p{Lu}[\p{L}'\-]+(?: \p{Lu}[\p{L}'\-]+)?)",
 }
 #: Whether a text can hold an entity at all: every pattern needs one of these.
@@ -99,7 +99,7 @@ def _letter(x: str, s: Stream) -> str:
 
 
 def _luhn(digits: str) -> int:
-    total = sum(int(d) if i % 2 else (int(d) * 2 - 9 if int(d) > 4 else int(d) * 2) for i, d in enumerate(reversed(digits)))
+    total = sum((int(d) * 2 - 9 if int(d) > 4 else int(d) * 2) if i % 2 else int(d) for i, d in enumerate(reversed(digits)))
     return -total % 10
 
 

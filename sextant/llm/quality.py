@@ -31,7 +31,7 @@ LEAST_STEPS = 800
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of all words and n-grams of all texts, text after text, and where each text's begin."""
     _, cp, at = joined(["", *texts])
-    at = at[1:]
+    at, cp = at[1:], np.concatenate((cp, np.full(max(SIZES), 32, np.uint32)))
     start, end = white_words(cp)
     solid = np.zeros(len(cp) + 1, np.int64)
     inside = np.zeros(len(cp), bool)

@@ -15,7 +15,7 @@ import numpy as np
 from sextant.llm.vectext import LETTER, NUMBER, SPACE, _M2, classes, joined, ragged, span_hashes
 
 #: Distinct words that a worker remembers; a matter of speed only.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _NONE = np.int32(2**31 - 1)
 
 

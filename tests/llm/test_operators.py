@@ -1,0 +1,468 @@
+"""Each operator against a brute-force version, and on rows that are meant to break it."""
+
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sextant.llm import decontaminate, licences, packing, pii, quality, toxicity, warc
+from sextant.llm.components import connected_components
+from sextant.llm.exact_dedup import DigestIndex, dedup_batch
+from sextant.llm.labelled import fold, sample
+from sextant.llm.simhash import block_masks, fingerprint, forest, hex16, links, near_duplicates
+from sextant.llm.simhash_wide import BITS, most_bits, similar_groups, wide_forest, wide_prints
+from sextant.llm.token_counts import token_counts
+from sextant.llm.word_bpe import WordBPE
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# 1, 8: tokens
+
+
+def test_encoder_equals_the_library(tokenizer):
+    from tokenizers import Tokenizer
+
+    full, own = Tokenizer.from_file(tokenizer), WordBPE(tokenizer)
+    rng = random.Random(4)
+    texts = ["it's they're 'tis ''s !'s we'll'd", "", "<|endoftext|> hi", "aaaaaaaaaa", "ΣΑΣ İs", "日本 12½ é", "a\x1cb\u0085c"]
+    texts += ["".join(rng.choice("abz'sStTrRevVmMlLdD 1½é!?ß\n\tΣ́日") for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    ids, at = own.encode(texts)
+    for i, t in enumerate(texts):
+        assert full.encode(t, add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist()
+
+
+def test_token_counts_are_those_of_single_texts(nasty, none, tokenizer):
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(tokenizer)
+    full.encode_special_tokens = True
+    want = Counter((r.doc_id, len(full.encode(r.text or "", add_special_tokens=False).ids)) for r in nasty.collect())
+    assert Counter(rows(token_counts(nasty, tokenizer, 49407, block=1000))) == want  # blocks cut documents
+    assert rows(token_counts(none, tokenizer, 49407)) == []
+
+
+def test_packing_is_gapless_whole_and_tight(nasty, none, tokenizer):
+    pieces = packing.token_pieces(nasty, tokenizer).cache()
+    packed = packing.pack(pieces.drop("ids"))
+    got = packed.collect()
+    assert len(got) == pieces.count()
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    for r in pieces.collect():
+        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
+    assert rows(packing.pack(packing.token_pieces(none, tokenizer).drop("ids"))) == []
+
+
+def optimum(items, capacity):
+    best = [len(items)]
+    items = sorted(items, reverse=True)
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for j in sorted({b: j for j, b in enumerate(bins)}.values()):
+            if bins[j] >= items[i]:
+                go(i + 1, [*bins[:j], bins[j] - items[i], *bins[j + 1 :]])
+        go(i + 1, [*bins, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_dominance_keeps_an_optimum(items):
+    count = dict(Counter(items))
+    fixed = packing.reduce_by_dominance(count, 20)
+    assert all(sum(x * c for x, c in bins) <= 20 for bins, _ in fixed)
+    assert sum(n for _, n in fixed) + (optimum(list(Counter(count).elements()), 20) if count else 0) == optimum(items, 20)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=60))
+def test_best_fit_equals_one_item_at_a_time(items):
+    bins = []
+    for x in sorted(items, reverse=True):
+        fit = min((b for b in bins if b >= x), default=None)
+        if fit is None:
+            fit = 50
+        else:
+            bins.remove(fit)
+        bins.append(fit - x)
+    assert sum(n for _, n in packing.best_fit_decreasing(dict(Counter(items)), 50)) == len(bins)
+
+
+# 2, 10: classifiers
+
+
+def junk(make_prose, i, bad):
+    text = make_prose(i, 40 + i % 60)
+    return " ".join(w + random.Random(i).choice(["%%%", "$$$", "!!"]) for w in text.split()) if bad else text
+
+
+def test_quality_learns_held_out_texts(make_prose):
+    y = [i % 3 != 0 for i in range(300)]
+    texts = [junk(make_prose, i, not good) for i, good in enumerate(y)]
+    m = quality.QualityModel.fit(texts[:200], [int(v) for v in y[:200]], 0.66)
+    assert ((m.score(texts[200:]) >= 0.5) == np.array(y[200:])).mean() > 0.97
+    assert 0 <= m.score([""])[0] <= 1
+
+
+def test_toxicity_learns_words_and_their_variants(make_prose):
+    rng = random.Random(3)
+
+    def toxic(i):
+        w = make_prose(i, 60 + i % 90).split()
+        for _ in range(2):
+            w.insert(rng.randrange(len(w)), rng.choice(["grolm", "zwibbel"]) + rng.choice(["", "en", "ach", "ut", "or", "isk"]))
+        return " ".join(w)
+
+    y = [i % 3 == 0 for i in range(420)]
+    texts = [toxic(i) if bad else make_prose(i, 60 + i % 90) for i, bad in enumerate(y)]
+    m = toxicity.ToxicityModel.fit(texts[:320], [int(v) for v in y[:320]], 0.33)
+    assert ((m.score(texts[320:]) >= 0.5) == np.array(y[320:])).mean() > 0.93
+    long = make_prose(1, 3000) + " " + toxic(3) + " " + make_prose(2, 3000)
+    assert m.score([long])[0] >= 0.5 > m.score([make_prose(5, 150)])[0]
+
+
+def test_windows_cover_every_word():
+    t = toxicity.Tokens(["", "a b c", " ".join("w" * (1 + i % 5) for i in range(101))])
+    index, doc = t.windows()
+    assert list(Counter(doc.tolist())) == [0, 1, 2]
+    assert set(index[index >= 0].tolist()) == set(range(104)) and (index[doc == 0] == -1).all()
+
+
+def test_scores_come_for_all_rows(nasty, none):
+    m = quality.QualityModel.fit([], [], 0.7)
+    got = rows(quality.score_texts(nasty, m))
+    assert len(got) == nasty.count() and all(abs(s - 0.7) < 1e-3 for _, s in got)
+    assert rows(quality.score_texts(none, toxicity.ToxicityModel.fit([], [], 0.2))) == []
+
+
+def test_sample_is_bounded_and_folded(spark, nasty):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1), (5, None), (6, 2)], "doc_id long, quality int")
+    texts, y, share = sample(nasty, labels, "quality", 1, fold(3) != 1)
+    assert len(texts) == len(y) and sum(y) <= 1 and 0 <= share <= 1
+
+
+# 3: licences
+
+
+def test_licences_are_found_and_inherited(spark):
+    files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/code.py", "x = 1"), (3, "a/b/c/other.py", "# Licensed under the Apache License, Version 2.0\ny = 2"), (4, "z/code.py", "nothing"), (5, None, "no path"), (6, "a/b/d/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."), (7, "a/b/d/e/f.py", None), (7, "a/b/d/e/f.py", None), (8, "root.py", "")]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.licence, r.how, r.from_path) for r in licences.licences(df, "doc_id", df["path"]).collect()}
+    assert got == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "a"), 3: ("Apache-2.0", "own", None), 4: (None, "none", None), 5: (None, "none", None), 6: ("GPL-3.0", "own", None), 7: ("GPL-3.0", "inherited", "a/b/d"), 8: (None, "none", None)}
+
+
+def test_licences_on_nasty_rows(nasty, none):
+    assert licences.licences(nasty, "doc_id", nasty["id"]).count() >= nasty.count()
+    assert rows(licences.licences(none, "doc_id", none["id"])) == []
+
+
+# 4: exact duplicates
+
+
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def test_exact_dedup_and_later_batches(spark, nasty, none):
+    index = DigestIndex(spark, "test_digests", 4)
+    index.drop()
+    got = dedup_batch(nasty, index).collect()
+    groups = {}
+    for r in nasty.collect():
+        groups.setdefault(hashlib.sha256(normal(r.text).encode()).digest(), []).append(r.doc_id)
+    assert len(got) == nasty.count()
+    for r in got:
+        ids = groups[bytes(r.digest)]
+        keep = min((i for i in ids if i is not None), default=None)
+        assert (r.keep_id, r.group_size, r.kept) == (keep, len(ids), r.doc_id is not None and r.doc_id == keep)
+    again = dedup_batch(nasty, index)
+    assert not again.where("kept").count()
+    plan = index.read().join(index.read().alias("b"), "digest")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan  # both sides are bucketed
+    assert rows(dedup_batch(none, index)) == []
+    index.drop()
+
+
+# 5: personal data
+
+
+def test_surrogates_keep_type_and_identity(spark, nasty, none):
+    text = 'Mr. John Smith <a.b@mail5.example.com> +1 (663) 555-6869 10.20.30.40 card 4111 1111 1111 1111 token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" Frau Anna Müller Иван@почта.рф'
+    docs = spark.createDataFrame([(1, text), (2, "again a.b@mail5.example.com and c.d@mail5.example.com"), (3, None), (4, "clean 12")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, b"key").collect()}
+    assert [got[i].n_entities for i in (1, 2, 3, 4)] == [8, 2, 0, 0] and got[4].text == "clean 12" and got[3].text == ""
+    for i, j, _ in pii.spans(text):
+        assert text[i:j] not in got[1].text
+    new = {k: got[1].text for k in (1,)}[1]
+    mail = re.search(r"\S+@\S+\.com", new)[0].strip("<>")
+    assert mail in got[2].text
+    assert new.split()[1] in pii.MALE_NAMES and "Frau " + new.split("Frau ")[1].split()[0] in [f"Frau {n}" for n in pii.FEMALE_NAMES]
+    card = re.search(r"card ((?:\d{4} ?){4})", new)[1].replace(" ", "").strip()
+    assert pii._luhn(card[:-1] + "0") == int(card[-1])
+    assert pii.pseudonymise(nasty, b"key").count() == nasty.count() and rows(pii.pseudonymise(none, b"key")) == []
+
+
+def test_surrogates_never_collide(spark):
+    many = [("ip", f"1.1.{i // 250}.{i % 250}") for i in range(3000)] + [("male", f"Mr{chr(65 + i % 26)}") for i in range(26)]
+    found = spark.createDataFrame(many, "kind string, value string").distinct()
+    got = pii.assign(found, b"k").collect()
+    assert len(got) == len(set(many)) == len({r.surrogate for r in got})
+    assert not {r.surrogate for r in got} & {v for _, v in many}
+
+
+# 6: near duplicates
+
+
+def brute_fingerprint(text, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    grams = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(ids, prints, radius):
+    root = {i: i for i in range(len(ids))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(range(len(ids)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= radius:
+            root[find(a)] = find(b)
+    least = {}
+    for i in range(len(ids)):
+        r = find(i)
+        least[r] = min((x for x in (least.get(r), ids[i]) if x is not None), default=None)
+    return [least[find(i)] for i in range(len(ids))]
+
+
+def test_simhash_equals_brute_force(spark, nasty, none, make_prose):
+    near = []
+    for g in range(6):
+        w = make_prose(g, 150).split()
+        for i in range(12):
+            v = list(w)
+            for k in random.Random(g * 100 + i).sample(range(150), i % 5):
+                v[k] = "changed"
+            near.append((1000 + 37 * g + 100 * i, " ".join(v)))
+    docs = nasty.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
+    got = sorted((str(r.doc_id), r.h, str(r.component_id)) for r in near_duplicates(docs, 4, 4).withColumn("h", hex16(near_duplicates.__globals__["F"].col("fp"))).collect())
+    src = docs.collect()
+    prints = [brute_fingerprint(r.text or "", 4) for r in src]
+    comp = brute_components([r.doc_id for r in src], prints, 4)
+    assert got == sorted((str(r.doc_id), f"{p:016x}", str(c)) for r, p, c in zip(src, prints, comp))
+    assert rows(near_duplicates(none, 4, 4)) == []
+
+
+@pytest.mark.parametrize("n", [60, 3000])
+def test_links_connect_what_is_close(spark, n):
+    rng = random.Random(n)
+    centre = rng.getrandbits(64)
+    values = {centre}
+    while len(values) < n:
+        x = rng.choice(sorted(values)[:20] + [rng.getrandbits(64)])
+        for b in rng.sample(range(64), rng.randint(1, 6)):
+            x ^= 1 << b
+        values.add(x)
+    values = sorted(values)
+    signed = [v - 2**64 if v >> 63 else v for v in values]
+    found = links(spark.createDataFrame([(v,) for v in signed], "fp long"), 4)
+    root = {r.node: r.root for r in connected_components(found).collect()}
+    a = np.array(values, np.uint64)
+    label = list(range(len(a)))
+    for i in range(len(a)):
+        for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 4):
+            x, y = label[i], label[j]
+            if x != y:
+                label = [x if z == y else z for z in label]
+    want = {}
+    for v, g in zip(signed, label):
+        want.setdefault(g, set()).add(v)
+    got = {}
+    for v in signed:
+        got.setdefault(root.get(v, v), set()).add(v)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+
+
+def test_masks_cover_every_small_difference():
+    for blocks in (5, 6, 8):
+        masks = [m & (2**64 - 1) for m in block_masks(4, blocks)]
+        rng = random.Random(blocks)
+        for _ in range(200):
+            d = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not d & m for m in masks)
+
+
+def test_forests_connect(make_prose):
+    v = np.array([0, 1, 3, 7, 15 << 40, (15 << 40) + 1], np.uint64)
+    a, b = forest(v, 1)
+    assert len(a) == 4
+    wide = wide_prints([make_prose(1, 100), make_prose(1, 100) + " x", make_prose(2, 100)], 5)
+    child, to = wide_forest(wide, most_bits(0.8))
+    assert sorted({*child.tolist(), *to.tolist()}) == [0, 1]
+
+
+def test_wide_groups_find_similar_texts_only(spark, nasty, none, make_prose):
+    texts = []
+    for g in range(30):
+        w = make_prose(5000 + g, 200).split()
+        texts.append((g, " ".join(w)))
+        v = list(w)
+        for k in random.Random(g).sample(range(200), 2):
+            v[k] = "edit"
+        texts.append((1000 + g, " ".join(v)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = dict(rows(similar_groups(df)))
+    sure = sum(got.get(1000 + g) == g for g in range(30))
+    assert sure >= 28 and all(k % 1000 == v for k, v in got.items())
+    assert BITS == wide_prints([""], 5).size * 64
+    odd = dict(rows(similar_groups(nasty)))
+    assert odd[2] == 1 and odd[9] == 8 and odd[4] == 3 and rows(similar_groups(none)) == []
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    path = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(7, 7), (None, 3)]
+    got = dict(rows(connected_components(spark.createDataFrame(path, "a long, b long"))))
+    assert {got[i] for i in range(301)} == {0} and {got[1000 + i] for i in range(400)} == {1000}
+    assert rows(connected_components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+# 7: contamination
+
+
+def brute_edits(pattern, text):
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for w in text:
+        new = [0]
+        for i, p in enumerate(pattern):
+            new.append(min(new[-1] + 1, row[i + 1] + 1, row[i] + (p != w)))
+        row, best = new, min(best, new[-1])
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.lists(st.integers(0, 3), max_size=90))
+def test_myers_equals_the_table(pattern, text):
+    assert decontaminate.least_edits(pattern, text) == brute_edits(pattern, text)
+
+
+def test_contamination_equals_brute_force(spark, nasty, none, make_prose):
+    items = [(i, make_prose(900 + i, 20 + i)) for i in range(12)] + [(20, None), (21, "!!"), (None, "x"), (0, make_prose(900, 20)), (22, "One two")]
+    docs = []
+    for i in range(60):
+        w = make_prose(i, 120).split()
+        if i % 2:
+            item = items[i % 12][1].split()
+            for k in random.Random(i).sample(range(len(item)), i % 7):
+                item[k] = "odd"
+            w[40:40] = item
+        docs.append((i, " ".join(w).upper() if i % 5 == 0 else ", ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    norm = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            p = norm(x)
+            if i is not None and p and (e := brute_edits(p, norm(t))) <= int(len(p) * 0.2):
+                want[d, i] = min(e, want.get((d, i), e))
+    got = {(a, b): e for a, b, e in rows(decontaminate.contaminated(df, bench))}
+    assert got == want and len(got) >= 20
+    assert {(a, b): e for a, b, e in rows(decontaminate.contaminated(df, bench, block_items=5))} == want
+    assert decontaminate.clean(nasty, bench).columns == nasty.columns
+    assert decontaminate.clean(nasty, bench).count() == nasty.count() and rows(decontaminate.contaminated(none, bench)) == []
+    assert decontaminate.contaminated(df, bench.where("false")).count() == 0
+
+
+# 9: WARC
+
+
+def pages(spark):
+    big = "<html>" + "é" * 900 + "</html>"
+    data = [(1, "http://a/x y", big), (5, "http://a/2", big), (3, None, big), (7, "http://b/", "short"), (8, "http://b/", "short"), (9, "http://c/\r\n", None), (10, "", ""), (11, "u", "z" * 5000)]
+    return spark.createDataFrame(data, "page_id long, url string, html string"), data
+
+
+def test_warc_round_trip(spark, tmp_path):
+    df, data = pages(spark)
+    archives = warc.write_archives(df, str(tmp_path / "w"), roll=600)
+    got = {int(r.key): r for r in warc.read_archives(spark, str(tmp_path / "w"), archives).where("reason IS NULL").collect()}
+    assert set(got) == {p for p, _, _ in data}
+    for p, _, html in data:
+        raw = (html or "").encode()
+        r = got[p]
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+        if p in (1, 3):
+            assert (r.record_type, r.refers_to) == ("revisit", "5")
+        else:
+            assert r.record_type == "response" and r.refers_to is None and bytes(r.payload) == raw
+    empty = warc.write_archives(df.where("false"), str(tmp_path / "e"))
+    assert rows(warc.read_archives(spark, str(tmp_path / "e"), empty)) == []
+
+
+class Bytes:
+    def __init__(self, data):
+        self.data = data
+
+    def read_at(self, n, at):
+        return self.data[at : at + n]
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_salvage_recovers_later_records(zipped):
+    made = [warc.record(str(i), "http://x/", (f"page {i} WARC/1.0 \x1f " * 50).encode(), None, "2024-01-01T00:00:00Z") for i in range(6)]
+    parts = [gzip.compress(m) if zipped else m for m in made]
+    broken = bytearray(parts[2])
+    broken[len(broken) // 2] ^= 0xFF
+    data = b"".join([parts[0], parts[1], bytes(broken), b"noise" * 9, parts[3], parts[4][:-30], parts[5]])
+    found = list(warc.Archive(Bytes(data), len(data), zipped).records())
+    assert [warc.key_of(f.headers.get("warc-record-id")) for f in found if f.reason is None] == ["0", "1", "3", "5"]
+    gaps = [(f.start, f.end) for f in found if f.reason]
+    assert len(gaps) == 2 and gaps[0] == (len(parts[0] + parts[1]), len(parts[0] + parts[1]) + len(broken) + 45)
+    assert sum(f.end - f.start for f in found) == len(data)
+
+
+# the pipeline
+
+
+def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path, make_prose):
+    import corpus_pipeline
+
+    item = make_prose(777, 30)
+    docs = [(i, make_prose(i, 90), "en", "s", 1) for i in range(60)]
+    docs += [(100, docs[3][1].replace(" ", "  "), "en", "s", 1), (101, docs[4][1] + " extra", "en", "s", 1), (102, make_prose(102, 40) + " " + item, "en", "s", 1), (103, None, None, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {d[0] for d in docs} - {100, 101, 102}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]

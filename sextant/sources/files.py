@@ -107,4 +107,4 @@ def parse_jats(xml: str) -> list[tuple[str, str]]:
         root = ET.fromstring(xml)
     except ET.ParseError:
         return []
-    return [("".join(s.find("title").itertext()) if s.find("title") is not None else "", " ".join(" ".join(p.itertext()) for p in s.iter("p"))) for s in root.iter("sec")]
+    return [("".join(s.find("title").itertext()) if s.find("title") is not None else "", " ".join("".join(p.itertext()) for p in s.iter("p"))) for s in root.iter("sec")]

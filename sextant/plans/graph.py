@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from sextant.operators import graph as G
 from sextant.plans import standin as S
-from sextant.plans.registry import query
+from sextant.plans.registry import N, query
 
-N = F.count(F.lit(1))
 
 
 def with_edges(body: str) -> str:

@@ -6,9 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sextant.operators import history as H
-from sextant.plans.registry import query
+from sextant.plans.registry import N, query
 
-N = F.count(F.lit(1))
 DAY = "2024-01-15"
 ENTRIES = """e AS (SELECT user_id AS patient, event_type AS kind, props->>'k' AS code, CAST(ts AS DATE) AS start, value, event_id,
     lead(CAST(ts AS DATE)) OVER (PARTITION BY user_id, props->>'k' ORDER BY ts, event_id) AS stop FROM events)"""

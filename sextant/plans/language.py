@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from sextant.operators import text as X
 from sextant.plans import standin as S
-from sextant.plans.registry import query
+from sextant.plans.registry import N, query
 from sextant.plans.retrieval import words_sql
 
-N = F.count(F.lit(1))
 
 
 @query("prj12_treatment_predicate", "SELECT doc_id, regexp_matches(text, '(?i)licensed under|released under|token = ') AS found FROM documents")

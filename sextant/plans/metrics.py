@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from sextant.operators import metrics as M
 from sextant.operators import ranking as R
 from sextant.plans import standin as S
-from sextant.plans.registry import query
+from sextant.plans.registry import N, query
 
-N = F.count(F.lit(1))
 SHARE = "round(sum(CASE WHEN {} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN {} THEN 1.0 ELSE 0 END), 0), 6)"
 OF_TRUTH = "FROM o WHERE condition_id = truth"
 

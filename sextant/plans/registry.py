@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MODULES = ["ranking", "metrics", "tokens", "graph", "fusion", "retrieval", "history", "language", "statistics", "sources"]
 
@@ -13,6 +14,16 @@ _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
 
+class Count:
+    """The count of rows; a column is made only once a session is there."""
+
+    def alias(self, name: str) -> Column:
+        return F.count(F.lit(1)).alias(name)
+
+
+N = Count()
+
+
 class Tables:
     """The tables of a folder, read when named."""
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from sextant.operators import ranking as R
 from sextant.operators import text as X
-from sextant.plans.registry import query
+from sextant.plans.registry import N, query
 
-N = F.count(F.lit(1))
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 
 

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from sextant.operators import text as X
 from sextant.plans import standin as S
-from sextant.plans.registry import query
+from sextant.plans.registry import N, query
 from sextant.sources import files as I
 
-N = F.count(F.lit(1))
 
 
 def _scratch(t, name: str) -> str:

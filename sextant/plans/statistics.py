@@ -9,9 +9,8 @@ from sextant.operators import metrics as M
 from sextant.operators import ranking as R
 from sextant.operators import statistics as T
 from sextant.plans import standin as S
-from sextant.plans.registry import query
+from sextant.plans.registry import N, query
 
-N = F.count(F.lit(1))
 FLAG_FIRST = ", f AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY flagged DESC, p DESC, ord) AS r2 FROM o), h AS (SELECT * FROM f WHERE condition_id = truth)"
 
 
@@ -88,7 +87,7 @@ def safety_floor(t):
 @query("st12_seed_agreement", "SELECT claim, count(*) FILTER (holds) AS seeds, count(*) = count(*) FILTER (holds) AS agree FROM (SELECT l_linenumber % 5 AS seed, l_returnflag AS claim, avg(l_discount) > 0.05 AS holds FROM lineitem GROUP BY ALL) GROUP BY claim")
 def seed_agreement(t):
     s = t.lineitem.groupBy((F.col("l_linenumber") % 5).alias("seed"), F.col("l_returnflag").alias("claim")).agg((F.avg("l_discount") > 0.05).alias("holds"))
-    return s.groupBy("claim").agg(F.count_if("holds").alias("seeds"), (N == F.count_if("holds")).alias("agree"))
+    return s.groupBy("claim").agg(F.count_if("holds").alias("seeds"), (F.count(F.lit(1)) == F.count_if("holds")).alias("agree"))
 
 
 @query("st13_reconciliation", "SELECT count(*) AS metrics, count(*) FILTER (abs(a - b) > 1e-9) AS differing FROM (SELECT l_returnflag AS m, sum(l_quantity) AS a FROM lineitem GROUP BY 1) x FULL JOIN (SELECT l_returnflag AS m, sum(l_quantity) AS b FROM lineitem GROUP BY 1) y USING (m)")

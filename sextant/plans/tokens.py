@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from sextant.operators import tokens as K
 from sextant.plans import standin as S
-from sextant.plans.registry import query
+from sextant.plans.registry import N, query
 
-N = F.count(F.lit(1))
 PARSED = f"""{S.TOK}, parsed AS (SELECT case_id, raw, regexp_extract(raw, '^(E_[0-9]+)', 1) AS code,
     CASE WHEN NOT contains(raw, '_@_') THEN 'binary' WHEN raw LIKE '%@_V_11' THEN 'na' WHEN raw LIKE '%@_V_%' THEN 'value' ELSE 'ordinal' END AS kind,
     CASE WHEN raw LIKE '%@_V_%' THEN split_part(raw, '_@_', 2) END AS value,

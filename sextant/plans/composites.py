@@ -150,7 +150,7 @@ def passages(t):
     return X.windows(runs.select(F.concat_ws("-", F.col("doc").cast("string"), F.col("run").cast("string")).alias("doc"), "text"), 100, 20)
 
 
-@query("op01_synthetic_corpus")
+@query("orc01_synthetic_corpus")
 def corpus(t):
     """Passages of hash-drawn words; the same on any partitioning."""
     word = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("w"), (F.pmod(F.xxhash64(F.col("id"), i), F.lit(500))).cast("string")))

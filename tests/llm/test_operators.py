@@ -19,7 +19,7 @@ from sextant.llm.components import connected_components
 from sextant.llm.exact_dedup import DigestIndex, dedup_batch
 from sextant.llm.labelled import fold, sample
 from sextant.llm.simhash import block_masks, fingerprint, forest, hex16, links, near_duplicates
-from sextant.llm.simhash_wide import BITS, most_bits, similar_groups, wide_forest, wide_prints
+from sextant.llm.simhash_wide import BITS, FOUND, WORDS, block_keys, block_plan, difference, most_bits, similar_groups, wide_forest, wide_prints
 from sextant.llm.token_counts import token_counts
 from sextant.llm.word_bpe import WordBPE
 
@@ -330,6 +330,18 @@ def test_forests_connect(make_prose):
     assert sorted({*child.tolist(), *to.tolist()}) == [0, 1]
 
 
+@pytest.mark.parametrize("nodes", [1000, 200_000, 10_000_000])
+def test_wide_blocks_find_pairs_alike_at_every_size(nodes):
+    rng = np.random.default_rng(nodes)
+    bits = rng.random((1500, BITS)) < 0.5
+    other = bits ^ (rng.random(bits.shape) < difference(0.8))
+    packed = [np.packbits(b, axis=1, bitorder="little").view(np.uint64).reshape(-1, WORDS) for b in (bits, other)]
+    size, blocks = block_plan(nodes, 0.8)
+    a, b = (block_keys(p, size, blocks) for p in packed)
+    assert abs((a == b).any(axis=1).mean() - FOUND) < 0.06
+    assert ((a >> 48) == np.arange(blocks)).all() and ((a & ((1 << 48) - 1)) < 1 << size).all()
+
+
 def test_wide_groups_find_similar_texts_only(spark, nasty, none, make_prose):
     texts = []
     for g in range(30):

@@ -1,9 +1,12 @@
-"""Near-duplicates at a given similarity by wide SimHash (operator 6 as a pipeline stage).
+"""Wide SimHash: fingerprints, blocks and forests that estimate near-duplicates at a given similarity.
+
+The pipeline's stage takes similar_groups, which loses no pair and decides by
+whole shingle sets (shingle_join); what follows here is the estimate only.
 
 Texts of Jaccard similarity J over their word shingles differ in a share
 p = acos(2J / (1 + J)) / pi of their SimHash bits. At J = 0.8 that is 15 %, too
-much for whole blocks of 64 bits, so this stage takes 16 words of 64 bits and
-decides on the distance of all 1,024 bits, whose standard deviation is 1.1 %.
+much for whole blocks of 64 bits, so these fingerprints take 16 words of 64 bits and
+are judged by the distance of all 1,024 bits, whose standard deviation is 1.1 %.
 
 Candidates share a block of K bits. K grows with the logarithm of the count of
 fingerprints, so that the expected number of chance partners of a row stays the
@@ -16,26 +19,18 @@ further fixed orders of the bits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from sextant.llm.common import discard, ship, text_or_empty, text_slices, written
-from sextant.llm.components import connected_components
 from sextant.llm.decontaminate import gram_hashes
-from sextant.llm.simhash import CHUNK
+from sextant.llm.shingle_join import similar_groups
 from sextant.llm.vectext import joined, mixed, span_hashes, white_words
 
 WORDS = 16
 BITS = 64 * WORDS
 #: Bits of a block beyond the logarithm of the count of fingerprints, and how often a pair at the similarity shares a block.
 SPARE, FOUND = 4, 0.85
-#: Rows of a bucket that are compared pair by pair in the JVM; larger buckets return spanning forests.
-SMALL = 8
+__all__ = ["block_keys", "block_plan", "difference", "most_bits", "similar_groups", "wide_forest", "wide_prints"]
 _ODD = mixed(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -103,69 +98,3 @@ def wide_forest(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
             label[np.isin(label, np.unique(met))] = met.min()
     child = np.flatnonzero(label != np.arange(n))
     return child, label[child]
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of the rows that have a near-duplicate.
-
-    component_id is the smallest id that a row reaches over pairs of at least
-    the similarity. Null and empty texts are alike; texts of fewer words than a
-    shingle are one shingle. Rows with a null id take no part. An empty table
-    gives no rows."""
-    spark = docs.sparkSession
-    ship(spark)
-    kind, most = docs.schema[id_col].dataType.simpleString(), most_bits(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
-            prints = wide_prints(b.column(1).to_pylist(), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.tolist(), pa.list_(pa.int64()))], ["id", "fp"])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    prints = written(rows.mapInArrow(run, f"id {kind}, fp array<bigint>"), "wide-prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "wide-nodes")
-
-    bits, blocks = block_plan(nodes.count(), similarity)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                node, fp = batch.column(0).slice(at, 1024), batch.column(1).slice(at, 1024)
-                found = block_keys(fp.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS), bits, blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), node.take(pa.array(np.repeat(np.arange(len(node)), blocks)))], ["k", "node"])
-
-    keyed = nodes.select("node", "fp").mapInArrow(keys, f"k bigint, node {kind}")
-    shared = written(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-buckets")
-    met = written(keyed.join(shared, "k").join(nodes.select("node", F.col("fp")[0].alias("w")), "node"), "wide-rows")
-    discard(shared)
-
-    def close(a: Column, b: Column) -> Column:  # one word first: pairs at 0.8 differ in 10 of its 64 bits, 22 is four deviations more
-        return (b["node"] > a["node"]) & (F.bit_count(a["w"].bitwiseXOR(b["w"])) <= 22)
-
-    few = met.where(F.col("n") <= SMALL).groupBy("k").agg(F.collect_list(F.struct("node", "w")).alias("m"))
-    few = few.select(F.explode(F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: close(a, b)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b")))))).alias("e")).select("e.*")
-    candidates = written(few.distinct(), "wide-candidates")
-    fa, fb = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sure = candidates.join(fa, "a").join(fb, "b").where(distance <= most).select("a", "b")
-
-    def grown(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, first = np.unique(np.stack(pdf["fp"].to_numpy()).astype(np.int64), axis=0, return_index=True)
-        node = pdf["node"].to_numpy()[first]
-        a, b = wide_forest(np.ascontiguousarray(values).view(np.uint64), most)
-        return pd.DataFrame({"a": node[a], "b": node[b]})
-
-    many = met.where(F.col("n") > SMALL).withColumn("g", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
-    many = many.join(nodes, "node").select("k", "node", "fp", F.explode(cells).alias("x")).select("k", "node", "fp", "x.i", "x.j")
-    many = many.groupBy("k", "i", "j").applyInPandas(grown, f"a {kind}, b {kind}")
-    edges = written(sure.union(many).distinct(), "wide-links")
-    discard(met)
-    discard(candidates)
-    roots = connected_components(edges)
-    joined_ = written(roots.select(F.col("node").alias("id"), F.col("root").alias("component_id")), "wide-roots")
-    more = nodes.where("copies > 1").select("fp", "node")
-    copies = prints.join(more, "fp").where("id <> node").join(joined_.withColumnRenamed("id", "node"), "node", "left")
-    copies = copies.select("id", F.coalesce("component_id", "node").alias("component_id"))
-    heads = more.select(F.col("node").alias("id")).join(joined_, "id", "left_anti").select("id", F.col("id").alias("component_id"))
-    return joined_.union(copies).union(heads).withColumnRenamed("id", id_col)

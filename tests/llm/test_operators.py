@@ -360,6 +360,36 @@ def test_wide_groups_find_similar_texts_only(spark, nasty, none, make_prose):
     assert odd[2] == 1 and odd[9] == 8 and odd[4] == 3 and rows(similar_groups(none)) == []
 
 
+def shingle_graph(texts, similarity):
+    """{id: least id reached} over all pairs of at least the similarity, from sets of word tuples."""
+    sets = {}
+    for d, t in texts:
+        w = t.lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    label = {d: d for d in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {d: low if x == high else x for d, x in label.items()}
+    size = Counter(label.values())
+    return {d: x for d, x in label.items() if size[x] > 1}
+
+
+def test_no_pair_at_the_similarity_is_lost(spark, make_prose):
+    texts = []
+    for g in range(40):  # 4 to 6 apart edits of 200 words: similarities of about 0.73 to 0.82
+        w = make_prose(7000 + g, 200).split()
+        texts.append((g, " ".join(w)))
+        for copy in range(1, 13 if g < 3 else 2):  # a few groups are larger than a small bucket
+            v = list(w)
+            for k in range(4 + g % 3 if g >= 3 else 2 + copy % 4):
+                v[10 + 30 * k + copy] = f"edit{copy}"
+            texts.append((1000 * copy + g, " ".join(v)))
+    got = dict(rows(similar_groups(spark.createDataFrame(texts, "doc_id long, text string"))))
+    want = shingle_graph(texts, 0.8)
+    assert got == want and 20 < len(want) < len(texts)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(7, 7), (None, 3)]
     got = dict(rows(connected_components(spark.createDataFrame(path, "a long, b long"))))

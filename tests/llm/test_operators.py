@@ -390,6 +390,21 @@ def test_no_pair_at_the_similarity_is_lost(spark, make_prose):
     assert got == want and 20 < len(want) < len(texts)
 
 
+def test_links_are_decided_by_exact_sets(spark, make_prose):
+    texts = []
+    for g in range(20):
+        w = make_prose(8000 + g, 200).split()
+        v = list(w)
+        for k in range(5):  # 25 of 196 shingles differ: 171 / 221 = 0.774
+            v[20 + 30 * k] = "edit"
+        texts += [(g, " ".join(w)), (100 + g, " ".join(v))]
+    line = " ".join(make_prose(8100, 12).split())
+    body = make_prose(8101, 100)
+    texts += [(500, f"{body} {line} {line}"), (501, f"{body} {' '.join([line] * 40)}")]  # one set of shingles
+    got = dict(rows(similar_groups(spark.createDataFrame(texts, "doc_id long, text string"))))
+    assert got == {500: 500, 501: 500} == shingle_graph(texts, 0.8)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(7, 7), (None, 3)]
     got = dict(rows(connected_components(spark.createDataFrame(path, "a long, b long"))))

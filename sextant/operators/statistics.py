@@ -89,24 +89,30 @@ def fit_platt(rows: DataFrame, p: str, y: str, steps: int = 25) -> tuple[float,
 
 
 def pool_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Isotonic blocks of one group's (x, y, n) rows, sorted by x: their ends and mean."""
+    """Isotonic blocks of one group's (x, y, n) rows, sorted by x: their ends, mean and weight.
+
+    Rows may be blocks themselves, with the end in a column high."""
     blocks: list[list[float]] = []
-    for x, y, n in pdf.sort_values("x")[["x", "y", "n"]].itertuples(index=False):
-        blocks.append([x, x, y * n, n])
+    for x, high, y, n in pdf.assign(high=pdf.get("high", pdf["x"])).sort_values("x")[["x", "high", "y", "n"]].itertuples(index=False):
+        blocks.append([x, high, y * n, n])
         while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0], last[1], blocks[-1][2] + last[2], blocks[-1][3] + last[3]]
-    return pd.DataFrame([(b[0], b[1], b[2] / b[3]) for b in blocks], columns=["low", "high", "value"])
+    return pd.DataFrame([(b[0], b[1], b[2] / b[3], b[3]) for b in blocks], columns=["low", "high", "value", "n"])
+
 
+def fit_isotonic(rows: DataFrame, p: str, y: str) -> DataFrame:
+    """Isotonic regression over the exact scores: each range of scores is pooled by itself, then the blocks of all ranges.
 
-def fit_isotonic(rows: DataFrame, p: str, y: str, bins: int = 1000) -> DataFrame:
-    """Isotonic regression over at most `bins` equal-width bins, so one task's input is bounded."""
-    x = (F.floor(F.col(p) * bins) / bins).alias("x")
-    g = rows.groupBy(x).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
+    Blocks of a range only ever merge further, so the result is that of one
+    pass; the last task sees blocks, not scores. Null scores are left out."""
+    g = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("x")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(parts)
+        frames = [f for f in parts if len(f)]
         if frames:
             yield pool_adjacent(pd.concat(frames))
 
-    return g.coalesce(1).mapInPandas(run, "low double, high double, value double")
+    blocks = g.repartitionByRange("x").mapInPandas(run, "low double, high double, value double, n double")
+    blocks = blocks.select(F.col("low").alias("x"), "high", F.col("value").alias("y"), "n").repartition(1)
+    return blocks.mapInPandas(run, "low double, high double, value double, n double").drop("n")

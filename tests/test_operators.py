@@ -50,6 +50,25 @@ def test_isotonic_blocks():
     assert got["value"].tolist() == [0.0, 0.5, 1.0]
 
 
+def test_isotonic_fit_keeps_close_scores_apart(spark):
+    rng = random.Random(5)
+    data = [(0.2 + rng.randrange(400) * 1e-6, None) for _ in range(4000)] + [(rng.randrange(50) * 1e-5, None) for _ in range(1000)]
+    data = [(x, rng.random() < (0.1 + (x - 0.2) * 2000 if x >= 0.2 else x * 100)) for x, _ in data]
+    by = {}
+    for x, y in data:
+        by.setdefault(x, []).append(float(y))
+    xs = sorted(by)
+    mean = lambda i, j: sum(sum(by[x]) for x in xs[i:j]) / sum(len(by[x]) for x in xs[i:j])
+    want, i = [], 0
+    while i < len(xs):  # the greatest convex minorant: the furthest end of the least mean
+        j = min(range(i + 1, len(xs) + 1), key=lambda j: (round(mean(i, j), 12), -j))
+        want.append((xs[i], xs[j - 1], mean(i, j)))
+        i = j
+    got = rows(statistics.fit_isotonic(spark.createDataFrame(data, "p double, y boolean").repartition(7), "p", "y"))
+    assert len(want) > 8 and [r[:2] for r in got] == [w[:2] for w in want]
+    assert [r[2] for r in got] == pytest.approx([w[2] for w in want])
+
+
 def scalar_pool(p, kg, inside, alpha):
     lse = lambda x: max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
     lkg = [k - lse(kg) for k in kg]

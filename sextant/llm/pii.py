@@ -1,11 +1,15 @@
 """Keyed surrogates for personal data (operator 5).
 
-Entities are found by patterns with checks (Luhn, ranges). Each distinct entity
-gets a replacement of its own type, made by a keyed permutation of its letters
-and digits, each within its script and case, so formats stay; names with a title
-stay with the title's gender. One key gives one entity the same surrogate
-everywhere, which keeps coreference. Surrogates that two entities share, or that
-are entities themselves, are dealt anew until none collides.
+Entities are found by patterns with checks (Luhn, mod 97, ranges). Each is known
+by a canonical value: the digits of a phone number or card, the lower-cased
+address, the given name and the surname of a person. That value gets a
+replacement of its own type, made by a keyed permutation of its letters and
+digits, each within its script; the replacement is then written in the format of
+the place where the entity stands. So one key gives one entity the same
+surrogate in every spelling and everywhere, which keeps coreference; names
+without a title are replaced where the same text holds them with one.
+Surrogates that two entities share, or that are entities themselves, are dealt
+anew until none collides.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import hmac
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -26,39 +31,89 @@ from sextant.llm.common import discard, ship, text_or_empty, text_slices, writte
 # Titles by the gender of whom they go with, and given names to stand in.
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"]
+OTHER_TITLES = ["Dr", "Prof", "Professor", "Doktor"]
 MALE_NAMES = ["Adrian", "Bruno", "Conrad", "Dario", "Emil", "Felix", "Gustav", "Henrik", "Ivo", "Jonas", "Karl", "Luis", "Marco", "Nils", "Oskar", "Pablo"]
 FEMALE_NAMES = ["Alma", "Berta", "Clara", "Dora", "Elsa", "Flora", "Greta", "Hanna", "Ines", "Julia", "Karla", "Lena", "Marta", "Nora", "Olga", "Paula"]
-
-PATTERNS = {
-    "secret": r"(?P<secret>(?<=\b(?i:token|key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-+/]{16,})",
-    "email": r"(?P<email>(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}]))",
-    "iban": r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
-    "ip": r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))",
-    "card": r"(?P<card>(?<![\d\-])(?:\d[ \-]?){12,18}\d(?![\d\-]))",
-    "ssn": r"(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))",
-    "phone": r"(?P<phone>(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{2,5}(?:[ .\-]?\d{2,5}){1,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?!\d))",
-    "name": r"(?P<name>(?<=\b(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? )\p{Lu}[\p{L}'\-]+(?: \p{Lu}[\p{L}'\-]+)?)",
-}
+OTHER_NAMES = ["Alexis", "Andrea", "Chris", "Dominique", "Jamie", "Jean", "Kim", "Luca", "Maxime", "Nikola", "Noa", "Robin", "Sam", "Sascha", "Toni", "Yael"]
+GIVEN = {"male": MALE_NAMES, "female": FEMALE_NAMES, "person": OTHER_NAMES}
+
+_TITLES = MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
+_WORD = r"\p{Lu}[\p{L}'’\-]+"
+PATTERNS = [
+    r"(?<![A-Za-z])(?i:token|key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?(?P<secret>[A-Za-z0-9_\-+/]{16,})",
+    r"(?<![A-Za-z0-9])(?P<secret>AKIA[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
+    r"(?P<email>(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}]))",
+    r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
+    r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))",
+    r"(?P<card>(?<![\d\-])(?:\d[ \-]?){12,18}\d(?![\d\-]))",
+    r"(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))",
+    r"(?P<phone>(?<![\p{L}\p{N}])(?:\+\d{8,15}|\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\+1[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}|\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{2,5}(?:[ .\-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}-\d{4})(?!\d))",
+    r"(?P<phone>(?<![\p{L}\p{N}.\-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4} \d{3,4} \d{3,4}|0\d(?: \d{2}){4}|0\d{2,4}[/ ]\d{5,8})(?![.\-]?[\p{L}\d]))",
+    r"\b(?P<title>" + "|".join(_TITLES) + r")\.? (?P<name>(?:\p{Lu}\. ?){0,2}" + _WORD + "(?: " + _WORD + r")?)",
+]
 #: Whether a text can hold an entity at all: every pattern needs one of these.
-HINT = regex.compile(r"[@\d]|" + "|".join(MALE_TITLES + FEMALE_TITLES) + r"|(?i:token|key|secret|password|passwd)")
+HINT = regex.compile(r"[@\d]|\b(?:" + "|".join(_TITLES) + r")\b|(?i:token|key|secret|password|passwd)|AKIA|gh[oprsu]_")
+
+
+class Entity(NamedTuple):
+    """A place in a text; parts are (kind, canonical value, start, end) of what gets a surrogate of its own."""
+
+    start: int
+    end: int
+    kind: str
+    parts: list[tuple[str, str, int, int]]
 
 
 @cache
 def finder() -> regex.Pattern:
-    return regex.compile("|".join(PATTERNS.values()))
+    return regex.compile("|".join(PATTERNS))
+
+
+def canonical(kind: str, value: str) -> str:
+    """What all spellings of an entity share."""
+    if kind in ("phone", "card", "ssn"):
+        return regex.sub(r"[^\d+]", "", value)
+    if kind == "email":
+        return value.lower() if len(value.lower()) == len(value) else value
+    return value.replace(" ", "") if kind == "iban" else value
 
 
-def spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities of a text, in order, none overlapping."""
+def _name_parts(text: str, start: int, end: int, kind: str) -> list[tuple[str, str, int, int]]:
+    """Initials and given names by gender, and the last word as the surname."""
+    words = [(m.start() + start, m.end() + start) for m in regex.finditer(r"[^ .]+", text[start:end])]
+    out = [("initial" if j - i == 1 else kind, text[i:j], i, j) for i, j in words[:-1]]
+    return [*out, ("surname", text[words[-1][0] : words[-1][1]], *words[-1])]
+
+
+def spans(text: str) -> list[Entity]:
+    """The entities of a text, in order, none overlapping."""
     if not HINT.search(text):
         return []
-    out = []
+    out, people = [], {}
     for m in finder().finditer(text):
-        kind = m.lastgroup
+        kind = next(k for k in ("secret", "email", "iban", "ip", "card", "ssn", "phone", "name") if k in m.capturesdict() and m.span(k)[0] >= 0)
+        i, j = m.span(kind)
         if kind == "name":
-            before = text[max(0, m.start() - 10) : m.start()].rstrip(" .")
-            kind = "male" if before.endswith(tuple(MALE_TITLES)) else "female"
-        out.append((m.start(), m.end(), kind))
+            title = m["title"]
+            kind = "male" if title in MALE_TITLES else "female" if title in FEMALE_TITLES else "person"
+            parts = _name_parts(text, i, j, kind)
+            people[parts[-1][1]] = None
+            if len(parts) > 1 and parts[-2][0] != "initial":
+                people[f"{parts[-2][1]} {parts[-1][1]}"] = parts[-2][0]
+        else:
+            parts = [(kind, canonical(kind, text[i:j]), i, j)]
+        out.append(Entity(i, j, kind, parts))
+    if people:  # the same people without a title, whole names first
+        known = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(regex.escape(x) for x in sorted(people, key=lambda x: (-len(x), x))) + r")(?![\p{L}\p{N}])")
+        taken, at = sorted((e.start, e.end) for e in out), 0
+        for m in known.finditer(text):
+            i, j = m.span()
+            while at < len(taken) and taken[at][1] <= i:
+                at += 1
+            if at == len(taken) or j <= taken[at][0]:
+                kind = people[m[0]] or "person"
+                out.append(Entity(i, j, kind, _name_parts(text, i, j, kind)))
+        out.sort()
     return out
 
 
@@ -103,16 +158,17 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _check97(value: str) -> int:
+    """An IBAN's remainder; 1 if its check digits are right."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """A replacement of the same kind and format; other attempts give other ones."""
+    """A replacement of the same kind for a canonical value; other attempts give other ones."""
     s = Stream(key, kind, value, attempt)
-    if kind in ("male", "female"):
-        given, rest = value.split(" ")[0], value.split(" ")[1:]
-        names = MALE_NAMES if kind == "male" else FEMALE_NAMES
-        latin = unicodedata.name(given[0], "LATIN").startswith("LATIN")
-        if latin and rest:
-            return " ".join([names[s.below(len(names))], *("".join(_letter(x, s) for x in part) for part in rest)])
-        return "".join(_letter(x, s) for x in value)
+    if kind in GIVEN and unicodedata.name(value[0], "LATIN").startswith("LATIN"):
+        names = GIVEN[kind]
+        return "-".join(names[s.below(len(names))] for _ in range(1 + (attempt + 1) // 2))  # double names once the single ones are dealt
     if kind == "email":
         name, _, host = value.rpartition("@")
         labels = host.split(".")
@@ -120,30 +176,43 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "iban":
-        return value[:2] + "".join(_letter(x, s) for x in value[2:])
+        body = "".join(_letter(x, s) for x in value[4:])
+        valid = value.isalnum() and _check97(value) == 1
+        return value[:2] + (f"{98 - _check97(value[:2] + '00' + body):02d}" if valid else "".join(_letter(x, s) for x in value[2:4])) + body
     if kind == "phone" and value.startswith("+"):
-        country = regex.match(r"\+\d{1,3}(?=[ .\-(])|\+\d", value)[0]
-        return country + "".join(_letter(x, s) for x in value[len(country) :])
+        country = 2 if value[1] in "17" else 3  # the code's first digits tell the country
+        return value[:country] + "".join(_letter(x, s) for x in value[country:])
+    if kind == "phone" and value.startswith("0"):
+        return "0" + "".join(_letter(x, s) for x in value[1:])
     if kind == "secret" and regex.fullmatch(r"[0-9a-f]+", value):
         return "".join("0123456789abcdef"[s.below(16)] for _ in value)
     out = "".join(_letter(x, s) for x in value)
-    if kind == "card":
-        old, new = regex.sub(r"\D", "", value), regex.sub(r"\D", "", out)
-        if _luhn(old[:-1] + "0") == int(old[-1]):  # a valid check digit stays valid
-            out = out[:-1] + str(_luhn(new[:-1] + "0"))
+    if kind == "card" and _luhn(value[:-1] + "0") == int(value[-1]):  # a valid check digit stays valid
+        out = out[:-1] + str(_luhn(out[:-1] + "0"))
     return out
 
 
+def render(kind: str, shown: str, made: str) -> str:
+    """The surrogate of a canonical value in the format of the place: its separators and its case."""
+    if kind in ("phone", "card", "ssn", "iban"):
+        own = iter(made)
+        keep = (lambda c: c.isdigit() or c == "+") if kind != "iban" else (lambda c: c != " ")
+        return "".join(next(own) if keep(c) else c for c in shown)
+    if kind == "email" and len(made) == len(shown):
+        return "".join(m.upper() if c.isupper() and len(m.upper()) == 1 else m for c, m in zip(shown, made, strict=True))
+    return made
+
+
 ENTITY = "kind string, value string"
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The distinct (kind, value) of all texts."""
+    """The distinct (kind, canonical value) of all texts."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            found = sorted({(k, t[i:j]) for t in b.column(0).to_pylist() for i, j, k in spans(t)})
+            found = sorted({p[:2] for t in b.column(0).to_pylist() for e in spans(t) for p in e.parts if p[0] != "initial"})
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.string()) for n in (0, 1)], ["kind", "value"])
 
     return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, ENTITY).distinct()
@@ -182,9 +251,12 @@ def assign(found: DataFrame, key: bytes, most_attempts: int = 50) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_entities) of every row, each entity replaced by its surrogate.
 
-    Only entities that took more than one attempt travel to their documents;
-    all others are made anew where they stand. Null texts count as empty and
-    come back empty; repeated rows repeat; an id may be null."""
+    n_entities counts places, a name with its title's whole name as one. Only
+    entities that took more than one attempt travel to their documents; all
+    others are made anew where they stand. Initials become another letter each,
+    without a check for collisions. Null texts count as empty and come back
+    empty; repeated rows repeat; an id may be null; other columns are left out;
+    no rows give no rows."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -195,7 +267,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     else:
         def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in text_slices(batches):
-                found = [(h, k, v) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, v in sorted({(k, t[i:j]) for i, j, k in spans(t)})]
+                found = [(h, k, v) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, v in sorted({p[:2] for e in spans(t) for p in e.parts})]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), *(pa.array([x[n] for x in found], pa.string()) for n in (1, 2))], ["h", "kind", "value"])
 
         marked = rows.withColumn("h", F.xxhash64("text"))
@@ -209,8 +281,8 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             for t, again in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 attempts = {(x["kind"], x["value"]): x["attempt"] for x in again or ()}
                 out, at, found = [], 0, spans(t)
-                for i, j, k in found:
-                    out += [t[at:i], surrogate(key, k, t[i:j], attempts.get((k, t[i:j]), 0))]
+                for k, v, i, j in (p for e in found for p in e.parts):
+                    out += [t[at:i], render(k, t[i:j], surrogate(key, k, v, attempts.get((k, v), 0)))]
                     at = j
                 texts.append("".join([*out, t[at:]]))
                 counts.append(len(found))

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from sextant.llm.common import chunks, ship, text_or_empty
 from sextant.llm.vectext import alnum_words, joined, mixed, span_hashes
@@ -139,11 +140,11 @@ class ItemIndex:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list]:
-    """The distinct test items with an id, in blocks of about size rows each."""
+    """The distinct test items with an id, in blocks of about size rows each; all texts of an id are in one block."""
     items = benchmark.select(F.col(id_col).alias("item_id"), text_or_empty(text_col).alias("text")).where("item_id IS NOT NULL").distinct()
     blocks = max(1, math.ceil(items.count() / size))
     for b in range(blocks):
-        yield items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, matches: str = "matches", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -152,25 +153,36 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, matches: str = "matches"
     Every row keeps its columns, in one pass over the texts for each block of
     items and without a shuffle; matches must not name a column of docs. Null
     and empty texts match nothing, and so do items without a word. Rows of an
-    item id with several texts count each; the least edits of an id are given."""
+    item id with several texts count each; the least edits of an id are given.
+    Items with a null id are left out, and so is nothing else: repeated rows of
+    docs repeat, texts of any length are searched whole, an empty benchmark
+    gives empty arrays."""
     spark = docs.sparkSession
     ship(spark)
-    kind = benchmark.schema[item_id].dataType.simpleString()
     parts, out = [], docs
-    for b, rows in enumerate(item_blocks(benchmark, item_id, item_text, block_items)):
+    for rows in item_blocks(benchmark, item_id, item_text, block_items):
         ids = [r["item_id"] for r in rows]
         sent = spark.sparkContext.broadcast(ItemIndex([r["text"] for r in rows], share))
-        part = matches if not parts else f"{matches}_{b}"
-        out = _pass(out, sent, ids, part, kind, text_col)
+        part = matches if not parts else _unused(out, matches)
+        out = _pass(out, sent, ids, part, benchmark.schema[item_id].dataType, text_col)
         parts.append(part)
     if len(parts) > 1:
-        out = out.withColumn(matches, F.concat(*[F.col(p) for p in parts])).drop(*parts[1:])
+        out = out.withColumn(matches, F.array_sort(F.concat(*[F.col(p) for p in parts]))).drop(*parts[1:])
     return out
 
 
-def _pass(docs: DataFrame, sent, ids: list, column: str, kind: str, text_col: str) -> DataFrame:
+def _unused(docs: DataFrame, name: str) -> str:
+    """A name that starts like name and that no column has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _pass(docs: DataFrame, sent, ids: list, column: str, kind: DataType, text_col: str) -> DataFrame:
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index(text_col)
+    item = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), ("edits", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -185,10 +197,9 @@ def _pass(docs: DataFrame, sent, ids: list, column: str, kind: str, text_col: st
                 for i, edits in some:
                     least[ids[i]] = min(edits, least.get(ids[i], edits))
                 rows.append([{"item_id": k, "edits": v} for k, v in sorted(least.items())])
-            item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.struct([("item_id", item), ("edits", pa.int32())])))], [*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, item)], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, f"{names}, `{column}` array<struct<item_id:{kind},edits:int>>")
+    return docs.mapInArrow(run, f"{names}, `{column}` array<struct<item_id:{kind.simpleString()},edits:int>>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -200,5 +211,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs in which no test item is found, with the columns of docs."""
-    name = reduce(lambda n, _: n + "_", range(len(docs.columns)), "_matches") if any(c.startswith("_matches") for c in docs.columns) else "_matches"
+    name = _unused(docs, "_matches")
     return with_matches(docs, benchmark, name, text_col, **options).where(F.size(name) == 0).drop(name)

@@ -53,6 +53,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, none if it isn't there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else []
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by written(), once nothing reads it any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from sextant.llm import packing, warc
 from sextant.llm.common import table_path
 from sextant.llm.decontaminate import contaminated
-from sextant.llm.exact_dedup import DigestIndex, dedup_batch
+from sextant.llm.exact_dedup import DigestIndex, dedup_digests, digests
 from sextant.llm.labelled import fold
 from sextant.llm.licences import licences
 from sextant.llm.pii import pseudonymise
@@ -60,9 +59,15 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    out = dedup_batch(_table(spark, sf_dir, "documents"), index)
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    """The table goes through an index of its own in two batches, the lower ids first, so that the later ones meet the earlier ones there."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = digests(docs)
+    ends = rows.agg(F.min("id"), F.max("id")).first()
+    middle = F.lit(((ends[0] or 0) + (ends[1] or 0)) // 2)
+    index = DigestIndex.fresh(spark, docs.schema["doc_id"].dataType.simpleString())
+    out = dedup_digests([rows.where(F.col("id") <= middle), rows.where((F.col("id") > middle) | F.col("id").isNull())], index)
+    index.drop()
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +79,22 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def warc_round_trip(pages: DataFrame, between: Callable[[str], None] = lambda folder: None) -> tuple[DataFrame, DataFrame]:
+    """Pages as their archives give them back, and the gaps that were quarantined; between may change the archives."""
+    spark, folder = pages.sparkSession, table_path(pages.sparkSession, "warc")
+    archives = warc.write_archives(pages, folder)
+    between(folder)
+    records, gaps = warc.salvage(spark, folder, archives)
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")), gaps
+
+
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = table_path(spark, "warc")
-    archives = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
-    back = warc.read_archives(spark, folder, archives, with_payload=False).where("reason IS NULL")
-    return back.select(F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+    pages, gaps = warc_round_trip(_table(spark, sf_dir, "pages"))
+    lost = gaps.first()
+    if lost is not None:
+        raise RuntimeError(f"the archives were damaged on their way: {lost}")
+    return pages
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

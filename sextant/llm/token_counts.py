@@ -27,8 +27,20 @@ BLOCK = 1 << 20
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI or local path, and the path within it."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """The file system of a URI or an absolute local path, and the path within it.
+
+    s3a and s3n go by s3, dbfs by its mount on the workers. Any other scheme
+    that pyarrow doesn't know, and a relative path, raise."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        if not path.startswith("/"):
+            raise ValueError(f"not an absolute path: {path}")
+        return pafs.LocalFileSystem(), path
+    if scheme == "dbfs":
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else path)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, separator: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,11 @@
 """WARC archives: a writer with revisit records and a salvage reader (operator 9).
 
-Each record is a gzip member of its own (or plain, for archives not named .gz).
-The reader checks every member's and record's framing and digests. After a
-failed check it looks for the next place where a whole record is valid, goes on
-from there, and logs the bytes between as a quarantined gap.
+The writer makes each record a gzip member of its own. The reader takes gzip
+members of one or more records and plain records, and checks framing and digests
+of each. After a failed check it looks for the next version line within the
+member, or the next member or version line of the archive, where a whole record
+is valid, goes on from there, and logs the bytes between as a quarantined gap.
+Records are read in pieces, so their length has no limit of the reader's own.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -26,10 +29,14 @@ from sextant.llm.token_counts import open_store
 
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/\d\.\d{1,2}\r?\n")
+#: The longest version line, which marks at the end of a piece may lack.
+MARK = 12
 #: A task starts another archive beyond this many bytes.
 ROLL = 16 << 20
-READ = 1 << 20
+READ = 1 << 18
+#: Inflated bytes that stay in memory; going back further inflates the member again.
+KEPT = 8 << 20
 #: Payloads from this many bytes on are stored once.
 LEAST = 1000
 
@@ -38,8 +45,8 @@ def sha1_field(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(key: str) -> str:
-    return f"<urn:x-page:{quote(key, safe='')}>"
+def record_id(key: str | None) -> str:
+    return "<urn:x-page-without-id>" if key is None else f"<urn:x-page:{quote(key, safe='')}>"
 
 
 def key_of(uri: str | None) -> str | None:
@@ -47,7 +54,7 @@ def key_of(uri: str | None) -> str | None:
     return unquote(m[1]) if m else None
 
 
-def record(key: str, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
+def record(key: str | None, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
     """One response record, or the revisit record of a payload that another record holds."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers_to is None else http
@@ -62,7 +69,11 @@ def record(key: str, url: str | None, payload: bytes, refers_to: str | None, dat
 
 @dataclass
 class Found:
-    """A record that was read, or a gap (reason set) that was quarantined."""
+    """A record that was read, or a gap (reason set) that was quarantined.
+
+    start and end are the archive's bytes: of the record, of the gap, or of the
+    member that holds it; within a member, inner says where in its content it
+    starts and inner_end where it ends."""
 
     start: int
     end: int
@@ -71,134 +82,287 @@ class Found:
     payload: bytes = b""
     payload_bytes: int = 0
     payload_digest: str | None = None
+    inner: int | None = None
+    inner_end: int | None = None
+    proven: bool = False
 
 
 class Damaged(ValueError):
     pass
 
 
-def parse_headers(raw: bytes) -> dict[str, str]:
-    out = {}
-    for line in raw.split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+class Plain:
+    """Bytes of the archive itself."""
+
+    def __init__(self, handle, size: int):
+        self.handle, self.size = handle, size
+
+    def at(self, offset: int, n: int) -> bytes:
+        n = min(n, self.size - offset)
+        return self.handle.read_at(n, offset) if n > 0 else b""
+
+
+class Member:
+    """The content of one gzip member, as far as it inflates."""
+
+    def __init__(self, plain: Plain, start: int):
+        self.plain, self.start, self.end, self.fault = plain, start, None, None
+        self._restart()
+
+    def _restart(self) -> None:
+        self.unzip, self.next, self.base, self.held, self.over = zlib.decompressobj(wbits=31), self.start, 0, bytearray(), False
+        self.raw = b""
+
+    def _more(self) -> None:
+        """Inflate another piece, or find the end or the fault."""
+        try:
+            if not self.raw:
+                self.raw = self.plain.at(self.next, READ if self.next > self.start else 1 << 12)
+                self.next += len(self.raw)
+            made = self.unzip.decompress(self.raw, READ)
+            if not (self.raw or made or self.unzip.eof):
+                raise Damaged("cut off")
+            self.held += made
+            self.raw = self.unzip.unconsumed_tail
+        except (zlib.error, Damaged) as e:
+            self.over, self.fault = True, "gzip" if isinstance(e, zlib.error) else "cut off"
+        if self.unzip.eof:
+            self.over, self.end = True, self.next - len(self.unzip.unused_data)
+
+    def at(self, offset: int, n: int) -> bytes:
+        if offset < self.base:
+            self._restart()
+        while not self.over and self.base + len(self.held) < offset + n:
+            if offset - self.base > KEPT:
+                drop = min(offset - self.base, len(self.held))
+                del self.held[:drop]
+                self.base += drop
+            self._more()
+        return bytes(self.held[max(0, offset - self.base) : max(0, offset - self.base + n)])
+
+    def whole(self) -> bool:
+        """Whether the member inflates to its end and its checksum holds; what is held stays."""
+        if self.end is None and self.fault is None:
+            other = Member(self.plain, self.start)
+            while not other.over:
+                other.held.clear()
+                other._more()
+            self.end, self.fault = other.end, other.fault
+        return self.fault is None
+
+
+def read_headers(view, at: int) -> tuple[dict[str, str], int]:
+    """The headers that start at a version line (or a status line), by lower-cased name, and where their block begins.
+
+    Lines may end in CRLF or LF; a line that starts with a blank continues the one before."""
+    out: dict[str, str] = {}
+    name, held, first = "", b"", True
+    while True:
+        while (cut := held.find(b"\n")) < 0:
+            more = view.at(at + len(held), max(4096, len(held)))
+            if not more:
+                raise Damaged("headers")
+            held += more
+        line, held, at = held[:cut].rstrip(b"\r"), held[cut + 1 :], at + cut + 1
+        if first:
+            first = False
+            continue
+        if not line:
+            return out, at
+        if line[:1] in b" \t" and name:
+            out[name] += " " + line.decode("utf-8", "replace").strip()
+            continue
+        label, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line")
-        out[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    return out
+        name = label.decode("latin-1").strip().lower()
+        out[name] = value.decode("utf-8", "replace").strip()
+
+
+class Check:
+    """A digest that a header states, against the bytes that come by."""
+
+    def __init__(self, stated: str):
+        kind, _, self.value = stated.partition(":")
+        self.hash = hashlib.new(kind.lower()) if kind.lower() in ("md5", "sha1", "sha256") and self.value else None
+
+    def fails(self) -> bool:
+        if self.hash is None:
+            return False
+        return self.value.lower() not in (self.hash.hexdigest(), base64.b32encode(self.hash.digest()).decode().lower())
+
+
+def http_end(view, at: int, end: int) -> int:
+    """Where the payload of an HTTP message begins: past its first empty line, or at its end."""
+    seen, pos = b"", at
+    while pos < end:
+        piece = view.at(pos, min(4096, end - pos))
+        if not piece:
+            break
+        m = re.search(rb"\r\n\r\n|\n\n", seen + piece)
+        if m:
+            return pos - len(seen) + m.end()
+        pos, seen = pos + len(piece), piece[-3:]
+    return end
+
+
+def closing(view, end: int) -> int:
+    """How long the empty lines are that close a record whose block ends here."""
+    tail = view.at(end, 4)
+    if not tail:
+        raise Damaged("cut off")
+    if tail != b"\r\n\r\n" and tail[:2] != b"\n\n":
+        raise Damaged("length")
+    return 4 if tail[:1] == b"\r" else 2
+
 
+def parse_record(view, at: int, with_payload: bool = True) -> tuple[Found, int]:
+    """The record at a place of a view, with framing and digests checked, and where it ends.
 
-def parse_record(data: bytes, start: int, end: int) -> Found:
-    """The one record that data is, with lengths and digests checked."""
-    if not data.startswith(VERSION):
+    The block is read in pieces; only the payload stays, if it is wanted."""
+    if not VERSION.match(view.at(at, MARK)):
         raise Damaged("version line")
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    headers = parse_headers(head)
+    headers, begin = read_headers(view, at)
     length = headers.get("content-length", "")
-    if not gap or not length.isdigit() or len(rest) != int(length) + 4 or rest[-4:] != b"\r\n\r\n":
+    if not length.isdecimal():
         raise Damaged("length")
-    block = rest[:-4]
-    if headers.get("warc-block-digest", "").startswith("sha1:") and headers["warc-block-digest"] != sha1_field(block):
+    end = begin + int(length)
+    found = Found(at, end, headers=headers)
+    http = headers.get("content-type", "").lower().startswith("application/http")
+    body = http_end(view, begin, end) if http else begin
+    block, payload, own = Check(headers.get("warc-block-digest", "")), Check(headers.get("warc-payload-digest", "")), hashlib.sha1()
+    revisit, pos, kept = headers.get("warc-type") == "revisit", begin, []
+    closed = closing(view, end) if isinstance(view, Plain) else 0  # a false length shows before the block is read
+    while pos < end:
+        piece = view.at(pos, min(READ, end - pos))
+        if not piece:
+            raise Damaged("cut off")
+        part = piece[max(0, body - pos) :]
+        own.update(part)
+        for check, data in ((block, piece), (payload, part)):
+            if check.hash is not None:
+                check.hash.update(data)
+        if with_payload and not revisit:
+            kept.append(part)
+        pos += len(piece)
+    closed = closed or closing(view, end)
+    if block.fails():
         raise Damaged("block digest")
-    found = Found(start, end, headers=headers)
-    http, _, payload = block.partition(b"\r\n\r\n")
-    stated = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "revisit":
-        size = parse_headers(http).get("content-length", "")
-        found.payload_bytes = int(size) if size.isdigit() else 0
-    else:
-        if stated.startswith("sha1:") and stated != sha1_field(payload):
-            raise Damaged("payload digest")
-        found.payload, found.payload_bytes = payload, len(payload)
-    if stated.startswith("sha1:"):
+    found.proven = block.hash is not None
+    if revisit:
         try:
-            found.payload_digest = base64.b32decode(stated[5:]).hex()
+            size = read_headers(view, begin)[0].get("content-length", "") if body > begin else ""
+        except Damaged:
+            size = ""
+        found.payload_bytes = int(size) if size.isdecimal() else 0
+        stated = payload.value if payload.hash is not None and payload.hash.name == "sha1" else ""
+        try:
+            found.payload_digest = stated.lower() if len(stated) == 40 else base64.b32decode(stated.upper()).hex() or None
         except ValueError as e:
             raise Damaged("payload digest") from e
-    return found
+    else:
+        if payload.fails():
+            raise Damaged("payload digest")
+        found.payload, found.payload_bytes, found.payload_digest = b"".join(kept), end - body, own.hexdigest()
+    return found, end + closed
 
 
 class Archive:
-    """A random-access archive read in pieces; only one record is held at a time."""
-
-    def __init__(self, handle, size: int, gzipped: bool, most: int = 1 << 30):
-        self.handle, self.size, self.gzipped, self.most = handle, size, gzipped, most
-
-    def at(self, offset: int, n: int) -> bytes:
-        n = min(n, self.size - offset)
-        return self.handle.read_at(n, offset) if n > 0 else b""
-
-    def one(self, pos: int) -> Found:
-        return self._member(pos) if self.gzipped else self._plain(pos)
-
-    def _member(self, pos: int) -> Found:
-        unzip, out, held, at, step = zlib.decompressobj(wbits=31), [], 0, pos, 1 << 16
+    """A random-access archive: gzip members and plain records, or plain records only."""
+
+    def __init__(self, handle, size: int, gzipped: bool, with_payload: bool = True):
+        self.plain, self.size, self.gzipped, self.with_payload = Plain(handle, size), size, gzipped, with_payload
+
+    def marks(self, view, pos: int, zipped: bool) -> Iterator[int]:
+        """Where a member or a record could start, from pos on."""
+        mark = re.compile(rb"\x1f\x8b\x08|" + VERSION.pattern) if zipped else VERSION
+        while raw := view.at(pos, READ):
+            yield from (pos + m.start() for m in mark.finditer(raw) if m.start() <= len(raw) - MARK or len(raw) < READ)
+            pos += len(raw) - MARK + 1 if len(raw) == READ else len(raw)
+
+    def _records_at(self, pos: int) -> Iterator[Found]:
+        """What starts at a place of the archive; Damaged if no valid record is there."""
+        if not (self.gzipped and self.plain.at(pos, 3) == MAGIC):
+            found, end = parse_record(self.plain, pos, self.with_payload)
+            found.end = end
+            return iter([found])
+        member = Member(self.plain, pos)
+        first = self._inside(member, 0)
         try:
-            while not unzip.eof:
-                raw = self.at(at, step)
-                if not raw:
-                    raise Damaged("cut off")
-                part = unzip.decompress(raw)
-                if not held and part and not part.startswith(VERSION[: len(part)]):
-                    raise Damaged("version line")
-                held += len(part)
-                if held > self.most:
-                    raise Damaged("too long")
-                out.append(part)
-                at, step = at + len(raw), READ
-        except zlib.error as e:
-            raise Damaged("gzip") from e
-        end = at - len(unzip.unused_data)
-        return parse_record(b"".join(out), pos, end)
-
-    def _plain(self, pos: int) -> Found:
-        head, step = self.at(pos, 4096), 4096
-        if not head.startswith(VERSION):
-            raise Damaged("version line")
-        while b"\r\n\r\n" not in head:
-            step *= 4
-            if len(head) >= min(self.size - pos, 1 << 20):
-                raise Damaged("headers")
-            head = self.at(pos, step)
-        head = head[: head.index(b"\r\n\r\n")]
-        length = parse_headers(head).get("content-length", "")
-        if not length.isdigit() or int(length) > self.most:
-            raise Damaged("length")
-        end = pos + len(head) + int(length) + 8
-        if end > self.size:
-            raise Damaged("cut off")
-        return parse_record(self.at(pos, end - pos), pos, end)
-
-    def marks(self, pos: int) -> Iterator[int]:
-        """Where a record could start, from pos on."""
-        mark = MAGIC if self.gzipped else VERSION
-        while pos < self.size:
-            raw = self.at(pos, READ)
-            i = raw.find(mark)
-            while i >= 0:
-                yield pos + i
-                i = raw.find(mark, i + 1)
-            pos += max(1, len(raw) - len(mark) + 1) if len(raw) >= len(mark) else len(raw) or 1
+            return chain([next(first)], first)
+        except StopIteration:
+            raise Damaged(member.fault or "version line") from None
+
+    def _inside(self, member: Member, at: int) -> Iterator[Found]:
+        """Records of a member and gaps between them; nothing if it holds no valid record.
+
+        A record counts if its block's digest holds or else the whole member's
+        checksum. The end is -1 where the member has none."""
+        gap: tuple[int, str] | None = None
+        some = False
+        while member.at(at, 1):
+            try:
+                found, end = parse_record(member, at, self.with_payload)
+                more = member.at(end, 1)  # the member's checksum comes after its last record
+                if not (found.proven or member.whole()):
+                    raise Damaged(member.fault)
+            except Damaged as e:
+                gap = gap or (at, str(e))
+                at = next(self.marks(member, at + 1, False), -1)
+                if at < 0:
+                    break
+                continue
+            member.whole()
+            place = (member.start, -1 if member.end is None else member.end)
+            if gap:
+                yield Found(*place, gap[1], inner=gap[0], inner_end=at)
+            found.start, found.end, found.inner, found.inner_end = *place, at, end
+            some, gap, at = True, None, end
+            yield found
+            if not more:
+                break
+        if some and (gap or not member.whole()):
+            yield Found(member.start, -1 if member.end is None else member.end, gap[1] if gap else member.fault, inner=gap[0] if gap else at)
 
     def records(self) -> Iterator[Found]:
-        """Every valid record in order, and a gap for all that lies between."""
+        """Every valid record in order, and a gap for all that lies between.
+
+        A place without a valid record costs a look at its first bytes, or one
+        pass over what claims to be a record there."""
         pos = 0
         while pos < self.size:
+            start, reason, found = pos, None, None
+            for mark in self._places(pos):
+                try:
+                    found, pos = self._records_at(mark), mark
+                    break
+                except Damaged as e:
+                    reason = reason or str(e)
+            if found is None:
+                yield Found(start, self.size, reason)
+                return
+            if pos > start:
+                yield Found(start, pos, reason)
+            end = None
+            for x in found:
+                if x.end < 0:  # of a member without an end, which then reaches to the next valid place
+                    end = self._next_valid(x.start + 1) if end is None else end
+                    x.end = end
+                pos = x.end
+                yield x
+
+    def _next_valid(self, pos: int) -> int:
+        for mark in self.marks(self.plain, pos, self.gzipped):
             try:
-                found = self.one(pos)
-            except Damaged as e:
-                reason = str(e)
-                found = None
-                for mark in self.marks(pos + 1):
-                    try:
-                        found = self.one(mark)
-                        break
-                    except Damaged:
-                        continue
-                yield Found(pos, found.start if found else self.size, reason)
-                if not found:
-                    return
-            yield found
-            pos = found.end
+                self._records_at(mark)
+                return mark
+            except Damaged:
+                continue
+        return self.size
+
+    def _places(self, pos: int) -> Iterator[int]:
+        yield pos
+        yield from self.marks(self.plain, pos + 1, self.gzipped)
 
 
 def revisits(pages: DataFrame, id_col: str, payload: Column, least: int = LEAST) -> DataFrame:
@@ -217,15 +381,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write one record for each row of pages to .warc.gz archives in folder; (archive, records, bytes).
 
     Null payloads count as empty, null urls leave out the target header, null
-    ids are written as ids without text. Each task attempt writes files of its
-    own, and only archives in the result count. No rows make no archive."""
+    ids get a record id of their own kind, which reads back as null; repeated
+    rows repeat. Each task attempt writes files of its own, and only archives in
+    the result count. No rows make no archive."""
     spark = pages.sparkSession
     ship(spark)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     others = revisits(pages, id_col, payload, least).withColumnsRenamed({"id": "_id", "digest": "_digest"})
     decided = rows.join(others, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    decided = decided.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
+    decided = decided.select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
@@ -259,12 +424,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 def read_archives(spark: SparkSession, folder: str, archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records and gaps of the named archives in folder.
 
-    (archive, start, end, reason, record_type, key, url, refers_to,
-    payload_bytes, payload_digest, payload); reason is null for a record and
-    says for a gap which check failed. A revisit's payload_bytes and digest are
-    those of the payload it stands for. An empty archive has no rows."""
+    (archive, start, end, inner, inner_end, reason, record_type, key, url,
+    refers_to, payload_bytes, payload_digest, payload); reason is null for a
+    record and says for a gap which check failed. A revisit's payload_bytes and
+    digest are those of the payload it stands for. An empty archive has no rows;
+    repeated names count once."""
     ship(spark)
-    schema = "archive string, start bigint, end bigint, reason string, record_type string, key string, url string, refers_to string, payload_bytes bigint, payload_digest string, payload binary"
+    schema = "archive string, start bigint, end bigint, inner bigint, inner_end bigint, reason string, record_type string, key string, url string, refers_to string, payload_bytes bigint, payload_digest string, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +440,10 @@ def read_archives(spark: SparkSession, folder: str, archives: DataFrame, with_pa
                 size = store.get_file_info(f"{base}/{name}").size
                 with store.open_input_file(f"{base}/{name}") as handle:
                     rows, held = [], 0
-                    for x in Archive(handle, size, name.endswith(".gz")).records():
+                    for x in Archive(handle, size, name.endswith(".gz"), with_payload).records():
                         h = x.headers
-                        rows.append((name, x.start, x.end, x.reason, h.get("warc-type"), key_of(h.get("warc-record-id")), h.get("warc-target-uri"), key_of(h.get("warc-refers-to")), x.payload_bytes, x.payload_digest, x.payload if with_payload else None))
-                        held += len(x.payload) * with_payload + 500
+                        rows.append((name, x.start, x.end, x.inner, x.inner_end, x.reason, h.get("warc-type"), key_of(h.get("warc-record-id")), h.get("warc-target-uri"), key_of(h.get("warc-refers-to")), x.payload_bytes, x.payload_digest, x.payload if with_payload else None))
+                        held += len(x.payload) + 500
                         if held > 4 << 20:
                             yield batch_of(rows)
                             rows, held = [], 0
@@ -288,4 +454,12 @@ def read_archives(spark: SparkSession, folder: str, archives: DataFrame, with_pa
         kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows, strict=True), schema.split(", "), strict=True)], names)
 
-    return archives.select("archive").distinct().repartition("archive").mapInArrow(run, schema)
+    listed = archives.select("archive").distinct()
+    return listed.repartition(max(1, min(listed.count(), 10_000)), "archive").mapInArrow(run, schema)
+
+
+def salvage(spark: SparkSession, folder: str, archives: DataFrame, with_payload: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What read_archives finds, written: the records, and the log of quarantined gaps."""
+    both = written(read_archives(spark, folder, archives, with_payload), "warc-salvage")
+    gaps = both.where("reason IS NOT NULL").select("archive", "start", "end", "inner", "inner_end", "reason")
+    return both.where("reason IS NULL"), gaps

@@ -104,41 +104,60 @@ def template_words() -> list[tuple[int, str, str]]:
     return [(i, k, w) for i, (k, t) in enumerate(TEMPLATES) for w in re.findall(r"[^\W_]+", t.lower()) if w not in STOP]
 
 
-def can_match(words: Column) -> Column:
-    """Whether a unit can reach LEAST: no unit that does is left out.
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once, however often later columns and filters name it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
-    Words of no template weigh most, once each at least; the others weigh at
-    most that, and their squared counts are at most the square of their sum."""
-    known = F.size(F.filter(words, lambda w: w.isin(sorted({w for _, _, w in template_words()}))))
-    square = F.pow(known.cast("double"), 2)
-    return square * (1 - LEAST**2) >= LEAST**2 * (F.size(words) - known)
+
+def squares(words: Column) -> Column:
+    """The sum of the squared counts of the distinct words."""
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("s"))
+
+    def add(a: Column, w: Column) -> Column:
+        k = F.when(a["w"] == w, a["k"] + 1).otherwise(1)  # the k-th of its kind adds 2k - 1
+        return F.struct(w.alias("w"), k.alias("k"), (a["s"] + 2 * k - 1).alias("s"))
+
+    return F.aggregate(F.array_sort(words), start, add, lambda a: a["s"])
 
 
 def notice_units(files: DataFrame) -> DataFrame:
-    """(file, level, line, words) of what may be a notice; files are (file, text).
+    """(file, level, line, rest, known) of what may be a notice; files are (file, text).
 
     Levels: 0 lines that speak of a licence, 1 the HEADER lines from each on, 2
     paragraphs with such a line, 3 runs of two and more such paragraphs. line is
-    the line, the paragraph or the first paragraph of the run."""
+    the line, the paragraph or the first paragraph of the run. known are the
+    unit's words that templates have, rest the squared counts of its others. A
+    unit that can't reach LEAST is left out, and no other: words of no template
+    weigh most and once each at least, the others weigh at most that, and their
+    squared counts are at most the square of their number."""
     some = files.where(F.col("text").rlike(HINT))
-    lines = some.select("file", F.split("text", r"\R").alias("ls"))
-    told = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get("ls", i).rlike(HINT))
-    at = lines.select("file", F.explode(told).alias("line"), "ls")
-    single = at.select("file", F.lit(0).alias("level"), "line", words_of(F.get("ls", F.col("line"))).alias("words"))
-    header = at.select("file", F.lit(1).alias("level"), "line", words_of(F.array_join(F.slice("ls", F.col("line") + 1, HEADER), " ")).alias("words"))
-    paragraphs = some.select("file", F.posexplode(F.split("text", BETWEEN)).alias("line", "t")).where(F.col("t").rlike(HINT))
-    whole = paragraphs.select("file", F.lit(2).alias("level"), "line", words_of(F.col("t")).alias("words"))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("line"))
-    runs = paragraphs.withColumn("run", F.col("line") - place).groupBy("file", "run").agg(F.min("line").alias("line"), F.sort_array(F.collect_list(F.struct("line", "t"))).alias("ps")).where(F.size("ps") > 1)
-    block = runs.select("file", F.lit(3).alias("level"), "line", words_of(F.array_join(F.col("ps.t"), " ")).alias("words"))
-    units = single.union(header).union(whole).union(block)
-    return units.where((F.size("words") > 0) & can_match(F.col("words")))
-
-
-def _weights(tokens: DataFrame, keys: list[str], idf: DataFrame, rarest: Column) -> DataFrame:
-    """Rows of keys and word with their TF-IDF weight; words that idf lacks count as the rarest."""
+    some = _once(some, "ls", F.split("text", r"\R"))
+    some = _once(some, "ps", F.split("text", BETWEEN))
+    some = _once(some, "told", F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get("ls", i).rlike(HINT)))
+    some = _once(some, "flags", F.transform("ps", lambda p: p.rlike(HINT)))
+    flag = lambda i: F.coalesce(F.get("flags", i), F.lit(False))
+    every = F.sequence(F.lit(0), F.size("ps") - 1)
+    first = F.filter(every, lambda i: flag(i) & ((i == 0) | ~flag(i - 1)) & flag(i + 1))
+    last = F.filter(every, lambda i: flag(i) & (i > 0) & flag(i - 1) & ~flag(i + 1))
+    unit = lambda level, line, text: F.struct(F.lit(level).alias("level"), line.alias("line"), text.alias("t"))
+    units = F.concat(
+        F.transform("told", lambda i: unit(0, i, F.get("ls", i))),
+        F.transform("told", lambda i: unit(1, i, F.array_join(F.slice("ls", i + 1, HEADER), " "))),
+        F.transform(F.filter(every, flag), lambda i: unit(2, i, F.get("ps", i))),
+        F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda r: unit(3, r["a"], F.array_join(F.slice("ps", r["a"] + 1, r["b"] - r["a"] + 1), " "))),
+    )
+    rows = some.select("file", F.explode(units).alias("u")).select("file", "u.level", "u.line", "u.t")
+    rows = _once(rows, "words", words_of(F.col("t"))).drop("t")
+    vocabulary = sorted({w for _, _, w in template_words()})
+    rows = _once(rows, "known", F.filter("words", lambda w: w.isin(vocabulary)))
+    rows = rows.where((F.size("known") > 0) & (F.pow(F.size("known").cast("double"), 2) * (1 - LEAST**2) >= LEAST**2 * (F.size("words") - F.size("known"))))
+    return rows.select("file", "level", "line", squares(F.filter("words", lambda w: ~w.isin(vocabulary))).alias("rest"), "known")
+
+
+def _weights(tokens: DataFrame, keys: list[str], idf: DataFrame) -> DataFrame:
+    """Rows of keys and word with their TF-IDF weight."""
     tf = tokens.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.join(F.broadcast(idf), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rarest)).drop("idf")
+    return tf.join(F.broadcast(idf), "word").withColumn("w", F.col("tf") * F.col("idf")).drop("idf")
 
 
 def matched_notices(units: DataFrame) -> DataFrame:
@@ -151,18 +170,18 @@ def matched_notices(units: DataFrame) -> DataFrame:
     key = ["file", "level", "line"]
     template_tokens = spark.createDataFrame(template_words(), "template int, licence string, word string")
     own = template_tokens.select("template", "word").distinct()
-    tokens = written(units.select(*key, F.explode("words").alias("word")), "licence-tokens")
-    vocabulary = F.broadcast(own.select("word").distinct())
-    total = tokens.select(*key).distinct().count() + len(TEMPLATES)
-    seen = tokens.join(vocabulary, "word").select(*key, "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    units = written(units, "licence-units")
+    tokens = units.select(*key, "rest", F.explode("known").alias("word"))
+    total = units.count() + len(TEMPLATES)
+    seen = units.select(F.explode(F.array_distinct("known")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     in_templates = own.groupBy("word").agg(F.count(F.lit(1)).alias("m"))
     idf = in_templates.join(seen, "word", "left").select("word", (F.log((F.lit(total) + 1.0) / (F.coalesce("n", F.lit(0)) + F.col("m") + 1.0)) + 1.0).alias("idf"))
     idf = spark.createDataFrame(idf.collect(), idf.schema)  # at most the templates' words
     rarest = F.log((F.lit(total) + 1.0) / 2.0) + 1.0
-    t = _weights(template_tokens, ["template", "licence"], idf, rarest)
+    t = _weights(template_tokens, ["template", "licence"], idf)
     t = t.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))).select("template", "licence", "word", (F.col("w") / F.col("norm")).alias("u"))
-    d = _weights(tokens, key, idf, rarest)
-    norm = d.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    d = _weights(tokens, [*key, "rest"], idf)
+    norm = d.groupBy(*key, "rest").agg(F.sum(F.col("w") * F.col("w")).alias("s")).select(*key, F.sqrt(F.col("s") + F.col("rest") * rarest * rarest).alias("norm"))
     dot = d.join(F.broadcast(t), "word").groupBy(*key, "template", "licence").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
     score = F.round(F.col("dot") / F.col("norm"), 9)
     scored = dot.join(norm, key).withColumn("score", score).where(F.col("score") >= LEAST)
@@ -193,17 +212,16 @@ def licences(files: DataFrame, id_col: str, path: Column, text_col: str = "text"
     nothing; repeated rows repeat; other columns are ignored. No rows give no
     rows."""
     rows = files.select(F.col(id_col).alias("id"), path.cast("string").alias("path"), text_or_empty(text_col).alias("text"))
-    keyed = rows.withColumn("file", F.sha2(F.to_json(F.struct("path", F.col("id").cast("string").alias("id"), "text")), 256))
+    mark = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    keyed = rows.withColumn("file", F.substring(F.unhex(F.sha2(F.concat_ws("\0", mark("path"), mark("id"), "text"), 256)), 1, 16))
     notices = written(matched_notices(notice_units(keyed.select("file", "text"))), "licence-notices")
     first = F.struct(F.col("licence") == WEAKEST, -F.col("score"), "level", "line", "licence")
-    best = notices.groupBy("file").agg(F.min(first).alias("b")).select("file", F.col("b.licence").alias("licence"), (-F.col("b.col2")).alias("score"))
-    stated = keyed.where(F.col("text").rlike(SPDX)).select("file", F.regexp_extract("text", SPDX, 1).alias("stated")).distinct()
-    both = best.join(stated, "file", "full").select("file", F.coalesce("stated", "licence").alias("licence"), F.when(F.col("stated").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))
-    own = written(both, "licence-own")
+    own = written(notices.groupBy("file").agg(F.min(first).alias("b")).select("file", F.col("b.licence").alias("found"), (-F.col("b.col2")).alias("best")), "licence-own")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    solid = F.size(F.filter(F.split("text", r"\R"), lambda x: (F.trim(x) != "") & ~x.rlike(HINT))) == 0
-    narrow = written(keyed.select("file", "id", "path", directory(F.col("path")).alias("folder"), (name.rlike(FILE_NAME) | solid).alias("is_licence")), "licence-files")
-    with_own = narrow.join(own, "file", "left")
+    solid = F.col("text").rlike(HINT) & (F.size(F.filter(F.split("text", r"\R"), lambda x: (F.trim(x) != "") & ~x.rlike(HINT))) == 0)
+    stated = F.when(F.col("text").rlike(SPDX), F.regexp_extract("text", SPDX, 1)).alias("stated")
+    narrow = written(keyed.select("file", "id", "path", directory(F.col("path")).alias("folder"), (name.rlike(FILE_NAME) | solid).alias("is_licence"), stated), "licence-files")
+    with_own = narrow.join(own, "file", "left").withColumns({"licence": F.coalesce("stated", "found"), "score": F.when(F.col("stated").isNotNull(), 1.0).otherwise(F.col("best"))})
     holders = with_own.where("is_licence AND licence IS NOT NULL AND path IS NOT NULL").groupBy("folder").agg(F.min(F.struct("path", "licence", "score")).alias("h"))
     holders = written(holders.select(F.col("folder").alias("up"), F.col("h.licence").alias("h_licence"), F.col("h.score").alias("h_score")), "licence-folders")
     folders = written(narrow.where("folder IS NOT NULL").select("folder").distinct(), "licence-folder-list")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What a present finding without an edge, and at most any edge, counts.
@@ -52,3 +52,58 @@ def usable(findings: DataFrame) -> DataFrame:
     """Findings without those that are both present and absent."""
     both = findings.groupBy("case_id", "concept_id").agg(F.count_distinct("assertion").alias("n"), F.first("assertion").alias("assertion"))
     return both.where("n = 1").drop("n")
+
+
+def log_part(weight: Column) -> Column:
+    """What a present finding adds to a condition's score; without an edge it counts as LEAK."""
+    return F.log(F.greatest(F.least(F.coalesce(weight, F.lit(LEAK)), F.lit(CAP)), F.lit(LEAK)))
+
+
+def contributions(present: DataFrame, edges: DataFrame, strong: float = 0.65) -> DataFrame:
+    """(case_id, condition_id, concept_id, kind, part) of present(case_id, condition_id, concept_id).
+
+    kind is strong, weak or none, by the edge's weight; the parts of a case add
+    up to its score for the condition."""
+    found = present.join(edges, ["condition_id", "concept_id"], "left")
+    kind = F.when(F.col("weight").isNull(), "none").when(F.col("weight") >= strong, "strong").otherwise("weak")
+    return found.select("case_id", "condition_id", "concept_id", kind.alias("kind"), log_part(F.col("weight")).alias("part"))
+
+
+def occlusion(present: DataFrame, edges: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(case_id, concept_id, condition_id, effect): by how much a finding raises a condition's log-odds.
+
+    Each case is scored with all its findings and without each single one; the
+    effect is the difference of the log-odds of the softmax over conditions."""
+    parts = present.select("case_id", "concept_id").crossJoin(F.broadcast(conditions.select("condition_id"))).join(edges, ["condition_id", "concept_id"], "left")
+    parts = parts.select("case_id", "concept_id", "condition_id", log_part(F.col("weight")).alias("part"))
+    whole = F.sum("part").over(Window.partitionBy("case_id", "condition_id"))
+    variant = Window.partitionBy("case_id", "concept_id")
+
+    def log_odds(score: Column) -> Column:
+        top = F.max(score).over(variant)
+        own = F.exp(score - top)
+        return F.log(own) - F.log(F.sum(own).over(variant) - own)
+
+    both = parts.withColumn("whole", whole).withColumn("less", F.col("whole") - F.col("part"))
+    return both.select("case_id", "concept_id", "condition_id", (log_odds(F.col("whole")) - log_odds(F.col("less"))).alias("effect"))
+
+
+def crosswalk_problems(edges: DataFrame, specs: DataFrame, conditions: int) -> DataFrame:
+    """(concept_id, problem): every way in which a mapped concept breaks the rules, one row each."""
+    code, value = F.substring_index("concept_id", "_@_", 1), F.when(F.contains("concept_id", F.lit("_@_")), F.substring_index("concept_id", "_@_", -1))
+    k = edges.groupBy("concept_id").agg(F.count_distinct("condition_id").alias("n_conditions"), F.count_distinct("source").alias("n_sources"))
+    k = k.withColumns({"code": code, "value": value}).join(F.broadcast(specs.select("code", "default_value", F.lit(True).alias("known"))), "code", "left")
+    tests = [("unknown code", F.col("known").isNull()), ("default value", F.col("value") == F.col("default_value")), ("one source", F.col("n_sources") == 1), ("some conditions only", F.col("n_conditions") < conditions)]
+    return k.select("concept_id", F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))).alias("problem"))
+
+
+def path_scores(present: DataFrame, edges: DataFrame) -> DataFrame:
+    """(case_id, condition_id, score): what the paths from findings to a condition add up to."""
+    return present.join(edges, "concept_id").groupBy("case_id", "condition_id").agg(F.sum(log_part(F.col("weight")) - F.log(F.lit(LEAK))).alias("score"))
+
+
+def differential(a: DataFrame, b: DataFrame, keys: list[str], value: str, part: str, tolerance: float = 1e-9) -> DataFrame:
+    """(part, compared, differing, most) of two stores' rows: rows of one side only differ."""
+    both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full")
+    gap = F.abs(F.col("_a") - F.col("_b"))
+    return both.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("compared"), F.count_if(gap.isNull() | (gap > tolerance)).alias("differing"), F.round(F.max(gap), 6).alias("most"))

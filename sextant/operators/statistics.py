@@ -11,26 +11,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def poisson_bootstrap(pairs: DataFrame, key: str, num: str, den: str, resamples: int = 200, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
-    """Percentile interval of a ratio of sums: each case counts Poisson(1) times in each resample.
-
-    The counts come from a hash of key and resample, so every metric and every
-    partitioning sees the same resamples. This is the estimator that scales; it
-    differs from drawing n cases with replacement."""
-    u = (F.xxhash64(F.col(key), F.lit(seed), F.col("b")).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
-    edges, total, term = [], 0.0, math.exp(-1)
+def poisson_steps() -> list[float]:
+    """The distribution function of a Poisson count of mean 1, at 0 to 11."""
+    out, total, term = [], 0.0, math.exp(-1)
     for k in range(12):
         total += term
-        edges.append(total)
+        out.append(total)
         term /= k + 1
-    weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    rows = pairs.select(*by, key, num, den, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("w", weight)
+    return out
+
+
+def resampled(rows: DataFrame, key: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+    """Each row once for each resample b, with the count w that its key has there.
+
+    An MD5 of key, seed and b / 4 gives four counts, so every metric, every
+    partitioning and any other engine sees the same resamples. The rows are made
+    and summed within a task; only sums by resample are shuffled."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.col("_c").cast("string")))
+    drawn = rows.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(resamples // 4 - 1)))).withColumn("_d", digest)
+    drawn = drawn.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    u = F.conv(F.substring(F.col("_d"), 1 + 8 * F.col("_j"), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    weight = sum((F.when(F.col("_u") >= e, 1).otherwise(0) for e in poisson_steps()), F.lit(0))
+    return drawn.withColumn("b", F.col("_c") * 4 + F.col("_j")).withColumn("_u", u).withColumn("w", weight).drop("_c", "_d", "_j", "_u")
+
+
+def poisson_bootstrap(pairs: DataFrame, key: str, num: str, den: str, resamples: int = 200, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """Percentile interval of a ratio of sums: each case counts Poisson(1) times in each resample.
+
+    This is the estimator that scales; it differs from drawing n cases with
+    replacement."""
+    rows = resampled(pairs.select(*by, key, num, den), key, resamples, seed)
     each = rows.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("w") * F.col(num)), F.sum(F.col("w") * F.col(den))).alias("r"))
     point = pairs.groupBy(*by).agg(F.try_divide(F.sum(num), F.sum(den)).alias("value"))
     ends = each.groupBy(*by).agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
     return point.join(ends, list(by)) if by else point.crossJoin(ends)
 
 
+def kappa_interval(graded: DataFrame, query: str, a: str, b: str, grades: int = 3, weights: str = "none", resamples: int = 200, seed: int = 42) -> DataFrame:
+    """(value, low, high) of Cohen's kappa, the interval by resampling queries with all their rows."""
+    gap = F.abs(F.col("i") - F.col("j")) / (grades - 1)
+    cost = {"none": (F.col("i") != F.col("j")).cast("double"), "linear": gap, "quadratic": gap * gap}[weights]
+    cells = graded.groupBy(F.col(query).alias("q"), F.col(a).alias("i"), F.col(b).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    drawn = resampled(cells, "q", resamples, seed).withColumn("n", F.col("n") * F.col("w")).select("b", "i", "j", "n")
+    drawn = drawn.union(cells.select(F.lit(-1), "i", "j", "n")).groupBy("b", "i", "j").agg(F.sum("n").alias("n"))
+    left, right = drawn.groupBy("b", "i").agg(F.sum("n").alias("ni")), drawn.groupBy("b", "j").agg(F.sum("n").alias("nj"))
+    grid = left.join(right, "b").join(drawn, ["b", "i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    each = grid.groupBy("b").agg((1 - F.try_divide(F.sum(cost * F.col("n")) * F.sum("n"), F.sum(cost * F.col("ni") * F.col("nj")))).alias("k"))
+    drawn_only = F.when(F.col("b") >= 0, F.col("k"))
+    return each.agg(F.max(F.when(F.col("b") < 0, F.col("k"))).alias("value"), F.percentile(drawn_only, 0.025).alias("low"), F.percentile(drawn_only, 0.975).alias("high"))
+
+
 def bootstrap(num: np.ndarray, den: np.ndarray, resamples: int = 1000, seed: int = 42) -> tuple[float, float, float]:
     """The exact resampling of two reduced columns, in chunks of bounded size."""
     rng, n, out = np.random.default_rng(seed), len(num), []

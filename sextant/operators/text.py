@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The words that queries and passages leave out, and BM25's constants.
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+STOPWORDS = """
+    an and are as at be been being but by can could did do does for from had has have he her
+    his how if in into is it its may might more most no nor not of on or our she should so such
+    than that the their them then there these they this those to was we were what when where
+    which while who whom why will with would you your
+""".split()
 K1, B = 1.2, 0.75
 
 
@@ -77,3 +82,19 @@ def windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     rows = docs.select("doc", w.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - size) / step).cast("int")))
     return rows.select("doc", F.explode(starts).alias("chunk"), "w").select("doc", "chunk", F.array_join(F.slice("w", F.col("chunk") * step + 1, size), " ").alias("text"))
+
+
+def overlapping(rows: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs whose sets of words have at least the similarity, a < b.
+
+    Such sets share one of the first n - ceil(least * n) + 1 words of each in
+    any order that holds for all; rare words come first, so only pairs with one
+    of these in common meet."""
+    sets = rows.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(words(F.col(text_col)))).alias("term")).distinct()
+    often = sets.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ordered = sets.join(often, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("o"))
+    ordered = ordered.select("id", F.transform("o", lambda x: x["term"]).alias("w"))
+    head = ordered.select("id", F.explode(F.slice("w", F.lit(1), (F.size("w") - F.ceil(F.size("w") * least - 1e-9) + 1).cast("int"))).alias("term"))
+    met = head.withColumnRenamed("id", "a").join(head.withColumnRenamed("id", "b"), "term").where("a < b").select("a", "b").distinct()
+    both = met.join(ordered.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(ordered.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    return both.select("a", "b", (F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))).alias("jaccard")).where(F.col("jaccard") >= least)

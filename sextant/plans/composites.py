@@ -11,6 +11,8 @@ from sextant.operators import ranking as R
 from sextant.operators import text as X
 from sextant.plans import standin as S
 from sextant.plans.registry import N, query
+from sextant.plans.graph import GAIN_SQL, gains
+from sextant.plans.retrieval import words_sql
 from sextant.plans.tokens import FINDINGS, findings
 
 
@@ -119,11 +121,16 @@ def token_mask(t):
     return m.where("first OR k <= 2").select("case_id", "raw")
 
 
-@query("wn12_next_questions", "SELECT c_nationkey, c_custkey, k FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(printf('%.9e', c_acctbal / 7) AS DOUBLE) DESC, c_custkey) AS k FROM customer) WHERE k <= 3")
+@query("wn12_next_questions", S.with_graph(f""", {GAIN_SQL}, settled AS (SELECT DISTINCT case_id, split_part(raw, '_@_', 1) AS code FROM tok WHERE case_id % 2 = 0),
+    n AS (SELECT g.case_id, g.concept_id, round(gain, 9) + 0.0 AS gain FROM gains g LEFT JOIN settled s ON s.case_id = g.case_id AND s.code = split_part(g.concept_id, '_@_', 1) WHERE s.code IS NULL)
+    SELECT case_id, concept_id, k FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY gain DESC, concept_id) AS k FROM n) WHERE k <= 2"""))
 def next_questions(t):
-    gain = F.format_string("%.9e", F.col("c_acctbal") / 7).cast("double")
-    c = t.customer.withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(gain.desc(), "c_custkey")))
-    return c.where("k <= 3").select("c_nationkey", "c_custkey", "k")
+    """The two questions of most gain; a case whose code is answered, here in every other one, isn't asked it."""
+    settled = S.tokens(t).where("case_id % 2 = 0").select("case_id", F.substring_index("raw", "_@_", 1).alias("code")).distinct()
+    open_ = gains(t).withColumn("code", F.substring_index("concept_id", "_@_", 1)).join(settled, ["case_id", "code"], "left_anti")
+    open_ = open_.withColumn("gain", F.round("gain", 9) + 0.0)
+    k = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("gain"), "concept_id"))
+    return open_.select("case_id", "concept_id", k.alias("k")).where("k <= 2")
 
 
 @query("wn13_contribution_sort", S.with_graph(", x AS (SELECT condition_id, concept_id, ln(greatest(least(weight, 0.9), 0.01)) AS part FROM strongest) SELECT condition_id, concept_id, row_number() OVER (PARTITION BY condition_id ORDER BY abs(part) DESC, concept_id) AS k FROM x"))
@@ -132,7 +139,10 @@ def contribution_sort(t):
     return e.select("condition_id", "concept_id", F.row_number().over(Window.partitionBy("condition_id").orderBy(F.abs("part").desc(), "concept_id")).alias("k"))
 
 
-@query("rt04_excerpt")
+@query("rt04_excerpt", rf"""WITH q AS (SELECT DISTINCT unnest({words_sql('text')}) AS term FROM benchmark), d AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS pos, unnest(s) AS sentence FROM d), w AS (SELECT doc_id, pos, unnest(list_distinct({words_sql('sentence')})) AS term FROM s),
+    h AS (SELECT doc_id, pos, count(*) AS n FROM w JOIN q USING (term) GROUP BY ALL), b AS (SELECT doc_id, pos FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) = 1)
+    SELECT doc_id, pos, sentence FROM s JOIN b USING (doc_id, pos)""")
 def excerpt(t):
     """Each text's sentence with the most benchmark words; the first of equals."""
     words = t.benchmark.select(F.explode(X.words(F.col("text"))).alias("term")).distinct()

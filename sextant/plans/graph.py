@@ -88,10 +88,11 @@ def nb_score(t):
     return S.kg_scores(t).withColumn("kg", F.round("kg", 6))
 
 
-@query("kg08_contributions", S.with_graph("SELECT t.case_id, s.condition_id, t.raw AS concept_id, round(ln(greatest(least(s.weight, 0.9), 0.01)), 6) AS part FROM tok t JOIN strongest s ON s.concept_id = t.raw WHERE s.condition_id = '1-URGENT'"))
+@query("kg08_contributions", with_edges(f""", {S.STRONGEST} SELECT t.case_id, c.truth AS condition_id, t.raw AS concept_id, CASE WHEN s.weight IS NULL THEN 'none' WHEN s.weight >= 0.65 THEN 'strong' ELSE 'weak' END AS kind,
+    round(ln(greatest(least(coalesce(s.weight, 0.01), 0.9), 0.01)), 6) AS part FROM tok t JOIN cases c USING (case_id) LEFT JOIN strongest s ON s.concept_id = t.raw AND s.condition_id = c.truth"""))
 def contributions(t):
-    e = G.strongest_edges(S.edges(t)).where("condition_id = '1-URGENT'")
-    return S.tokens(t).join(F.broadcast(e), F.col("raw") == F.col("concept_id")).select("case_id", "condition_id", "concept_id", F.round(F.log(F.greatest(F.least("weight", F.lit(G.CAP)), F.lit(G.LEAK))), 6).alias("part"))
+    present = S.tokens(t).join(S.cases(t).select("case_id", F.col("truth").alias("condition_id")), "case_id").withColumnRenamed("raw", "concept_id")
+    return G.contributions(present, G.strongest_edges(S.edges(t))).withColumn("part", F.round("part", 6))
 
 
 @query("ag13_hypothesis_scores", S.with_graph(""", h AS (SELECT DISTINCT raw AS hypothesis FROM tok)
@@ -133,17 +134,25 @@ def expected_order(t):
     return S.edges(t).select("condition_id", "concept_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("condition_id").orderBy(late, "concept_id")))
 
 
-@query("kg11_question_gain", S.with_graph(""", post AS (SELECT case_id, condition_id, exp(kg - max(kg) OVER (PARTITION BY case_id)) AS u FROM kg), pp AS (SELECT case_id, condition_id, u / sum(u) OVER (PARTITION BY case_id) AS p FROM post),
-    q AS (SELECT pp.case_id, s.concept_id, sum(p * s.weight) AS yes, sum(p * (s.weight * log2(s.weight) + (1 - s.weight) * log2(1 - s.weight))) AS neg FROM pp JOIN strongest s USING (condition_id) WHERE s.concept_id LIKE 'E_1%' GROUP BY ALL HAVING count(*) = 5)
-    SELECT case_id, concept_id, round(neg - (yes * log2(yes) + (1 - yes) * log2(1 - yes)), 6) AS gain FROM q"""))
-def question_gain(t):
+GAIN_SQL = """post AS (SELECT case_id, condition_id, exp(kg - max(kg) OVER (PARTITION BY case_id)) AS u FROM kg), pp AS (SELECT case_id, condition_id, u / sum(u) OVER (PARTITION BY case_id) AS p FROM post),
+    q AS (SELECT pp.case_id, s.concept_id, sum(p * s.weight) AS yes, sum(p * (s.weight * log2(s.weight) + (1 - s.weight) * log2(1 - s.weight))) AS neg FROM pp JOIN strongest s USING (condition_id) WHERE s.concept_id LIKE 'E_1%' GROUP BY ALL HAVING count(*) = 5),
+    gains AS (SELECT case_id, concept_id, neg - (yes * log2(yes) + (1 - yes) * log2(1 - yes)) AS gain FROM q)"""
+
+
+def gains(t):
+    """(case_id, concept_id, gain): the mutual information of each question's answer and the condition, in bits."""
     w = Window.partitionBy("case_id")
     u = F.exp(F.col("kg") - F.max("kg").over(w))
     post = S.kg_scores(t).withColumn("u", u).withColumn("p", F.col("u") / F.sum("u").over(w))
     bits = lambda x: x * F.log2(x) + (1 - x) * F.log2(1 - x)
     e = G.strongest_edges(S.edges(t)).where(F.col("concept_id").startswith("E_1"))
     q = post.join(F.broadcast(e), "condition_id").groupBy("case_id", "concept_id").agg(F.sum(F.col("p") * F.col("weight")).alias("yes"), F.sum(F.col("p") * bits(F.col("weight"))).alias("neg"), N.alias("n")).where("n = 5")
-    return q.select("case_id", "concept_id", F.round(F.col("neg") - bits(F.col("yes")), 6).alias("gain"))
+    return q.select("case_id", "concept_id", (F.col("neg") - bits(F.col("yes"))).alias("gain"))
+
+
+@query("kg11_question_gain", S.with_graph(f", {GAIN_SQL} SELECT case_id, concept_id, round(gain, 6) AS gain FROM gains"))
+def question_gain(t):
+    return gains(t).withColumn("gain", F.round("gain", 6))
 
 
 @query("kg12_entropy_bits", S.with_outcomes("SELECT case_id, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS bits FROM o GROUP BY case_id"))
@@ -176,9 +185,11 @@ def systems(t):
     return hits.groupBy("system").agg(F.round(F.avg((F.col("rank") == 1).cast("double")), 6).alias("top1"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))
 
 
-@query("kg20_crosswalk_validation", with_edges("SELECT concept_id, 'no condition' AS problem FROM edges GROUP BY concept_id HAVING count(DISTINCT condition_id) = 0 UNION ALL SELECT concept_id, 'one source' FROM edges GROUP BY concept_id HAVING count(DISTINCT source) = 1"))
+@query("kg20_crosswalk_validation", with_edges(f""", {S.SPECS}, k AS (SELECT concept_id, split_part(concept_id, '_@_', 1) AS code, split_part(concept_id, '_@_', 2) AS val, count(DISTINCT condition_id) AS conditions, count(DISTINCT source) AS sources FROM edges GROUP BY concept_id)
+    SELECT concept_id, 'unknown code' AS problem FROM k WHERE code NOT IN (SELECT code FROM specs) UNION ALL SELECT concept_id, 'default value' FROM k JOIN specs USING (code) WHERE val = default_value
+    UNION ALL SELECT concept_id, 'one source' FROM k WHERE sources = 1 UNION ALL SELECT concept_id, 'some conditions only' FROM k WHERE conditions < 5"""))
 def validation(t):
-    return S.edges(t).groupBy("concept_id").agg(F.count_distinct("source").alias("n")).where("n = 1").select("concept_id", F.lit("one source").alias("problem"))
+    return G.crosswalk_problems(S.edges(t), S.specs(t), len(S.PRIORITIES))
 
 
 @query("kg22_wide_matrices", S.with_outcomes("SELECT case_id, " + ", ".join(f"round(max(CASE WHEN ord = {i} THEN p END), 6) AS c{i}" for i in range(1, 6)) + " FROM o GROUP BY case_id"))
@@ -187,11 +198,18 @@ def wide(t):
     return m.withColumnsRenamed({str(i): f"c{i}" for i in range(1, 6)})
 
 
-@query("st15_store_differential", with_edges("SELECT 'closed' AS only_in, condition_id, concept_id FROM (SELECT condition_id, concept_id FROM edges WHERE source = 'closed' EXCEPT SELECT condition_id, concept_id FROM edges WHERE source = 'open') UNION ALL SELECT 'open', condition_id, concept_id FROM (SELECT condition_id, concept_id FROM edges WHERE source = 'open' EXCEPT SELECT condition_id, concept_id FROM edges WHERE source = 'closed')"))
+@query("st15_store_differential", with_edges(f""", e2 AS (SELECT condition_id, concept_id, source, CASE WHEN source = 'closed' THEN weight ELSE weight / 2 END AS weight FROM edges WHERE NOT (source = 'open' AND concept_id = 'E_2')),
+    f AS (SELECT t.case_id, e.condition_id, sum(ln(greatest(least(e.w, 0.9), 0.01)) - ln(0.01)) AS score FROM tok t JOIN (SELECT condition_id, concept_id, max(weight) AS w FROM edges GROUP BY ALL) e ON e.concept_id = t.raw GROUP BY ALL),
+    g AS (SELECT t.case_id, e.condition_id, sum(ln(greatest(least(e.w, 0.9), 0.01)) - ln(0.01)) AS score FROM tok t JOIN (SELECT condition_id, concept_id, max(weight) AS w FROM e2 GROUP BY ALL) e ON e.concept_id = t.raw GROUP BY ALL)
+    SELECT 'scores' AS part, count(*) AS compared, count(*) FILTER (f.score IS NULL OR g.score IS NULL OR abs(f.score - g.score) > 1e-9) AS differing, round(max(abs(f.score - g.score)), 6) AS most FROM f FULL JOIN g USING (case_id, condition_id)
+    UNION ALL SELECT 'paths', count(*), count(*) FILTER (a.weight IS NULL OR b.weight IS NULL OR abs(a.weight - b.weight) > 1e-9), round(max(abs(a.weight - b.weight)), 6) FROM edges a FULL JOIN e2 b USING (condition_id, concept_id, source)"""))
 def differential(t):
+    """The graph against a second store of it that lost an edge and halved others, as a load that went wrong."""
     e = S.edges(t)
-    a, b = (e.where(F.col("source") == x).select("condition_id", "concept_id") for x in ("closed", "open"))
-    return a.exceptAll(b).select(F.lit("closed").alias("only_in"), "*").union(b.exceptAll(a).select(F.lit("open").alias("only_in"), "*"))
+    other = e.where("NOT (source = 'open' AND concept_id = 'E_2')").withColumn("weight", F.when(F.col("source") == "closed", F.col("weight")).otherwise(F.col("weight") / 2))
+    present = S.tokens(t).withColumnRenamed("raw", "concept_id")
+    scores = [G.path_scores(present, G.strongest_edges(x)) for x in (e, other)]
+    return G.differential(*scores, ["case_id", "condition_id"], "score", "scores").union(G.differential(e, other, ["condition_id", "concept_id", "source"], "weight", "paths"))
 
 
 @query("st17_graph_fingerprint", with_edges("SELECT sha256(string_agg(r, chr(10) ORDER BY r)) AS fingerprint FROM (SELECT condition_id || '|' || concept_id || '|' || source AS r FROM edges)"))

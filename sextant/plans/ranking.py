@@ -85,8 +85,8 @@ def hash_sample(t):
 
 
 @query("wn18_rank_without_class", S.with_outcomes("""
-    SELECT o.case_id, o.condition_id, CAST(o.rank - CASE WHEN x.rank < o.rank THEN 1 ELSE 0 END AS BIGINT) AS rank
-    FROM o JOIN o x ON x.case_id = o.case_id AND x.condition_id = '3-MEDIUM' WHERE o.condition_id <> '3-MEDIUM'"""))
+    , x AS (SELECT case_id, condition_id, rank, max(CASE WHEN condition_id = '3-MEDIUM' THEN rank END) OVER (PARTITION BY case_id) AS cut FROM o)
+    SELECT case_id, condition_id, CAST(rank - CASE WHEN cut < rank THEN 1 ELSE 0 END AS BIGINT) AS rank FROM x WHERE condition_id <> '3-MEDIUM'"""))
 def without_class(t):
     return R.rank_without(S.outcomes(t), "3-MEDIUM").select("case_id", "condition_id", F.col("rank").cast("long").alias("rank"))
 

@@ -46,9 +46,8 @@ def mention(t):
     return t.documents.groupBy("source").agg(F.count_if(X.mentions(F.col("text"), F.lit("idiot"))).alias("n"))
 
 
-@query("rt03_sentence_spans")
+@query("rt03_sentence_spans", r"""SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([\p{Lu}0-9(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents WHERE text IS NOT NULL)""")
 def sentences(t):
-    """Java's look-behind; DuckDB's expressions have none."""
     parts = F.split("text", r"(?<=[.!?])\s+(?=[\p{Lu}0-9(\[])")
     return t.documents.select("doc_id", F.posexplode(parts).alias("pos", "sentence"))
 
@@ -182,11 +181,9 @@ def consensus(t):
     return g.select("doc_id", F.when((F.col("a") == F.col("b")) | settled, F.col("a")).alias("grade"), ((F.col("a") != F.col("b")) & ~settled).alias("open"))
 
 
-@query("rt24_jn20_word_overlap", f"WITH b AS (SELECT item_id, list_distinct({words_sql('text')}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM b a JOIN b ON a.item_id < b.item_id")
+@query("rt24_jn20_word_overlap", f"WITH b AS (SELECT item_id, list_distinct({words_sql('text')}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM b a JOIN b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) >= 0.1 * len(list_distinct(list_concat(a.w, b.w)))")
 def word_overlap(t):
-    w = t.benchmark.select("item_id", F.array_distinct(X.words(F.col("text"))).alias("w"))
-    a, b = w.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), w.select(F.col("item_id").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")), 6).alias("jaccard"))
+    return X.overlapping(t.benchmark, "item_id", "text", 0.1).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("rt25_search_terms", "SELECT r_regionkey, '(' || string_agg(n_name || '[ti]', ' OR ' ORDER BY n_name) || ') AND ' || r_name AS term FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")

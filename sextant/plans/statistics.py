@@ -19,14 +19,30 @@ def both(t):
     return M.of_truth(R.rank_scores(S.outcomes(t), "p", first=F.col("flagged"), name="r2"))
 
 
-@query("st01_bootstrap_ratio_ci")
+def drawn_sql(rows: str, key: str) -> str:
+    """SQL for resampled(): rows has the key and more columns; the result adds b and w."""
+    steps = " + ".join(f"CASE WHEN u >= {e!r}::DOUBLE THEN 1 ELSE 0 END" for e in T.poisson_steps())
+    return f"""SELECT *, {steps} AS w FROM (SELECT * EXCLUDE (xc, xd, xj), xc * 4 + xj AS b, ('0x' || substr(xd, CAST(1 + 8 * xj AS INT), 8))::UBIGINT / 4294967296.0::DOUBLE AS u
+        FROM (SELECT *, md5({key} || ':42:' || xc) AS xd FROM ({rows}) CROSS JOIN range(50) x(xc)) CROSS JOIN range(4) y(xj))"""
+
+
+def interval_sql(rows: str, by: str = "") -> str:
+    """SQL for poisson_bootstrap() of rows with case_id, num and den."""
+    group, using = (f"GROUP BY {by}", f"JOIN e USING ({by})") if by else ("", "CROSS JOIN e")
+    cols = f"{by}, " if by else ""
+    return f"""pairs AS ({rows}), r AS (SELECT {cols}b, sum(w * num) / nullif(sum(w * den), 0) AS r FROM ({drawn_sql("SELECT * FROM pairs", "case_id")}) GROUP BY {cols}b),
+        e AS (SELECT {cols}quantile_cont(r, 0.025) AS low, quantile_cont(r, 0.975) AS high FROM r {group}), v AS (SELECT {cols}sum(num) / sum(den) AS value FROM pairs {group}),
+        ci AS (SELECT v.*, low, high FROM v {using})"""
+
+
+@query("st01_bootstrap_ratio_ci", S.with_outcomes(", " + interval_sql("SELECT case_id, seg, CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM o WHERE condition_id = truth", "seg") + " SELECT seg, value, low, high FROM ci"))
 def bootstrap_ci(t):
-    """Hash-drawn Poisson resamples; rows only, as SQL lacks the hash."""
+    """Hash-drawn Poisson resamples."""
     pairs = both(t).select("case_id", "seg", (F.col("rank") <= 3).cast("double").alias("num"), F.lit(1.0).alias("den"))
     return T.poisson_bootstrap(pairs, "case_id", "num", "den", by=("seg",))
 
 
-@query("st02_binned_gap_ci")
+@query("st02_binned_gap_ci", S.with_outcomes(", " + interval_sql("SELECT case_id, least(CAST(floor(p * 10) AS INT), 9) AS bin, p - CASE WHEN condition_id = truth THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM o WHERE rank = 1", "bin") + " SELECT bin, value, low, high FROM ci"))
 def binned_gap(t):
     top = S.outcomes(t).where("rank = 1").withColumn("bin", F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int"))
     pairs = top.select("case_id", "bin", (F.col("p") - M.hit().cast("double")).alias("num"), F.lit(1.0).alias("den"))
@@ -44,7 +60,7 @@ def mcnemar_p(t):
     return t.spark.createDataFrame([(c["only_a"], c["only_b"], T.mcnemar(c["only_a"], c["only_b"]))], "only_a long, only_b long, p double")
 
 
-@query("st04_paired_difference_ci")
+@query("st04_paired_difference_ci", S.with_outcomes(FLAG_FIRST + ", " + interval_sql("SELECT case_id, CASE WHEN r2 <= 3 THEN 1.0::DOUBLE ELSE 0 END - CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM h") + " SELECT value, low, high, low > 0 OR high < 0 AS excludes_zero FROM ci"))
 def paired_difference(t):
     pairs = both(t).select("case_id", ((F.col("r2") <= 3).cast("double") - (F.col("rank") <= 3).cast("double")).alias("num"), F.lit(1.0).alias("den"))
     return T.poisson_bootstrap(pairs, "case_id", "num", "den").withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
@@ -172,10 +188,18 @@ def complexity(t):
     return t.part.groupBy(w.alias("width")).agg(N.alias("n")).withColumn("parameters", F.col("width") * F.col("width") * 4 + F.col("width") * 4)
 
 
-@query("ml14_occlusion_reasons", S.with_graph(", b AS (SELECT case_id, kg FROM kg WHERE condition_id = '2-HIGH') SELECT t.case_id, t.raw AS concept_id, round(kg - (kg - ln(greatest(least(coalesce(s.weight, 0.01), 0.9), 0.01))), 6) AS effect FROM tok t JOIN b USING (case_id) LEFT JOIN strongest s ON s.concept_id = t.raw AND s.condition_id = '2-HIGH'"))
+@query("ml14_occlusion_reasons", f"""WITH {S.PRI}, {S.CASES}, {S.TOK}, {S.EDGES}, {S.STRONGEST}, few AS (SELECT case_id, truth FROM cases WHERE seg = 'BUILDING'),
+    x AS (SELECT t.case_id, t.raw AS concept_id, p.condition_id, ln(greatest(least(coalesce(s.weight, 0.01), 0.9), 0.01)) AS part FROM tok t JOIN few USING (case_id) CROSS JOIN pri p LEFT JOIN strongest s ON s.condition_id = p.condition_id AND s.concept_id = t.raw),
+    y AS (SELECT *, sum(part) OVER (PARTITION BY case_id, condition_id) AS whole FROM x),
+    z AS (SELECT *, exp(whole - max(whole) OVER v) AS a, exp(whole - part - max(whole - part) OVER v) AS b FROM y WINDOW v AS (PARTITION BY case_id, concept_id)),
+    e AS (SELECT case_id, concept_id, condition_id, ln(a) - ln(sum(a) OVER v - a) - (ln(b) - ln(sum(b) OVER v - b)) AS effect FROM z WINDOW v AS (PARTITION BY case_id, concept_id))
+    SELECT case_id, concept_id, round(effect, 6) AS effect FROM e JOIN few USING (case_id) WHERE condition_id = truth""")
 def occlusion(t):
-    e = S.G.strongest_edges(S.edges(t)).where("condition_id = '2-HIGH'").select(F.col("concept_id").alias("raw"), "weight")
-    return S.tokens(t).join(F.broadcast(e), "raw", "left").select("case_id", F.col("raw").alias("concept_id"), F.round(F.log(F.greatest(F.least(F.coalesce("weight", F.lit(0.01)), F.lit(0.9)), F.lit(0.01))), 6).alias("effect"))
+    """The effect of each finding on the case's own condition, of one segment's cases."""
+    few = S.cases(t).where("seg = 'BUILDING'").select("case_id", F.col("truth").alias("condition_id"))
+    present = S.tokens(t).join(few.select("case_id"), "case_id").withColumnRenamed("raw", "concept_id")
+    effects = S.G.occlusion(present, S.G.strongest_edges(S.edges(t)), S.conditions(t))
+    return effects.join(few, ["case_id", "condition_id"]).select("case_id", "concept_id", F.round("effect", 6).alias("effect"))
 
 
 @query("ml15_constant_ranker", S.with_outcomes("SELECT case_id, condition_id, ord AS rank FROM ml"))
@@ -193,3 +217,16 @@ def empty_probe(t):
 def alpha_source(t):
     arms, tuned = t.spark.createDataFrame([("A0",), ("A1",), ("A4",)], "arm string"), t.spark.createDataFrame([("A0", 0.05), ("A4", 0.05)], "arm string, alpha double")
     return arms.join(F.broadcast(tuned), "arm", "left").select("arm", F.coalesce("alpha", F.lit(0.5)).alias("alpha"), F.when(F.col("alpha").isNull(), "default").otherwise("tuned").alias("source"))
+
+
+@query("st09_kappa_interval", f"""WITH g AS (SELECT d.source AS q, l.quality + l.toxic AS i, CASE WHEN l.doc_id % 7 = 0 THEN 1 ELSE l.quality + l.toxic END AS j FROM labels l JOIN documents d USING (doc_id)),
+    c AS (SELECT q, i, j, count(*) AS n FROM g GROUP BY ALL), d AS (SELECT b, i, j, sum(n) AS n FROM (SELECT b, i, j, n * w AS n FROM ({drawn_sql("SELECT * FROM c", "q")}) UNION ALL SELECT -1, i, j, n FROM c) GROUP BY ALL),
+    l AS (SELECT b, i, sum(n) AS ni FROM d GROUP BY ALL), r AS (SELECT b, j, sum(n) AS nj FROM d GROUP BY ALL),
+    e AS (SELECT b, i, j, ni, nj, coalesce(n, 0) AS n, abs(i - j) / 2 AS gap FROM l JOIN r USING (b) LEFT JOIN d USING (b, i, j)),
+    k AS (SELECT b, 1 - sum(gap * n) * sum(n) / nullif(sum(gap * ni * nj), 0) AS k FROM e GROUP BY b)
+    SELECT round(max(k) FILTER (b < 0), 6) AS value, round(quantile_cont(k, 0.025) FILTER (b >= 0), 6) AS low, round(quantile_cont(k, 0.975) FILTER (b >= 0), 6) AS high FROM k""")
+def kappa_interval(t):
+    a = F.col("quality") + F.col("toxic")
+    g = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").select("source", a.alias("a"), F.when(F.col("doc_id") % 7 == 0, 1).otherwise(a).alias("b"))
+    k = T.kappa_interval(g, "source", "a", "b", 3, "linear")
+    return k.select(*[F.round(c, 6).alias(c) for c in ("value", "low", "high")])

@@ -98,3 +98,21 @@ def overlapping(rows: DataFrame, id_col: str, text_col: str, least: float) -> Da
     met = head.withColumnRenamed("id", "a").join(head.withColumnRenamed("id", "b"), "term").where("a < b").select("a", "b").distinct()
     both = met.join(ordered.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(ordered.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     return both.select("a", "b", (F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def retrieve(ranked: DataFrame, asked: DataFrame, k: int, screen: Column) -> DataFrame:
+    """(query, item, sentence, k): for each query the best k items whose excerpt passes the screen, one of each source.
+
+    ranked is (query, item, source, score, text), asked (query, term). The
+    excerpt is the sentence with most of the query's terms, the first of equals;
+    items without any are left out, and so are those whose excerpt the screen
+    (over the column sentence) holds for."""
+    order = [F.desc("score"), F.col("item")]
+    place = F.row_number().over(Window.partitionBy("query", "source").orderBy(*order))
+    best = ranked.withColumn("_k", place).where("_k = 1").drop("_k")
+    each = best.select("query", "item", "score", F.posexplode(F.split("text", r"\. ")).alias("pos", "sentence"))
+    terms = each.select("query", "item", "pos", F.explode(F.array_distinct(words(F.col("sentence")))).alias("term"))
+    hits = terms.join(asked.distinct(), ["query", "term"]).groupBy("query", "item", "pos").agg(F.count(F.lit(1)).alias("n"))
+    top = hits.groupBy("query", "item").agg(F.max_by("pos", F.struct("n", -F.col("pos"))).alias("pos"))
+    passed = each.join(top, ["query", "item", "pos"]).where(~screen)
+    return passed.select("query", "item", "sentence", F.row_number().over(Window.partitionBy("query").orderBy(*order)).alias("k")).where(F.col("k") <= k)

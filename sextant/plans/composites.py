@@ -12,7 +12,7 @@ from sextant.operators import text as X
 from sextant.plans import standin as S
 from sextant.plans.registry import N, query
 from sextant.plans.graph import GAIN_SQL, gains
-from sextant.plans.retrieval import words_sql
+from sextant.plans.retrieval import SENT, words_sql
 from sextant.plans.tokens import FINDINGS, findings
 
 
@@ -152,7 +152,10 @@ def excerpt(t):
     return s.join(best, ["doc_id", "pos"]).select("doc_id", "pos", "sentence")
 
 
-@query("rt18_article_passages")
+@query("rt18_article_passages", rf"""WITH {SENT}, d AS (SELECT *, regexp_matches(sentence, '[0-9@%$]') AS dirty FROM s), g AS (SELECT *, sum(CASE WHEN dirty THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS run FROM d),
+    r AS (SELECT doc || '-' || CAST(run AS BIGINT) AS doc, string_agg(sentence, ' ' ORDER BY pos) AS text FROM g WHERE NOT dirty GROUP BY g.doc, run HAVING length(string_agg(sentence, ' ' ORDER BY pos)) >= 150),
+    w AS (SELECT doc, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM r), c AS (SELECT doc, w, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 100) / 80) AS BIGINT)))) AS chunk FROM w WHERE len(w) > 0)
+    SELECT doc, chunk, array_to_string(w[chunk * 80 + 1 : chunk * 80 + 100], ' ') AS text FROM c""")
 def passages(t):
     """Clean runs of sentences, then overlapping windows of each."""
     s = t.documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\. ")).alias("pos", "sentence"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ["ranking", "metrics", "tokens", "graph", "fusion", "retrieval", "history", "language", "statistics", "sources", "composites"]
+MODULES = ["ranking", "metrics", "tokens", "graph", "fusion", "retrieval", "history", "language", "statistics", "sources", "composites", "decisions"]
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}

@@ -88,19 +88,19 @@ KG = """kg AS (SELECT c.case_id, p.ord, p.condition_id, round(coalesce(sum(CASE
 
 
 def ml_scores(t) -> DataFrame:
-    """(case_id, ord, condition_id, critical, p): shares of priorities among orders of the same status and segment."""
+    """(case_id, ord, condition_id, critical, p): shares of priorities among the customer's orders."""
     c = cases(t)
-    n = c.groupBy("sex", "seg", F.col("truth").alias("condition_id")).agg(F.count(F.lit(1)).alias("n"))
-    groups = c.select("sex", "seg").distinct().crossJoin(F.broadcast(conditions(t))).join(n, ["sex", "seg", "condition_id"], "left")
+    n = c.groupBy("custkey", F.col("truth").alias("condition_id")).agg(F.count(F.lit(1)).alias("n"))
+    groups = c.select("custkey").distinct().crossJoin(F.broadcast(conditions(t))).join(n, ["custkey", "condition_id"], "left")
     groups = groups.withColumn("n", F.coalesce("n", F.lit(0)))
-    share = groups.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("sex", "seg"))).drop("n")
-    return c.select("case_id", "sex", "seg").join(share, ["sex", "seg"]).select("case_id", "ord", "condition_id", "critical", "p")
+    share = groups.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("custkey"))).drop("n")
+    return c.select("case_id", "custkey").join(share, "custkey").select("case_id", "ord", "condition_id", "critical", "p")
 
 
-ML = """freq AS (SELECT sex, seg, truth AS condition_id, count(*) AS n FROM cases GROUP BY ALL),
+ML = """freq AS (SELECT custkey, truth AS condition_id, count(*) AS n FROM cases GROUP BY ALL),
     ml AS (SELECT case_id, ord, condition_id, critical, n / sum(n) OVER (PARTITION BY case_id) AS p FROM (
     SELECT c.case_id, p.ord, p.condition_id, p.critical, coalesce(f.n, 0) AS n FROM cases c CROSS JOIN pri p
-    LEFT JOIN freq f ON f.sex = c.sex AND f.seg = c.seg AND f.condition_id = p.condition_id))"""
+    LEFT JOIN freq f ON f.custkey = c.custkey AND f.condition_id = p.condition_id))"""
 
 
 def outcomes(t) -> DataFrame:

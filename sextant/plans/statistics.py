@@ -35,18 +35,27 @@ def interval_sql(rows: str, by: str = "") -> str:
         ci AS (SELECT v.*, low, high FROM v {using})"""
 
 
-@query("st01_bootstrap_ratio_ci", S.with_outcomes(", " + interval_sql("SELECT case_id, seg, CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM o WHERE condition_id = truth", "seg") + " SELECT seg, value, low, high FROM ci"))
+ROUNDED = "round(value, 6) + 0.0 AS value, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high"
+
+
+def interval(pairs, by: tuple[str, ...] = ()):
+    """poisson_bootstrap of (case_id, num, den), rounded, a negative zero made zero."""
+    ci = T.poisson_bootstrap(pairs, "case_id", "num", "den", by=by)
+    return ci.withColumns({c: F.round(c, 6) + 0.0 for c in ("value", "low", "high")})
+
+
+@query("st01_bootstrap_ratio_ci", S.with_outcomes(", " + interval_sql("SELECT case_id, seg, CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM o WHERE condition_id = truth", "seg") + " SELECT seg, " + ROUNDED + " FROM ci"))
 def bootstrap_ci(t):
     """Hash-drawn Poisson resamples."""
     pairs = both(t).select("case_id", "seg", (F.col("rank") <= 3).cast("double").alias("num"), F.lit(1.0).alias("den"))
-    return T.poisson_bootstrap(pairs, "case_id", "num", "den", by=("seg",))
+    return interval(pairs, ("seg",))
 
 
-@query("st02_binned_gap_ci", S.with_outcomes(", " + interval_sql("SELECT case_id, least(CAST(floor(p * 10) AS INT), 9) AS bin, p - CASE WHEN condition_id = truth THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM o WHERE rank = 1", "bin") + " SELECT bin, value, low, high FROM ci"))
+@query("st02_binned_gap_ci", S.with_outcomes(", " + interval_sql("SELECT case_id, least(CAST(floor(p * 10) AS INT), 9) AS bin, p - CASE WHEN condition_id = truth THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM o WHERE rank = 1", "bin") + " SELECT bin, " + ROUNDED + " FROM ci"))
 def binned_gap(t):
     top = S.outcomes(t).where("rank = 1").withColumn("bin", F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int"))
     pairs = top.select("case_id", "bin", (F.col("p") - M.hit().cast("double")).alias("num"), F.lit(1.0).alias("den"))
-    return T.poisson_bootstrap(pairs, "case_id", "num", "den", by=("bin",))
+    return interval(pairs, ("bin",))
 
 
 @query("st03_mcnemar_counts", S.with_outcomes(FLAG_FIRST + " SELECT count(*) FILTER (rank = 1 AND r2 <> 1) AS only_a, count(*) FILTER (rank <> 1 AND r2 = 1) AS only_b FROM h"))
@@ -60,10 +69,10 @@ def mcnemar_p(t):
     return t.spark.createDataFrame([(c["only_a"], c["only_b"], T.mcnemar(c["only_a"], c["only_b"]))], "only_a long, only_b long, p double")
 
 
-@query("st04_paired_difference_ci", S.with_outcomes(FLAG_FIRST + ", " + interval_sql("SELECT case_id, CASE WHEN r2 <= 3 THEN 1.0::DOUBLE ELSE 0 END - CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM h") + " SELECT value, low, high, low > 0 OR high < 0 AS excludes_zero FROM ci"))
+@query("st04_paired_difference_ci", S.with_outcomes(FLAG_FIRST + ", " + interval_sql("SELECT case_id, CASE WHEN r2 <= 3 THEN 1.0::DOUBLE ELSE 0 END - CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM h") + " SELECT " + ROUNDED + ", low > 0 OR high < 0 AS excludes_zero FROM ci"))
 def paired_difference(t):
     pairs = both(t).select("case_id", ((F.col("r2") <= 3).cast("double") - (F.col("rank") <= 3).cast("double")).alias("num"), F.lit(1.0).alias("den"))
-    return T.poisson_bootstrap(pairs, "case_id", "num", "den").withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
+    return interval(pairs).withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 
 
 @query("st05_paired_rate_difference", S.with_outcomes(FLAG_FIRST + " SELECT seg, round(avg(CASE WHEN r2 <= 3 THEN 1.0 ELSE 0 END) - avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS difference FROM h GROUP BY seg"))

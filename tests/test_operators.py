@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.operators import fusion, history, metrics, statistics, text, tokens
+from sextant.operators import decisions, fusion, graph, history, metrics, statistics, text, tokens
 from sextant.sources import files
 from sextant.streaming import extensions
 
@@ -141,3 +141,68 @@ def test_streams(spark, tmp_path):
     q = extensions.score_batches(extensions.once(stream, "event_id"), lambda b: b.select("event_id"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("event_id")) == [(1,), (2,)]
+
+
+def test_the_test_split_stays_closed():
+    assert decisions.check_split("train", test_open=False) == "train" and decisions.check_split("test", test_open=True) == "test"
+    with pytest.raises(PermissionError):
+        decisions.check_split("test", test_open=False)
+    with pytest.raises(ValueError, match="unknown split"):
+        decisions.check_split("tset", test_open=True)
+
+
+def test_calibrator_gate_names_the_first_mismatch(spark):
+    data = [("fused", "trees", "models\\a", 0.5, None), ("ml", None, "x", 0.5, "kind"), ("fused", None, "models/a", 0.5, "backend"), ("fused", "trees", None, 0.5, "model_dir"), ("fused", "trees", "./models//a/.", 0.1, "alpha"), ("fused", "trees", "models/a", None, "alpha")]
+    df = spark.createDataFrame(data, "kind string, backend string, model_dir string, alpha double, expected string")
+    want = df.withColumns({"want_kind": F.lit("fused"), "want_backend": F.lit("trees"), "want_model_dir": F.lit("models/a"), "want_alpha": F.lit(0.5)})
+    assert want.where(~decisions.calibrator_mismatch().eqNullSafe(F.col("expected"))).count() == 0
+
+
+def test_occlusion_is_leaving_one_out(spark):
+    edges = {("a", "x"): 0.9, ("a", "y"): 0.35, ("b", "x"): 0.12, ("b", "z"): 0.65, ("c", "y"): 0.03}
+    cases = {1: ["x", "y"], 2: ["x", "y", "z", "w"], 3: ["w"]}
+
+    def odds(found):
+        s = {c: sum(math.log(max(min(edges.get((c, f), 0.01), 0.9), 0.01)) for f in found) for c in "abc"}
+        total = sum(math.exp(v) for v in s.values())
+        return {c: math.log(math.exp(v) / (total - math.exp(v))) for c, v in s.items()}
+
+    want = {(k, f, c): odds(fs)[c] - odds([x for x in fs if x != f])[c] for k, fs in cases.items() for f in fs for c in "abc"}
+    present = spark.createDataFrame([(k, f) for k, fs in cases.items() for f in fs], "case_id int, concept_id string")
+    table = spark.createDataFrame([(c, f, w) for (c, f), w in edges.items()], "condition_id string, concept_id string, weight double")
+    conditions = spark.createDataFrame([("a",), ("b",), ("c",)], "condition_id string")
+    got = {(r.case_id, r.concept_id, r.condition_id): r.effect for r in graph.occlusion(present, table, conditions).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_kappa_interval_holds_kappa(spark):
+    rng = random.Random(4)
+    data = [(q, g, g if rng.random() < 0.7 else rng.randrange(3)) for q in range(40) for g in (rng.randrange(3) for _ in range(20))]
+    r = statistics.kappa_interval(spark.createDataFrame(data, "q int, a int, b int"), "q", "a", "b").first()
+    n = len(data)
+    agree, chance = sum(a == b for _, a, b in data) / n, sum(sum(x[1] == g for x in data) * sum(x[2] == g for x in data) for g in range(3)) / n**2
+    assert r.value == pytest.approx((agree - chance) / (1 - chance)) and r.low < r.value < r.high and r.high - r.low < 0.2
+
+
+def test_overlapping_word_sets_equal_all_pairs(spark):
+    rng = random.Random(6)
+    vocabulary = [f"word{i}x" for i in range(40)]
+    data = [(i, " ".join(rng.sample(vocabulary, rng.randint(1, 12)))) for i in range(80)] + [(90, ""), (91, None)]
+    sets = {i: set(t.split()) for i, t in data if t}
+    for least in (0.2, 0.5, 1.0):
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+        got = text.overlapping(spark.createDataFrame(data, "i int, t string"), "i", "t", least)
+        assert {(r.a, r.b) for r in got.collect()} == want
+
+
+def test_rules_decide_as_written(spark):
+    m = "method string, difference double, low double, high double, precision double"
+    none = [("bm25", 0.1, -0.1, 0.3, 0.9), ("hybrid", None, None, None, 0.4)]
+    assert tuple(decisions.retrieval_rule(spark.createDataFrame(none, m)).first()) == ("hybrid", False, 0.4, True)
+    two = [*none, ("dense", 0.2, 0.1, 0.3, 0.7), ("other", 0.15, 0.1, 0.2, 0.9)]
+    assert tuple(decisions.retrieval_rule(spark.createDataFrame(two, m)).first()) == ("dense", True, 0.7, False)
+    pairs = spark.createDataFrame([("a", "b", 0.1, 0.2), ("a", "c", 0.0, 0.2)], "alone string, grounded string, low double, high double")
+    assert tuple(decisions.paired_claims(pairs).first()) == (False, 2)
+    arms = spark.createDataFrame([("ok", 100, 50, 9, 10, 0), ("bad", 100, 50, 10, 11, 1), ("idle", 0, 0, 0, 0, 0)], "arm string, cases int, claims int, unsupported int, failed int, delivered int")
+    got = {r.arm: (r.passed, r.reasons) for r in decisions.checkpoint(arms).collect()}
+    assert got == {"ok": (True, []), "bad": (False, ["unsupported claims", "failed calls", "a defect was delivered"]), "idle": (False, ["did not run"])}

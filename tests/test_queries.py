@@ -44,6 +44,20 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
 
 
+#: What holds for the queries that SQL can't express, by name.
+HOLDS = {
+    "fu07_temperature_fit": lambda r: len(r) == 1 and 0.05 <= r[0].temperature <= 20,
+    "fu08_platt_fit": lambda r: len(r) == 1 and math.isfinite(r[0].a) and r[0].b > 0,
+    "fu09_isotonic_fit": lambda r: len(r) > 1 and [x.value for x in sorted(r, key=lambda x: x.low)] == sorted(x.value for x in r),
+    "ml08_multinomial_lr": lambda r: len(r) == len({x["class"] for x in r}) > 1 and all(len(x.coefficients) == 2 for x in r),
+    "ml10_tree_ensemble": lambda r: len(r) == 3 and abs(sum(x.importance for x in r) - 1) < 1e-9,
+    "ml11_transformer_forward": lambda r: len(r) == len({x.vec_id for x in r}) > 0 and all(math.isfinite(x.score) for x in r),
+    "st03_mcnemar_p": lambda r: len(r) == 1 and 0 <= r[0].p <= 1,
+    "orc01_synthetic_corpus": lambda r: len(r) == 1000 and all(len(x.text.split()) == 40 for x in r),
+}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, str(TABLES)).count() >= 0
+def test_query_without_sql(spark, name):
+    got = QUERIES[name](spark, str(TABLES)).collect()
+    assert got and HOLDS.get(name, lambda r: True)(got)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import chunks, ship, text_or_empty, text_slices
+from sextant.llm.common import chunks, release, ship, text_or_empty, text_slices
 from sextant.llm.labelled import sample
 from sextant.llm.vectext import joined, mixed, span_hashes, white_words
 
@@ -137,6 +137,7 @@ def score_texts(docs: DataFrame, model, id_col: str = "doc_id", text_col: str =
         m = sent.value
         for b in text_slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(b.column(1).to_pylist()), pa.float64())], ["id", "score"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)

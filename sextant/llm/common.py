@@ -125,12 +125,12 @@ def chunks(lengths, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most about limit bytes of text."""
     import pyarrow.compute as pc
 
     for batch in batches:
-        lengths = pc.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         for a, b in chunks(lengths, limit):
             yield batch.slice(a, b - a)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from sextant.llm.common import chunks, ship, text_or_empty
+from sextant.llm.common import release, ship, text_or_empty, text_slices
 from sextant.llm.vectext import alnum_words, joined, mixed, span_hashes
 
 #: Word edits an item may have, as a share of its words.
@@ -186,18 +186,15 @@ def _pass(docs: DataFrame, sent, ids: list, column: str, kind: DataType, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            found: list = []
-            for a, b in chunks([len(t) for t in texts]):
-                found += index.search(texts[a:b])
+        for batch in text_slices(batches, at):
             rows = []
-            for some in found:
+            for some in index.search([t or "" for t in batch.column(at).to_pylist()]):
                 least: dict = {}
                 for i, edits in some:
                     least[ids[i]] = min(edits, least.get(ids[i], edits))
                 rows.append([{"item_id": k, "edits": v} for k, v in sorted(least.items())])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, item)], [*batch.schema.names, column])
+        release()
 
     return docs.mapInArrow(run, f"{names}, `{column}` array<struct<item_id:{kind.simpleString()},edits:int>>")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import ship, text_or_empty, text_slices, written
+from sextant.llm.common import release, ship, text_or_empty, text_slices, written
 from sextant.llm.word_bpe import encoder
 
 CAPACITY = 4096
@@ -48,6 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(crc, pa.int64())],
                 ["id", "piece", "start", "length", "ids", "ids_crc32"],
             )
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint")

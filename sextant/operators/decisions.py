@@ -55,7 +55,7 @@ def retrieval_rule(methods: DataFrame) -> DataFrame:
     better = (F.col("method") != "hybrid") & (F.col("low") > 0)
     best = F.max(F.when(better, F.struct("difference", F.col("method").alias("m")))).alias("best")
     one = methods.agg(best).select(F.coalesce("best.m", F.lit("hybrid")).alias("method"), F.col("best").isNotNull().alias("replaced"))
-    return methods.join(F.broadcast(one), "method").select(F.col("method").alias("configured"), "replaced", "precision", (F.col("precision") < 0.5).alias("team_decides"))
+    return methods.join(one, "method").select(F.col("method").alias("configured"), "replaced", "precision", (F.col("precision") < 0.5).alias("team_decides"))
 
 
 def checkpoint(arms: DataFrame, rate: float = 0.2, failed: float = 0.1) -> DataFrame:
@@ -94,7 +94,7 @@ def facts_to_edges(facts: DataFrame, registry: DataFrame, weights: dict[str, flo
 
     Facts of one pair are one edge with the greatest weight and all references in order."""
     weight = F.coalesce(*[F.when(F.col("strength") == k, F.lit(v)) for k, v in weights.items()])
-    known = facts.join(F.broadcast(registry.select("condition_id", F.lit(True).alias("known"))), "condition_id", "left").withColumn("weight", weight)
+    known = facts.join(registry.select("condition_id", F.lit(True).alias("known")), "condition_id", "left").withColumn("weight", weight)
     problem = F.when(F.col("known").isNull(), "unknown condition").when(F.col("weight").isNull(), "unknown strength").when(F.trim(F.coalesce("reference", F.lit(""))) == "", "no reference")
     judged = known.withColumn("problem", problem)
     good = judged.where("problem IS NULL").groupBy("condition_id", "concept_id").agg(F.max("weight").alias("weight"), F.array_sort(F.collect_set("reference")).alias("sources"))

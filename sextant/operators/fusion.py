@@ -44,7 +44,7 @@ def opinion_pool(s: DataFrame, alpha: Column, by: tuple[str, ...] = ("case_id",)
 def calibrate(s: DataFrame, fitted: DataFrame, by: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """Sigmoid of a + b ln p for the fitted conditions, which then share the mass they had; others stay."""
     w = Window.partitionBy(*by)
-    j = s.join(F.broadcast(fitted), "condition_id", "left").withColumn("_f", F.col("a").isNotNull())
+    j = s.join(fitted, "condition_id", "left").withColumn("_f", F.col("a").isNotNull())
     z = F.col("a") + F.col("b") * F.log(F.greatest(F.col("p"), F.lit(1e-9)))
     j = j.withColumn("_c", F.when(F.col("_f"), 1 / (1 + F.exp(-z))))
     before = F.sum(F.when(F.col("_f"), F.col("p"))).over(w)

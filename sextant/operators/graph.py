@@ -25,13 +25,19 @@ def naive_bayes(cases: DataFrame, present: DataFrame, edges: DataFrame, conditio
     """(case_id, ord, condition_id, kg) of every case and condition; no evidence scores 0.
 
     A case's evidence starts from LEAK for each finding and every edge corrects
-    it, so findings join edges once instead of a grid of cases and conditions."""
-    p = F.greatest(F.least(F.col("weight"), F.lit(CAP)), F.lit(LEAK))
-    found = present.groupBy("case_id").agg(F.count(F.lit(1)).alias("k"))
-    gain = present.join(F.broadcast(edges), "concept_id").groupBy("case_id", "condition_id").agg(F.sum(F.log(p) - F.log(F.lit(LEAK))).alias("gain"))
-    grid = cases.join(found, "case_id", "left").crossJoin(F.broadcast(conditions))
-    score = F.coalesce("k", F.lit(0)) * F.log(F.lit(LEAK)) + F.coalesce("gain", F.lit(0.0))
-    return grid.join(gain, ["case_id", "condition_id"], "left").select("case_id", "ord", "condition_id", F.round(score + 0.0, 9).alias("kg"))
+    it. conditions(ord, condition_id) is the registry, a dimension of some dozens
+    of rows: each is a column of a concept's corrections, so that findings meet
+    one row of each concept and a case is one row of one shuffle."""
+    known = sorted(tuple(r) for r in conditions.select("ord", "condition_id").collect())
+    kind = ", ".join(f"{n}:{conditions.schema[n].dataType.simpleString()}" for n in ("ord", "condition_id"))
+    part = F.log(F.greatest(F.least(F.col("weight"), F.lit(CAP)), F.lit(LEAK))) - F.log(F.lit(LEAK))
+    names = [f"_{i}" for i in range(len(known))]
+    k = F.count(F.lit(1)).alias("k")
+    corrections = edges.groupBy("concept_id").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.when(F.col("condition_id") == c, part)).alias(n) for n, (_, c) in zip(names, known)])
+    found = present.join(corrections, "concept_id", "left").groupBy("case_id").agg(k, *[F.sum(n).alias(n) for n in names])
+    leak = F.coalesce("k", F.lit(0)) * F.log(F.lit(LEAK))
+    scores = [F.struct(F.lit(o).alias("ord"), F.lit(c).alias("condition_id"), F.round(leak + F.coalesce(n, F.lit(0.0)) + 0.0, 9).alias("kg")) for n, (o, c) in zip(names, known)]
+    return cases.join(found, "case_id", "left").select("case_id", F.inline(F.array(*scores).cast(f"array<struct<{kind}, kg:double>>")))
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
@@ -92,7 +98,7 @@ def crosswalk_problems(edges: DataFrame, specs: DataFrame, conditions: int) -> D
     """(concept_id, problem): every way in which a mapped concept breaks the rules, one row each."""
     code, value = F.substring_index("concept_id", "_@_", 1), F.when(F.contains("concept_id", F.lit("_@_")), F.substring_index("concept_id", "_@_", -1))
     k = edges.groupBy("concept_id").agg(F.count_distinct("condition_id").alias("n_conditions"), F.count_distinct("source").alias("n_sources"))
-    k = k.withColumns({"code": code, "value": value}).join(F.broadcast(specs.select("code", "default_value", F.lit(True).alias("known"))), "code", "left")
+    k = k.withColumns({"code": code, "value": value}).join(specs.select("code", "default_value", F.lit(True).alias("known")), "code", "left")
     tests = [("unknown code", F.col("known").isNull()), ("default value", F.col("value") == F.col("default_value")), ("one source", F.col("n_sources") == 1), ("some conditions only", F.col("n_conditions") < conditions)]
     return k.select("concept_id", F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))).alias("problem"))
 

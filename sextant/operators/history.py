@@ -28,7 +28,7 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, when: str, value:
 
 
 def indicated(entries: DataFrame, mapping: DataFrame) -> DataFrame:
-    return entries.join(F.broadcast(mapping), "code")
+    return entries.join(mapping, "code")
 
 
 def fold_findings(rows: DataFrame) -> DataFrame:

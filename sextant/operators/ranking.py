@@ -45,4 +45,4 @@ def rank_without(ranked: DataFrame, removed: str) -> DataFrame:
 
 def first_rule(rules: DataFrame, met: DataFrame) -> DataFrame:
     """The reason of the first rule of each condition that a case meets; met has case_id and rule_ord."""
-    return met.join(F.broadcast(rules), "rule_ord").groupBy("case_id", "condition_id").agg(F.min_by("reason", "rule_ord").alias("reason"))
+    return met.join(rules, "rule_ord").groupBy("case_id", "condition_id").agg(F.min_by("reason", "rule_ord").alias("reason"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.sources.shared import kept
+
 # The words that queries and passages leave out, and BM25's constants.
 STOPWORDS = """
     an and are as at be been being but by can could did do does for from had has have he her
@@ -28,23 +30,34 @@ def mentions(text: Column, phrase: Column) -> Column:
     return F.contains(pad(text), pad(phrase))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), F.explode(words(F.col(text_col))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, len, w): the words of each document and how many they are."""
+    return docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w")).select("doc", F.size("w").alias("len"), "w")
+
+
+def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(doc, len, term, tf) of tokenised documents with unique ids.
+
+    With terms(term), distinct, other words are left out before anything is shuffled."""
+    each = docs.select("doc", "len", F.explode("w").alias("term"))
+    if terms is not None:
+        each = each.join(terms, "term", "left_semi")
+    return each.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(posts: DataFrame, queries: DataFrame, total: int) -> DataFrame:
-    """(query, doc, score) of queries(query, term) against postings; a query's terms are distinct.
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, doc, score) of queries(query, term) against tokenised documents.
 
-    Only postings of query terms travel to the join; lengths and counts are
-    small aggregates of the postings."""
-    lengths = posts.groupBy("doc").agg(F.sum("tf").alias("len"))
-    average = lengths.agg((F.sum("len") / F.lit(total)).alias("avgdl"))
+    docs is read twice (once its lengths only) and the queries' postings twice:
+    give docs as a written table. Only words of queries are shuffled."""
+    total, length = docs.agg(F.count(F.lit(1)), F.sum("len")).first()
     asked = queries.select("query", "term").distinct()
-    some = posts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    idf = some.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    weighted = some.join(F.broadcast(idf), "term").join(lengths, "doc").crossJoin(F.broadcast(average)).select("doc", "term", weight.alias("w"))
-    return weighted.join(F.broadcast(asked), "term").groupBy("query", "doc").agg(F.sum("w").alias("score"))
+    hits = kept(postings(docs, asked.select("term").distinct()), "hits")
+    counts = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted = kept(asked.join(counts, "term"), "asked-terms")
+    idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit((length or 0) / max(total, 1))))
+    return hits.join(counted, "term").groupBy("query", "doc").agg(F.sum(weight).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

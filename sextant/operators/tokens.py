@@ -22,7 +22,7 @@ def positive(tokens: DataFrame, specs: DataFrame) -> DataFrame:
     """Parsed tokens with `positive`: binary yes, not applicable no, else any answer but the default.
 
     A code without a specification raises."""
-    joined = tokens.join(F.broadcast(specs), "code", "left")
+    joined = tokens.join(specs, "code", "left")
     known = F.when(F.col("data_type").isNull(), F.raise_error(F.concat(F.lit("unknown code: "), F.col("code"))).cast("boolean"))
     answer = F.coalesce("value", F.col("ordinal").cast("string"))
     yes = known.when(F.col("kind") == "binary", True).when(F.col("kind") == "na", False).otherwise(~answer.eqNullSafe(F.col("default_value")))
@@ -44,12 +44,12 @@ def crosswalk_matches(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
 
     The join is on the code, so it is a hash join with a cheap filter after."""
     holds = (F.col("vals").isNull() & F.col("min_ordinal").isNull()) | F.coalesce(F.array_contains("vals", F.col("value")), F.lit(False)) | F.coalesce(F.col("ordinal") >= F.col("min_ordinal"), F.lit(False))
-    return tokens.join(F.broadcast(patterns), "code").where(holds).select("case_id", "concept_id").distinct()
+    return tokens.join(patterns, "code").where(holds).select("case_id", "concept_id").distinct()
 
 
 def side_cover(tokens: DataFrame, patterns: DataFrame, least: int = 2) -> DataFrame:
     """Concepts whose patterns have sides: how many different sides a case covers, from `least` on."""
-    hits = tokens.join(F.broadcast(patterns.where("side IS NOT NULL")), "code").where(F.array_contains("vals", F.col("value")))
+    hits = tokens.join(patterns.where("side IS NOT NULL"), "code").where(F.array_contains("vals", F.col("value")))
     return hits.groupBy("case_id", "concept_id").agg(F.count_distinct("side").alias("sides")).where(F.col("sides") >= least)
 
 
@@ -59,7 +59,7 @@ def expand(findings: DataFrame, implies: DataFrame) -> DataFrame:
     implies is (concept_id, assertion, implied_id, implied_assertion), closed to
     any depth beforehand. A concept implied both ways is dropped, one that the
     case already has is not added, and of several origins the least stays."""
-    derived = findings.join(F.broadcast(implies), ["concept_id", "assertion"]).select("case_id", F.col("implied_id").alias("concept_id"), F.col("implied_assertion").alias("assertion"), F.col("concept_id").alias("origin"))
+    derived = findings.join(implies, ["concept_id", "assertion"]).select("case_id", F.col("implied_id").alias("concept_id"), F.col("implied_assertion").alias("assertion"), F.col("concept_id").alias("origin"))
     agreed = derived.groupBy("case_id", "concept_id").agg(F.min("assertion").alias("assertion"), F.min("origin").alias("origin"), F.count_distinct("assertion").alias("n")).where("n = 1").drop("n")
     fresh = agreed.join(findings.select("case_id", "concept_id"), ["case_id", "concept_id"], "left_anti")
     return findings.select("case_id", "concept_id", "assertion", F.lit(None).cast("string").alias("origin")).unionByName(fresh)

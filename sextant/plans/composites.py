@@ -37,14 +37,14 @@ def calibration_report(t):
 
 @query("jn05_canonical_ids", f"WITH {S.TOK} SELECT raw, coalesce(k.canonical, raw) AS id FROM (SELECT DISTINCT raw FROM tok) LEFT JOIN (VALUES ('E_2', 'D:status'), ('E_1_@_V_1', 'D:flag')) k(r, canonical) ON k.r = raw")
 def canonical(t):
-    k = t.spark.createDataFrame([("E_2", "D:status"), ("E_1_@_V_1", "D:flag")], "raw string, canonical string")
-    return S.tokens(t).select("raw").distinct().join(F.broadcast(k), "raw", "left").select("raw", F.coalesce("canonical", "raw").alias("id"))
+    k = t.rows([("E_2", "D:status"), ("E_1_@_V_1", "D:flag")], "raw string, canonical string")
+    return S.tokens(t).select("raw").distinct().join(k, "raw", "left").select("raw", F.coalesce("canonical", "raw").alias("id"))
 
 
 @query("jn08_triple_selection", "SELECT n_nationkey, r_name, 'head' AS side FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name < 'C' UNION ALL SELECT s_nationkey, s_name, 'tail' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0")
 def triples(t):
-    head = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).where("r_name < 'C'").select("n_nationkey", "r_name", F.lit("head").alias("side"))
-    tail = t.supplier.where("s_acctbal > 0").join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("n_nationkey", F.col("s_name").alias("r_name"), F.lit("tail").alias("side"))
+    head = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).where("r_name < 'C'").select("n_nationkey", "r_name", F.lit("head").alias("side"))
+    tail = t.supplier.where("s_acctbal > 0").join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("n_nationkey", F.col("s_name").alias("r_name"), F.lit("tail").alias("side"))
     return head.union(tail)
 
 
@@ -59,7 +59,7 @@ PAT = "p AS (SELECT * FROM (VALUES ('a', 'E_1', ['V_1']), ('b', 'E_1', ['V_1', '
 @query("jn19_implication_pairs", f"WITH {PAT} SELECT a.concept AS a, b.concept AS b FROM p a JOIN p b ON a.code = b.code AND a.concept <> b.concept WHERE list_has_all(b.vals, a.vals)")
 def implications(t):
     rows = [("a", "E_1", ["V_1"]), ("b", "E_1", ["V_1", "V_3"]), ("c", "E_4", ["V_2"]), ("d", "E_4", ["V_2", "V_3", "V_4"]), ("e", "E_4", ["V_9"])]
-    p = t.spark.createDataFrame(rows, "concept string, code string, vals array<string>")
+    p = t.rows(rows, "concept string, code string, vals array<string>")
     a, b = p.select(F.col("concept").alias("a"), "code", F.col("vals").alias("va")), p.select(F.col("concept").alias("b"), "code", F.col("vals").alias("vb"))
     return a.join(b, "code").where((F.col("a") != F.col("b")) & (F.size(F.array_except("va", "vb")) == 0)).select("a", "b")
 
@@ -82,14 +82,14 @@ def case_from_row(t):
 
 @query("prj20_case_from_form", f"WITH {FINDINGS}, k AS (SELECT unnest(['E_1', 'E_2', 'E_3']) AS concept_id) SELECT case_id, concept_id, assertion, concept_id NOT IN (SELECT concept_id FROM k) AS unknown FROM findings")
 def case_from_form(t):
-    known = t.spark.createDataFrame([("E_1", True), ("E_2", True), ("E_3", True)], "concept_id string, known boolean")
-    return findings(t).join(F.broadcast(known), "concept_id", "left").select("case_id", "concept_id", "assertion", F.col("known").isNull().alias("unknown"))
+    known = t.rows([("E_1", True), ("E_2", True), ("E_3", True)], "concept_id string, known boolean")
+    return findings(t).join(known, "concept_id", "left").select("case_id", "concept_id", "assertion", F.col("known").isNull().alias("unknown"))
 
 
 @query("kg24_golden_cases", S.with_outcomes("SELECT e.seg, count(*) AS cases, count(*) FILTER (o.rank <= 3) AS met, count(*) FILTER (o.flagged) AS flags FROM o JOIN (VALUES ('BUILDING', '1-URGENT'), ('MACHINERY', '2-HIGH')) e(seg, want) ON e.seg = o.seg AND e.want = o.condition_id WHERE o.truth = e.want GROUP BY e.seg"))
 def golden(t):
-    want = t.spark.createDataFrame([("BUILDING", "1-URGENT"), ("MACHINERY", "2-HIGH")], "seg string, condition_id string")
-    rows = M.of_truth(S.outcomes(t)).join(F.broadcast(want), ["seg", "condition_id"])
+    want = t.rows([("BUILDING", "1-URGENT"), ("MACHINERY", "2-HIGH")], "seg string, condition_id string")
+    rows = M.of_truth(S.outcomes(t)).join(want, ["seg", "condition_id"])
     return rows.groupBy("seg").agg(N.alias("cases"), F.count_if(F.col("rank") <= 3).alias("met"), F.count_if("flagged").alias("flags"))
 
 
@@ -147,7 +147,7 @@ def excerpt(t):
     """Each text's sentence with the most benchmark words; the first of equals."""
     words = t.benchmark.select(F.explode(X.words(F.col("text"))).alias("term")).distinct()
     s = t.documents.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence"))
-    hits = s.select("doc_id", "pos", F.explode(F.array_distinct(X.words(F.col("sentence")))).alias("term")).join(F.broadcast(words), "term").groupBy("doc_id", "pos").agg(N.alias("n"))
+    hits = s.select("doc_id", "pos", F.explode(F.array_distinct(X.words(F.col("sentence")))).alias("term")).join(words, "term").groupBy("doc_id", "pos").agg(N.alias("n"))
     best = hits.groupBy("doc_id").agg(F.max_by("pos", F.struct("n", -F.col("pos"))).alias("pos"))
     return s.join(best, ["doc_id", "pos"]).select("doc_id", "pos", "sentence")
 

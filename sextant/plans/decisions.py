@@ -44,7 +44,7 @@ def calibrator_gate(t):
     SELECT y.case_id, condition_id, round(CASE WHEN NOT mute AND g.case_id IS NOT NULL AND f THEN calibrated END, 6) AS shown FROM y LEFT JOIN g USING (case_id)"""))
 def shown(t):
     """Calibrated probabilities; none where the model is mute, the case has no evidence or the condition no fit."""
-    fitted = t.spark.createDataFrame(FU.FITTED, "condition_id string, a double, b double")
+    fitted = t.rows(FU.FITTED, "condition_id string, a double, b double")
     scored = P.calibrate(S.ml_scores(t), fitted).withColumn("in_model", F.lit(True)).withColumn("mute", P.abstains())
     graph = S.tokens(t).select("case_id").distinct().withColumn("graph_ok", F.lit(True))
     rows = scored.join(graph, "case_id", "left")
@@ -63,7 +63,7 @@ _FACTS = ", ".join(repr(x) for x in FACTS)
     SELECT condition_id, concept_id, max(weight) AS weight, array_to_string(list_sort(list(DISTINCT reference)), '; ') AS sources, NULL AS problem FROM j WHERE problem IS NULL GROUP BY ALL
     UNION ALL SELECT condition_id, concept_id, NULL, NULL, problem FROM j WHERE problem IS NOT NULL""")
 def facts_to_edges(t):
-    facts = t.spark.createDataFrame(FACTS, "condition_id string, concept_id string, strength string, reference string")
+    facts = t.rows(FACTS, "condition_id string, concept_id string, strength string, reference string")
     good, bad = D.facts_to_edges(facts, t.orders.select(F.col("o_orderpriority").alias("condition_id")).distinct(), STRENGTHS)
     good = good.select("condition_id", "concept_id", "weight", F.array_join("sources", "; ").alias("sources"), F.lit(None).cast("string").alias("problem"))
     return good.union(bad.select("condition_id", "concept_id", F.lit(None).cast("double"), F.lit(None).cast("string"), "problem"))

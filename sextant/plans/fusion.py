@@ -28,8 +28,9 @@ def base(t):
 
 
 def swept(t):
-    alphas = t.spark.createDataFrame([(a,) for a in ALPHAS], "alpha double")
-    return P.opinion_pool(base(t).crossJoin(F.broadcast(alphas)), F.col("alpha"), ("case_id", "alpha"))
+    """Cases are dealt before they are multiplied by the alphas."""
+    alphas = t.rows([(a,) for a in ALPHAS], "alpha double")
+    return P.opinion_pool(base(t).repartition("case_id").crossJoin(F.broadcast(alphas)), F.col("alpha"), ("case_id", "alpha"))
 
 
 @query("fu01_alpha_from_weights", "SELECT p_partkey, round(p_size / (p_size + p_retailprice), 6) AS alpha FROM part WHERE p_size + p_retailprice > 0")
@@ -79,7 +80,7 @@ FITTED = [("1-URGENT", 0.1, 1.2), ("2-HIGH", -0.2, 0.9), ("3-MEDIUM", 0.0, 1.0)]
     z AS (SELECT ml.*, a IS NOT NULL AS f, 1 / (1 + exp(-(a + b * ln(greatest(p, 1e-9))))) AS c FROM ml LEFT JOIN fit USING (condition_id))
     SELECT case_id, condition_id, round(CASE WHEN f THEN c * sum(CASE WHEN f THEN p END) OVER w / sum(c) OVER w ELSE p END, 6) AS calibrated FROM z WINDOW w AS (PARTITION BY case_id)"""))
 def calibrate(t):
-    fitted = t.spark.createDataFrame(FITTED, "condition_id string, a double, b double")
+    fitted = t.rows(FITTED, "condition_id string, a double, b double")
     return P.calibrate(S.ml_scores(t), fitted).select("case_id", "condition_id", F.round("calibrated", 6).alias("calibrated"))
 
 
@@ -90,7 +91,7 @@ def folds(t):
     c = S.cases(t).select("case_id", digest.alias("d")).withColumn("part", F.substring("d", 1, 2))
     sizes = c.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    k = c.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("d", "case_id"))).join(F.broadcast(before), "part")
+    k = c.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("d", "case_id"))).join(before, "part")
     return k.select("case_id", ((F.col("before") + F.col("k") - 1) % 5).alias("fold"))
 
 

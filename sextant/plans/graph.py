@@ -42,7 +42,7 @@ def source_filter(t):
 @query("jn09_finding_paths", with_edges("SELECT t.case_id, e.condition_id, t.raw AS concept_id, min(e.source) AS source FROM tok t JOIN edges e ON e.concept_id = t.raw GROUP BY ALL"))
 def paths(t):
     e = S.edges(t).groupBy("condition_id", F.col("concept_id").alias("raw")).agg(F.min("source").alias("source"))
-    return S.tokens(t).join(F.broadcast(e), "raw").select("case_id", "condition_id", F.col("raw").alias("concept_id"), "source")
+    return S.tokens(t).join(e, "raw").select("case_id", "condition_id", F.col("raw").alias("concept_id"), "source")
 
 
 @query("jn10_assessment", with_edges(""", x AS (SELECT DISTINCT condition_id, concept_id FROM edges)
@@ -50,7 +50,7 @@ def paths(t):
 def assessment(t):
     x = S.edges(t).select("condition_id", "concept_id").distinct()
     expected = x.groupBy("condition_id").agg(N.alias("expected"))
-    met = S.tokens(t).join(F.broadcast(x), F.col("raw") == F.col("concept_id")).groupBy("case_id", "condition_id").agg(N.alias("supporting"))
+    met = S.tokens(t).join(x, F.col("raw") == F.col("concept_id")).groupBy("case_id", "condition_id").agg(N.alias("supporting"))
     grid = S.cases(t).select("case_id").crossJoin(F.broadcast(expected)).join(met, ["case_id", "condition_id"], "left").withColumn("supporting", F.coalesce("supporting", F.lit(0)))
     return grid.select("case_id", "condition_id", "supporting", (F.col("expected") - F.col("supporting")).alias("missing"))
 
@@ -146,7 +146,7 @@ def gains(t):
     post = S.kg_scores(t).withColumn("u", u).withColumn("p", F.col("u") / F.sum("u").over(w))
     bits = lambda x: x * F.log2(x) + (1 - x) * F.log2(1 - x)
     e = G.strongest_edges(S.edges(t)).where(F.col("concept_id").startswith("E_1"))
-    q = post.join(F.broadcast(e), "condition_id").groupBy("case_id", "concept_id").agg(F.sum(F.col("p") * F.col("weight")).alias("yes"), F.sum(F.col("p") * bits(F.col("weight"))).alias("neg"), N.alias("n")).where("n = 5")
+    q = post.join(e, "condition_id").groupBy("case_id", "concept_id").agg(F.sum(F.col("p") * F.col("weight")).alias("yes"), F.sum(F.col("p") * bits(F.col("weight"))).alias("neg"), N.alias("n")).where("n = 5")
     return q.select("case_id", "concept_id", (F.col("neg") - bits(F.col("yes"))).alias("gain"))
 
 

@@ -67,9 +67,9 @@ def findings(t):
 
 @query("kg19_unmapped_codes", f"WITH {ACTIVE} SELECT code, count(DISTINCT patient) AS patients, CASE WHEN code LIKE '9%' THEN 'administrative' ELSE 'no mapping' END AS reason FROM a WHERE code NOT IN (SELECT code FROM m) GROUP BY code")
 def unmapped(t):
-    rows = active(t).join(F.broadcast(mapping(t)), "code", "left_anti")
-    reasons = t.spark.createDataFrame([("9", "administrative")], "lead string, reason string")
-    return rows.groupBy("code").agg(F.count_distinct("patient").alias("patients")).join(F.broadcast(reasons), F.substring("code", 1, 1) == F.col("lead"), "left").select("code", "patients", F.coalesce("reason", F.lit("no mapping")).alias("reason"))
+    rows = active(t).join(mapping(t), "code", "left_anti")
+    reasons = t.rows([("9", "administrative")], "lead string, reason string")
+    return rows.groupBy("code").agg(F.count_distinct("patient").alias("patients")).join(reasons, F.substring("code", 1, 1) == F.col("lead"), "left").select("code", "patients", F.coalesce("reason", F.lit("no mapping")).alias("reason"))
 
 
 @query("ag45_concept_census", f"WITH {ACTIVE} SELECT concept_id, count(DISTINCT patient) FILTER (assertion = 'present') AS present, count(DISTINCT patient) FILTER (assertion = 'absent') AS absent FROM a JOIN m USING (code) GROUP BY concept_id")

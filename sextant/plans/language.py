@@ -58,7 +58,7 @@ def parser(t):
     lines = answers(t).select("case_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"^\s*[0-9]+[.):]"))
     n = lines.select("case_id", F.regexp_extract("line", item, 1).cast("int").alias("k"), F.regexp_replace(F.regexp_extract("line", item, 2), r"[*]", "").alias("label"))
     known = S.conditions(t).select(F.col("condition_id").alias("label"))
-    first = n.join(F.broadcast(known), "label").groupBy("case_id", "label").agg(F.min("k").alias("k"))
+    first = n.join(known, "label").groupBy("case_id", "label").agg(F.min("k").alias("k"))
     return first.select("case_id", "label", F.row_number().over(Window.partitionBy("case_id").orderBy("k")).alias("rank"))
 
 
@@ -109,7 +109,7 @@ def sheet(t):
 
 @query("lm13_work_grid_resume", "SELECT arm, doc_id FROM labels CROSS JOIN (VALUES ('a'), ('b')) v(arm) WHERE NOT (arm = 'a' AND quality = 1)")
 def work_grid(t):
-    arms = t.spark.createDataFrame([("a",), ("b",)], "arm string")
+    arms = t.rows([("a",), ("b",)], "arm string")
     done = t.labels.where("quality = 1").select(F.lit("a").alias("arm"), "doc_id")
     return t.labels.select("doc_id").crossJoin(F.broadcast(arms)).join(done, ["arm", "doc_id"], "left_anti").select("arm", "doc_id")
 

@@ -237,7 +237,7 @@ def dissection(t):
 
 @query("ag48_cutoff_sweep", f"WITH {S.CASES} SELECT k AS cutoff, {share('bal >= k * 1000')} AS flagged FROM cases CROSS JOIN (VALUES (6), (7), (8)) v(k) GROUP BY k")
 def cutoffs(t):
-    ks = t.spark.createDataFrame([(6,), (7,), (8,)], "cutoff int")
+    ks = t.rows([(6,), (7,), (8,)], "cutoff int")
     return S.cases(t).crossJoin(F.broadcast(ks)).groupBy("cutoff").agg(M.share(F.col("bal") >= F.col("cutoff") * 1000).alias("flagged"))
 
 
@@ -269,7 +269,7 @@ def model_report(t):
 @query("ag43_realised_mask_sizes", f"""WITH {S.TOK}, m AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY sha256(case_id || ':' || raw)) AS k, count(*) OVER (PARTITION BY case_id) AS n FROM tok)
     SELECT share, round(count(*) FILTER (k <= round_even(n * share, 0)) / count(DISTINCT case_id), 6) AS mean_tokens FROM m CROSS JOIN (VALUES (0.25), (0.5), (1.0)) v(share) GROUP BY share""")
 def mask_sizes(t):
-    shares = t.spark.createDataFrame([(0.25,), (0.5,), (1.0,)], "share double")
+    shares = t.rows([(0.25,), (0.5,), (1.0,)], "share double")
     w = Window.partitionBy("case_id")
     m = S.tokens(t).withColumn("k", F.row_number().over(w.orderBy(F.sha2(F.concat_ws(":", F.col("case_id").cast("string"), "raw"), 256)))).withColumn("n", F.count(F.lit(1)).over(w))
     kept = F.count_if(F.col("k") <= F.bround(F.col("n") * F.col("share"), 0))

@@ -45,7 +45,7 @@ def competition(t):
     WHERE rank = 1 AND truth <> o.condition_id GROUP BY truth, o.condition_id, q.ord, o.ord ORDER BY n DESC, q.ord, o.ord LIMIT 5""".replace("truth, condition_id AS", "truth, o.condition_id AS")))
 def top_confusions(t):
     order = S.conditions(t).select(F.col("condition_id").alias("truth"), F.col("ord").alias("t_ord"))
-    wrong = S.outcomes(t).where("rank = 1 AND truth <> condition_id").join(F.broadcast(order), "truth")
+    wrong = S.outcomes(t).where("rank = 1 AND truth <> condition_id").join(order, "truth")
     return wrong.groupBy("truth", "t_ord", "condition_id", "ord").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t_ord", "ord").limit(5).select("truth", F.col("condition_id").alias("predicted"), "n")
 
 
@@ -67,7 +67,7 @@ RULES = [(1, "1-URGENT", "large balance"), (2, "1-URGENT", "building segment"),
     SELECT case_id, 4, '2-HIGH', 'negative balance' FROM cases WHERE bal < 0)
     SELECT case_id, condition_id, min_by(reason, k) AS reason FROM met GROUP BY ALL""")
 def first_match(t):
-    rules = t.spark.createDataFrame(RULES, "rule_ord int, condition_id string, reason string")
+    rules = t.rows(RULES, "rule_ord int, condition_id string, reason string")
     c = S.cases(t)
     tests = F.array(F.when(F.col("bal") > 5000, 1), F.when(F.col("seg") == "BUILDING", 2), F.when(F.col("sex") == "O", 3), F.when(F.col("bal") < 0, 4))
     met = c.select("case_id", F.explode(F.array_compact(tests)).alias("rule_ord"))
@@ -97,7 +97,7 @@ def without_class(t):
     SELECT case_id, concept_id, round(effect, 6) AS effect FROM r WHERE k <= 2"""))
 def reasons_each_side(t):
     e = S.G.strongest_edges(S.edges(t)).where("condition_id = '1-URGENT'").select(F.col("concept_id").alias("raw"), (F.log(F.greatest(F.least("weight", F.lit(0.9)), F.lit(0.01))) - F.log(F.lit(0.35))).alias("effect"))
-    rows = S.tokens(t).join(F.broadcast(e), "raw").where(F.abs("effect") >= 0.1).withColumn("side", F.col("effect") > 0)
+    rows = S.tokens(t).join(e, "raw").where(F.abs("effect") >= 0.1).withColumn("side", F.col("effect") > 0)
     top = R.first_k(rows, ["case_id", "side"], [F.abs("effect").desc(), F.col("raw")], 2)
     return top.select("case_id", F.col("raw").alias("concept_id"), F.round("effect", 6).alias("effect"))
 

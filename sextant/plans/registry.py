@@ -5,8 +5,13 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from sextant.sources.shared import kept
 
 MODULES = ["ranking", "metrics", "tokens", "graph", "fusion", "retrieval", "history", "language", "statistics", "sources", "composites", "decisions"]
 
@@ -28,7 +33,19 @@ class Tables:
     """The tables of a folder, read when named."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.made = spark, folder, {}
+
+    def rows(self, rows: list[tuple], schema: str) -> DataFrame:
+        """A small table of literals; unlike rows of an RDD, the planner knows its size."""
+        kinds = StructType.fromDDL(schema)
+        arrow = to_arrow_schema(kinds)
+        return self.spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow), kinds)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several parts of a query read, made and written at the first call."""
+        if name not in self.made:
+            self.made[name] = kept(make(), name)
+        return self.made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

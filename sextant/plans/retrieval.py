@@ -24,16 +24,20 @@ BM25 = f"""{POSTS}, {ASKED}, len AS (SELECT doc, sum(tf) AS len FROM p GROUP BY
     s AS (SELECT query, doc, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM q JOIN p USING (term) JOIN idf USING (term) JOIN len USING (doc), st GROUP BY ALL)"""
 
 
-def _posts(t):
-    return X.postings(t.documents, "doc_id", "text")
+def _words(t):
+    return t.once("words", lambda: X.tokenised(t.documents, "doc_id", "text"))
+
+
+def _posts(t, terms=None):
+    return X.postings(_words(t) if "words" in t.made else X.tokenised(t.documents, "doc_id", "text"), terms)
 
 
 def _asked(t):
-    return t.benchmark.select(F.col("item_id").alias("query"), F.explode(X.words(F.col("text"))).alias("term"))
+    return t.once("asked", lambda: t.benchmark.select(F.col("item_id").alias("query"), F.explode(X.words(F.col("text"))).alias("term")).distinct())
 
 
 def _bm25(t):
-    return X.bm25(_posts(t), _asked(t), t.documents.count())
+    return X.bm25(_words(t), _asked(t))
 
 
 @query("rt01_tokenizer", f"SELECT doc_id, len(ws) AS n, len(list_distinct(ws)) AS distinct_words FROM (SELECT doc_id, {words_sql('text')} AS ws FROM documents)")
@@ -98,7 +102,7 @@ def mixed_vector(t):
 @query("rt15_mix_fidelity", f"WITH {MEANS} SELECT e.label, round(avg(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v)), 6) AS fidelity FROM embeddings e JOIN v USING (label) GROUP BY e.label")
 def fidelity(t):
     v = X.mean_vectors(t.embeddings, "label", "embedding")
-    e = t.embeddings.select("label", X.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("e")).join(F.broadcast(v), "label")
+    e = t.embeddings.select("label", X.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("e")).join(v, "label")
     return e.groupBy("label").agg(F.round(F.avg(X.dot(F.col("e"), F.col("v"))), 6).alias("fidelity"))
 
 
@@ -110,7 +114,7 @@ TWO = f"""{BM25}, r1 AS (SELECT query, doc AS item, row_number() OVER (PARTITION
 def _two(t):
     by = Window.partitionBy("query")
     a = _bm25(t).withColumn("rank", F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), "doc")))
-    shared = _posts(t).join(F.broadcast(_asked(t).distinct()), "term").groupBy("query", "doc").agg(N.alias("n"))
+    shared = _posts(t, _asked(t).select("term").distinct()).join(_asked(t), "term").groupBy("query", "doc").agg(N.alias("n"))
     b = shared.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "doc")))
     return a.where("rank <= 20").select("query", F.col("doc").alias("item"), "rank").union(b.where("rank <= 20").select("query", "doc", "rank"))
 
@@ -132,7 +136,7 @@ def hybrid(t):
 @query("rt07_eligibility_filter", f"WITH {POSTS}, {ASKED} SELECT query, count(DISTINCT doc) AS eligible FROM q JOIN p USING (term) JOIN documents d ON d.doc_id = doc WHERE NOT regexp_matches(d.text, '(?i)token = ') GROUP BY query")
 def eligibility(t):
     fit = t.documents.where(~F.col("text").rlike("(?i)token = ")).select(F.col("doc_id").alias("doc"))
-    return _posts(t).join(fit, "doc", "left_semi").join(F.broadcast(_asked(t).distinct()), "term").groupBy("query").agg(F.count_distinct("doc").alias("eligible"))
+    return _posts(t, _asked(t).select("term").distinct()).join(fit, "doc", "left_semi").join(_asked(t), "term").groupBy("query").agg(F.count_distinct("doc").alias("eligible"))
 
 
 @query("rt13_query_composition", "SELECT o_custkey, 'orders ' || array_to_string(list_sort(list(DISTINCT o_orderpriority)), ' ') AS query FROM orders GROUP BY o_custkey")

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from sextant.operators import text as X
 from sextant.plans import standin as S
 from sextant.plans.registry import N, query
 from sextant.sources import files as I
-
+from sextant.sources.shared import fresh_path
 
 
 def _scratch(t, name: str) -> str:
-    """A fresh folder that driver and executors share."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sextant")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return fresh_path(t.spark, name)
 
 
 @query("src01_csv_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -94,7 +88,7 @@ def multi_csv(t):
     out = None
     for kind, df, k in (("customer", t.customer, "c_nationkey"), ("supplier", t.supplier, "s_nationkey")):
         df.select(F.col(k).alias("k")).write.option("header", True).csv(f"{path}/{kind}")
-        rows = I.read_csv(t.spark, f"{path}/{kind}", "k int").join(F.broadcast(t.nation), F.col("k") == F.col("n_nationkey")).select(F.lit(kind).alias("kind"))
+        rows = I.read_csv(t.spark, f"{path}/{kind}", "k int").join(t.nation, F.col("k") == F.col("n_nationkey")).select(F.lit(kind).alias("kind"))
         out = rows if out is None else out.union(rows)
     return out.groupBy("kind").agg(N.alias("n"))
 

@@ -17,13 +17,18 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 def conditions(t) -> DataFrame:
     rows = [(i + 1, p, i < 2) for i, p in enumerate(PRIORITIES)]
-    return t.spark.createDataFrame(rows, "ord int, condition_id string, critical boolean")
+    return t.rows(rows, "ord int, condition_id string, critical boolean")
 
 
 PRI = "pri AS (SELECT * FROM (VALUES (1, '1-URGENT', true), (2, '2-HIGH', true), (3, '3-MEDIUM', false), (4, '4-NOT SPECIFIED', false), (5, '5-LOW', false)) v(ord, condition_id, critical))"
 
 
+CASE = ["case_id", "custkey", "truth", "sex", "seg", "bal"]
+
+
 def cases(t) -> DataFrame:
+    if "evidence" in t.made:
+        return t.made["evidence"].select(CASE)
     joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("truth"), F.col("o_orderstatus").alias("sex"), F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
 
@@ -31,15 +36,29 @@ def cases(t) -> DataFrame:
 CASES = "cases AS (SELECT o_orderkey AS case_id, o_custkey AS custkey, o_orderpriority AS truth, o_orderstatus AS sex, c_mktsegment AS seg, c_acctbal AS bal FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
-def tokens(t) -> DataFrame:
-    """Distinct raw evidence tokens of each case; cases without line items have none."""
+def token_sets(t) -> DataFrame:
+    """(case_id, raws): the distinct raw evidence tokens of each case that has line items.
+
+    One row of a case is shuffled from each task, not one of each token."""
     raw = F.array(
         F.concat(F.lit("E_1_@_V_"), F.when(F.col("l_returnflag") == "A", "1").when(F.col("l_returnflag") == "N", "2").otherwise("3")),
         F.when(F.col("l_linestatus") == "O", F.lit("E_2")),
         F.concat(F.lit("E_3_@_"), F.floor(F.col("l_quantity") / 10).cast("int").cast("string")),
         F.concat(F.lit("E_4_@_V_"), F.round(F.col("l_discount") * 100).cast("int").cast("string")),
     )
-    return t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.explode(raw).alias("raw")).where("raw IS NOT NULL").distinct()
+    each = t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.explode(raw).alias("raw"))
+    return each.groupBy("case_id").agg(F.collect_set("raw").alias("raws"))
+
+
+def evidence(t) -> DataFrame:
+    """One row of each case with its tokens: what edges and scores both read, made once in a query."""
+    return t.once("evidence", lambda: cases(t).join(token_sets(t), "case_id", "left"))
+
+
+def tokens(t) -> DataFrame:
+    """(case_id, raw) of each distinct token of a case; cases without line items have none."""
+    sets = t.made["evidence"] if "evidence" in t.made else token_sets(t)
+    return sets.select("case_id", F.explode("raws").alias("raw"))
 
 
 TOK = """tok AS (SELECT DISTINCT case_id, raw FROM (SELECT l_orderkey AS case_id, unnest([
@@ -51,7 +70,7 @@ TOK = """tok AS (SELECT DISTINCT case_id, raw FROM (SELECT l_orderkey AS case_id
 
 def specs(t) -> DataFrame:
     rows = [("E_1", "M", "V_2", False), ("E_2", "B", None, False), ("E_3", "C", "0", True), ("E_4", "M", "V_0", True)]
-    return t.spark.createDataFrame(rows, "code string, data_type string, default_value string, is_antecedent boolean")
+    return t.rows(rows, "code string, data_type string, default_value string, is_antecedent boolean")
 
 
 SPECS = "specs AS (SELECT * FROM (VALUES ('E_1', 'M', 'V_2', false), ('E_2', 'B', NULL, false), ('E_3', 'C', '0', true), ('E_4', 'M', 'V_0', true)) v(code, data_type, default_value, is_antecedent))"
@@ -62,12 +81,11 @@ _BAND_SQL = "CASE " + " ".join(f"WHEN share >= {a} THEN {w}" for a, w in BANDS)
 
 def edges(t) -> DataFrame:
     """Condition to token edges, one for each source (order status F, or other) that has the pair."""
-    c, tok = cases(t), tokens(t)
-    source = F.when(F.col("sex") == "F", "closed").otherwise("open").alias("source")
-    total = c.groupBy(F.col("truth").alias("condition_id"), source).agg(F.count(F.lit(1)).alias("total"))
-    pair = c.join(tok, "case_id").groupBy(F.col("truth").alias("condition_id"), source, F.col("raw").alias("concept_id")).agg(F.count(F.lit(1)).alias("n"))
+    c = evidence(t).select(F.col("truth").alias("condition_id"), F.when(F.col("sex") == "F", "closed").otherwise("open").alias("source"), "raws")
+    total = c.groupBy("condition_id", "source").agg(F.count(F.lit(1)).alias("total"))
+    pair = c.select("condition_id", "source", F.explode("raws").alias("concept_id")).groupBy("condition_id", "source", "concept_id").agg(F.count(F.lit(1)).alias("n"))
     share = pair.join(total, ["condition_id", "source"]).withColumn("share", F.col("n") / F.col("total"))
-    return share.select("condition_id", "concept_id", "source", G.band(F.col("share"), BANDS).alias("weight"))
+    return t.once("edges", lambda: share.select("condition_id", "concept_id", "source", G.band(F.col("share"), BANDS).alias("weight")))
 
 
 EDGES = f"""edges AS (SELECT condition_id, concept_id, source, {_BAND_SQL} AS weight FROM (
@@ -80,7 +98,8 @@ STRONGEST = "strongest AS (SELECT condition_id, concept_id, max(weight) AS weigh
 
 def kg_scores(t) -> DataFrame:
     """(case_id, ord, condition_id, kg): naive-Bayes log-likelihood of every case's tokens."""
-    return G.naive_bayes(cases(t).select("case_id"), tokens(t).withColumnRenamed("raw", "concept_id"), G.strongest_edges(edges(t)), conditions(t))
+    e = edges(t)
+    return G.naive_bayes(cases(t).select("case_id"), tokens(t).withColumnRenamed("raw", "concept_id"), G.strongest_edges(e), conditions(t))
 
 
 KG = """kg AS (SELECT c.case_id, p.ord, p.condition_id, round(coalesce(sum(CASE WHEN t.raw IS NOT NULL THEN ln(greatest(least(coalesce(s.weight, 0.01), 0.9), 0.01)) END), 0), 9) AS kg

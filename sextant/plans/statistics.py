@@ -66,7 +66,7 @@ def mcnemar_counts(t):
 @query("st03_mcnemar_p")
 def mcnemar_p(t):
     c = T.discordant(both(t), F.col("rank") == 1, F.col("r2") == 1).first()
-    return t.spark.createDataFrame([(c["only_a"], c["only_b"], T.mcnemar(c["only_a"], c["only_b"]))], "only_a long, only_b long, p double")
+    return t.rows([(c["only_a"], c["only_b"], T.mcnemar(c["only_a"], c["only_b"]))], "only_a long, only_b long, p double")
 
 
 @query("st04_paired_difference_ci", S.with_outcomes(FLAG_FIRST + ", " + interval_sql("SELECT case_id, CASE WHEN r2 <= 3 THEN 1.0::DOUBLE ELSE 0 END - CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM h") + " SELECT " + ROUNDED + ", low > 0 OR high < 0 AS excludes_zero FROM ci"))
@@ -134,7 +134,7 @@ def temperature(t):
 @query("fu08_platt_fit")
 def platt(t):
     a, b = T.fit_platt(_scored(t), "p", "y")
-    return t.spark.createDataFrame([(a, b)], "a double, b double")
+    return t.rows([(a, b)], "a double, b double")
 
 
 @query("fu09_isotonic_fit")
@@ -156,7 +156,7 @@ def multinomial(t):
     scaled = MaxAbsScaler(inputCol="raw", outputCol="features").fit(v).transform(v)
     m = LogisticRegression(family="multinomial", maxIter=20).fit(scaled)
     out = [(k, float(m.interceptVector[int(i)]), [float(x) for x in m.coefficientMatrix.toArray()[int(i)]]) for k, i in ids.items()]
-    return t.spark.createDataFrame(out, "class string, intercept double, coefficients array<double>")
+    return t.rows(out, "class string, intercept double, coefficients array<double>")
 
 
 @query("ml10_tree_ensemble")
@@ -169,7 +169,7 @@ def trees(t):
     v = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(rows)
     m = RandomForestClassifier(numTrees=10, maxDepth=4, seed=42).fit(v)
     names = ["l_quantity", "l_discount", "l_tax"]
-    return t.spark.createDataFrame([(n, float(x)) for n, x in zip(names, m.featureImportances.toArray(), strict=True)], "feature string, importance double")
+    return t.rows([(n, float(x)) for n, x in zip(names, m.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
 @query("ml11_transformer_forward")
@@ -224,8 +224,8 @@ def empty_probe(t):
 
 @query("st18_alpha_source", "SELECT arm, coalesce(alpha, 0.5) AS alpha, CASE WHEN alpha IS NULL THEN 'default' ELSE 'tuned' END AS source FROM (VALUES ('A0', 0.05), ('A1', NULL), ('A4', 0.05)) v(arm, alpha)")
 def alpha_source(t):
-    arms, tuned = t.spark.createDataFrame([("A0",), ("A1",), ("A4",)], "arm string"), t.spark.createDataFrame([("A0", 0.05), ("A4", 0.05)], "arm string, alpha double")
-    return arms.join(F.broadcast(tuned), "arm", "left").select("arm", F.coalesce("alpha", F.lit(0.5)).alias("alpha"), F.when(F.col("alpha").isNull(), "default").otherwise("tuned").alias("source"))
+    arms, tuned = t.rows([("A0",), ("A1",), ("A4",)], "arm string"), t.rows([("A0", 0.05), ("A4", 0.05)], "arm string, alpha double")
+    return arms.join(tuned, "arm", "left").select("arm", F.coalesce("alpha", F.lit(0.5)).alias("alpha"), F.when(F.col("alpha").isNull(), "default").otherwise("tuned").alias("source"))
 
 
 @query("st09_kappa_interval", f"""WITH g AS (SELECT d.source AS q, l.quality + l.toxic AS i, CASE WHEN l.doc_id % 7 = 0 THEN 1 ELSE l.quality + l.toxic END AS j FROM labels l JOIN documents d USING (doc_id)),

@@ -49,14 +49,14 @@ def list_literal(t):
     SELECT custkey, pathology, CASE WHEN pathology <> '5-LOW' THEN pathology END AS condition_id, round(n / sum(n) OVER (PARTITION BY custkey), 6) AS probability FROM d""")
 def differential(t):
     scope = S.conditions(t).where("condition_id <> '5-LOW'").select(F.col("condition_id").alias("pathology"), "condition_id")
-    d = S.cases(t).groupBy("custkey", F.col("truth").alias("pathology")).agg(N.alias("n")).join(F.broadcast(scope), "pathology", "left")
+    d = S.cases(t).groupBy("custkey", F.col("truth").alias("pathology")).agg(N.alias("n")).join(scope, "pathology", "left")
     return d.select("custkey", "pathology", "condition_id", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("custkey")), 6).alias("probability"))
 
 
 @query("prj06_scope_filter_decode", f"WITH {S.PRI} SELECT 'orders-all-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS case_id, ord FROM orders JOIN pri ON condition_id = o_orderpriority WHERE condition_id <> '5-LOW'")
 def scope_filter(t):
     scope = S.conditions(t).where("condition_id <> '5-LOW'")
-    return t.orders.join(F.broadcast(scope), F.col("o_orderpriority") == F.col("condition_id")).select(F.concat(F.lit("orders-all-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")).alias("case_id"), "ord")
+    return t.orders.join(scope, F.col("o_orderpriority") == F.col("condition_id")).select(F.concat(F.lit("orders-all-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")).alias("case_id"), "ord")
 
 
 FINDINGS = f"{JUDGED}, findings AS (SELECT DISTINCT case_id, code AS concept_id, CASE WHEN bool_or(positive) OVER (PARTITION BY case_id, code) THEN 'present' ELSE 'absent' END AS assertion FROM judged)"
@@ -131,7 +131,7 @@ PATTERNS = [("C_flag_a", "E_1", ["V_1"], None, None), ("C_any_status", "E_2", No
 
 
 def patterns(t):
-    return t.spark.createDataFrame(PATTERNS, "concept_id string, code string, vals array<string>, min_ordinal int, side string")
+    return t.rows(PATTERNS, "concept_id string, code string, vals array<string>, min_ordinal int, side string")
 
 
 @query("jn03_crosswalk_match", f"""WITH {PARSED} SELECT DISTINCT case_id, concept_id FROM (
@@ -154,15 +154,15 @@ IMPLIES = [("E_1", "present", "Q_flag", "present"), ("E_3", "present", "Q_amount
     d AS (SELECT case_id, i AS concept_id, min(ia) AS assertion, min(f.concept_id) AS origin FROM findings f JOIN imp USING (concept_id, assertion) GROUP BY ALL HAVING count(DISTINCT ia) = 1)
     SELECT case_id, concept_id, assertion, NULL AS origin FROM findings UNION ALL SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.case_id = d.case_id AND f.concept_id = d.concept_id)""")
 def expansion(t):
-    implies = t.spark.createDataFrame(IMPLIES, "concept_id string, assertion string, implied_id string, implied_assertion string")
+    implies = t.rows(IMPLIES, "concept_id string, assertion string, implied_id string, implied_assertion string")
     return K.expand(findings(t), implies)
 
 
 @query("jn12_alias_resolver", "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON lower(n_name) = lower('' || (SELECT any_value(n_name) FROM nation n WHERE n.n_nationkey = c_nationkey))")
 def alias_resolver(t):
     names = t.nation.select("n_nationkey", F.explode(F.array(F.col("n_nationkey").cast("string"), F.lower("n_name"))).alias("alias"))
-    asked = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lower(F.upper("n_name")).alias("alias"))
-    return asked.join(F.broadcast(names), "alias").select("c_custkey", "n_nationkey")
+    asked = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lower(F.upper("n_name")).alias("alias"))
+    return asked.join(names, "alias").select("c_custkey", "n_nationkey")
 
 
 @query("jn13_same_cases_join", f"WITH {S.CASES} SELECT count(*) AS paired, CAST(0 AS BIGINT) AS unpaired FROM cases")
@@ -247,6 +247,6 @@ def column_grouping(t):
 @query("ml04_case_tokens_audit", f"""WITH {FINDINGS}, q AS (SELECT f.*, s.data_type FROM findings f JOIN specs s ON s.code = concept_id)
     SELECT CASE WHEN assertion = 'absent' AND data_type <> 'B' THEN 'default answer' WHEN assertion = 'absent' THEN 'denied' WHEN data_type = 'C' THEN 'ordinal' ELSE 'kept' END AS reason, count(*) AS n FROM q GROUP BY reason""")
 def case_tokens_audit(t):
-    q = findings(t).join(F.broadcast(S.specs(t)), F.col("code") == F.col("concept_id"))
+    q = findings(t).join(S.specs(t), F.col("code") == F.col("concept_id"))
     reason = F.when((F.col("assertion") == "absent") & (F.col("data_type") != "B"), "default answer").when(F.col("assertion") == "absent", "denied").when(F.col("data_type") == "C", "ordinal").otherwise("kept")
     return q.groupBy(reason.alias("reason")).agg(N.alias("n"))

@@ -7,10 +7,12 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sextant.sources.shared import kept
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
@@ -46,11 +48,16 @@ def flatten_vocabulary(specs: DataFrame, not_applicable: str = "V_11") -> DataFr
 
 
 def to_rows(edges: DataFrame) -> DataFrame:
-    """Edges as canonical JSON rows with an ordinal; empty properties are left out."""
-    from pyspark.sql import Window
+    """Edges as canonical JSON rows with an ordinal; empty properties are left out.
 
+    Rows are sorted by ranges; a part's ordinals begin with the rows of the parts
+    before it, so that only one count for each part is brought together."""
     row = F.to_json(F.struct(*sorted(edges.columns)))
-    return edges.select(row.alias("row")).withColumn("ordinal", F.row_number().over(Window.orderBy("row")) - 1)
+    rows = kept(edges.select(row.alias("row")).orderBy("row").withColumn("_m", F.monotonically_increasing_id()), "rows")
+    rows = rows.withColumns({"_part": F.shiftright("_m", 33), "_m": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    starts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").select("row", (F.col("_start") + F.col("_m")).alias("ordinal"))
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> str:

@@ -94,7 +94,7 @@ def test_pool_equals_the_scalar(spark, alpha):
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "red apple apple"), (2, "green pear")], "id int, t string")
     asked = spark.createDataFrame([(9, "apple"), (9, "apple")], "query int, term string")
-    got = text.bm25(text.postings(docs, "id", "t"), asked, 2).collect()
+    got = text.bm25(text.tokenised(docs, "id", "t"), asked).collect()
     want = math.log(1 + 1.5 / 1.5) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2.5))
     assert [(r.query, r.doc) for r in got] == [(9, 1)] and got[0].score == pytest.approx(want)
 
@@ -206,3 +206,26 @@ def test_rules_decide_as_written(spark):
     arms = spark.createDataFrame([("ok", 100, 50, 9, 10, 0), ("bad", 100, 50, 10, 11, 1), ("idle", 0, 0, 0, 0, 0)], "arm string, cases int, claims int, unsupported int, failed int, delivered int")
     got = {r.arm: (r.passed, r.reasons) for r in decisions.checkpoint(arms).collect()}
     assert got == {"ok": (True, []), "bad": (False, ["unsupported claims", "failed calls", "a defect was delivered"]), "idle": (False, ["did not run"])}
+
+
+def test_rows_are_numbered_in_order_over_all_parts(spark):
+    edges = spark.range(500).selectExpr("CAST(id % 250 AS STRING) AS a", "IF(id % 7 = 0, NULL, id % 250) AS b").repartition(5)
+    got = sorted(tuple(r) for r in files.to_rows(edges).select("ordinal", "row").collect())
+    assert [o for o, _ in got] == list(range(500))
+    assert [r for _, r in got] == sorted(r for _, r in got)
+    assert files.to_rows(edges.where("a = 'none'")).collect() == []
+
+
+def test_scores_of_every_condition_against_a_loop(spark):
+    conditions = [(1, "x"), (2, "y"), (3, "z")]
+    edges = {("x", "f"): 0.95, ("x", "g"): 0.3, ("y", "f"): 0.001, ("other", "f"): 0.5}
+    present = {1: ["f", "g"], 2: ["h"], 3: []}
+    got = graph.naive_bayes(
+        spark.createDataFrame([(c,) for c in present], "case_id long"),
+        spark.createDataFrame([(c, f) for c, fs in present.items() for f in fs], "case_id long, concept_id string"),
+        spark.createDataFrame([(*k, w) for k, w in edges.items()], "condition_id string, concept_id string, weight double"),
+        spark.createDataFrame(conditions, "ord int, condition_id string"),
+    ).collect()
+    want = {(c, o, d): round(sum(math.log(max(min(edges.get((d, f), 0.01), 0.9), 0.01)) for f in fs), 9) for c, fs in present.items() for o, d in conditions}
+    assert {(r.case_id, r.ord, r.condition_id): r.kg for r in got} == pytest.approx(want)
+    assert len(got) == len(want)

@@ -164,7 +164,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, matches: str = "matches"
         ids = [r["item_id"] for r in rows]
         sent = spark.sparkContext.broadcast(ItemIndex([r["text"] for r in rows], share))
         part = matches if not parts else _unused(out, matches)
-        out = _pass(out, sent, ids, part, benchmark.schema[item_id].dataType, text_col)
+        out = out.withColumn(part, _search(sent, ids, benchmark.schema[item_id].dataType)(F.col(text_col).cast("string")))
         parts.append(part)
     if len(parts) > 1:
         out = out.withColumn(matches, F.array_sort(F.concat(*[F.col(p) for p in parts]))).drop(*parts[1:])
@@ -179,24 +179,25 @@ def _unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _pass(docs: DataFrame, sent, ids: list, column: str, kind: DataType, text_col: str) -> DataFrame:
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    at = docs.columns.index(text_col)
+def _search(sent, ids: list, kind: DataType):
+    """A function of a text column: the test items found in each text. Only texts go to Python and only finds come back."""
     item = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), ("edits", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(f"array<struct<item_id:{kind.simpleString()},edits:int>>")
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = sent.value
-        for batch in text_slices(batches, at):
+        for batch in texts:
             rows = []
-            for some in index.search([t or "" for t in batch.column(at).to_pylist()]):
-                least: dict = {}
-                for i, edits in some:
-                    least[ids[i]] = min(edits, least.get(ids[i], edits))
-                rows.append([{"item_id": k, "edits": v} for k, v in sorted(least.items())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, item)], [*batch.schema.names, column])
+            for part in text_slices(iter([pa.RecordBatch.from_arrays([batch], ["text"])])):
+                for some in index.search([t or "" for t in part.column(0).to_pylist()]):
+                    least: dict = {}
+                    for i, edits in some:
+                        least[ids[i]] = min(edits, least.get(ids[i], edits))
+                    rows.append([{"item_id": k, "edits": v} for k, v in sorted(least.items())])
+            yield pa.array(rows, item)
         release()
 
-    return docs.mapInArrow(run, f"{names}, `{column}` array<struct<item_id:{kind.simpleString()},edits:int>>")
+    return found.asNondeterministic()  # so that no plan evaluates it twice
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

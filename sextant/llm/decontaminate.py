@@ -9,22 +9,23 @@ exact piece hits find all candidates; Myers' bit-parallel distance decides.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from sextant.llm.common import release, ship, text_or_empty, text_slices
+from sextant.llm.common import discard, release, ship, text_or_empty, text_slices, written
+from sextant.llm.row_keys import unused
 from sextant.llm.vectext import alnum_words, joined, mixed, span_hashes
 
 #: Word edits an item may have, as a share of its words.
 SHARE = 0.2
-#: Test items that are sent to the executors at once; more go in further blocks.
-BLOCK_ITEMS = 20_000
+#: Test items, and characters of them, that are sent to the executors at once; more go in further passes.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
 _BITS = 22
 
 
@@ -140,43 +141,61 @@ class ItemIndex:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list]:
-    """The distinct test items with an id, in blocks of about size rows each; all texts of an id are in one block."""
+    """The distinct test items with an id, in blocks of about size rows or BLOCK_CHARS characters; all texts of an id are in one block."""
     items = benchmark.select(F.col(id_col).alias("item_id"), text_or_empty(text_col).alias("text")).where("item_id IS NOT NULL").distinct()
-    blocks = max(1, math.ceil(items.count() / size))
+    total = items.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    blocks = max(1, math.ceil(total[0] / size), math.ceil((total[1] or 0) / BLOCK_CHARS))
     for b in range(blocks):
         yield items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
 
 
+class _Passes:
+    """One pass over a table for each block of test items.
+
+    A block's index lives for its own pass only: what a pass finds is written
+    before the next block is sent, and the last pass is left to the caller."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str, share: float, block_items: int):
+        ship(docs.sparkSession)
+        self.spark, self.text, self.kind = docs.sparkSession, text_col, benchmark.schema[item_id].dataType
+        self.share, self.blocks = share, item_blocks(benchmark, item_id, item_text, block_items)
+
+    def over(self, docs: DataFrame, step: Callable[[DataFrame, Column], DataFrame], label: str) -> DataFrame:
+        """step(table, finds) of each block in turn, each on what the one before left."""
+        out, sent, before = docs, None, None
+        for rows in self.blocks:
+            if sent is not None:
+                now = written(out, label)
+                sent.destroy()
+                if before is not None:
+                    discard(before)
+                out = before = now
+            sent = self.spark.sparkContext.broadcast(ItemIndex([r["text"] for r in rows], self.share))
+            out = step(out, _search(sent, [r["item_id"] for r in rows], self.kind)(F.col(self.text).cast("string")))
+        return out
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, matches: str = "matches", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """docs with a column of array<struct<item_id, edits>>: the test items found in each text.
 
     Every row keeps its columns, in one pass over the texts for each block of
-    items and without a shuffle; matches must not name a column of docs. Null
-    and empty texts match nothing, and so do items without a word. Rows of an
-    item id with several texts count each; the least edits of an id are given.
-    Items with a null id are left out, and so is nothing else: repeated rows of
-    docs repeat, texts of any length are searched whole, an empty benchmark
-    gives empty arrays."""
-    spark = docs.sparkSession
-    ship(spark)
-    parts, out = [], docs
-    for rows in item_blocks(benchmark, item_id, item_text, block_items):
-        ids = [r["item_id"] for r in rows]
-        sent = spark.sparkContext.broadcast(ItemIndex([r["text"] for r in rows], share))
-        part = matches if not parts else _unused(out, matches)
-        out = out.withColumn(part, _search(sent, ids, benchmark.schema[item_id].dataType)(F.col(text_col).cast("string")))
-        parts.append(part)
-    if len(parts) > 1:
-        out = out.withColumn(matches, F.array_sort(F.concat(*[F.col(p) for p in parts]))).drop(*parts[1:])
-    return out
-
-
-def _unused(docs: DataFrame, name: str) -> str:
-    """A name that starts like name and that no column has, in any case."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+    items and without a shuffle; where matches names a column of docs, in any
+    case, it raises. Null and empty texts match nothing, and so do items without
+    a word. Rows of an item id with several texts count each; the least edits of
+    an id are given. Items with a null id are left out, and so is nothing else:
+    repeated rows of docs repeat, texts of any length are searched whole, an
+    empty benchmark gives empty arrays. Items of more than one block make every
+    pass but the last write the table with what it has found."""
+    if unused(docs, matches) != matches:
+        raise ValueError(f"docs has a column {matches}")
+
+    def step(rows: DataFrame, found: Column) -> DataFrame:
+        if matches not in rows.columns:
+            return rows.withColumn(matches, found)
+        part = unused(rows, "_part")
+        return rows.withColumn(part, found).withColumn(matches, F.array_sort(F.concat(matches, part))).drop(part)
+
+    return _Passes(docs, benchmark, text_col, item_id, item_text, share, block_items).over(docs, step, "matches")
 
 
 def _search(sent, ids: list, kind: DataType):
@@ -207,7 +226,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.select(F.col("id").alias(id_col), F.explode("matches").alias("m")).select(id_col, "m.item_id", "m.edits")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs in which no test item is found, with the columns of docs."""
-    name = _unused(docs, "_matches")
-    return with_matches(docs, benchmark, name, text_col, **options).where(F.size(name) == 0).drop(name)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of docs in which no test item is found, with the columns of docs.
+
+    Rows are decided one by one by their texts alone, whatever their ids. With
+    items of several blocks each pass reads only what the one before kept."""
+    name = unused(docs, "_found")
+
+    def step(rows: DataFrame, found: Column) -> DataFrame:
+        return rows.withColumn(name, found).where(F.size(name) == 0).drop(name)
+
+    return _Passes(docs, benchmark, text_col, item_id, item_text, share, block_items).over(docs, step, "clean")

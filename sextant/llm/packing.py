@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm.common import release, ship, text_or_empty, text_slices, written
+from sextant.llm.row_keys import unused
 from sextant.llm.word_bpe import encoder
 
 CAPACITY = 4096
@@ -174,18 +175,22 @@ def plan(count: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset, every sequence gapless from 0 and at most capacity long.
 
-    pieces needs id, piece and length (1 to capacity); its other columns stay.
-    Rows may repeat; each gets a place of its own. No rows give no rows."""
+    pieces needs id, piece, start and length (1 to capacity); its other columns
+    stay, whatever their names, but a table that has a sequence_id or an offset
+    raises. Rows may repeat; each gets a place of its own. No rows give no rows."""
     spark = pieces.sparkSession
     ship(spark)
-    rows = written(pieces.withColumn("_part", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(PARTS)).cast("int")), "pieces")
-    counts = written(rows.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    if clash := {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}:
+        raise ValueError(f"pieces must not have the columns that packing adds: {sorted(clash)}")
+    part, inner, first, place_ = (unused(pieces, n) for n in ("_part", "_within", "_before", "_rank"))
+    rows = written(pieces.withColumn(part, F.pmod(F.xxhash64("id", "piece", "start"), F.lit(PARTS)).cast("int")), "pieces")
+    counts = written(rows.groupBy("length", part).agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = plan(totals, capacity)
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("length", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_part").orderBy("id", "piece"))
-    ranked = rows.withColumn("_within", within).join(starts, ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_within") - 1).drop("_before", "_within", "_part")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("length", part, F.coalesce(before, F.lit(0)).alias(first))
+    within = F.row_number().over(Window.partitionBy("length", part).orderBy("id", "piece"))
+    ranked = rows.withColumn(inner, within).join(starts, ["length", part]).withColumn(place_, F.col(first) + F.col(inner) - 1).drop(first, inner, part)
     fields = ranked.schema
     sent = spark.sparkContext.broadcast(table)
 
@@ -193,14 +198,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         t = sent.value
         key = (t[:, 0] << 48) + t[:, 1]
         for batch in batches:
-            length, rank = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", "_rank"))
+            length, rank = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", place_))
             at = np.searchsorted(key, (length << 48) + rank, side="right") - 1
             over = rank - t[at, 1]
             sequence, offset = t[at, 2] + over // t[at, 3], t[at, 4] + over % t[at, 3] * length
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(sequence), pa.array(offset)], [*(f.name for f in fields), "sequence_id", "offset"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return ranked.mapInArrow(place, f"{names}, sequence_id bigint, offset bigint").drop("_rank")
+    return ranked.mapInArrow(place, f"{names}, sequence_id bigint, offset bigint").drop(place_)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ from sextant.llm.vectext import joined, mixed, span_hashes, white_words
 BITS, SIZES, DIMS = 18, (3, 4, 5), 8
 #: Labelled documents of each class that fitting reads at most.
 PER_CLASS = 1500
-#: Small samples are read more often, for this many steps at least.
-LEAST_STEPS = 800
+#: Steps of SGD, as many at every size of the sample.
+STEPS = 1000
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +67,8 @@ class QualityModel:
         self.weight, self.bias = weight, bias
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], prior: float = 0.5, epochs: int = 5, rate: float = 2.0, batch: int = 16, seed: int = 7) -> QualityModel:
-        """Fit by SGD. With fewer than two classes every score is the prior."""
+    def fit(cls, texts: list[str], labels: list[int], prior: float = 0.5, steps: int = STEPS, rate: float = 2.0, batch: int = 16, seed: int = 7) -> QualityModel:
+        """Fit by so many steps of SGD, each on a batch, whatever the sample's size. With fewer than two classes every score is the prior."""
         if len(set(labels)) < 2:
             return cls(np.zeros(1 << BITS, np.float32), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
         rng = np.random.default_rng(seed)
@@ -83,11 +83,12 @@ class QualityModel:
         table = rng.normal(0, 0.1, (1 << BITS, DIMS)).astype(np.float32)
         out = np.zeros((DIMS, 2), np.float32)
         bias = np.zeros(2, np.float32)
-        epochs = max(epochs, -(-LEAST_STEPS * batch // len(docs)))
-        steps, step = epochs * -(-len(docs) // batch), 0
-        for _ in range(epochs):
+        step = 0
+        while step < steps:
             order = rng.permutation(len(docs))
             for a in range(0, len(order), batch):
+                if step == steps:
+                    break
                 pick = order[a : a + batch]
                 pick = pick[[len(docs[i][0]) > 0 for i in pick]]
                 lr, step = rate * (1 - step / steps), step + 1

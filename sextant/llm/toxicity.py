@@ -4,7 +4,7 @@ A word enters as the learned vector of its place in a vocabulary (rare words
 share one) beside the maximum over the learned vectors of its hashed character
 trigrams, so that variants of a word meet. Gated recurrent units read a window
 of words both ways, attention pools their states, and a logistic output scores
-the window. All overlapping windows of a text are scored; the highest counts.
+the window. A window begins at every word of a text; the highest score counts.
 Everything is trained here in numpy.
 """
 
@@ -19,7 +19,7 @@ from sextant.llm.common import chunks
 from sextant.llm.labelled import sample
 from sextant.llm.vectext import alnum_words, joined, mixed, ragged, span_hashes
 
-WINDOW, STRIDE = 24, 12
+WINDOW = 8
 DIMS, STATE, ATTEND, GRAM_BITS = 8, 8, 8, 16
 #: Labelled documents of each class that fitting reads at most.
 PER_CLASS = 1000
@@ -47,15 +47,14 @@ class Tokens:
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Word positions of every window (-1: past a short text's end), and the text of each.
 
-        Windows begin every STRIDE words; the last one ends with its text. A
-        text without words has one empty window."""
+        Windows begin at every word; the last one ends with its text. A text of
+        fewer words has one window, a text without words an empty one."""
         n = np.diff(self.at)
-        count = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
+        count = np.maximum(1, n - WINDOW + 1)
         doc = np.repeat(np.arange(len(n)), count)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        begin = np.maximum(0, np.minimum(k * STRIDE, n[doc] - WINDOW))
-        place = begin[:, None] + np.arange(WINDOW)[None, :]
-        return np.where(place < n[doc][:, None], place + self.at[doc][:, None], -1), doc
+        place = k[:, None] + np.arange(WINDOW)[None, :]
+        return np.where(place < n[doc][:, None], place + self.at[doc][:, None], -1).astype(np.int32), doc
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from sextant.llm.components import connected_components
 from sextant.llm.exact_dedup import DigestIndex, dedup_batch, digest_column
 from sextant.llm.labelled import fold, sample
 from sextant.llm.simhash import block_masks, fingerprint, forest, hex16, links, near_duplicates
-from sextant.llm.simhash_wide import BITS, FOUND, WORDS, block_keys, block_plan, difference, most_bits, similar_groups, wide_forest, wide_prints
+from sextant.llm.shingle_join import similar_groups
 from sextant.llm.token_counts import token_counts
 from sextant.llm.word_bpe import WordBPE
 
@@ -216,6 +216,16 @@ def test_network_equals_a_loop_over_words(make_prose):
         assert abs((a / a.sum()) @ h @ p["out"] + p["bias"][0] - got[i]) < 1e-4
 
 
+def test_a_window_begins_at_every_word(make_prose):
+    size = toxicity.WINDOW
+    for n in (0, 1, size - 1, size, size + 1, 100):
+        index, doc = toxicity.Tokens(["first text", make_prose(1, n) if n else "", "x"]).windows()
+        own = index[doc == 1]
+        words = len(toxicity.Tokens([make_prose(1, n) if n else ""]).hash)
+        assert len(own) == max(1, words - size + 1)
+        assert [r[r >= 0].tolist() for r in own] == [[2 + j for j in range(i, min(i + size, words))] for i in range(len(own))]
+
+
 def test_gradients_equal_finite_differences(make_prose):
     t, m, index = small_network(make_prose)
     word, target, weight = m.places(t.hash), np.array([1, 0, 1.0]), np.full(3, 1 / 3, np.float32)
@@ -613,28 +623,13 @@ def test_masks_cover_every_small_difference():
             assert any(not d & m for m in masks)
 
 
-def test_forests_connect(make_prose):
+def test_forests_connect():
     v = np.array([0, 1, 3, 7, 15 << 40, (15 << 40) + 1], np.uint64)
     a, b = forest(v, 1)
     assert len(a) == 4
-    wide = wide_prints([make_prose(1, 100), make_prose(1, 100) + " x", make_prose(2, 100)], 5)
-    child, to = wide_forest(wide, most_bits(0.8))
-    assert sorted({*child.tolist(), *to.tolist()}) == [0, 1]
-
-
-@pytest.mark.parametrize("nodes", [1000, 200_000, 10_000_000])
-def test_wide_blocks_find_pairs_alike_at_every_size(nodes):
-    rng = np.random.default_rng(nodes)
-    bits = rng.random((1500, BITS)) < 0.5
-    other = bits ^ (rng.random(bits.shape) < difference(0.8))
-    packed = [np.packbits(b, axis=1, bitorder="little").view(np.uint64).reshape(-1, WORDS) for b in (bits, other)]
-    size, blocks = block_plan(nodes, 0.8)
-    a, b = (block_keys(p, size, blocks) for p in packed)
-    assert abs((a == b).any(axis=1).mean() - FOUND) < 0.06
-    assert ((a >> 48) == np.arange(blocks)).all() and ((a & ((1 << 48) - 1)) < 1 << size).all()
 
 
-def test_wide_groups_find_similar_texts_only(spark, nasty, none, make_prose):
+def test_groups_find_similar_texts_only(spark, nasty, none, make_prose):
     texts = []
     for g in range(30):
         w = make_prose(5000 + g, 200).split()
@@ -647,7 +642,6 @@ def test_wide_groups_find_similar_texts_only(spark, nasty, none, make_prose):
     got = dict(rows(similar_groups(df)))
     sure = sum(got.get(1000 + g) == g for g in range(30))
     assert sure >= 28 and all(k % 1000 == v for k, v in got.items())
-    assert BITS == wide_prints([""], 5).size * 64
     odd = dict(rows(similar_groups(nasty)))
     assert odd[2] == 1 and odd[9] == 8 and odd[4] == 3 and rows(similar_groups(none)) == []
 

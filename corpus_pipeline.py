@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read as the next stage's docs. All but the last keep the columns
 of documents and drop rows only.
+
+Rows are decided one by one: each stage knows a row by a key of its own, the
+doc_id where only one row has it, so rows that share an id, or have none, are
+told apart. Of rows with equal texts exactly one stays, wholly equal rows
+included: that with the smallest doc_id, where rows whose id repeats or is null
+come after all others. Null and empty texts are texts like others. Empty tables
+give empty tables.
 """
 
 from __future__ import annotations
@@ -16,34 +23,41 @@ from sextant.llm.exact_dedup import DigestIndex, dedup_batch
 from sextant.llm.labelled import fold
 from sextant.llm.quality import score_texts
 from sextant.llm.queries import tokenizer_path
-from sextant.llm.simhash_wide import similar_groups
+from sextant.llm.row_keys import with_row_key
+from sextant.llm.shingle_join import similar_groups
 from sextant.llm.toxicity import fit_toxicity
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids(doc_id)."""
-    return docs.join(written(ids.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(docs.columns)
+def _without(keyed: DataFrame, key: str, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of keyed whose key isn't among dropped(key), with these columns."""
+    return keyed.join(written(dropped.select(key), "dropped"), key, "left_anti").select([F.col(f"`{c}`") for c in columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels, fold(5) != 0)
-    return _without(docs, score_texts(docs, model).where("score >= 0.5"))
+    keyed, key = with_row_key(docs)
+    return _without(keyed, key, score_texts(keyed, model, key).where("score >= 0.5"), docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, that with the smallest doc_id."""
-    index = DigestIndex.fresh(spark, docs.schema["doc_id"].dataType.simpleString())
-    out = _without(docs, dedup_batch(docs, index).where("NOT kept"))
+    """Of rows with equal texts one."""
+    keyed, key = with_row_key(docs)
+    index = DigestIndex.fresh(spark)
+    out = _without(keyed, key, dedup_batch(keyed, index, key).where("NOT kept"), docs.columns)
     index.drop()
     return out
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8), that with the smallest doc_id."""
-    groups = similar_groups(docs, words=5, similarity=0.8)
-    return _without(docs, groups.where("doc_id <> component_id"))
+    """Of each group of near copies (five words, Jaccard similarity 0.8) one, equal texts included.
+
+    Pairs are found by a prefix join of shingle sets, not by SimHash, which
+    loses pairs at this similarity (README); op6 is the SimHash."""
+    keyed, key = with_row_key(docs)
+    groups = similar_groups(keyed, words=5, similarity=0.8, id_col=key)
+    return _without(keyed, key, groups.where(F.col(key) != F.col("component_id")), docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
+from sextant.operators import boosting as B
 from sextant.operators import metrics as M
 from sextant.operators import ranking as R
 from sextant.operators import statistics as T
+from sextant.operators import transformer as X
 from sextant.plans import standin as S
 from sextant.plans.registry import N, query
 
@@ -172,23 +173,26 @@ def trees(t):
     return t.rows([(n, float(x)) for n, x in zip(names, m.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
+@query("ml10_boosted_trees")
+def boosted(t):
+    """Trees for the three return flags of line items, stopped on a fifth of the orders; every node, and the watched loss after its round."""
+    rows = t.lineitem.withColumn("ship_day", F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")))
+    m = B.fit(rows, ["l_quantity", "l_discount", "ship_day"], "l_returnflag", F.pmod(F.xxhash64("l_orderkey"), F.lit(5)) == 0, rounds=6, depth=3, rate=0.3, bins=32)
+    losses = t.rows(list(enumerate(m.losses[1:])), "round int, watched_loss double")
+    return m.table(t.spark).join(losses, "round")
+
+
+#: Columns, tokens, classes, width, hidden width, blocks and heads of the forward pass.
+COLUMNS, TOKENS, CLASSES, WIDTH, HIDDEN, BLOCKS, HEADS = 64, 16, 5, 16, 24, 2, 4
+
+
 @query("ml11_transformer_forward")
 def transformer(t):
-    """A small attention block over each vector's eight tokens of eight numbers, with fixed weights, in Arrow batches."""
-    rng = np.random.default_rng(3)
-    wq, wk, wv, wo = (rng.normal(0, 0.3, (8, 8)) for _ in range(4))
-
-    def run(parts):
-        for pdf in parts:
-            x = np.stack(pdf["embedding"].to_numpy()).astype(float).reshape(len(pdf), 8, 8)
-            a = np.einsum("bid,bjd->bij", x @ wq, x @ wk) / np.sqrt(8)
-            a = np.exp(a - a.max(axis=2, keepdims=True))
-            y = x + (a / a.sum(axis=2, keepdims=True)) @ (x @ wv) @ wo
-            pdf = pdf[["vec_id"]].copy()
-            pdf["score"] = y.mean(axis=(1, 2))
-            yield pdf
-
-    return t.embeddings.select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, score double")
+    """Class logits of every vector: its columns as sixteen tokens, two blocks of four heads; the weights are a table drawn by hash."""
+    needed = X.shapes(COLUMNS, TOKENS, CLASSES, WIDTH, HIDDEN, BLOCKS)
+    weights = X.gathered(X.drawn(t.spark, needed), needed)
+    model = X.Transformer(weights, [c * TOKENS // COLUMNS for c in range(COLUMNS)], HEADS, BLOCKS)
+    return X.class_logits(t.embeddings, "vec_id", "embedding", model)
 
 
 @query("ml13_complexity", "SELECT p_size AS width, count(*) AS n, p_size * p_size * 4 + p_size * 4 AS parameters FROM part GROUP BY p_size")

@@ -61,18 +61,6 @@ def kappa_interval(graded: DataFrame, query: str, a: str, b: str, grades: int =
     return each.agg(F.max(F.when(F.col("b") < 0, F.col("k"))).alias("value"), F.percentile(drawn_only, 0.025).alias("low"), F.percentile(drawn_only, 0.975).alias("high"))
 
 
-def bootstrap(num: np.ndarray, den: np.ndarray, resamples: int = 1000, seed: int = 42) -> tuple[float, float, float]:
-    """The exact resampling of two reduced columns, in chunks of bounded size."""
-    rng, n, out = np.random.default_rng(seed), len(num), []
-    step = max(1, 20_000_000 // max(n, 1))
-    for a in range(0, resamples, step):
-        pick = rng.integers(0, n, (min(step, resamples - a), n))
-        d = den[pick].sum(axis=1)
-        out.append(np.where(d > 0, num[pick].sum(axis=1) / np.maximum(d, 1e-300), np.nan))
-    low, high = np.nanpercentile(np.concatenate(out), [2.5, 97.5])
-    return float(num.sum() / den.sum()), float(low), float(high)
-
-
 def discordant(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     """How many pairs only the one, and only the other, got right."""
     return pairs.agg(F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"))
@@ -101,19 +89,35 @@ def fit_temperature(rows: DataFrame, p: str, y: str, low: float = 0.05, high: fl
 
 
 def fit_platt(rows: DataFrame, p: str, y: str, steps: int = 25) -> tuple[float, float]:
-    """Platt's a and b by Newton steps; every step is one aggregate of five sums."""
+    """Platt's a and b by Newton steps that are halved until the loss doesn't rise; a step is two aggregates.
+
+    Smoothed aims keep both finite on separable scores."""
     x = F.log(F.greatest(F.col(p), F.lit(1e-9)))
     n = rows.agg(F.count_if(y).alias("pos"), F.count_if(~F.col(y)).alias("neg")).first()
     hi, lo = (n["pos"] + 1) / (n["pos"] + 2), 1 / (n["neg"] + 2)
     a, b = math.log((n["pos"] + 1) / (n["neg"] + 1)), 0.0
+    aim = F.when(F.col(y), F.lit(hi)).otherwise(F.lit(lo))
+    points = rows.select(x.alias("x"), aim.alias("t"))
+
+    def losses(places: list[tuple[float, float]]) -> list[float]:
+        z = [F.lit(c) + F.lit(d) * F.col("x") for c, d in places]
+        each = [F.sum(F.greatest(v, F.lit(0.0)) - v * F.col("t") + F.log1p(F.exp(-F.abs(v)))) for v in z]
+        return list(points.agg(*each).first())
+
     for _ in range(steps):
         q = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
-        w, g = q * (1 - q), q - F.when(F.col(y), F.lit(hi)).otherwise(F.lit(lo))
-        s = rows.select(x.alias("x"), y).agg(F.sum(g), F.sum(g * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first()
+        w, g = q * (1 - q), q - F.col("t")
+        s = points.agg(F.sum(g), F.sum(g * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first()
         hess = np.array([[s[2] + 1e-9, s[3]], [s[3], s[4] + 1e-9]])
         da, db = np.linalg.solve(hess, np.array([s[0], s[1]]))
-        a, b = a - float(da), b - float(db)
-        if abs(da) + abs(db) < 1e-9:
+        # a whole step, or the largest of its halves that doesn't raise the loss: all are tried in one aggregate
+        tried = [(a - float(da) / 2**k, b - float(db) / 2**k) for k in range(11)]
+        now, *then = losses([(a, b), *tried])
+        found = next((p for p, loss in zip(tried, then, strict=True) if loss <= now), None)
+        if found is None:
+            break
+        moved, (a, b) = abs(found[0] - a) + abs(found[1] - b), found
+        if moved < 1e-9:
             break
     return a, b
 

@@ -63,3 +63,13 @@ def expand(findings: DataFrame, implies: DataFrame) -> DataFrame:
     agreed = derived.groupBy("case_id", "concept_id").agg(F.min("assertion").alias("assertion"), F.min("origin").alias("origin"), F.count_distinct("assertion").alias("n")).where("n = 1").drop("n")
     fresh = agreed.join(findings.select("case_id", "concept_id"), ["case_id", "concept_id"], "left_anti")
     return findings.select("case_id", "concept_id", "assertion", F.lit(None).cast("string").alias("origin")).unionByName(fresh)
+
+
+def implied_concepts(patterns: DataFrame) -> DataFrame:
+    """(code, a, b) where every answer that concept a takes of a code is one that b takes: a implies b.
+
+    patterns is (concept, code, vals); concepts meet on a shared answer, those without answers imply nothing."""
+    each = patterns.select("code", F.col("concept").alias("a"), F.size(F.array_distinct("vals")).alias("n"), F.explode(F.array_distinct("vals")).alias("val"))
+    other = patterns.select("code", F.col("concept").alias("b"), F.explode(F.array_distinct("vals")).alias("val"))
+    both = each.join(other, ["code", "val"]).where("a <> b").groupBy("code", "a", "b").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("shared"))
+    return both.where("shared = n").select("code", "a", "b")

@@ -9,6 +9,7 @@ from sextant.operators import graph as G
 from sextant.operators import metrics as M
 from sextant.operators import ranking as R
 from sextant.operators import text as X
+from sextant.operators import tokens as K
 from sextant.plans import standin as S
 from sextant.plans.registry import N, query
 from sextant.plans.graph import GAIN_SQL, gains
@@ -53,15 +54,14 @@ def attribution(t):
     return t.events.join(t.customer, F.col("user_id") == F.col("c_custkey"), "left").select("event_id", "c_name")
 
 
-PAT = "p AS (SELECT * FROM (VALUES ('a', 'E_1', ['V_1']), ('b', 'E_1', ['V_1', 'V_3']), ('c', 'E_4', ['V_2']), ('d', 'E_4', ['V_2', 'V_3', 'V_4']), ('e', 'E_4', ['V_9'])) v(concept, code, vals))"
+PAT = "p AS (SELECT p_brand AS concept, p_size % 3 AS code, list(DISTINCT p_type) AS vals FROM part WHERE p_size % 10 < 2 GROUP BY ALL)"
 
 
-@query("jn19_implication_pairs", f"WITH {PAT} SELECT a.concept AS a, b.concept AS b FROM p a JOIN p b ON a.code = b.code AND a.concept <> b.concept WHERE list_has_all(b.vals, a.vals)")
+@query("jn19_implication_pairs", f"WITH {PAT} SELECT a.code, a.concept AS a, b.concept AS b FROM p a JOIN p b ON a.code = b.code AND a.concept <> b.concept WHERE list_has_all(b.vals, a.vals)")
 def implications(t):
-    rows = [("a", "E_1", ["V_1"]), ("b", "E_1", ["V_1", "V_3"]), ("c", "E_4", ["V_2"]), ("d", "E_4", ["V_2", "V_3", "V_4"]), ("e", "E_4", ["V_9"])]
-    p = t.rows(rows, "concept string, code string, vals array<string>")
-    a, b = p.select(F.col("concept").alias("a"), "code", F.col("vals").alias("va")), p.select(F.col("concept").alias("b"), "code", F.col("vals").alias("vb"))
-    return a.join(b, "code").where((F.col("a") != F.col("b")) & (F.size(F.array_except("va", "vb")) == 0)).select("a", "b")
+    """A brand is a concept of a code, its types the answers that its pattern takes."""
+    p = t.part.where("p_size % 10 < 2").groupBy(F.col("p_brand").alias("concept"), (F.col("p_size") % 3).alias("code")).agg(F.collect_set("p_type").alias("vals"))
+    return K.implied_concepts(p)
 
 
 @query("jn22_recorded_answers", f"WITH {FINDINGS} SELECT case_id, 'Q_' || concept_id AS question, concept_id || ' is ' || assertion AS answer FROM findings WHERE assertion = 'present'")
@@ -93,12 +93,6 @@ def golden(t):
     return rows.groupBy("seg").agg(N.alias("cases"), F.count_if(F.col("rank") <= 3).alias("met"), F.count_if("flagged").alias("flags"))
 
 
-@query("kg13_separates", S.with_graph(", g AS (SELECT concept_id, condition_id, weight, max(weight) OVER (PARTITION BY concept_id) - weight AS gap FROM strongest), r AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY round(gap, 9) DESC, condition_id) AS k FROM g WHERE gap > 0) SELECT concept_id, condition_id, round(gap, 6) AS gap FROM r WHERE k <= 3"))
-def separates(t):
-    e = G.strongest_edges(S.edges(t)).withColumn("gap", F.max("weight").over(Window.partitionBy("concept_id")) - F.col("weight")).where("gap > 0")
-    return R.first_k(e, ["concept_id"], [F.round("gap", 9).desc(), F.col("condition_id")], 3).select("concept_id", "condition_id", F.round("gap", 6).alias("gap"))
-
-
 @query("kg23_presented_candidates", S.with_all(", g AS (SELECT case_id, condition_id, rank() OVER (PARTITION BY case_id ORDER BY kg DESC) AS graph_rank FROM kg) SELECT case_id, condition_id, rank() OVER (PARTITION BY case_id ORDER BY p DESC) AS model_rank, graph_rank FROM o JOIN g USING (case_id, condition_id)"))
 def presented(t):
     a = R.competition_rank(S.ml_scores(t), "p").withColumnRenamed("rank", "model_rank")
@@ -121,16 +115,11 @@ def token_mask(t):
     return m.where("first OR k <= 2").select("case_id", "raw")
 
 
-@query("wn12_next_questions", S.with_graph(f""", {GAIN_SQL}, settled AS (SELECT DISTINCT case_id, split_part(raw, '_@_', 1) AS code FROM tok WHERE case_id % 2 = 0),
-    n AS (SELECT g.case_id, g.concept_id, round(gain, 9) + 0.0 AS gain FROM gains g LEFT JOIN settled s ON s.case_id = g.case_id AND s.code = split_part(g.concept_id, '_@_', 1) WHERE s.code IS NULL)
-    SELECT case_id, concept_id, k FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY gain DESC, concept_id) AS k FROM n) WHERE k <= 2"""))
+@query("wn12_next_questions", S.with_graph(f", {GAIN_SQL} SELECT case_id, concept_id, row_number() OVER (PARTITION BY case_id ORDER BY gain DESC, concept_id) AS k FROM gains QUALIFY k <= 2"))
 def next_questions(t):
-    """The two questions of most gain; a case whose code is answered, here in every other one, isn't asked it."""
-    settled = S.tokens(t).where("case_id % 2 = 0").select("case_id", F.substring_index("raw", "_@_", 1).alias("code")).distinct()
-    open_ = gains(t).withColumn("code", F.substring_index("concept_id", "_@_", 1)).join(settled, ["case_id", "code"], "left_anti")
-    open_ = open_.withColumn("gain", F.round("gain", 9) + 0.0)
+    """The two open questions of most gain."""
     k = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("gain"), "concept_id"))
-    return open_.select("case_id", "concept_id", k.alias("k")).where("k <= 2")
+    return gains(t).select("case_id", "concept_id", k.alias("k")).where("k <= 2")
 
 
 @query("wn13_contribution_sort", S.with_graph(", x AS (SELECT condition_id, concept_id, ln(greatest(least(weight, 0.9), 0.01)) AS part FROM strongest) SELECT condition_id, concept_id, row_number() OVER (PARTITION BY condition_id ORDER BY abs(part) DESC, concept_id) AS k FROM x"))
@@ -163,11 +152,16 @@ def passages(t):
     return X.windows(runs.select(F.concat_ws("-", F.col("doc").cast("string"), F.col("run").cast("string")).alias("doc"), "text"), 100, 20)
 
 
-@query("orc01_synthetic_corpus")
+_DRAWN = "(('0x' || substr(md5(doc_id || ':' || i), 1, 8))::BIGINT)"
+
+
+@query("orc01_synthetic_corpus", f"SELECT doc_id AS id, (SELECT string_agg('w' || CAST({_DRAWN} % 500 AS VARCHAR), ' ' ORDER BY i) FROM range(1, 1 + least(n_chars, 40)) r(i)) AS text, [round({_DRAWN} / 4294967296.0::DOUBLE, 6) FOR i IN [101, 102, 103, 104]] AS vector FROM documents")
 def corpus(t):
-    """Passages of hash-drawn words; the same on any partitioning."""
-    word = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("w"), (F.pmod(F.xxhash64(F.col("id"), i), F.lit(500))).cast("string")))
-    return t.spark.range(1000).select("id", F.array_join(word, " ").alias("text"))
+    """For every document a passage of as many drawn words, forty at most, and a drawn vector; the same on any partitioning."""
+    drawn = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    word = F.transform(F.sequence(F.lit(1), F.least("n_chars", F.lit(40)).cast("int")), lambda i: F.concat(F.lit("w"), (drawn(i) % 500).cast("string")))
+    vector = F.transform(F.array(*[F.lit(i) for i in range(101, 105)]), lambda i: F.round(drawn(i) / 4294967296.0, 6))
+    return t.documents.select(F.col("doc_id").alias("id"), F.array_join(word, " ").alias("text"), vector.alias("vector"))
 
 
 @query("st16_paired_deep_counts", S.with_outcomes(", f AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY flagged DESC, p DESC, ord) AS r2 FROM o) SELECT critical, count(*) FILTER (rank <= 3 AND r2 > 3) AS only_a, count(*) FILTER (rank > 3 AND r2 <= 3) AS only_b FROM f WHERE condition_id = truth GROUP BY critical"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sextant.operators import closure as C
 from sextant.operators import graph as G
+from sextant.operators import questions as Q
 from sextant.plans import standin as S
 from sextant.plans.registry import N, query
 
@@ -134,25 +136,60 @@ def expected_order(t):
     return S.edges(t).select("condition_id", "concept_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("condition_id").orderBy(late, "concept_id")))
 
 
-GAIN_SQL = """post AS (SELECT case_id, condition_id, exp(kg - max(kg) OVER (PARTITION BY case_id)) AS u FROM kg), pp AS (SELECT case_id, condition_id, u / sum(u) OVER (PARTITION BY case_id) AS p FROM post),
-    q AS (SELECT pp.case_id, s.concept_id, sum(p * s.weight) AS yes, sum(p * (s.weight * log2(s.weight) + (1 - s.weight) * log2(1 - s.weight))) AS neg FROM pp JOIN strongest s USING (condition_id) WHERE s.concept_id LIKE 'E_1%' GROUP BY ALL HAVING count(*) = 5),
-    gains AS (SELECT case_id, concept_id, neg - (yes * log2(yes) + (1 - yes) * log2(1 - yes)) AS gain FROM q)"""
+#: Questions of these codes aren't asked of cases of this kind.
+NEVER = ("F", "E_4")
+GAIN_SQL = f"""post AS (SELECT case_id, condition_id, exp(kg - max(kg) OVER (PARTITION BY case_id)) AS u FROM kg), pp AS (SELECT case_id, condition_id, u / sum(u) OVER (PARTITION BY case_id) AS p FROM post),
+    of AS (SELECT truth AS condition_id, count(*) AS total FROM cases GROUP BY ALL), sh AS (SELECT truth AS condition_id, raw AS concept_id, count(*) / any_value(total) AS weight FROM cases JOIN tok USING (case_id) JOIN of ON of.condition_id = truth GROUP BY ALL),
+    cw AS (SELECT c.concept_id, split_part(c.concept_id, '_@_', 1) AS code, p.ord, p.condition_id, greatest(least(coalesce(s.weight, 0.01), 0.9), 0.01)::DOUBLE AS w FROM (SELECT DISTINCT concept_id FROM sh) c CROSS JOIN pri p LEFT JOIN sh s USING (concept_id, condition_id)),
+    th AS (SELECT *, 1 / (1 + exp(ln(1 - w) - ln(w))) AS theta FROM cw), splits AS (SELECT concept_id, code FROM th GROUP BY ALL HAVING max(theta) > min(theta)),
+    settled AS (SELECT case_id, raw AS concept_id FROM tok UNION SELECT t.case_id, s.concept_id FROM tok t JOIN splits s ON s.code = split_part(t.raw, '_@_', 1) WHERE t.case_id % 2 = 0),
+    asked AS (SELECT c.case_id, s.concept_id FROM cases c CROSS JOIN splits s ANTI JOIN settled x ON x.case_id = c.case_id AND x.concept_id = s.concept_id WHERE NOT (c.sex = '{NEVER[0]}' AND s.code = '{NEVER[1]}')),
+    q AS (SELECT case_id, concept_id, sum(p * theta) AS q FROM asked JOIN th USING (concept_id) JOIN pp USING (case_id, condition_id) GROUP BY ALL),
+    parts AS (SELECT case_id, concept_id, ord, condition_id, theta, q, p * greatest(theta * log2(theta / q) + (1 - theta) * log2((1 - theta) / (1 - q)), 0) AS c FROM q JOIN th USING (concept_id) JOIN pp USING (case_id, condition_id)),
+    gains AS (SELECT case_id, concept_id, any_value(q) AS q, round(sum(c), 9) + 0.0 AS gain, sum(c) AS total FROM parts GROUP BY ALL HAVING round(sum(c), 9) > 0)"""
 
 
 def gains(t):
-    """(case_id, concept_id, gain): the mutual information of each question's answer and the condition, in bits."""
-    w = Window.partitionBy("case_id")
-    u = F.exp(F.col("kg") - F.max("kg").over(w))
-    post = S.kg_scores(t).withColumn("u", u).withColumn("p", F.col("u") / F.sum("u").over(w))
-    bits = lambda x: x * F.log2(x) + (1 - x) * F.log2(1 - x)
-    e = G.strongest_edges(S.edges(t)).where(F.col("concept_id").startswith("E_1"))
-    q = post.join(e, "condition_id").groupBy("case_id", "concept_id").agg(F.sum(F.col("p") * F.col("weight")).alias("yes"), F.sum(F.col("p") * bits(F.col("weight"))).alias("neg"), N.alias("n")).where("n = 5")
-    return q.select("case_id", "concept_id", (F.col("neg") - bits(F.col("yes"))).alias("gain"))
-
-
-@query("kg11_question_gain", S.with_graph(f", {GAIN_SQL} SELECT case_id, concept_id, round(gain, 6) AS gain FROM gains"))
+    """What every case's open questions gain: over all codes, without what it has answered.
+
+    A condition answers by the share of its own cases that have the concept.
+    Every other case counts an answer of a code as settling the code's other questions."""
+    own = S.evidence(t).select(F.col("truth").alias("condition_id"), "raws")
+    total = own.groupBy("condition_id").agg(N.alias("total"))
+    shares = own.select("condition_id", F.explode("raws").alias("concept_id")).groupBy("condition_id", "concept_id").agg(N.alias("n")).join(total, "condition_id")
+    questions = Q.answers(shares.select("condition_id", "concept_id", (F.col("n") / F.col("total")).alias("weight")), S.conditions(t)).withColumn("code", F.substring_index("concept_id", "_@_", 1))
+    never = F.when(F.col("code") == NEVER[1], F.array(F.lit(NEVER[0]))).otherwise(F.array().cast("array<string>"))
+    by_code = questions.groupBy("code").agg(F.collect_list("concept_id").alias("siblings"))
+    own = S.tokens(t).withColumn("code", F.substring_index("raw", "_@_", 1)).join(by_code, "code", "left")
+    known = F.when(F.col("case_id") % 2 == 0, F.concat(F.array("raw"), F.coalesce("siblings", F.array().cast("array<string>")))).otherwise(F.array("raw"))
+    settled = own.select("case_id", known.alias("k")).groupBy("case_id").agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("settled"))
+    cases = S.cases(t).select("case_id", F.col("sex").alias("kind")).join(Q.posteriors(S.kg_scores(t)), "case_id").join(settled, "case_id", "left")
+    return Q.question_gains(cases, questions.withColumn("never", never), S.PRIORITIES)
+
+
+@query("kg11_question_gain", S.with_graph(f", {GAIN_SQL} SELECT case_id, concept_id, round(q, 6) AS q, gain FROM gains"))
 def question_gain(t):
-    return gains(t).withColumn("gain", F.round("gain", 6))
+    return gains(t).select("case_id", "concept_id", F.round("q", 6).alias("q"), "gain")
+
+
+@query("kg13_separates", S.with_graph(f""", {GAIN_SQL}, best AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY gain DESC, concept_id) = 1),
+    n AS (SELECT b.case_id, b.concept_id, p.condition_id, theta > p.q AS yes, row_number() OVER (PARTITION BY b.case_id, theta > p.q ORDER BY round(c, 9) DESC, ord) AS k FROM best b JOIN parts p USING (case_id, concept_id) WHERE c >= 0.01 * total AND theta <> p.q)
+    SELECT b.case_id, b.concept_id, coalesce(string_agg(condition_id, ';' ORDER BY k) FILTER (yes AND k <= 3), '') AS if_present, coalesce(string_agg(condition_id, ';' ORDER BY k) FILTER (NOT yes AND k <= 3), '') AS if_denied FROM best b LEFT JOIN n USING (case_id, concept_id) GROUP BY ALL"""))
+def separates(t):
+    """The conditions that carry the best question's gain, by the answer that favours them."""
+    best = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("gain"), "concept_id"))
+    rows = gains(t).withColumn("k", best).where("k = 1")
+    return rows.select("case_id", "concept_id", *[F.array_join(c, ";").alias(c) for c in ("if_present", "if_denied")])
+
+
+@query("kg04_closure_fixpoint", """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1 UNION ALL SELECT min(p_partkey), min(p_partkey) + 2 FROM part),
+    c AS (SELECT a, b FROM e WHERE a IS NOT NULL UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b) SELECT a, b FROM c""")
+def closure_fixpoint(t):
+    """All ancestors of the parts in a tree by halved keys, with an edge back from its root: a cycle."""
+    key = F.col("p_partkey")
+    up = t.part.where(key > 1).select(key.alias("a"), F.floor(key / 2).alias("b"))
+    back = t.part.agg(F.min(key).alias("a")).select("a", (F.col("a") + 2).alias("b"))
+    return C.closure(up.union(back)).select("a", "b")
 
 
 @query("kg12_entropy_bits", S.with_outcomes("SELECT case_id, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS bits FROM o GROUP BY case_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.operators import metrics as M
 from sextant.operators import ranking as R
+from sextant.operators import timing as O
 from sextant.plans import standin as S
 from sextant.plans.registry import N, query
 
@@ -222,7 +223,7 @@ def pool_summary(t):
 
 @query("ag46_latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def latency(t):
-    return t.events.groupBy("event_type").agg(*[F.round(F.percentile("value", p), 6).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+    return O.latency(t.events, "event_type", "value")
 
 
 @query("ag47_dissection_effect", S.with_outcomes("""

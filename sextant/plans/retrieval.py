@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sextant.operators import matching as L
 from sextant.operators import ranking as R
+from sextant.operators import selection as V
 from sextant.operators import text as X
 from sextant.plans.registry import N, query
 
@@ -190,6 +192,41 @@ def word_overlap(t):
     return X.overlapping(t.benchmark, "item_id", "text", 0.1).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("jn20_sequence_ratio")
+def sequence_ratio(t):
+    """Part names that are alike by their matching blocks, and the nations' and customers' segments among them."""
+    labels = t.part.select(F.col("p_name").alias("label")).union(t.part.select(F.lower("p_type"))).union(t.nation.select(F.lower("n_name")))
+    return L.similar_labels(labels).withColumn("ratio", F.round("ratio", 6))
+
+
+PLAN_SQL = """f AS (SELECT lang AS condition, n_chars AS ord, doc_id AS item FROM documents UNION ALL SELECT source, n_chars, doc_id FROM documents),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY ord, item) AS place FROM f QUALIFY place <= 12),
+    ar AS (SELECT doc_id AS item, CASE WHEN contains(text, '@') THEN 'contact' END AS reason, 'L' || CAST(n_chars % 4 AS VARCHAR) AS licence FROM documents WHERE n_chars % 11 <> 0),
+    se AS (SELECT p.condition, p.item, a.reason, a.licence FROM pl p JOIN ar a USING (item) QUALIFY coalesce(sum(CASE WHEN a.reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.condition ORDER BY p.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 8)"""
+
+
+def selected(t):
+    """Eight of twelve planned articles for each language and each source, the shortest first."""
+    d = t.documents
+    found = d.select(F.col("lang").alias("condition"), F.col("n_chars").alias("ord"), F.col("doc_id").alias("item")).union(d.select("source", "n_chars", "doc_id"))
+    plan = V.planned(found, 12)
+    # only what is planned is looked at: a bounded number for each condition
+    own = d.where("n_chars % 11 <> 0").select(F.col("doc_id").alias("item"), F.when(F.contains("text", F.lit("@")), "contact").alias("reason"))
+    return V.select_articles(plan, own.join(plan.select("item").distinct(), "item", "left_semi"), 8)
+
+
+@query("rt20_article_selection", f"WITH {PLAN_SQL} SELECT item, string_agg(condition, ';' ORDER BY condition) FILTER (reason IS NULL) AS conditions, any_value(reason) AS refused FROM se GROUP BY item")
+def article_selection(t):
+    taken, refused = selected(t)
+    return taken.select("item", F.array_join("conditions", ";").alias("conditions"), F.lit(None).cast("string").alias("refused")).union(refused.select("item", F.lit(None).cast("string"), "reason"))
+
+
+@query("rt20_licence_counts", f"WITH {PLAN_SQL} SELECT licence, count(DISTINCT item) AS articles, count(*) AS uses FROM se WHERE reason IS NULL GROUP BY licence")
+def licence_counts(t):
+    licences = t.documents.select(F.col("doc_id").alias("item"), F.concat(F.lit("L"), (F.col("n_chars") % 4).cast("string")).alias("licence"))
+    return V.licence_counts(selected(t)[0], licences)
+
+
 @query("rt25_search_terms", "SELECT r_regionkey, '(' || string_agg(n_name || '[ti]', ' OR ' ORDER BY n_name) || ') AND ' || r_name AS term FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
 def search_terms(t):
     names = F.array_join(F.transform(F.array_sort(F.collect_list("n_name")), lambda x: F.concat(x, F.lit("[ti]"))), " OR ")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sextant.operators import text as X
+from sextant.operators.timing import StageTimes, latency
 from sextant.plans import standin as S
-from sextant.plans.registry import N, query
+from sextant.plans.registry import N, Tables, query
+from sextant.sources import bundles as U
 from sextant.sources import files as I
-from sextant.sources.shared import fresh_path
+from sextant.sources.paged import PagedSource
+from sextant.sources.shared import drop_folder, fresh_path
 
 
 def _scratch(t, name: str) -> str:
@@ -122,3 +125,39 @@ def article_parse(t):
 def spreadsheet_safe(t):
     cell = F.when(F.col("event_type") == "click", F.concat(F.lit("="), "event_type")).otherwise(F.col("event_type"))
     return t.events.select("event_id", I.guarded(cell).alias("cell"))
+
+
+@query("src16_paged_source", "SELECT page_id, url, length(html) AS signs FROM pages")
+def paged(t):
+    """The pages table saved as pages of JSON lines, and read by the paged source, which keeps what it has fetched."""
+    path = _scratch(t, "paged")
+    t.pages.select("page_id", "url", F.length("html").alias("signs")).repartition(24, "page_id").write.option("ignoreNullFields", False).json(f"{path}/saved")
+    t.spark.dataSource.register(PagedSource)
+    return t.spark.read.format("paged").schema("page_id bigint, url string, signs int").options(folder=f"{path}/saved", kept=f"{path}/kept", pagesPerTask="4").load().withColumn("signs", F.col("signs").cast("bigint"))
+
+
+@query("rt26_open_bundle", "SELECT 'benchmark' AS name, count(*) AS rows, NULL AS reason FROM benchmark UNION ALL SELECT 'labels', 0, 'part missing' UNION ALL SELECT 'documents', 0, 'not in the manifest' UNION ALL SELECT 'conversations', 0, 'another schema' UNION ALL SELECT 'elsewhere', 0, 'no bundle'")
+def open_bundle(t):
+    """A bundle of three tables, of which one loses its parts and one is asked for with another schema: what each opens to."""
+    path = _scratch(t, "bundle")
+    U.write_bundle({"benchmark": t.benchmark, "labels": t.labels, "conversations": t.conversations.select("conv_id", "turn")}, path)
+    drop_folder(t.spark, f"{path}/labels")
+    asked = [("benchmark", path, t.benchmark.schema), ("labels", path, t.labels.schema), ("documents", path, t.documents.schema), ("conversations", path, t.conversations.schema), ("elsewhere", f"{path}-none", t.benchmark.schema)]
+    out = None
+    for name, at, schema in asked:
+        opened = U.open_table(t.spark, at, name.replace("elsewhere", "benchmark"), schema)
+        one = opened.rows.agg(F.lit(name).alias("name"), N.alias("rows"), F.lit(opened.reason).cast("string").alias("reason"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("op02_stage_timing")
+def stage_timing(t):
+    """Three runs of a query's stages, from evidence to scores: rows and percentiles of the seconds of each."""
+    times = StageTimes(t.spark)
+    for _ in range(3):
+        own = Tables(t.spark, t.folder)
+        for name, make in (("evidence", lambda: S.cases(own).join(S.token_sets(own), "case_id", "left")), ("edges", lambda: S.edges(own)), ("scores", lambda: S.kg_scores(own))):
+            times.time(name, make, lambda df: df.write.format("noop").mode("overwrite").save())
+    table = times.table()
+    return latency(table, "stage", "seconds").join(table.groupBy("stage").agg(N.alias("runs"), F.max("rows").alias("rows")), "stage")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sextant.operators import boosting as B
+from sextant.operators import fusion as P
 from sextant.operators import metrics as M
 from sextant.operators import ranking as R
+from sextant.operators import resampling as E
 from sextant.operators import statistics as T
 from sextant.operators import transformer as X
 from sextant.plans import standin as S
@@ -64,10 +66,41 @@ def mcnemar_counts(t):
     return T.discordant(both(t), F.col("rank") == 1, F.col("r2") == 1)
 
 
-@query("st03_mcnemar_p")
+#: Coefficients of a Chebyshev fit of the complementary error function, of relative error under 1.2e-7.
+ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+_ERFC_SQL = " + ".join(f"{c}::DOUBLE * u ** {i}" for i, c in enumerate(ERFC))
+#: SQL for mcnemar() of c(only_a, only_b), to six decimals.
+MCNEMAR_SQL = f"""m AS (SELECT only_a, only_b, only_a + only_b AS n, least(only_a, only_b) AS low, greatest(abs(only_a - only_b) - 1, 0) / sqrt(2.0::DOUBLE * nullif(only_a + only_b, 0)) AS z FROM c),
+    y AS (SELECT *, 1 / (1 + 0.5 * z) AS u FROM m)
+    SELECT only_a, only_b, round(CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN least(1, 2 * list_sum(list_transform(range(0, low + 1), lambda i: (factorial(CAST(n AS INT)) / (factorial(CAST(i AS INT)) * factorial(CAST(n - i AS INT))))::DOUBLE)) / 2.0 ** n)
+        ELSE u * exp(-z * z + {_ERFC_SQL}) END, 6) AS p FROM y"""
+
+
+@query("st03_mcnemar_p", S.with_outcomes(FLAG_FIRST + ", c AS (SELECT count(*) FILTER (rank = 1 AND r2 <> 1) AS only_a, count(*) FILTER (rank <> 1 AND r2 = 1) AS only_b FROM h), " + MCNEMAR_SQL))
 def mcnemar_p(t):
     c = T.discordant(both(t), F.col("rank") == 1, F.col("r2") == 1).first()
-    return t.rows([(c["only_a"], c["only_b"], T.mcnemar(c["only_a"], c["only_b"]))], "only_a long, only_b long, p double")
+    return t.rows([(c["only_a"], c["only_b"], round(T.mcnemar(c["only_a"], c["only_b"]), 6))], "only_a long, only_b long, p double")
+
+
+def _metrics(t):
+    """Numerators of both orders' metrics on each case, and their denominators."""
+    h, cols = both(t), {"one": F.lit(1.0), "crit": F.col("critical").cast("double")}
+    for r, x in (("rank", "a"), ("r2", "b")):
+        hit = (F.col(r) <= 3).cast("double")
+        cols |= {f"top3_{x}": hit, f"mrr_{x}": 1 / F.col(r), f"crit3_{x}": hit * F.col("critical").cast("double")}
+    return h.withColumns(cols)
+
+
+@query("st01_exact_bootstrap")
+def exact_bootstrap(t):
+    """A thousand draws of the cases of each segment with replacement, the same for all metrics."""
+    return E.bootstrap(_metrics(t), {"top3": ("top3_a", "one"), "mrr": ("mrr_a", "one"), "critical_top3": ("crit3_a", "crit")}, ["seg"])
+
+
+@query("st04_exact_differences")
+def exact_differences(t):
+    """Flags first against scores alone, on the same draws: what ST07 and ST16 report beside McNemar's test."""
+    return E.differences(_metrics(t), {"top3": ("top3_a", "top3_b", "one"), "mrr": ("mrr_a", "mrr_b", "one"), "critical_top3": ("crit3_a", "crit3_b", "crit")})
 
 
 @query("st04_paired_difference_ci", S.with_outcomes(FLAG_FIRST + ", " + interval_sql("SELECT case_id, CASE WHEN r2 <= 3 THEN 1.0::DOUBLE ELSE 0 END - CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END AS num, 1.0::DOUBLE AS den FROM h") + " SELECT " + ROUNDED + ", low > 0 OR high < 0 AS excludes_zero FROM ci"))
@@ -127,9 +160,11 @@ def _scored(t):
     return S.outcomes(t).select("p", M.hit().alias("y"))
 
 
-@query("fu07_temperature_fit")
+@query("fu07_temperature_fit", S.with_outcomes(""", g AS (SELECT exp(ln(0.05::DOUBLE) + (ln(20.0::DOUBLE) - ln(0.05::DOUBLE)) * i / 40) AS temperature FROM range(41) r(i)), q AS (SELECT greatest(least(p, 1 - 1e-9::DOUBLE), 1e-9::DOUBLE) AS q, condition_id = truth AS y FROM o),
+    l AS (SELECT temperature, avg(ln(1 + exp(CASE WHEN y THEN -ln(q / (1 - q)) ELSE ln(q / (1 - q)) END / temperature))) AS loss FROM q CROSS JOIN g GROUP BY temperature)
+    SELECT round(temperature, 6) AS temperature, round(loss, 6) AS loss FROM l ORDER BY l.loss, l.temperature LIMIT 1"""))
 def temperature(t):
-    return T.fit_temperature(_scored(t), "p", "y")
+    return T.fit_temperature(_scored(t), "p", "y").select(*[F.round(c, 6).alias(c) for c in ("temperature", "loss")])
 
 
 @query("fu08_platt_fit")
@@ -175,9 +210,11 @@ def trees(t):
 
 @query("ml10_boosted_trees")
 def boosted(t):
-    """Trees for the three return flags of line items, stopped on a fifth of the orders; every node, and the watched loss after its round."""
-    rows = t.lineitem.withColumn("ship_day", F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")))
-    m = B.fit(rows, ["l_quantity", "l_discount", "ship_day"], "l_returnflag", F.pmod(F.xxhash64("l_orderkey"), F.lit(5)) == 0, rounds=6, depth=3, rate=0.3, bins=32)
+    """Trees that tell the language of a document by its length and shares of letters, stopped on a fifth of them; every node, and the watched loss after its round."""
+    size = F.greatest(F.length("text"), F.lit(1))
+    shares = {f"share_{x}": F.round((F.length("text") - F.length(F.replace(F.col("text"), F.lit(x)))) / size, 3) for x in ("e", "h", "o", "u")}
+    rows = t.documents.select("lang", "n_chars", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("watched"), *[v.alias(k) for k, v in shares.items()])
+    m = B.fit(rows, ["n_chars", *shares], "lang", F.col("watched"), rounds=5, depth=3, rate=0.3, bins=32)
     losses = t.rows(list(enumerate(m.losses[1:])), "round int, watched_loss double")
     return m.table(t.spark).join(losses, "round")
 
@@ -226,10 +263,13 @@ def empty_probe(t):
     return S.cases(t).groupBy("truth").agg(N.alias("n")).orderBy(F.desc("n"), "truth").limit(1).select(F.col("truth").alias("answer"))
 
 
-@query("st18_alpha_source", "SELECT arm, coalesce(alpha, 0.5) AS alpha, CASE WHEN alpha IS NULL THEN 'default' ELSE 'tuned' END AS source FROM (VALUES ('A0', 0.05), ('A1', NULL), ('A4', 0.05)) v(arm, alpha)")
+@query("st18_alpha_source", "SELECT c_mktsegment AS arm, CASE WHEN count(*) FILTER (c_acctbal < 0) * 100 >= count(*) * 9 THEN round(count(*) FILTER (c_acctbal < 0) / count(*), 6) ELSE 0.5 END AS alpha, CASE WHEN count(*) FILTER (c_acctbal < 0) * 100 >= count(*) * 9 THEN 'tuned' ELSE 'default' END AS source FROM customer GROUP BY c_mktsegment")
 def alpha_source(t):
-    arms, tuned = t.rows([("A0",), ("A1",), ("A4",)], "arm string"), t.rows([("A0", 0.05), ("A4", 0.05)], "arm string, alpha double")
-    return arms.join(tuned, "arm", "left").select("arm", F.coalesce("alpha", F.lit(0.5)).alias("alpha"), F.when(F.col("alpha").isNull(), "default").otherwise("tuned").alias("source"))
+    """Each segment is an arm; its weight is tuned where enough of its customers owe, else the default."""
+    arms = t.customer.select(F.col("c_mktsegment").alias("arm")).distinct()
+    low = F.count_if(F.col("c_acctbal") < 0)
+    tuned = t.customer.groupBy(F.col("c_mktsegment").alias("arm")).agg(low.alias("low"), N.alias("n")).where("low * 100 >= n * 9").select("arm", F.round(F.col("low") / F.col("n"), 6).alias("alpha"))
+    return P.alpha_source(arms, tuned)
 
 
 @query("st09_kappa_interval", f"""WITH g AS (SELECT d.source AS q, l.quality + l.toxic AS i, CASE WHEN l.doc_id % 7 = 0 THEN 1 ELSE l.quality + l.toxic END AS j FROM labels l JOIN documents d USING (doc_id)),

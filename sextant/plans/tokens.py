@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sextant.operators import closure as C
+from sextant.operators import features as Y
 from sextant.operators import tokens as K
 from sextant.plans import standin as S
 from sextant.plans.registry import N, query
@@ -158,6 +160,20 @@ def expansion(t):
     return K.expand(findings(t), implies)
 
 
+#: What follows step by step; the questions' chain has a cycle.
+CHAIN = [("E_1", "present", "Q_flag", "present"), ("E_3", "present", "Q_amount", "present"), ("E_4", "absent", "Q_amount", "absent"), ("Q_flag", "present", "Q_any", "present"), ("Q_amount", "present", "Q_root", "present"), ("Q_root", "present", "Q_any", "present"), ("Q_any", "present", "Q_root", "present"), ("Q_amount", "absent", "Q_root", "absent")]
+
+
+@query("jn04_closed_expansion", f"""WITH RECURSIVE {FINDINGS}, imp AS (SELECT * FROM (VALUES {', '.join(map(repr, CHAIN))}) v(concept_id, assertion, i, ia)),
+    cl AS (SELECT * FROM imp UNION SELECT cl.concept_id, cl.assertion, imp.i, imp.ia FROM cl JOIN imp ON imp.concept_id = cl.i AND imp.assertion = cl.ia),
+    d AS (SELECT case_id, i AS concept_id, min(ia) AS assertion, min(f.concept_id) AS origin FROM findings f JOIN (SELECT * FROM cl WHERE NOT (concept_id = i AND assertion = ia)) c USING (concept_id, assertion) GROUP BY ALL HAVING count(DISTINCT ia) = 1)
+    SELECT case_id, concept_id, assertion, NULL AS origin FROM findings UNION ALL SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.case_id = d.case_id AND f.concept_id = d.concept_id)""")
+def closed_expansion(t):
+    """Cases with all that their findings imply through any number of steps."""
+    implies = t.rows(CHAIN, "concept_id string, assertion string, implied_id string, implied_assertion string")
+    return K.expand(findings(t), C.closed_implications(implies))
+
+
 @query("jn12_alias_resolver", "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON lower(n_name) = lower('' || (SELECT any_value(n_name) FROM nation n WHERE n.n_nationkey = c_nationkey))")
 def alias_resolver(t):
     names = t.nation.select("n_nationkey", F.explode(F.array(F.col("n_nationkey").cast("string"), F.lower("n_name"))).alias("alias"))
@@ -250,3 +266,27 @@ def case_tokens_audit(t):
     q = findings(t).join(S.specs(t), F.col("code") == F.col("concept_id"))
     reason = F.when((F.col("assertion") == "absent") & (F.col("data_type") != "B"), "default answer").when(F.col("assertion") == "absent", "denied").when(F.col("data_type") == "C", "ordinal").otherwise("kept")
     return q.groupBy(reason.alias("reason")).agg(N.alias("n"))
+
+
+VOCAB = "vo AS (SELECT raw AS token, row_number() OVER (ORDER BY raw) - 1 AS idx FROM (SELECT DISTINCT raw FROM tok))"
+
+
+def sparse(t):
+    """Each case's tokens as places of a fitted vocabulary."""
+    tokens = t.once("tokens", lambda: S.tokens(t))
+    entries = tokens.select(F.col("case_id").alias("id"), F.col("raw").alias("token"), F.lit(1.0).alias("value"))
+    return Y.sparse_rows(S.cases(t).select(F.col("case_id").alias("id")), entries, Y.vocabulary(entries))
+
+
+@query("ml03_sparse_transform", f"WITH {S.CASES}, {S.TOK}, {VOCAB} SELECT c.case_id AS id, idx, CASE WHEN idx IS NOT NULL THEN 1.0::DOUBLE END AS value FROM cases c LEFT JOIN tok t USING (case_id) LEFT JOIN vo ON token = raw")
+def sparse_transform(t):
+    """The sparse rows, one row for each place that isn't zero; a case without any has one of nulls."""
+    return sparse(t).select("id", F.explode_outer(F.arrays_zip("indices", "values")).alias("e")).select("id", F.col("e.indices").alias("idx"), F.col("e.values").alias("value"))
+
+
+@query("ml03_csr_chunks", f"""WITH {S.CASES}, {S.TOK}, {VOCAB}, n AS (SELECT case_id, (row_number() OVER (ORDER BY case_id) - 1) // 2000 AS chunk FROM cases)
+    SELECT chunk, count(DISTINCT n.case_id) AS rows, count(idx) AS entries, CAST(sum(idx) AS BIGINT) AS places FROM n LEFT JOIN tok USING (case_id) LEFT JOIN vo ON token = raw GROUP BY chunk""")
+def csr(t):
+    """Compressed rows in chunks of 2,000 cases; what each chunk holds."""
+    chunks = Y.csr_chunks(sparse(t), "id", 2000)
+    return chunks.select("chunk", F.size("ids").cast("bigint").alias("rows"), F.element_at("starts", -1).alias("entries"), F.aggregate("indices", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("places"))

@@ -51,12 +51,6 @@ def calibrate(s: DataFrame, fitted: DataFrame, by: tuple[str, ...] = ("case_id",
     return j.withColumn("calibrated", F.when(F.col("_f"), F.col("_c") * before / F.sum("_c").over(w)).otherwise(F.col("p"))).drop("_f", "_c", "a", "b")
 
 
-def choose_alpha(rows: DataFrame, floor: float) -> DataFrame:
-    """Of the alphas whose recall reaches the floor the best mean MRR; ties to the smaller. rows: (alpha, recall, mrr)."""
-    good = rows.where(F.col("recall") >= floor)
-    return good.agg(F.max_by("alpha", F.struct(F.col("mrr"), -F.col("alpha"))).alias("alpha"))
-
-
 def alpha_source(arms: DataFrame, tuned: DataFrame, default: float = 0.5) -> DataFrame:
     """(arm, alpha, source) of each arm: its tuned weight, or the default where it has none."""
     return arms.join(tuned, "arm", "left").select("arm", F.coalesce("alpha", F.lit(default)).alias("alpha"), F.when(F.col("alpha").isNull(), "default").otherwise("tuned").alias("source"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sextant.operators import ablation as B
 from sextant.operators import fusion as P
 from sextant.operators import metrics as M
 from sextant.operators import ranking as R
 from sextant.plans import standin as S
 from sextant.plans.registry import query
 
-ALPHAS = [0.0, 0.05, 0.25, 0.5, 1.0]
 BASE = """, s AS (SELECT case_id, ord, condition_id, p, kg, condition_id <> '5-LOW' AS in_model FROM ml JOIN kg USING (case_id, ord, condition_id)),
-    a0 AS (SELECT s.*, alpha FROM s CROSS JOIN (VALUES (0.0::DOUBLE), (0.05), (0.25), (0.5), (1.0)) v(alpha)),
+    a0 AS (SELECT s.*, alpha FROM s CROSS JOIN (VALUES (0.25::DOUBLE)) v(alpha)),
     a1 AS (SELECT *, kg - max(kg) OVER w - ln(sum(exp(kg)) OVER w / exp(max(kg) OVER w)) AS lkg0, max(kg) OVER w AS mk FROM a0 WINDOW w AS (PARTITION BY case_id, alpha)),
     a2 AS (SELECT *, kg - mk - ln(sum(exp(kg - mk)) OVER w) AS lkg, max(CASE WHEN in_model THEN p END) OVER w - min(CASE WHEN in_model THEN p END) OVER w < 1e-12 AS mute FROM a1 WINDOW w AS (PARTITION BY case_id, alpha)),
     a3 AS (SELECT *, (1 - alpha) * CASE WHEN alpha = 0 THEN CASE WHEN p > 0 THEN ln(p) ELSE -700 END ELSE ln(greatest(p, 0.01)) END + alpha * lkg AS t FROM a2),
@@ -27,12 +27,6 @@ def base(t):
     return s.withColumn("in_model", F.col("condition_id") != "5-LOW")
 
 
-def swept(t):
-    """Cases are dealt before they are multiplied by the alphas."""
-    alphas = t.rows([(a,) for a in ALPHAS], "alpha double")
-    return P.opinion_pool(base(t).repartition("case_id").crossJoin(F.broadcast(alphas)), F.col("alpha"), ("case_id", "alpha"))
-
-
 @query("fu01_alpha_from_weights", "SELECT p_partkey, round(p_size / (p_size + p_retailprice), 6) AS alpha FROM part WHERE p_size + p_retailprice > 0")
 def alpha(t):
     return t.part.where("p_size + p_retailprice > 0").select("p_partkey", F.round(F.col("p_size") / (F.col("p_size") + F.col("p_retailprice")), 6).alias("alpha"))
@@ -53,24 +47,80 @@ def pool(t):
     return P.opinion_pool(base(t), F.lit(0.25)).select("case_id", "condition_id", F.lit(0.25).alias("alpha"), F.round("fused", 6).alias("fused"))
 
 
-SWEEP = BASE + """, r AS (SELECT f.*, c.truth, row_number() OVER (PARTITION BY f.case_id, alpha ORDER BY round(fused, 9) DESC, f.ord) AS rank FROM f JOIN cases c USING (case_id)),
-    w AS (SELECT alpha, round(avg(1.0 / rank), 6) AS mrr, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS recall FROM r WHERE condition_id = truth GROUP BY alpha)"""
+#: Shares of the evidence that a case keeps, and the weights of the graph.
+LEVELS = [1.0, 0.7, 0.4]
+WEIGHTS = [round(0.05 * i, 2) for i in range(20)]
+_U = "(('0x' || substr(md5(t.case_id || ':' || t.raw), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+#: Rows (case_id, level, ord, condition_id, p, other, kg, flagged, critical, truth), and the fused scores of weights a(alpha).
+LEVEL_SQL = f""", lv AS (SELECT unnest({LEVELS}::DOUBLE[]) AS level),
+    kl AS (SELECT c.case_id, lv.level, p.ord, p.condition_id, round(coalesce(sum(CASE WHEN t.raw IS NOT NULL THEN ln(greatest(least(coalesce(s.weight, 0.01), 0.9), 0.01)) END), 0), 9) AS kg
+        FROM cases c CROSS JOIN lv CROSS JOIN pri p LEFT JOIN tok t ON t.case_id = c.case_id AND {_U} < lv.level LEFT JOIN strongest s ON s.condition_id = p.condition_id AND s.concept_id = t.raw GROUP BY ALL),
+    sg AS (SELECT seg, truth AS condition_id, count(*) AS n FROM cases GROUP BY ALL), other AS (SELECT g.seg, p.condition_id, coalesce(s.n, 0) / sum(s.n) OVER (PARTITION BY g.seg) AS other FROM (SELECT DISTINCT seg FROM sg) g CROSS JOIN pri p LEFT JOIN sg s ON s.seg = g.seg AND s.condition_id = p.condition_id),
+    x AS (SELECT k.case_id, k.level, k.ord, k.condition_id, CASE WHEN k.condition_id <> '5-LOW' THEN o.p END AS p, CASE WHEN k.condition_id <> '5-LOW' THEN h.other END AS other, k.kg, o.flagged, o.truth, o.rank AS model_rank, o.critical
+        FROM kl k JOIN o ON o.case_id = k.case_id AND o.condition_id = k.condition_id JOIN other h ON h.seg = o.seg AND h.condition_id = k.condition_id)"""
+
+
+def _fused_sql(rows: str, model: str, out: str) -> str:
+    """SQL for the pool of a model's column over rows(x.*, alpha)."""
+    return f""", {out}1 AS (SELECT *, max(kg) OVER w AS mk, coalesce(max({model}) OVER w - min({model}) OVER w < 1e-12 OR sum({model}) OVER w <= 0, true) AS mute FROM {rows} WINDOW w AS (PARTITION BY case_id, level, alpha)),
+    {out}2 AS (SELECT *, greatest(kg - mk - ln(sum(exp(kg - mk)) OVER w), -700) AS lkg FROM {out}1 WINDOW w AS (PARTITION BY case_id, level, alpha)),
+    {out}3 AS (SELECT *, CASE WHEN {model} IS NOT NULL THEN (1 - alpha) * CASE WHEN alpha = 0 THEN CASE WHEN {model} > 0 THEN ln({model}) ELSE -700 END ELSE ln(greatest({model}, 0.01)) END + alpha * lkg END AS t FROM {out}2),
+    {out}4 AS (SELECT *, max(t) OVER w AS mt, ln(sum(CASE WHEN {model} IS NOT NULL THEN exp(lkg) END) OVER w) AS mass FROM {out}3 WINDOW w AS (PARTITION BY case_id, level, alpha)),
+    {out} AS (SELECT *, CASE WHEN mute OR alpha = 1 OR {model} IS NULL THEN lkg ELSE greatest(-700, mass + t - mt - ln(sum(exp(t - mt)) OVER w)) END AS fused FROM {out}4 WINDOW w AS (PARTITION BY case_id, level, alpha))"""
+
+
+def case_levels(t):
+    """A row of every case and level: what each model and the graph give, flags, and the true condition's place."""
+    kept = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("case_id").cast("string"), "raw")), 1, 8), 16, 10).cast("bigint") / 4294967296.0
+    levels = F.explode(F.array(*map(F.lit, LEVELS))).alias("level")
+    key = F.struct("case_id", "level").alias("case_id")
+    tokens = S.tokens(t).select("*", levels).where(kept < F.col("level")).select(key, F.col("raw").alias("concept_id"))
+    kg = S.G.naive_bayes(S.cases(t).select("case_id", levels).select(key), tokens, S.G.strongest_edges(S.edges(t)), S.conditions(t))
+    graph = B.case_rows(kg.select("case_id.*", "ord", "kg"), ["case_id", "level"], ["kg"])
+    of_case, of_seg = S.cases(t), S.cases(t).groupBy("seg", F.col("truth").alias("condition_id")).agg(F.count(F.lit(1)).alias("n"))
+    grid = of_case.select("seg").distinct().crossJoin(F.broadcast(S.conditions(t))).join(of_seg, ["seg", "condition_id"], "left")
+    other = grid.withColumn("other", F.coalesce("n", F.lit(0)) / F.sum("n").over(Window.partitionBy("seg")))
+    model = B.case_rows(S.outcomes(t), ["case_id", "truth", "seg"], ["condition_id", "p", "flagged", "critical", "rank"])
+    scored = F.col("condition_id") != "5-LOW"
+    others = B.case_rows(other.withColumn("other", F.when(scored, F.col("other"))), ["seg"], ["other"])
+    place = F.array_position("condition_id", F.col("truth")).cast("int") - 1
+    model = model.select("case_id", "seg", place.alias("truth"), F.zip_with("p", "condition_id", lambda p, c: F.when(c != "5-LOW", p)).alias("p"), "flagged", F.get("critical", place).alias("critical"), (F.get("rank", place) == 1).alias("golden"))
+    return graph.join(model, "case_id").join(others, "seg").withColumn("golden", F.col("golden") & F.col("critical") & (F.col("case_id") % 50 == 0))
+
+
+def points(ranks, by):
+    """Mean reciprocal rank, and the share of critical cases within the first three."""
+    return ranks.groupBy(*by).agg(F.avg(1 / F.col("rank")).alias("mrr"), F.avg(F.when(F.col("critical"), (F.col("rank") <= 3).cast("double"))).alias("recall"))
+
+
+SWEEP = LEVEL_SQL + f", al AS (SELECT unnest({WEIGHTS}::DOUBLE[]) AS alpha), xa AS (SELECT * FROM x CROSS JOIN al)" + _fused_sql("xa", "p", "f") + """, r AS (SELECT *, row_number() OVER (PARTITION BY case_id, level, alpha ORDER BY round(fused, 9) DESC, ord) AS r FROM f),
+    w AS (SELECT level, alpha, avg(1.0::DOUBLE / r) AS mrr, avg(CASE WHEN critical THEN CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END END) AS recall FROM r WHERE condition_id = truth GROUP BY ALL)"""
 
 
 def sweep(t):
-    r = swept(t).withColumn("fused", F.round("fused", 9)).withColumn("rank", F.row_number().over(Window.partitionBy("case_id", "alpha").orderBy(F.desc("fused"), "ord")))
-    hits = r.join(S.cases(t).select("case_id", F.col("truth").alias("condition_id")), ["case_id", "condition_id"])
-    return hits.groupBy("alpha").agg(F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), M.share(F.col("rank") <= 3).alias("recall"))
+    return B.weight_sweep(case_levels(t), WEIGHTS, ["level", "critical", "golden"])
 
 
-@query("fu05_weight_sweep", S.with_all(SWEEP + " SELECT * FROM w"))
+@query("fu05_weight_sweep", S.with_all(SWEEP + " SELECT level, alpha, round(mrr, 6) AS mrr, round(recall, 6) AS recall FROM w"))
 def weight_sweep(t):
-    return sweep(t)
+    """Twenty weights at three levels of evidence, without flags."""
+    return points(sweep(t), ["level", "alpha"]).select("level", "alpha", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"))
 
 
-@query("fu06_alpha_choice", S.with_all(SWEEP + " SELECT alpha FROM w WHERE recall >= 0.5 ORDER BY mrr DESC, alpha LIMIT 1"))
+@query("fu06_alpha_choice", S.with_all(SWEEP + f""", ml1 AS (SELECT *, row_number() OVER (PARTITION BY case_id, level ORDER BY coalesce(p, -1) DESC, ord) AS r FROM x), fl AS (SELECT level, avg(CASE WHEN critical THEN CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END END) AS floor FROM ml1 WHERE condition_id = truth GROUP BY level),
+    go AS (SELECT alpha, bool_and(r <= 3) AS holds FROM r WHERE condition_id = truth AND critical AND model_rank = 1 AND case_id % 50 = 0 GROUP BY alpha),
+    e AS (SELECT alpha, round(avg(mrr), 9) AS mrr, round(avg(recall), 9) AS recall, bool_and(recall >= floor) AS safe FROM w JOIN fl USING (level) JOIN go USING (alpha) WHERE holds GROUP BY alpha),
+    b AS (SELECT (SELECT alpha FROM e WHERE safe ORDER BY mrr DESC, alpha LIMIT 1) AS good, (SELECT alpha FROM e ORDER BY recall DESC, mrr DESC, alpha LIMIT 1) AS other)
+    SELECT coalesce(good, other) AS alpha, CASE WHEN other IS NULL THEN 'no weight keeps every golden case' WHEN good IS NOT NULL THEN 'highest mean MRR meeting the constraint' ELSE 'no weight met the constraint: highest mean recall' END AS rule FROM b"""))
 def alpha_choice(t):
-    return P.choose_alpha(sweep(t), 0.5)
+    """Golden here are every fiftieth of the critical cases that the model has right; their condition must stay among the first three."""
+    cases = t.once("case-levels", lambda: case_levels(t))
+    ranks = B.weight_sweep(cases, WEIGHTS, ["level", "critical", "golden"])
+    sums = ranks.groupBy("level", "alpha").agg(F.avg(1 / F.col("rank")).alias("mrr"), F.avg(F.when(F.col("critical"), (F.col("rank") <= 3).cast("double"))).alias("recall"), F.min(F.when(F.col("golden"), (F.col("rank") <= 3).cast("int"))).alias("golden"))
+    sums = t.once("sweep", lambda: sums)
+    floors = points(B.system_ranks(cases, {}, ["level", "critical"]).where("system = 'model'"), ["level"]).select("level", F.col("recall").alias("floor"))
+    golden = sums.groupBy("alpha").agg((F.min("golden") == 1).alias("holds"))
+    return B.choose_weight(sums, floors, golden)
 
 
 FITTED = [("1-URGENT", 0.1, 1.2), ("2-HIGH", -0.2, 0.9), ("3-MEDIUM", 0.0, 1.0)]
@@ -108,3 +158,20 @@ def fused_ece(t):
     q = P.opinion_pool(base(t), F.lit(0.25)).withColumn("q", F.round(F.exp("fused") / F.sum(F.exp("fused")).over(w), 9))
     r = R.rank_scores(q, "q").where("rank = 1").join(S.cases(t).select("case_id", "truth"), "case_id").withColumn("y", M.hit())
     return M.ece(r, "q", "y")
+
+
+_SYSTEM = "SELECT case_id, level, ord, condition_id, truth, critical, '{}' AS system, {} AS score, {} AS f FROM {}"
+_LOG = "CASE WHEN mute THEN -700 WHEN p > 0 THEN greatest(ln(p), -700) ELSE -700 END"
+SYSTEMS = [("A0", "fused", "CAST(flagged AS INT)", "fa"), ("A1", _LOG, "0", "fa"), ("A1b", _LOG, "CAST(flagged AS INT)", "fa"), ("A2", "lkg", "CAST(flagged AS INT)", "fa"), ("A4", "fused", "0", "fa"), ("A7", "fused", "CAST(flagged AS INT)", "fb"), ("A7 (A0''s alpha)", "fused", "CAST(flagged AS INT)", "fc"), ("graph", "kg", "0", "fa"), ("model", "coalesce(p, -1)", "0", "fa"), ("other", "coalesce(other, -1)", "0", "fa")]
+#: The weights that the two models were given.
+CHOSEN, OTHERS = 0.05, 0.5
+
+
+@query("kg15_kg16_system_rankings", S.with_all(LEVEL_SQL + f", xa AS (SELECT *, {CHOSEN}::DOUBLE AS alpha FROM x), xb AS (SELECT *, {OTHERS}::DOUBLE AS alpha FROM x)" + _fused_sql("xa", "p", "fa") + _fused_sql("xb", "other", "fb") + _fused_sql("xa", "other", "fc") + ", s AS (" + " UNION ALL ".join(_SYSTEM.format(*x) for x in SYSTEMS) + """),
+    r AS (SELECT *, row_number() OVER (PARTITION BY system, case_id, level ORDER BY f DESC, round(score, 9) DESC, ord) AS r FROM s)
+    SELECT level, system, round(avg(CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top1, round(avg(1.0::DOUBLE / r), 6) AS mrr, round(avg(CASE WHEN critical THEN CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END END), 6) AS critical_top3 FROM r WHERE condition_id = truth GROUP BY ALL"""))
+def systems(t):
+    """All ablations, both models and the graph alone, and another model at either weight, at three levels of evidence."""
+    ranks = B.system_ranks(case_levels(t), B.systems(CHOSEN, OTHERS), ["level", "critical"])
+    first = F.avg((F.col("rank") == 1).cast("double"))
+    return ranks.groupBy("level", "system").agg(F.round(first, 6).alias("top1"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), F.round(F.avg(F.when(F.col("critical"), (F.col("rank") <= 3).cast("double"))), 6).alias("critical_top3"))

@@ -210,18 +210,6 @@ def rules(t):
     return g.select("case_id", (all_of & any_of).alias("flagged"), (F.size(F.filter(groups, lambda x: F.arrays_overlap(x, F.col("c")))) >= 2).alias("grouped"))
 
 
-@query("kg15_kg16_system_rankings", S.with_all(""", s AS (SELECT case_id, ord, condition_id, 'model' AS system, p AS score, 0 AS f FROM o UNION ALL SELECT case_id, ord, condition_id, 'graph', kg, 0 FROM kg UNION ALL SELECT case_id, ord, condition_id, 'model+flags', p, CAST(flagged AS INT) FROM o),
-    r AS (SELECT *, row_number() OVER (PARTITION BY system, case_id ORDER BY f DESC, score DESC, ord) AS rank FROM s)
-    SELECT system, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(1.0 / rank), 6) AS mrr FROM r JOIN cases c USING (case_id) WHERE r.condition_id = c.truth GROUP BY system"""))
-def systems(t):
-    o = S.outcomes(t)
-    part = lambda df, name, score, f: df.select("case_id", "ord", "condition_id", F.lit(name).alias("system"), F.col(score).alias("score"), f.alias("f"))
-    s = part(o, "model", "p", F.lit(False)).union(part(S.kg_scores(t), "graph", "kg", F.lit(False))).union(part(o, "model+flags", "p", F.col("flagged")))
-    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("system", "case_id").orderBy(F.desc("f"), F.desc("score"), "ord")))
-    hits = r.join(S.cases(t).select("case_id", F.col("truth").alias("condition_id")), ["case_id", "condition_id"])
-    return hits.groupBy("system").agg(F.round(F.avg((F.col("rank") == 1).cast("double")), 6).alias("top1"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))
-
-
 @query("kg20_crosswalk_validation", with_edges(f""", {S.SPECS}, k AS (SELECT concept_id, split_part(concept_id, '_@_', 1) AS code, split_part(concept_id, '_@_', 2) AS val, count(DISTINCT condition_id) AS conditions, count(DISTINCT source) AS sources FROM edges GROUP BY concept_id)
     SELECT concept_id, 'unknown code' AS problem FROM k WHERE code NOT IN (SELECT code FROM specs) UNION ALL SELECT concept_id, 'default value' FROM k JOIN specs USING (code) WHERE val = default_value
     UNION ALL SELECT concept_id, 'one source' FROM k WHERE sources = 1 UNION ALL SELECT concept_id, 'some conditions only' FROM k WHERE conditions < 5"""))

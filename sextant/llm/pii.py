@@ -37,7 +37,14 @@ FEMALE_NAMES = ["Alma", "Berta", "Clara", "Dora", "Elsa", "Flora", "Greta", "Han
 OTHER_NAMES = ["Alexis", "Andrea", "Chris", "Dominique", "Jamie", "Jean", "Kim", "Luca", "Maxime", "Nikola", "Noa", "Robin", "Sam", "Sascha", "Toni", "Yael"]
 GIVEN = {"male": MALE_NAMES, "female": FEMALE_NAMES, "person": OTHER_NAMES}
 
+# Titles after which both surnames may follow, small words within a surname, and endings of made-up given names.
+TWO_SURNAMES = ["Señora", "Señor", "Sra", "Sr"]
+PARTICLES = ["de", "del", "der", "den", "di", "da", "du", "la", "las", "le", "los", "van", "von", "y", "zu"]
+ENDINGS = {"male": ["o", "us", "an", "ik", "er", "en"], "female": ["a", "ia", "ina", "ette", "elle", "ine"], "person": ["i", "y", "e", "is", "ey", "ie"]}
+_ONSETS, _VOWELS = "bcdfghjklmnprstvwz", "aeiou"
+
 _TITLES = MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
+_SMALL = "(?:(?:" + "|".join(PARTICLES) + ") ){0,3}"
 _WORD = r"\p{Lu}[\p{L}'’\-]+"
 PATTERNS = [
     r"(?<![A-Za-z])(?i:token|key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?(?P<secret>[A-Za-z0-9_\-+/]{16,})",
@@ -49,7 +56,8 @@ PATTERNS = [
     r"(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))",
     r"(?P<phone>(?<![\p{L}\p{N}])(?:\+\d{8,15}|\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\+1[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}|\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{2,5}(?:[ .\-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}-\d{4})(?!\d))",
     r"(?P<phone>(?<![\p{L}\p{N}.\-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4} \d{3,4} \d{3,4}|0\d(?: \d{2}){4}|0\d{2,4}[/ ]\d{5,8})(?![.\-]?[\p{L}\d]))",
-    r"\b(?P<title>" + "|".join(_TITLES) + r")\.? (?P<name>(?:\p{Lu}\. ?){0,2}" + _WORD + "(?: " + _WORD + r")?)",
+    r"\b(?P<title>" + "|".join(TWO_SURNAMES) + r")\.? (?P<name>(?:\p{Lu}\. ?){0,2}" + _SMALL + _WORD + "(?: " + _SMALL + _WORD + r"){0,2})",
+    r"\b(?P<title>" + "|".join(_TITLES) + r")\.? (?P<name>(?:\p{Lu}\. ?){0,2}" + _SMALL + _WORD + "(?: " + _SMALL + _WORD + r")?)",
 ]
 #: Whether a text can hold an entity at all: every pattern needs one of these.
 HINT = regex.compile(r"[@\d]|\b(?:" + "|".join(_TITLES) + r")\b|(?i:token|key|secret|password|passwd)|AKIA|gh[oprsu]_")
@@ -73,16 +81,21 @@ def canonical(kind: str, value: str) -> str:
     """What all spellings of an entity share."""
     if kind in ("phone", "card", "ssn"):
         return regex.sub(r"[^\d+]", "", value)
-    if kind == "email":
+    if kind in ("email", "surname", *GIVEN):
         return value.lower() if len(value.lower()) == len(value) else value
     return value.replace(" ", "") if kind == "iban" else value
 
 
 def _name_parts(text: str, start: int, end: int, kind: str) -> list[tuple[str, str, int, int]]:
-    """Initials and given names by gender, and the last word as the surname."""
+    """Initials, a given name by gender where more than one word is left, and surnames; small words aren't parts."""
     words = [(m.start() + start, m.end() + start) for m in regex.finditer(r"[^ .]+", text[start:end])]
-    out = [("initial" if j - i == 1 else kind, text[i:j], i, j) for i, j in words[:-1]]
-    return [*out, ("surname", text[words[-1][0] : words[-1][1]], *words[-1])]
+    words = [w for w in words if text[slice(*w)] not in PARTICLES]
+    whole = [w for w in words if w[1] - w[0] > 1] or words[-1:]
+    out = []
+    for w in words:
+        part = "initial" if w not in whole else kind if w == whole[0] and len(whole) > 1 else "surname"
+        out.append((part, text[slice(*w)] if part == "initial" else canonical(part, text[slice(*w)]), *w))
+    return out
 
 
 def spans(text: str) -> list[Entity]:
@@ -97,9 +110,12 @@ def spans(text: str) -> list[Entity]:
             title = m["title"]
             kind = "male" if title in MALE_TITLES else "female" if title in FEMALE_TITLES else "person"
             parts = _name_parts(text, i, j, kind)
-            people[parts[-1][1]] = None
-            if len(parts) > 1 and parts[-2][0] != "initial":
-                people[f"{parts[-2][1]} {parts[-1][1]}"] = parts[-2][0]
+            given = next((p for p in parts if p[0] == kind), None)
+            for p in parts:
+                if p[0] == "surname":
+                    people.setdefault(text[p[2] : p[3]])
+                    if given:  # the whole name up to this surname
+                        people[text[given[2] : p[3]]] = kind
         else:
             parts = [(kind, canonical(kind, text[i:j]), i, j)]
         out.append(Entity(i, j, kind, parts))
@@ -163,12 +179,21 @@ def _check97(value: str) -> int:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
 
 
+def _given(kind: str, attempt: int, s: Stream) -> str:
+    """A given name in lower case: of the stock at first, then made up, a syllable longer every other attempt.
+
+    Three syllables give some ten thousand names a gender, each further one 90 times as many."""
+    if not attempt:
+        return GIVEN[kind][s.below(len(GIVEN[kind]))].lower()
+    made = "".join(_ONSETS[s.below(len(_ONSETS))] + _VOWELS[s.below(len(_VOWELS))] for _ in range(1 + (attempt - 1) // 2))
+    return made + _ONSETS[s.below(len(_ONSETS))] + ENDINGS[kind][s.below(len(ENDINGS[kind]))]
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """A replacement of the same kind for a canonical value; other attempts give other ones."""
     s = Stream(key, kind, value, attempt)
     if kind in GIVEN and unicodedata.name(value[0], "LATIN").startswith("LATIN"):
-        names = GIVEN[kind]
-        return "-".join(names[s.below(len(names))] for _ in range(1 + (attempt + 1) // 2))  # double names once the single ones are dealt
+        return "-".join(_given(kind, attempt, s) for _ in value.split("-"))  # double names stay double
     if kind == "email":
         name, _, host = value.rpartition("@")
         labels = host.split(".")
@@ -198,8 +223,10 @@ def render(kind: str, shown: str, made: str) -> str:
         own = iter(made)
         keep = (lambda c: c.isdigit() or c == "+") if kind != "iban" else (lambda c: c != " ")
         return "".join(next(own) if keep(c) else c for c in shown)
-    if kind == "email" and len(made) == len(shown):
+    if kind in ("email", "surname") and len(made) == len(shown):
         return "".join(m.upper() if c.isupper() and len(m.upper()) == 1 else m for c, m in zip(shown, made, strict=True))
+    if kind in GIVEN:
+        return made.upper() if shown.isupper() and len(shown) > 1 else "-".join(x[:1].upper() + x[1:] if shown[:1].isupper() else x for x in made.split("-"))
     return made
 
 
@@ -218,12 +245,23 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, ENTITY).distinct()
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """found(kind, value) with `final`: a given name has one gender wherever it stands.
+
+    It is the one that its titles tell, neither where they tell both or none."""
+    given = found.where(F.col("kind").isin(*GIVEN)).groupBy("value").agg(F.max((F.col("kind") == "male").cast("int")).alias("m"), F.max((F.col("kind") == "female").cast("int")).alias("f"))
+    final = F.when(~F.col("kind").isin(*GIVEN) | F.col("m").isNull(), F.col("kind")).when(F.col("m") > F.col("f"), "male").when(F.col("f") > F.col("m"), "female").otherwise("person")
+    return found.join(given, "value", "left").select("kind", "value", final.alias("final"))
+
+
 def assign(found: DataFrame, key: bytes, most_attempts: int = 50) -> DataFrame:
     """(kind, value, surrogate, attempt) of each distinct entity, no surrogate twice nor an entity's own text.
 
     Of entities that share a surrogate, that with the least attempt stays (ties:
-    the least kind and value); the others try again."""
-    known = written(found, "pii-entities")
+    the least kind and value); the others try again. A round looks at those that
+    try only: what is settled stays as it is."""
+    known = written(found.select("kind", "value").distinct(), "pii-entities")
+    own = known.select(F.col("value").alias("surrogate")).distinct()
     settled, todo = None, known.withColumn("attempt", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,16 +271,15 @@ def assign(found: DataFrame, key: bytes, most_attempts: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], ["kind", "value", "attempt", "surrogate"])
 
     for _ in range(most_attempts):
-        fresh = todo.select("kind", "value", "attempt").mapInArrow(run, f"{ENTITY}, attempt int, surrogate string")
-        tried = written(fresh if settled is None else settled.unionByName(fresh), "pii-tried")
-        first = tried.groupBy("surrogate").agg(F.min(F.struct("attempt", "kind", "value")).alias("f"))
-        own = known.select(F.col("value").alias("surrogate"), F.lit(True).alias("own")).distinct()
-        judged = tried.join(first, "surrogate").join(own, "surrogate", "left")
-        good = F.col("own").isNull() & (F.struct("attempt", "kind", "value") == F.col("f"))
-        judged = written(judged.select("kind", "value", "attempt", "surrogate", good.alias("good")), "pii-judged")
+        tried = written(todo.select("kind", "value", "attempt").mapInArrow(run, f"{ENTITY}, attempt int, surrogate string"), "pii-tried")
+        free = tried.join(own, "surrogate", "left_anti")
+        if settled is not None:
+            free = free.join(settled.select("surrogate"), "surrogate", "left_anti")
+        first = free.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("f"))
+        good = written(first.select("f.*", "surrogate").join(tried.select("kind", "value", "attempt"), ["kind", "value"]).select("kind", "value", "surrogate", "attempt"), "pii-settled")
+        settled = good if settled is None else settled.union(good)
+        todo = written(tried.join(good, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "pii-todo")
         discard(tried)
-        settled = judged.where("good").drop("good")
-        todo = judged.where("NOT good").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         if not todo.take(1):
             return settled
     raise RuntimeError("surrogates still collide: more entities than their format has values")
@@ -251,19 +288,22 @@ def assign(found: DataFrame, key: bytes, most_attempts: int = 50) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_entities) of every row, each entity replaced by its surrogate.
 
-    n_entities counts places, a name with its title's whole name as one. Only
-    entities that took more than one attempt travel to their documents; all
-    others are made anew where they stand. Initials become another letter each,
+    n_entities counts places, a name with its title's whole name as one. Names
+    are the same person's in any title and case. Only entities that took more
+    than one attempt, and given names whose gender other titles tell, travel to
+    their documents; all others are made anew where they stand. Initials become another letter each,
     without a check for collisions. Null texts count as empty and come back
     empty; repeated rows repeat; an id may be null; other columns are left out;
     no rows give no rows."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    retried = written(assign(entities(docs, text_col), key).where("attempt > 0").select("kind", "value", "attempt"), "pii-retried")
+    found = written(resolved(entities(docs, text_col)), "pii-found")
+    dealt = assign(found.select(F.col("final").alias("kind"), "value"), key).select(F.col("kind").alias("final"), "value", "attempt")
+    retried = written(found.join(dealt, ["final", "value"]).where("attempt > 0 OR final <> kind"), "pii-retried").select("kind", "value", "final", "attempt")
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     if not retried.take(1):
-        rows = rows.withColumn("again", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+        rows = rows.withColumn("again", F.lit(None).cast("array<struct<kind:string,value:string,final:string,attempt:int>>"))
     else:
         def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in text_slices(batches):
@@ -272,17 +312,18 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
         marked = rows.withColumn("h", F.xxhash64("text"))
         met = marked.select("h", "text").mapInArrow(where, f"h bigint, {ENTITY}").distinct().join(retried, ["kind", "value"])
-        again = met.groupBy("h").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("again"))
+        again = met.groupBy("h").agg(F.collect_set(F.struct("kind", "value", "final", "attempt")).alias("again"))
         rows = marked.join(written(again, "pii-again"), "h", "left").select("id", "text", "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             texts, counts = [], []
             for t, again in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                attempts = {(x["kind"], x["value"]): x["attempt"] for x in again or ()}
+                dealt = {(x["kind"], x["value"]): (x["final"], x["attempt"]) for x in again or ()}
                 out, at, found = [], 0, spans(t)
                 for k, v, i, j in (p for e in found for p in e.parts):
-                    out += [t[at:i], render(k, t[i:j], surrogate(key, k, v, attempts.get((k, v), 0)))]
+                    final, attempt = dealt.get((k, v), (k, 0))
+                    out += [t[at:i], render(final, t[i:j], surrogate(key, final, v, attempt))]
                     at = j
                 texts.append("".join([*out, t[at:]]))
                 counts.append(len(found))

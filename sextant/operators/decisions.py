@@ -106,3 +106,55 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: f
     both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full")
     gap = F.abs(F.col("_a") - F.col("_b"))
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(gap.isNull()).alias("missing"), F.count_if(gap > tolerance).alias("differing"))
+
+
+#: Misses of the comparator under which a share's test can't be reached, and the level of a test. Fixed values.
+UNREACHABLE, SIGNIFICANT = 5, 0.05
+
+
+def verdicts(checks: DataFrame) -> DataFrame:
+    """(claim, status, checks, failed, failed_at_a_ceiling) of the checks of each claim.
+
+    checks is (claim, metric, rule, a, b, cases, p): `significant` asks for a over
+    b and a test under SIGNIFICANT, `higher` for a over b. A failed check is at a
+    ceiling where b is perfect, or, but for metric mrr, misses too few cases for a
+    test. A claim is supported if all its checks pass; nulls fail."""
+    better = F.col("a") > F.col("b")
+    passed = F.coalesce(F.when(F.col("rule") == "significant", better & (F.col("p") < SIGNIFICANT)).otherwise(better), F.lit(False))
+    ceiling = F.coalesce((F.col("b") >= 1) | ((F.col("metric") != "mrr") & (F.round((1 - F.col("b")) * F.col("cases")) <= UNREACHABLE)), F.lit(False))
+    status = F.when(F.min(passed.cast("int")) == 1, "supported").otherwise("not supported")
+    return checks.groupBy("claim").agg(status.alias("status"), F.count(F.lit(1)).alias("checks"), F.count_if(~passed).alias("failed"), F.count_if(~passed & ceiling).alias("failed_at_a_ceiling"))
+
+
+def sheet_problems(sheet: DataFrame, key: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(joined, problems) of a filled-in sheet and its key.
+
+    joined has the rows whose id both have exactly once; problems (id, problem,
+    n) all others: missing and unknown ids, ids that repeat in either, rows
+    without an id."""
+    n = lambda df, name: df.groupBy(id_col).agg(F.count(F.lit(1)).alias(name))
+    both = n(sheet, "_s").withColumnRenamed(id_col, "id").join(n(key, "_k").withColumnRenamed(id_col, "_id"), F.col("id").eqNullSafe(F.col("_id")), "full")
+    both = both.select(F.coalesce("id", "_id").alias("id"), F.coalesce("_s", F.lit(0)).alias("_s"), F.coalesce("_k", F.lit(0)).alias("_k"))
+    tests = [("no id", F.col("id").isNull(), F.col("_s") + F.col("_k")), ("missing", F.col("id").isNotNull() & (F.col("_s") == 0), F.col("_k")), ("unknown", F.col("id").isNotNull() & (F.col("_k") == 0), F.col("_s")), ("repeated in the sheet", F.col("id").isNotNull() & (F.col("_s") > 1), F.col("_s")), ("repeated in the key", F.col("id").isNotNull() & (F.col("_k") > 1), F.col("_k"))]
+    found = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(name).alias("problem"), c.alias("n"))) for name, t, c in tests]))
+    problems = both.select("id", F.explode(found).alias("p")).select("id", "p.*")
+    good = both.where("id IS NOT NULL AND _s = 1 AND _k = 1").select(F.col("id").alias(id_col))
+    return sheet.join(good, id_col).join(key, id_col), problems
+
+
+def consensus(first: DataFrame, second: DataFrame, settled: DataFrame, grades: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(grades, problems) of two judges' rows(item, grade) and the settled ones.
+
+    Equal grades stand; others need one settled grade. Problems (item, problem):
+    judged by one only, not settled, settled though agreed, settled twice, settled
+    without being judged, a grade outside 0 to grades - 1. Items with a problem
+    get no grade."""
+    one = lambda df, name: df.groupBy("item").agg(F.max("grade").alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
+    rows = one(first, "a").join(one(second, "b"), "item", "full").join(one(settled, "s"), "item", "full")
+    a, b, s = (F.col(c) for c in "abs")
+    outside = lambda x: F.coalesce(~x.between(0, grades - 1), F.lit(False))
+    tests = [("judged by one only", (a.isNull() != b.isNull())), ("settled without being judged", a.isNull() & b.isNull()), ("not settled", a.isNotNull() & b.isNotNull() & (a != b) & s.isNull()), ("settled though agreed", (a == b) & s.isNotNull()), ("settled twice", F.col("s_n") > 1), ("grade out of range", outside(a) | outside(b) | outside(s))]
+    found = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(name)) for name, t in tests]))
+    rows = rows.select("item", a, b, s, found.alias("problems"))
+    good = rows.where(F.size("problems") == 0).select("item", F.when(a == b, a).otherwise(s).alias("grade"))
+    return good, rows.select("item", F.explode("problems").alias("problem"))

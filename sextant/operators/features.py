@@ -59,3 +59,15 @@ def csr_chunks(rows: DataFrame, id_col: str = "id", size: int = CHUNK) -> DataFr
 def dense(size: int) -> Column:
     """The row as an array of so many numbers, for small vocabularies."""
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.get("values", F.array_position("indices", i.cast("bigint")).cast("int") - 1), F.lit(0.0)))
+
+
+def linear_softmax(ids: DataFrame, entries: DataFrame, coefficients: DataFrame, intercepts: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, class, logit, p) of a linear model whose coefficients are rows (class, token, coefficient).
+
+    entries is (id, token, value); a token without a coefficient adds nothing,
+    an id without entries has the intercepts (class, intercept) alone."""
+    each = entries.join(coefficients, "token").groupBy(id_col, "class").agg(F.sum(F.col("value") * F.col("coefficient")).alias("_s"))
+    rows = ids.select(id_col).crossJoin(F.broadcast(intercepts.select("class", "intercept"))).join(each, [id_col, "class"], "left")  # classes are a registry
+    rows = rows.withColumn("logit", F.col("intercept") + F.coalesce("_s", F.lit(0.0)))
+    own = Window.partitionBy(id_col)
+    return rows.withColumn("_e", F.exp(F.col("logit") - F.max("logit").over(own))).select(id_col, "class", "logit", (F.col("_e") / F.sum("_e").over(own)).alias("p"))

@@ -73,3 +73,16 @@ def implied_concepts(patterns: DataFrame) -> DataFrame:
     other = patterns.select("code", F.col("concept").alias("b"), F.explode(F.array_distinct("vals")).alias("val"))
     both = each.join(other, ["code", "val"]).where("a <> b").groupBy("code", "a", "b").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("shared"))
     return both.where("shared = n").select("code", "a", "b")
+
+
+def masked(tokens: DataFrame, share: float, seed: str = "mask") -> DataFrame:
+    """(case_id, raw, asked): the tokens that a masked copy of each case keeps, and the codes that it was asked.
+
+    A code is asked, with all its tokens, or hidden, by a hash of case and code:
+    about so many are asked whatever their answers, so that what isn't asked is
+    told apart from what is absent. Cases without an asked code have one row
+    without a token."""
+    code = F.substring_index("raw", "_@_", 1)
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("case_id").cast("string"), code)), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+    kept = tokens.withColumns({"code": code, "kept": drawn < share}).groupBy("case_id").agg(F.collect_set(F.when(F.col("kept"), F.col("raw"))).alias("raws"), F.sort_array(F.collect_set(F.when(F.col("kept"), F.col("code")))).alias("asked"))
+    return kept.select("case_id", F.explode_outer("raws").alias("raw"), "asked")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sextant.operators import decisions as D
 from sextant.operators import matching as L
 from sextant.operators import ranking as R
 from sextant.operators import selection as V
@@ -180,11 +181,20 @@ def pool(t):
     return _two(t).select("query", "item").distinct().withColumn("digest", F.sha2(F.concat_ws(":", F.lit("pool"), F.col("query").cast("string"), F.col("item").cast("string")), 256))
 
 
-@query("rt23_consensus", "SELECT doc_id, CASE WHEN a = b THEN a WHEN doc_id % 2 = 0 THEN a END AS grade, a <> b AND doc_id % 2 <> 0 AS open FROM (SELECT doc_id, quality AS a, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS b FROM labels)")
+@query("rt23_consensus", """WITH a AS (SELECT doc_id AS item, quality + toxic AS grade FROM labels WHERE doc_id % 31 <> 0), b AS (SELECT doc_id AS item, CASE WHEN doc_id % 7 = 0 THEN 2 - quality WHEN doc_id % 41 = 0 THEN 5 ELSE quality + toxic END AS grade FROM labels),
+    s AS (SELECT doc_id AS item, 1 AS grade FROM labels WHERE doc_id % 14 = 0 UNION ALL SELECT doc_id, 0 FROM labels WHERE doc_id % 70 = 0 UNION ALL SELECT -doc_id, 1 FROM labels WHERE doc_id % 50 = 0 AND doc_id > 0), g AS (SELECT item, max(grade) AS s, count(*) AS n FROM s GROUP BY item),
+    r AS (SELECT item, a.grade AS a, b.grade AS b, g.s, g.n FROM a FULL JOIN b USING (item) FULL JOIN g USING (item)),
+    p AS (SELECT item, unnest(list_filter([CASE WHEN (a IS NULL) <> (b IS NULL) THEN 'judged by one only' END, CASE WHEN a IS NULL AND b IS NULL THEN 'settled without being judged' END, CASE WHEN a <> b AND s IS NULL THEN 'not settled' END, CASE WHEN a = b AND s IS NOT NULL THEN 'settled though agreed' END,
+        CASE WHEN n > 1 THEN 'settled twice' END, CASE WHEN coalesce(a NOT BETWEEN 0 AND 2, false) OR coalesce(b NOT BETWEEN 0 AND 2, false) OR coalesce(s NOT BETWEEN 0 AND 2, false) THEN 'grade out of range' END], lambda x: x IS NOT NULL)) AS problem FROM r)
+    SELECT item, CASE WHEN a = b THEN a ELSE s END AS grade, NULL AS problem FROM r WHERE item NOT IN (SELECT item FROM p) UNION ALL SELECT item, NULL, problem FROM p""")
 def consensus(t):
-    g = t.labels.select("doc_id", F.col("quality").alias("a"), F.when(F.col("doc_id") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("b"))
-    settled = F.col("doc_id") % 2 == 0
-    return g.select("doc_id", F.when((F.col("a") == F.col("b")) | settled, F.col("a")).alias("grade"), ((F.col("a") != F.col("b")) & ~settled).alias("open"))
+    """Two judges of the labelled documents, some settled by a third: the grades that stand, and the problems."""
+    i, own = F.col("doc_id"), F.col("quality") + F.col("toxic")
+    first = t.labels.where(i % 31 != 0).select(i.alias("item"), own.alias("grade"))
+    second = t.labels.select(i.alias("item"), F.when(i % 7 == 0, 2 - F.col("quality")).when(i % 41 == 0, 5).otherwise(own).alias("grade"))
+    settled = t.labels.where(i % 14 == 0).select(i.alias("item"), F.lit(1).alias("grade")).union(t.labels.where(i % 70 == 0).select(i, F.lit(0))).union(t.labels.where((i % 50 == 0) & (i > 0)).select(-i, F.lit(1)))
+    good, problems = D.consensus(first, second, settled)
+    return good.select("item", "grade", F.lit(None).cast("string").alias("problem")).union(problems.select("item", F.lit(None).cast("int"), "problem"))
 
 
 @query("rt24_jn20_word_overlap", f"WITH b AS (SELECT item_id, list_distinct({words_sql('text')}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM b a JOIN b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) >= 0.1 * len(list_distinct(list_concat(a.w, b.w)))")

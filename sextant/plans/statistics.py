@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sextant.operators import boosting as B
+from sextant.operators import decisions as D
 from sextant.operators import fusion as P
 from sextant.operators import metrics as M
 from sextant.operators import ranking as R
@@ -66,9 +67,7 @@ def mcnemar_counts(t):
     return T.discordant(both(t), F.col("rank") == 1, F.col("r2") == 1)
 
 
-#: Coefficients of a Chebyshev fit of the complementary error function, of relative error under 1.2e-7.
-ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-_ERFC_SQL = " + ".join(f"{c}::DOUBLE * u ** {i}" for i, c in enumerate(ERFC))
+_ERFC_SQL = " + ".join(f"{c}::DOUBLE * u ** {i}" for i, c in enumerate(T.ERFC))
 #: SQL for mcnemar() of c(only_a, only_b), to six decimals.
 MCNEMAR_SQL = f"""m AS (SELECT only_a, only_b, only_a + only_b AS n, least(only_a, only_b) AS low, greatest(abs(only_a - only_b) - 1, 0) / sqrt(2.0::DOUBLE * nullif(only_a + only_b, 0)) AS z FROM c),
     y AS (SELECT *, 1 / (1 + 0.5 * z) AS u FROM m)
@@ -131,10 +130,32 @@ def compare(t):
     return both(t).agg(*out)
 
 
-@query("st10_verdict_rules", S.with_outcomes("SELECT seg, n, misses, CASE WHEN misses <= 5 THEN 'ceiling' WHEN misses * 10 < n THEN 'met' ELSE 'not met' END AS status FROM (SELECT seg, count(*) AS n, count(*) FILTER (rank > 3) AS misses FROM o WHERE condition_id = truth GROUP BY seg)"))
+_CHECK_SQL = """c AS (SELECT critical, seg AS level, count(*) AS n, avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END) AS top_a, avg(CASE WHEN r2 <= 3 THEN 1.0::DOUBLE ELSE 0 END) AS top_b, avg(1.0::DOUBLE / rank) AS mrr_a, avg(1.0::DOUBLE / r2) AS mrr_b,
+        count(*) FILTER (rank <= 3 AND r2 > 3) AS only_a, count(*) FILTER (rank > 3 AND r2 <= 3) AS only_b FROM h GROUP BY ALL)"""
+
+
+@query("st07_compare_levels", S.with_outcomes(FLAG_FIRST + ", " + _CHECK_SQL + ", " + MCNEMAR_SQL.replace("SELECT only_a, only_b, only_a + only_b AS n,", "SELECT critical, level, n AS cases, top_a, top_b, mrr_a, mrr_b, only_a, only_b, only_a + only_b AS n,").replace("SELECT only_a, only_b, round(", "SELECT critical, level, cases, round(top_a, 6) AS top_a, round(top_b, 6) AS top_b, round(mrr_a, 6) AS mrr_a, round(mrr_b, 6) AS mrr_b, only_a, only_b, round(")))
+def compare_levels(t):
+    """Both orders in each segment, critical cases apart: shares, mean reciprocal ranks and McNemar's test."""
+    return _compared(t).select("critical", "level", F.col("n").alias("cases"), *[F.round(c, 6).alias(c) for c in ("top_a", "top_b", "mrr_a", "mrr_b")], "only_a", "only_b", F.round("p", 6).alias("p"))
+
+
+def _compared(t):
+    top = lambda r: F.avg((F.col(r) <= 3).cast("double"))
+    g = both(t).groupBy("critical", F.col("seg").alias("level")).agg(N.alias("n"), top("rank").alias("top_a"), top("r2").alias("top_b"), F.avg(1 / F.col("rank")).alias("mrr_a"), F.avg(1 / F.col("r2")).alias("mrr_b"), F.count_if((F.col("rank") <= 3) & (F.col("r2") > 3)).alias("only_a"), F.count_if((F.col("rank") > 3) & (F.col("r2") <= 3)).alias("only_b"))
+    return g.withColumn("p", T.mcnemar_column(F.col("only_a"), F.col("only_b")))
+
+
+@query("st10_verdict_rules", S.with_outcomes(FLAG_FIRST + ", " + _CHECK_SQL + ", " + MCNEMAR_SQL.replace("SELECT only_a, only_b, only_a + only_b AS n,", "SELECT critical, level, n AS cases, top_a, top_b, mrr_a, mrr_b, only_a, only_b, only_a + only_b AS n,").replace("    SELECT only_a, only_b, round(", ", d AS (SELECT critical, level, cases, top_a, top_b, mrr_a, mrr_b, only_a, only_b, round(") + """),
+    k AS (SELECT CASE WHEN critical THEN 'critical' ELSE 'other' END || ' ' || m AS claim, level, m, CASE WHEN m = 'top3' THEN top_b ELSE mrr_b END AS a, CASE WHEN m = 'top3' THEN top_a ELSE mrr_a END AS b, cases, p FROM d, (VALUES ('top3'), ('mrr')) v(m)),
+    j AS (SELECT *, CASE WHEN m = 'top3' THEN p < 0.05 AND a > b ELSE a > b END AS passed, b >= 1 OR (m <> 'mrr' AND round((1 - b) * cases) <= 5) AS ceiling FROM k)
+    SELECT claim, CASE WHEN bool_and(passed) THEN 'supported' ELSE 'not supported' END AS status, count(*) AS checks, count(*) FILTER (NOT passed) AS failed, count(*) FILTER (NOT passed AND ceiling) AS failed_at_a_ceiling FROM j GROUP BY claim"""))
 def verdicts(t):
-    g = M.of_truth(S.outcomes(t)).groupBy("seg").agg(N.alias("n"), F.count_if(F.col("rank") > 3).alias("misses"))
-    return g.withColumn("status", F.when(F.col("misses") <= 5, "ceiling").when(F.col("misses") * 10 < F.col("n"), "met").otherwise("not met"))
+    """Flags first against scores alone: a claim for either group and metric, checked in every segment."""
+    d = _compared(t)
+    group = F.when(F.col("critical"), "critical").otherwise("other")
+    part = lambda m, rule, a, b: d.select(F.concat(group, F.lit(f" {m}")).alias("claim"), F.lit(m).alias("metric"), F.lit(rule).alias("rule"), F.col(a).alias("a"), F.col(b).alias("b"), F.col("n").alias("cases"), F.round("p", 6).alias("p"))
+    return D.verdicts(part("top3", "significant", "top_b", "top_a").union(part("mrr", "higher", "mrr_b", "mrr_a")))
 
 
 @query("st11_safety_floor", S.with_outcomes(FLAG_FIRST + " SELECT round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) FILTER (critical), 6) AS a, round(avg(CASE WHEN r2 <= 3 THEN 1.0 ELSE 0 END) FILTER (critical), 6) AS b, avg(CASE WHEN r2 <= 3 THEN 1.0 ELSE 0 END) FILTER (critical) >= avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) FILTER (critical) - 0.005 AS non_inferior FROM h"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sextant.operators import closure as C
+from sextant.operators import decisions as D
 from sextant.operators import features as Y
 from sextant.operators import tokens as K
 from sextant.plans import standin as S
@@ -208,10 +209,16 @@ def containment(t):
     return both.select("a", "b", (F.size(F.array_except("va", "vb")) == 0).alias("a_in_b"), F.round(F.size(F.array_intersect("va", "vb")) / F.size(F.array_union("va", "vb")), 6).alias("jaccard"))
 
 
-@query("jn21_sheet_key_join", """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'unknown' ELSE 'ok' END AS problem FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id""")
+@query("jn21_sheet_key_join", """WITH s AS (SELECT doc_id FROM labels WHERE doc_id % 13 <> 0 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 17 = 0 UNION ALL SELECT -1 - doc_id FROM labels WHERE doc_id % 29 = 0), k AS (SELECT doc_id FROM labels),
+    b AS (SELECT coalesce(x.doc_id, y.doc_id) AS id, coalesce(x.n, 0) AS s, coalesce(y.n, 0) AS k FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY 1) x FULL JOIN (SELECT doc_id, count(*) AS n FROM k GROUP BY 1) y ON x.doc_id = y.doc_id)
+    SELECT id, 'missing' AS problem, k AS n FROM b WHERE s = 0 UNION ALL SELECT id, 'unknown', s FROM b WHERE k = 0 UNION ALL SELECT id, 'repeated in the sheet', s FROM b WHERE s > 1 UNION ALL SELECT id, 'repeated in the key', k FROM b WHERE k > 1
+    UNION ALL SELECT id, 'joined', 1 FROM b WHERE s = 1 AND k = 1""")
 def sheet_key(t):
-    d, l = t.documents.select("doc_id", F.lit(1).alias("d")), t.labels.select("doc_id", F.lit(1).alias("l"))
-    return d.join(l, "doc_id", "full").select("doc_id", F.when(F.col("l").isNull(), "missing").when(F.col("d").isNull(), "unknown").otherwise("ok").alias("problem"))
+    """A sheet that lost rows, has some twice and some of another key: what joins, and every problem."""
+    ids = t.labels.select("doc_id")
+    sheet = ids.where("doc_id % 13 <> 0").union(ids.where("doc_id % 17 = 0")).union(ids.where("doc_id % 29 = 0").select(-1 - F.col("doc_id")))
+    joined, problems = D.sheet_problems(sheet, ids, "doc_id")
+    return problems.union(joined.select("doc_id", F.lit("joined"), F.lit(1).cast("bigint")))
 
 
 @query("ml01_feature_encoder", f"""WITH {PARSED} SELECT case_id, CASE WHEN kind = 'ordinal' THEN code WHEN kind = 'binary' THEN code ELSE raw END AS feature, max(CASE WHEN kind = 'ordinal' THEN CAST(ordinal AS DOUBLE) ELSE 1.0 END) AS value FROM parsed GROUP BY ALL""")
@@ -234,10 +241,14 @@ def masks(t):
     return m.where(F.col("k") <= F.bround(F.col("n") * 0.5, 0)).select("case_id", "raw")
 
 
-@query("ml06_mask_augment", f"WITH {S.TOK} SELECT share, count(*) AS n FROM (SELECT 1.0 AS share, case_id FROM tok UNION ALL SELECT 0.5, case_id FROM tok) GROUP BY share")
+@query("ml06_mask_augment", f"""WITH {S.TOK}, m AS (SELECT case_id, raw, split_part(raw, '_@_', 1) AS code, ('0x' || substr(md5('mask:' || case_id || ':' || split_part(raw, '_@_', 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.5 AS kept FROM tok),
+    a AS (SELECT case_id, coalesce(string_agg(DISTINCT code, ';' ORDER BY code) FILTER (kept), '') AS asked FROM m GROUP BY case_id)
+    SELECT false AS masked, case_id, raw, NULL AS asked FROM tok UNION ALL SELECT true, a.case_id, m.raw, asked FROM a LEFT JOIN m ON m.case_id = a.case_id AND m.kept""")
 def augment(t):
-    tok = S.tokens(t)
-    return tok.withColumn("share", F.lit(1.0)).unionByName(tok.withColumn("share", F.lit(0.5))).groupBy("share").agg(N.alias("n"))
+    """Every case as it is, and a masked copy that knows what it was asked."""
+    tok = t.once("tokens", lambda: S.tokens(t))
+    own = tok.select(F.lit(False).alias("masked"), "case_id", "raw", F.lit(None).cast("string").alias("asked"))
+    return own.union(K.masked(tok, 0.5).select(F.lit(True), "case_id", "raw", F.array_join("asked", ";")))
 
 
 @query("ml07_stratified_holdout", f"WITH {S.CASES}, r AS (SELECT case_id, truth, row_number() OVER (PARTITION BY truth ORDER BY sha256('h:' || case_id), case_id) AS k, count(*) OVER (PARTITION BY truth) AS n FROM cases) SELECT case_id, k <= n * 0.2 AS held_out FROM r")
@@ -247,12 +258,18 @@ def holdout(t):
     return r.select("case_id", (F.col("k") <= F.col("n") * 0.2).alias("held_out"))
 
 
-@query("ml09_linear_softmax", S.with_graph(""", x AS (SELECT case_id, condition_id, kg - max(kg) OVER (PARTITION BY case_id) AS s FROM kg)
-    SELECT case_id, condition_id, round(exp(s) / sum(exp(s)) OVER (PARTITION BY case_id), 6) AS p FROM x"""))
+@query("ml09_linear_softmax", S.with_graph(""", i AS (SELECT truth AS class, ln(count(*) / (SELECT count(*) FROM cases)) AS intercept FROM cases GROUP BY truth), co AS (SELECT condition_id AS class, concept_id AS token, weight - 0.3::DOUBLE AS coefficient FROM strongest),
+    l AS (SELECT c.case_id, i.class, i.intercept + coalesce(sum(coefficient), 0) AS logit FROM cases c CROSS JOIN i LEFT JOIN tok t ON t.case_id = c.case_id LEFT JOIN co ON co.class = i.class AND co.token = t.raw GROUP BY c.case_id, i.class, i.intercept),
+    e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY case_id)) AS e FROM l) SELECT case_id AS id, class, round(logit, 6) AS logit, round(e / sum(e) OVER (PARTITION BY case_id), 6) AS p FROM e"""))
 def softmax(t):
-    w = Window.partitionBy("case_id")
-    s = S.kg_scores(t).withColumn("s", F.col("kg") - F.max("kg").over(w))
-    return s.select("case_id", "condition_id", F.round(F.exp("s") / F.sum(F.exp("s")).over(w), 6).alias("p"))
+    """A linear model: the classes' shares as intercepts, the edges' weights over 0.3 as coefficients."""
+    cases = S.cases(t)
+    n = cases.count()
+    intercepts = cases.groupBy(F.col("truth").alias("class")).agg(F.log(N.alias("n") / n).alias("intercept"))
+    coefficients = S.G.strongest_edges(S.edges(t)).select(F.col("condition_id").alias("class"), F.col("concept_id").alias("token"), (F.col("weight") - 0.3).alias("coefficient"))
+    entries = S.tokens(t).select(F.col("case_id").alias("id"), F.col("raw").alias("token"), F.lit(1.0).alias("value"))
+    out = Y.linear_softmax(cases.select(F.col("case_id").alias("id")), entries, coefficients, intercepts)
+    return out.select("id", "class", F.round("logit", 6).alias("logit"), F.round("p", 6).alias("p"))
 
 
 @query("ml20_column_grouping", f"WITH {PARSED} SELECT split_part(raw, '_@_', 1) AS grp, count(DISTINCT raw) AS columns, min(raw) AS first FROM parsed GROUP BY grp")

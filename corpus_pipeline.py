@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm import decontaminate, packing
-from sextant.llm.common import written
+from sextant.llm.common import discard, written
 from sextant.llm.exact_dedup import DigestIndex, dedup_batch
 from sextant.llm.labelled import fold
 from sextant.llm.quality import score_texts
@@ -84,7 +84,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)  # a stage's table goes once the next one is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "piece", "start", "length", F.col("ids_crc32"), "sequence_id", "offset")

@@ -46,3 +46,16 @@ def rank_without(ranked: DataFrame, removed: str) -> DataFrame:
 def first_rule(rules: DataFrame, met: DataFrame) -> DataFrame:
     """The reason of the first rule of each condition that a case meets; met has case_id and rule_ord."""
     return met.join(rules, "rule_ord").groupBy("case_id", "condition_id").agg(F.min_by("reason", "rule_ord").alias("reason"))
+
+
+def hash_places(rows: DataFrame, by: str, digest: str, tie: str) -> DataFrame:
+    """rows with k, their place from 1 within by in the order of a hexadecimal digest, then tie, and n, how many there are.
+
+    A group is ranked in 256 parts by the digest's first byte, and a part's
+    places begin after the parts before it, so no task holds a whole group."""
+    at = rows.withColumn("_part", F.substring(digest, 1, 2))
+    sizes = at.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(by)
+    sizes = sizes.withColumns({"_before": F.sum("_n").over(own.orderBy("_part")) - F.col("_n"), "n": F.sum("_n").over(own)}).drop("_n")
+    k = F.row_number().over(Window.partitionBy(by, "_part").orderBy(digest, tie))
+    return at.withColumn("_k", k).join(sizes, [by, "_part"]).withColumn("k", F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")

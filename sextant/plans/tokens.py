@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sextant.operators import closure as C
 from sextant.operators import decisions as D
 from sextant.operators import features as Y
+from sextant.operators import ranking as R
 from sextant.operators import tokens as K
 from sextant.plans import standin as S
 from sextant.plans.registry import N, query
@@ -253,8 +254,8 @@ def augment(t):
 
 @query("ml07_stratified_holdout", f"WITH {S.CASES}, r AS (SELECT case_id, truth, row_number() OVER (PARTITION BY truth ORDER BY sha256('h:' || case_id), case_id) AS k, count(*) OVER (PARTITION BY truth) AS n FROM cases) SELECT case_id, k <= n * 0.2 AS held_out FROM r")
 def holdout(t):
-    w = Window.partitionBy("truth")
-    r = S.cases(t).withColumn("k", F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit("h:"), F.col("case_id").cast("string")), 256), "case_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    digest = F.sha2(F.concat(F.lit("h:"), F.col("case_id").cast("string")), 256)
+    r = R.hash_places(S.cases(t).select("case_id", "truth", digest.alias("d")), "truth", "d", "case_id")
     return r.select("case_id", (F.col("k") <= F.col("n") * 0.2).alias("held_out"))
 
 

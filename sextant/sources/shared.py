@@ -23,12 +23,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: The folders that kept() has made, by application.
+_made: dict[str, list[str]] = {}
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read again: computed once, and of a size that the planner
-    knows, so that joins broadcast it below the threshold and shuffle it above."""
-    path = fresh_path(df.sparkSession, name)
+    knows, so that joins broadcast it below the threshold and shuffle it above.
+
+    It stays until drop_kept(), as a lazy result may still read it."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_kept(spark: SparkSession) -> int:
+    """Delete all tables that kept() has made in this application, once their results are read; gives how many."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop_folder(spark, path)
+    return len(paths)
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:

@@ -63,3 +63,24 @@ def test_linear_softmax_by_hand(spark):
     got = {(r.id, r["class"]): (r.logit, r.p) for r in Y.linear_softmax(ids, entries, coefficients, intercepts).collect()}
     assert got[1, "x"][0] == pytest.approx(1.1) and got[1, "y"][0] == pytest.approx(-0.8) and got[2, "x"][0] == pytest.approx(0.1)
     assert got[1, "x"][1] == pytest.approx(math.exp(1.1) / (math.exp(1.1) + math.exp(-0.8))) and got[2, "x"][1] + got[2, "y"][1] == pytest.approx(1)
+
+
+def test_places_in_parts_equal_a_whole_order(spark):
+    import hashlib
+
+    from sextant.operators import ranking as R
+
+    rows = [(i, "big" if i % 10 else "small", hashlib.sha256(str(i // 2).encode()).hexdigest()) for i in range(500)]
+    got = {r.i: (r.k, r.n) for r in R.hash_places(spark.createDataFrame(rows, "i int, g string, d string"), "g", "d", "i").collect()}
+    for g in ("big", "small"):
+        own = sorted((d, i) for i, x, d in rows if x == g)
+        assert [got[i] for _, i in own] == [(k, len(own)) for k in range(1, len(own) + 1)]
+
+
+def test_kept_tables_go_when_asked(spark):
+    from sextant.sources.shared import drop_kept, kept
+
+    a = kept(spark.range(5), "some")
+    assert a.count() == 5 and drop_kept(spark) >= 1 and drop_kept(spark) == 0
+    with pytest.raises(Exception, match="(?i)not exist|no such"):
+        a.count()

@@ -27,8 +27,12 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, when: str, value:
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_at", "_side", "_v")
 
 
-def indicated(entries: DataFrame, mapping: DataFrame) -> DataFrame:
-    return entries.join(mapping, "code")
+def indicated(entries: DataFrame, by_code: DataFrame, by_answer: DataFrame | None = None) -> DataFrame:
+    """Entries with what their code indicates, by by_code(code, ...), and their code and answer, by by_answer(code, answer, ...).
+
+    An entry that both maps know has a row of each."""
+    out = entries.join(by_code, "code")
+    return out if by_answer is None else out.unionByName(entries.join(by_answer, ["code", "answer"]))
 
 
 def fold_findings(rows: DataFrame) -> DataFrame:

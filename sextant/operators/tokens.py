@@ -86,3 +86,17 @@ def masked(tokens: DataFrame, share: float, seed: str = "mask") -> DataFrame:
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("case_id").cast("string"), code)), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
     kept = tokens.withColumns({"code": code, "kept": drawn < share}).groupBy("case_id").agg(F.collect_set(F.when(F.col("kept"), F.col("raw"))).alias("raws"), F.sort_array(F.collect_set(F.when(F.col("kept"), F.col("code")))).alias("asked"))
     return kept.select("case_id", F.explode_outer("raws").alias("raw"), "asked")
+
+
+def recorded_answers(findings: DataFrame, expanded: DataFrame) -> DataFrame:
+    """(case_id, question, answer) of every question that an expansion derived: the finding that it came from, and how that was stated."""
+    own = findings.select("case_id", F.col("concept_id").alias("origin"), F.concat("concept_id", F.lit(" is "), "assertion").alias("answer"))
+    return expanded.where("origin IS NOT NULL").select("case_id", F.col("concept_id").alias("question"), "origin").join(own, ["case_id", "origin"]).select("case_id", "question", "answer")
+
+
+def form_problems(present: DataFrame, denied: DataFrame, known: DataFrame) -> DataFrame:
+    """(case_id, concept_id, problem) of a form's two lists: concepts in both, and concepts that known(concept_id) hasn't."""
+    both = present.select("case_id", "concept_id").distinct().join(denied.select("case_id", "concept_id").distinct(), ["case_id", "concept_id"])
+    every = present.select("case_id", "concept_id").union(denied.select("case_id", "concept_id")).distinct()
+    unknown = every.join(known.select("concept_id"), "concept_id", "left_anti")
+    return both.select("case_id", "concept_id", F.lit("both present and denied").alias("problem")).union(unknown.select("case_id", "concept_id", F.lit("unknown concept")))

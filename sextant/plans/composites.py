@@ -14,7 +14,7 @@ from sextant.plans import standin as S
 from sextant.plans.registry import N, query
 from sextant.plans.graph import GAIN_SQL, gains
 from sextant.plans.retrieval import SENT, words_sql
-from sextant.plans.tokens import FINDINGS, findings
+from sextant.plans.tokens import CROSSWALK_SQL, FINDINGS, IMPLIES, JUDGED, crosswalk, expansion, findings, judged
 
 
 @query("ag44_flag_layer_report", S.with_outcomes("SELECT truth, round(avg(CASE WHEN flagged AND condition_id = truth THEN 1.0 ELSE 0 END) FILTER (condition_id = truth), 6) AS sensitivity, round(count(*) FILTER (flagged AND NOT critical AND condition_id <> truth) / count(DISTINCT case_id), 6) AS burden FROM o GROUP BY truth"))
@@ -64,9 +64,12 @@ def implications(t):
     return K.implied_concepts(p)
 
 
-@query("jn22_recorded_answers", f"WITH {FINDINGS} SELECT case_id, 'Q_' || concept_id AS question, concept_id || ' is ' || assertion AS answer FROM findings WHERE assertion = 'present'")
+@query("jn22_recorded_answers", f"""WITH {FINDINGS}, imp AS (SELECT * FROM (VALUES {', '.join(map(repr, IMPLIES))}) v(concept_id, assertion, i, ia)),
+    d AS (SELECT case_id, i AS concept_id, min(f.concept_id) AS origin FROM findings f JOIN imp USING (concept_id, assertion) GROUP BY ALL HAVING count(DISTINCT ia) = 1)
+    SELECT d.case_id, d.concept_id AS question, f.concept_id || ' is ' || f.assertion AS answer FROM d JOIN findings f ON f.case_id = d.case_id AND f.concept_id = d.origin WHERE NOT EXISTS (SELECT 1 FROM findings x WHERE x.case_id = d.case_id AND x.concept_id = d.concept_id)""")
 def recorded(t):
-    return findings(t).where("assertion = 'present'").select("case_id", F.concat(F.lit("Q_"), "concept_id").alias("question"), F.concat("concept_id", F.lit(" is "), "assertion").alias("answer"))
+    """The questions that the expansion answered, by the findings that they came from."""
+    return K.recorded_answers(findings(t), expansion(t))
 
 
 @query("prj09_drop_empty_properties", "SELECT c_custkey, list_sort(list_filter([CASE WHEN c_acctbal < 0 THEN NULL ELSE 'bal' END, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'seg' END], lambda x: x IS NOT NULL)) AS kept FROM customer")
@@ -75,15 +78,21 @@ def drop_empty(t):
     return t.customer.select("c_custkey", F.array_sort(F.map_keys(F.map_filter(m, lambda k, v: v.isNotNull()))).alias("kept"))
 
 
-@query("prj19_case_from_row", f"WITH {FINDINGS} SELECT case_id, concept_id, CASE WHEN concept_id IN ('E_3', 'E_4') THEN 'risk' ELSE 'finding' END AS list_name, assertion FROM findings WHERE assertion = 'present'")
+@query("prj19_case_from_row", f"""WITH {FINDINGS} SELECT case_id, concept_id, CASE WHEN concept_id IN ('E_3', 'E_4') THEN 'risk' ELSE 'finding' END AS list_name, assertion FROM findings WHERE assertion = 'present'
+    UNION ALL SELECT case_id, concept_id, 'implied', 'present' FROM ({CROSSWALK_SQL})""")
 def case_from_row(t):
-    return findings(t).where("assertion = 'present'").select("case_id", "concept_id", F.when(F.col("concept_id").isin("E_3", "E_4"), "risk").otherwise("finding").alias("list_name"), "assertion")
+    """What a row states, risk factors apart, and the concepts that its tokens imply; what it doesn't state has no row."""
+    own = findings(t).where("assertion = 'present'").select("case_id", "concept_id", F.when(F.col("concept_id").isin("E_3", "E_4"), "risk").otherwise("finding").alias("list_name"), "assertion")
+    return own.union(crosswalk(t).select("case_id", "concept_id", F.lit("implied"), F.lit("present")))
 
 
-@query("prj20_case_from_form", f"WITH {FINDINGS}, k AS (SELECT unnest(['E_1', 'E_2', 'E_3']) AS concept_id) SELECT case_id, concept_id, assertion, concept_id NOT IN (SELECT concept_id FROM k) AS unknown FROM findings")
+@query("prj20_case_from_form", f"""WITH {JUDGED}, b AS (SELECT case_id, code, bool_or(positive) AS yes, bool_or(NOT positive) AS no FROM judged GROUP BY ALL)
+    SELECT case_id, code AS concept_id, 'both present and denied' AS problem FROM b WHERE yes AND no UNION ALL SELECT case_id, code, 'unknown concept' FROM b WHERE code NOT IN ('E_1', 'E_2', 'E_3')""")
 def case_from_form(t):
-    known = t.rows([("E_1", True), ("E_2", True), ("E_3", True)], "concept_id string, known boolean")
-    return findings(t).join(known, "concept_id", "left").select("case_id", "concept_id", "assertion", F.col("known").isNull().alias("unknown"))
+    """Positive tokens as what a form states, the others as what it denies: concepts in both lists, and unknown ones."""
+    rows = judged(t).select("case_id", F.col("code").alias("concept_id"), "positive")
+    known = t.rows([("E_1",), ("E_2",), ("E_3",)], "concept_id string")
+    return K.form_problems(rows.where("positive"), rows.where("NOT positive"), known)
 
 
 @query("kg24_golden_cases", S.with_outcomes("SELECT e.seg, count(*) AS cases, count(*) FILTER (o.rank <= 3) AS met, count(*) FILTER (o.flagged) AS flags FROM o JOIN (VALUES ('BUILDING', '1-URGENT'), ('MACHINERY', '2-HIGH')) e(seg, want) ON e.seg = o.seg AND e.want = o.condition_id WHERE o.truth = e.want GROUP BY e.seg"))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from sextant.operators import closure as C
 from sextant.operators import graph as G
 from sextant.operators import questions as Q
+from sextant.operators import ranking as R
+from sextant.operators import tokens as K
 from sextant.plans import standin as S
 from sextant.plans.registry import N, query
+from sextant.sources import files as I
 
 
 
@@ -217,10 +220,16 @@ def validation(t):
     return G.crosswalk_problems(S.edges(t), S.specs(t), len(S.PRIORITIES))
 
 
-@query("kg22_wide_matrices", S.with_outcomes("SELECT case_id, " + ", ".join(f"round(max(CASE WHEN ord = {i} THEN p END), 6) AS c{i}" for i in range(1, 6)) + " FROM o GROUP BY case_id"))
+WIDE = {"m": "round(CASE WHEN o.ord < 5 THEN p ELSE 0 END, 6)", "g": "round(kg, 6)", "f": "CAST(flagged AS INT)", "d": "CAST(in_d AS INT)"}
+
+
+@query("kg22_wide_matrices", S.with_all(" SELECT o.case_id, " + ", ".join(f"max(CASE WHEN o.ord = {i} THEN {x} END) AS {c}{i}" for c, x in WIDE.items() for i in range(1, 6)) + " FROM o JOIN kg ON kg.case_id = o.case_id AND kg.ord = o.ord GROUP BY o.case_id"))
 def wide(t):
-    m = S.ml_scores(t).groupBy("case_id").pivot("ord", [1, 2, 3, 4, 5]).agg(F.round(F.max("p"), 6))
-    return m.withColumnsRenamed({str(i): f"c{i}" for i in range(1, 6)})
+    """The model's matrix, padded where it can't score, the graph's, the flags' and the differential's."""
+    rows = S.outcomes(t).join(S.kg_scores(t).select("case_id", "ord", "kg"), ["case_id", "ord"])
+    rows = rows.select("case_id", "ord", F.round(F.when(F.col("ord") < 5, F.col("p")).otherwise(0.0), 6).alias("m"), F.round("kg", 6).alias("g"), F.col("flagged").cast("int").alias("f"), F.col("in_d").cast("int").alias("d"))
+    out = rows.groupBy("case_id").pivot("ord", [1, 2, 3, 4, 5]).agg(*[F.max(c).alias(c) for c in WIDE])
+    return out.withColumnsRenamed({f"{i}_{c}": f"{c}{i}" for i in range(1, 6) for c in WIDE})
 
 
 @query("st15_store_differential", with_edges(f""", e2 AS (SELECT condition_id, concept_id, source, CASE WHEN source = 'closed' THEN weight ELSE weight / 2 END AS weight FROM edges WHERE NOT (source = 'open' AND concept_id = 'E_2')),
@@ -240,3 +249,22 @@ def differential(t):
 @query("st17_graph_fingerprint", with_edges("SELECT sha256(string_agg(r, chr(10) ORDER BY r)) AS fingerprint FROM (SELECT condition_id || '|' || concept_id || '|' || source AS r FROM edges)"))
 def fingerprint(t):
     return S.edges(t).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "condition_id", "concept_id", "source"))), "\n"), 256).alias("fingerprint"))
+
+
+def _digest_sql(part: str, row: str, table: str) -> str:
+    d = f"md5({row})"
+    return f"SELECT '{part}' AS part, count(*) AS n, coalesce(bit_xor(('0x' || substr({d}, 1, 15))::BIGINT), 0) AS mixed, CAST(coalesce(sum(('0x' || substr({d}, 16, 7))::BIGINT), 0) AS BIGINT) AS total FROM {table}"
+
+
+@query("st17_content_digests", with_edges(" UNION ALL ".join([_digest_sql("graph", "condition_id || '|' || concept_id || '|' || source", "edges"), _digest_sql("tokens", "case_id || '|' || raw", "tok"), _digest_sql("mask", "case_id || '|' || raw", "(SELECT * FROM tok WHERE ('0x' || substr(md5('mask:' || case_id || ':' || split_part(raw, '_@_', 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.5)"), _digest_sql("sample", "case_id::VARCHAR", "(SELECT case_id FROM cases ORDER BY sha256('s:' || case_id), case_id LIMIT 500)")])))
+def digests(t):
+    """Digests of the graph, of the evidence and its masked copy, and of a sample: equal in any order of the rows."""
+    tokens = t.once("tokens", lambda: S.tokens(t))
+    mask = K.masked(tokens, 0.5).where("raw IS NOT NULL").select("case_id", "raw")
+    sample = R.hash_order(S.cases(t).select("case_id"), "s", "case_id", 500).select("case_id")
+    parts = [("graph", S.edges(t).select("condition_id", "concept_id", "source")), ("tokens", tokens.select("case_id", "raw")), ("mask", mask), ("sample", sample)]
+    out = None
+    for name, rows in parts:
+        one = I.content_digest(rows, name)
+        out = one if out is None else out.union(one)
+    return out

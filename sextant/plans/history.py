@@ -48,9 +48,17 @@ def latest(t):
     return H.latest(entries(t), ["patient", "code"], F.lit(DAY).cast("date"), "event_id").select("patient", "code", "value")
 
 
-@query("jn17_code_mapping", f"WITH {ACTIVE} SELECT event_id, concept_id, assertion FROM a JOIN m USING (code)")
+ANSWERED = "ma AS (SELECT CAST(i AS VARCHAR) AS code, v.answer, 'finding-' || (i % 5) AS concept_id, v.assertion FROM range(0, 60) r(i), (VALUES ('high', 'present'), ('low', 'absent')) v(answer, assertion) WHERE i % 4 = 1)"
+
+
+@query("jn17_code_mapping", f"WITH {ACTIVE}, {ANSWERED}, aa AS (SELECT *, CASE WHEN value > 80 THEN 'high' WHEN value < 20 THEN 'low' ELSE 'normal' END AS answer FROM a) SELECT event_id, concept_id, assertion FROM a JOIN m USING (code) UNION ALL SELECT event_id, concept_id, assertion FROM aa JOIN ma USING (code, answer)")
 def code_mapping(t):
-    return H.indicated(active(t), mapping(t)).select("event_id", "concept_id", "assertion")
+    """What a code tells, and what a code tells together with its answer."""
+    answer = F.when(F.col("value") > 80, "high").when(F.col("value") < 20, "low").otherwise("normal")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("answer"), F.lit(b).alias("assertion")) for a, b in (("high", "present"), ("low", "absent"))])).alias("v")
+    i = F.col("id")
+    answers = t.spark.range(60).where(i % 4 == 1).select(i.cast("string").alias("code"), F.concat(F.lit("finding-"), (i % 5).cast("string")).alias("concept_id"), each).select("code", "concept_id", "v.*")
+    return H.indicated(active(t).withColumn("answer", answer), mapping(t), answers).select("event_id", "concept_id", "assertion")
 
 
 @query("kg17_patient_graph", f"WITH {ACTIVE} SELECT 'HAS' AS relation, count(*) AS n FROM a UNION ALL SELECT 'INDICATES', count(*) FROM a JOIN m USING (code)")

@@ -79,10 +79,12 @@ def bundle(t):
     return I.manifest(t.spark, f"{path}/*.parquet")
 
 
-@query("src12_referential_checks", "SELECT count(*) FILTER (d.doc_id IS NULL) AS orphans, count(*) AS labels FROM labels l LEFT JOIN documents d USING (doc_id)")
+@query("src12_referential_checks", """WITH v AS (SELECT count(*) AS n, count(*) FILTER (embedding IS NULL OR len(embedding) <> 64) AS wrong FROM embeddings), p AS (SELECT count(*) AS n FROM labels)
+    SELECT 'counts differ by' AS "check", abs(p.n - v.n) AS problems FROM p, v UNION ALL SELECT 'vectors of another size', wrong FROM v UNION ALL SELECT 'passages without an article', count(*) FILTER (d.doc_id IS NULL) FROM labels l LEFT JOIN documents d USING (doc_id)
+    UNION ALL SELECT 'passages without a vector', count(*) FILTER (e.vec_id IS NULL) FROM labels l LEFT JOIN embeddings e ON e.vec_id = l.doc_id""")
 def referential(t):
-    j = t.labels.join(t.documents.select("doc_id", F.lit(True).alias("there")), "doc_id", "left")
-    return j.agg(F.count_if(F.col("there").isNull()).alias("orphans"), N.alias("labels"))
+    """Labelled documents as passages, their documents as articles, the embeddings as vectors."""
+    return I.bundle_problems(t.labels, t.documents, t.embeddings.withColumnRenamed("vec_id", "doc_id"), "doc_id", "doc_id", "embedding", 64)
 
 
 @query("src13_multi_csv_reader", r"SELECT 'customer' AS kind, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'supplier', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -138,9 +138,12 @@ def patterns(t):
     return t.rows(PATTERNS, "concept_id string, code string, vals array<string>, min_ordinal int, side string")
 
 
-@query("jn03_crosswalk_match", f"""WITH {PARSED} SELECT DISTINCT case_id, concept_id FROM (
+CROSSWALK_SQL = f"""WITH {PARSED} SELECT DISTINCT case_id, concept_id FROM (
     SELECT case_id, 'C_flag_a' AS concept_id FROM parsed WHERE code = 'E_1' AND value = 'V_1' UNION ALL SELECT case_id, 'C_any_status' FROM parsed WHERE code = 'E_2' UNION ALL
-    SELECT case_id, 'C_much' FROM parsed WHERE code = 'E_3' AND ordinal >= 4 UNION ALL SELECT case_id, 'C_discount' FROM parsed WHERE code = 'E_4' AND value IN ('V_1', 'V_2', 'V_3', 'V_7', 'V_8', 'V_9'))""")
+    SELECT case_id, 'C_much' FROM parsed WHERE code = 'E_3' AND ordinal >= 4 UNION ALL SELECT case_id, 'C_discount' FROM parsed WHERE code = 'E_4' AND value IN ('V_1', 'V_2', 'V_3', 'V_7', 'V_8', 'V_9'))"""
+
+
+@query("jn03_crosswalk_match", CROSSWALK_SQL)
 def crosswalk(t):
     return K.crosswalk_matches(parsed(t), patterns(t))
 

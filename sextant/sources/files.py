@@ -74,6 +74,26 @@ def fingerprint(df: DataFrame) -> str:
     return hashlib.sha256("|".join(map(str, df.agg(F.count(F.lit(1)), *parts).first())).encode()).hexdigest()
 
 
+def content_digest(rows: DataFrame, part: str) -> DataFrame:
+    """(part, n, mixed, total): a digest of rows in whatever order they come, by one partial aggregate.
+
+    mixed is the exclusive or of 60 bits of each row's MD5, total the sum of
+    other 28 bits, so repeated rows count; rows are their columns as text, joined by bars."""
+    d = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]))
+    bits = lambda a, n: F.conv(F.substring(d, a, n), 16, 10).cast("bigint")
+    return rows.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(bits(1, 15)), F.lit(0)).alias("mixed"), F.coalesce(F.sum(bits(16, 7)), F.lit(0)).alias("total"))
+
+
+def bundle_problems(passages: DataFrame, articles: DataFrame, vectors: DataFrame, link: str, passage: str, vector: str, size: int) -> DataFrame:
+    """(check, problems): counts that differ, passages without their article, without their vector, vectors of another size."""
+    counts = passages.agg(F.count(F.lit(1)).alias("p")).crossJoin(vectors.agg(F.count(F.lit(1)).alias("v"), F.count_if(F.col(vector).isNull() | (F.size(vector) != size)).alias("wrong")))
+    told = F.explode(F.array(F.struct(F.lit("counts differ by").alias("check"), F.abs(F.col("p") - F.col("v")).alias("problems")), F.struct(F.lit("vectors of another size").alias("check"), F.col("wrong").alias("problems")))).alias("e")
+    out = counts.select(told).select("e.*")
+    for name, other, key in (("passages without an article", articles, link), ("passages without a vector", vectors, passage)):
+        out = out.union(passages.join(other.select(key).distinct(), key, "left_anti").agg(F.lit(name), F.count(F.lit(1))))
+    return out
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes, sha256) of each file of a bundle, hashed where the files are read."""
     files = spark.read.format("binaryFile").load(path)

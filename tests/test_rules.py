@@ -84,3 +84,23 @@ def test_kept_tables_go_when_asked(spark):
     assert a.count() == 5 and drop_kept(spark) >= 1 and drop_kept(spark) == 0
     with pytest.raises(Exception, match="(?i)not exist|no such"):
         a.count()
+
+
+def test_forms_answers_and_digests_by_hand(spark):
+    from sextant.sources import files as I
+
+    present = spark.createDataFrame([(1, "a"), (1, "b"), (2, "zz")], "case_id int, concept_id string")
+    denied = spark.createDataFrame([(1, "b"), (1, "b"), (2, "c")], "case_id int, concept_id string")
+    known = spark.createDataFrame([("a",), ("b",), ("c",)], "concept_id string")
+    assert sorted(map(tuple, K.form_problems(present, denied, known).collect())) == [(1, "b", "both present and denied"), (2, "zz", "unknown concept")]
+    findings = spark.createDataFrame([(1, "a", "present")], "case_id int, concept_id string, assertion string")
+    implies = spark.createDataFrame([("a", "present", "q", "present")], "concept_id string, assertion string, implied_id string, implied_assertion string")
+    assert [tuple(r) for r in K.recorded_answers(findings, K.expand(findings, implies)).collect()] == [(1, "q", "a is present")]
+    rows = [(i % 7, None if i % 3 else "x") for i in range(40)]
+    one = lambda xs, n: I.content_digest(spark.createDataFrame(xs, "a int, b string").repartition(n), "p").first()
+    assert one(rows, 1) == one(rows[::-1], 5) != one([*rows, rows[0], rows[0]], 2)
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id int, v array<double>")
+    passages = spark.createDataFrame([(1, "p"), (9, "q"), (2, None)], "id int, article string")
+    articles = spark.createDataFrame([("p",)], "article string")
+    got = {r.check: r.problems for r in I.bundle_problems(passages, articles, vectors, "article", "id", "v", 2).collect()}
+    assert got == {"counts differ by": 0, "vectors of another size": 2, "passages without an article": 2, "passages without a vector": 1}

@@ -298,7 +298,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    found = written(resolved(entities(docs, text_col)), "pii-found")
+    found = written(resolved(written(entities(docs, text_col), "pii-seen")), "pii-found")  # the texts are searched once for both
     dealt = assign(found.select(F.col("final").alias("kind"), "value"), key).select(F.col("kind").alias("final"), "value", "attempt")
     retried = written(found.join(dealt, ["final", "value"]).where("attempt > 0 OR final <> kind"), "pii-retried").select("kind", "value", "final", "attempt")
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))

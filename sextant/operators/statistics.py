@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.sources.shared import kept
+
 
 def poisson_steps() -> list[float]:
     """The distribution function of a Poisson count of mean 1, at 0 to 11."""
@@ -108,21 +110,23 @@ def fit_platt(rows: DataFrame, p: str, y: str, steps: int = 25) -> tuple[float,
     """Platt's a and b by Newton steps that are halved until the loss doesn't rise; a step is two aggregates.
 
     Smoothed aims keep both finite on separable scores."""
-    x = F.log(F.greatest(F.col(p), F.lit(1e-9)))
-    n = rows.agg(F.count_if(y).alias("pos"), F.count_if(~F.col(y)).alias("neg")).first()
+    # every step reads the points again: equal ones are one row with a count, written once
+    points = kept(rows.groupBy(F.col(p).alias("p"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n")), "points")
+    n = points.agg(F.sum(F.when(F.col("y"), F.col("n"))).alias("pos"), F.sum(F.when(~F.col("y"), F.col("n"))).alias("neg")).first()
+    n = {c: n[c] or 0 for c in ("pos", "neg")}
     hi, lo = (n["pos"] + 1) / (n["pos"] + 2), 1 / (n["neg"] + 2)
     a, b = math.log((n["pos"] + 1) / (n["neg"] + 1)), 0.0
-    aim = F.when(F.col(y), F.lit(hi)).otherwise(F.lit(lo))
-    points = rows.select(x.alias("x"), aim.alias("t"))
+    aim = F.when(F.col("y"), F.lit(hi)).otherwise(F.lit(lo))
+    points = points.select(F.log(F.greatest(F.col("p"), F.lit(1e-9))).alias("x"), aim.alias("t"), "n")
 
     def losses(places: list[tuple[float, float]]) -> list[float]:
         z = [F.lit(c) + F.lit(d) * F.col("x") for c, d in places]
-        each = [F.sum(F.greatest(v, F.lit(0.0)) - v * F.col("t") + F.log1p(F.exp(-F.abs(v)))) for v in z]
+        each = [F.sum(F.col("n") * (F.greatest(v, F.lit(0.0)) - v * F.col("t") + F.log1p(F.exp(-F.abs(v))))) for v in z]
         return list(points.agg(*each).first())
 
     for _ in range(steps):
         q = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
-        w, g = q * (1 - q), q - F.col("t")
+        w, g = F.col("n") * q * (1 - q), F.col("n") * (q - F.col("t"))
         s = points.agg(F.sum(g), F.sum(g * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first()
         hess = np.array([[s[2] + 1e-9, s[3]], [s[3], s[4] + 1e-9]])
         da, db = np.linalg.solve(hess, np.array([s[0], s[1]]))

@@ -1,9 +1,11 @@
 """Results and work that must not grow faster than the tables."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sextant.operators import statistics as T
 from sextant.plans import registry
 
 
@@ -25,3 +27,26 @@ def test_sets_of_suppliers_are_compared_by_class(spark, folder):
     assert members == {s: {0: 3, 1: 1, 2: 2}[s % 3] for s in range(1, 401)}
     pairs = {(r.a, r.b): (r.a_in_b, r.b_in_a, r.jaccard) for r in rows if r.part == "pair"}
     assert len(rows) == 403 and pairs == {(1, 2): (False, True, round(1 / 31, 6)), (1, 3): (True, False, round(31 / 70, 6)), (2, 3): (True, False, round(1 / 70, 6))}
+
+
+def counted(spark, df):
+    """df, and an accumulator of how many of its rows were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), made
+
+
+def test_platt_makes_its_points_once(spark):
+    """However many steps it takes; equal points count as often as they stand there."""
+    rows = [(0.1, False)] * 40 + [(0.1, True)] * 7 + [(0.6, True)] * 30 + [(0.6, False)] * 21 + [(0.9, True)] * 12 + [(0.9, False)]
+    df, made = counted(spark, spark.createDataFrame(rows, "p double, y boolean"))
+    a, b = T.fit_platt(df, "p", "y")
+    assert made.value == len(rows)
+    x, y = np.log([r[0] for r in rows]), np.array([r[1] for r in rows])
+    q, aim = 1 / (1 + np.exp(-(a + b * x))), np.where(y, 50 / 51, 1 / 64)
+    assert np.abs([(q - aim).sum(), ((q - aim) * x).sum()]).max() < 1e-6

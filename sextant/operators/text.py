@@ -15,6 +15,8 @@ STOPWORDS = """
     which while who whom why will with would you your
 """.split()
 K1, B = 1.2, 0.75
+#: Documents that a task of (query, document) sums takes.
+DOCS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -46,10 +48,12 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, doc, score) of queries(query, term) against tokenised documents.
+    """(query, doc, score, n) of queries(query, term) against tokenised documents; n of the query's terms are in the document.
 
     docs is read twice (once its lengths only) and the queries' postings twice:
-    give docs as a written table. Only words of queries are shuffled."""
+    give docs as a written table. Only words of queries are shuffled, by document
+    and into as many parts as hold DOCS documents each, so that a task's sums
+    don't grow with the table."""
     total, length = docs.agg(F.count(F.lit(1)), F.sum("len")).first()
     asked = queries.select("query", "term").distinct()
     hits = kept(postings(docs, asked.select("term").distinct()), "hits")
@@ -57,7 +61,12 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     counted = kept(asked.join(counts, "term"), "asked-terms")
     idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit((length or 0) / max(total, 1))))
-    return hits.join(counted, "term").groupBy("query", "doc").agg(F.sum(weight).alias("score"))
+    dealt = hits.repartition(parts_of(total), "doc")
+    return dealt.join(counted, "term").groupBy("query", "doc").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("n"))
+
+
+def parts_of(docs: int) -> int:
+    return 8 + docs // DOCS
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -116,9 +116,9 @@ TWO = f"""{BM25}, r1 AS (SELECT query, doc AS item, row_number() OVER (PARTITION
 
 def _two(t):
     by = Window.partitionBy("query")
-    a = _bm25(t).withColumn("rank", F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), "doc")))
-    shared = _posts(t, _asked(t).select("term").distinct()).join(_asked(t), "term").groupBy("query", "doc").agg(N.alias("n"))
-    b = shared.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "doc")))
+    scored = _bm25(t)
+    a = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), "doc")))
+    b = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "doc")))
     return a.where("rank <= 20").select("query", F.col("doc").alias("item"), "rank").union(b.where("rank <= 20").select("query", "doc", "rank"))
 
 
@@ -139,7 +139,9 @@ def hybrid(t):
 @query("rt07_eligibility_filter", f"WITH {POSTS}, {ASKED} SELECT query, count(DISTINCT doc) AS eligible FROM q JOIN p USING (term) JOIN documents d ON d.doc_id = doc WHERE NOT regexp_matches(d.text, '(?i)token = ') GROUP BY query")
 def eligibility(t):
     fit = t.documents.where(~F.col("text").rlike("(?i)token = ")).select(F.col("doc_id").alias("doc"))
-    return _posts(t, _asked(t).select("term").distinct()).join(fit, "doc", "left_semi").join(_asked(t), "term").groupBy("query").agg(F.count_distinct("doc").alias("eligible"))
+    # one row of each word of queries in a document, then sums by document in parts that don't grow with the table
+    met = _posts(t, _asked(t).select("term").distinct()).join(fit, "doc", "left_semi").repartition(X.parts_of(t.documents.count()), "doc")
+    return met.join(_asked(t), "term").groupBy("query", "doc").agg(F.lit(1).alias("one")).groupBy("query").agg(N.alias("eligible"))
 
 
 @query("rt13_query_composition", "SELECT o_custkey, 'orders ' || array_to_string(list_sort(list(DISTINCT o_orderpriority)), ' ') AS query FROM orders GROUP BY o_custkey")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +43,39 @@ def poisson_bootstrap(pairs: DataFrame, key: str, num: str, den: str, resamples:
     """Percentile interval of a ratio of sums: each case counts Poisson(1) times in each resample.
 
     This is the estimator that scales; it differs from drawing n cases with
-    replacement."""
-    rows = resampled(pairs.select(*by, key, num, den), key, resamples, seed)
-    each = rows.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("w") * F.col(num)), F.sum(F.col("w") * F.col(den))).alias("r"))
-    point = pairs.groupBy(*by).agg(F.try_divide(F.sum(num), F.sum(den)).alias("value"))
-    ends = each.groupBy(*by).agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
-    return point.join(ends, list(by)) if by else point.crossJoin(ends)
+    replacement. The counts are those of resampled(), drawn and summed batch by
+    batch: a row is never repeated for its resamples."""
+    for c in by:
+        pairs = pairs.where(F.col(c).isNotNull())
+    group = F.concat_ws("\0", F.lit(""), *[F.col(c).cast("string") for c in by])
+    rows = pairs.select(group.alias("_g"), F.concat_ws(":", F.col(key).cast("string"), F.lit(f"{seed}:")).alias("_k"), F.col(num).cast("double").alias("num"), F.col(den).cast("double").alias("den"))
+    steps = np.array(poisson_steps())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of a batch by group and resample."""
+        for batch in batches:
+            code = batch.column("_g").dictionary_encode()
+            at, keys = code.indices.to_numpy(zero_copy_only=False), [k.encode() for k in batch.column("_k").to_pylist()]
+            kept_rows = [np.flatnonzero(batch.column(c).is_valid().to_numpy(zero_copy_only=False)) for c in ("num", "den")]
+            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("num", "den")]
+            sums = np.zeros((2, resamples, len(code.dictionary)))
+            for c in range(resamples // 4):
+                end = str(c).encode()
+                drawn = np.frombuffer(b"".join([hashlib.md5(k + end).digest() for k in keys]), ">u4").reshape(-1, 4) / 4294967296.0
+                w = np.searchsorted(steps, drawn, side="right")
+                for j in range(4):
+                    for i, own in enumerate(kept_rows):
+                        sums[i, 4 * c + j] = np.bincount(at[own], w[own, j] * values[i][own], len(code.dictionary))
+            n = len(code.dictionary)
+            each = [pa.array(np.tile(np.arange(resamples), n), pa.int32()), *(pa.array(sums[i].T.ravel()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(code.dictionary.to_pylist(), object), resamples), pa.string()), *each], ["_g", "b", "num", "den"])
+
+    each = rows.mapInArrow(run, "_g string, b int, num double, den double").groupBy("_g", "b").agg(F.try_divide(F.sum("num"), F.sum("den")).alias("r"))
+    if not by:
+        return pairs.agg(F.try_divide(F.sum(num), F.sum(den)).alias("value")).crossJoin(each.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high")))
+    point = pairs.groupBy(*by, group.alias("_g")).agg(F.try_divide(F.sum(num), F.sum(den)).alias("value"))
+    ends = each.groupBy("_g").agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
+    return point.join(ends, "_g").select(*by, "value", "low", "high")
 
 
 def kappa_interval(graded: DataFrame, query: str, a: str, b: str, grades: int = 3, weights: str = "none", resamples: int = 200, seed: int = 42) -> DataFrame:

@@ -1,11 +1,17 @@
 """Results and work that must not grow faster than the tables."""
 
+import hashlib
+import math
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sextant.operators import ablation as B
+from sextant.operators import graph as G
 from sextant.operators import statistics as T
+from sextant.operators import text as X
 from sextant.plans import registry
 
 
@@ -50,3 +56,42 @@ def test_platt_makes_its_points_once(spark):
     x, y = np.log([r[0] for r in rows]), np.array([r[1] for r in rows])
     q, aim = 1 / (1 + np.exp(-(a + b * x))), np.where(y, 50 / 51, 1 / 64)
     assert np.abs([(q - aim).sum(), ((q - aim) * x).sum()]).max() < 1e-6
+
+
+def test_ranks_are_counted_and_levels_scored_as_cases_are(spark):
+    """Counted ranks are the ranks of the cases, and scores by level those of naive_bayes() of what a level keeps."""
+    rows = [(i, i % 3, [0.1 * (i % 5), 0.3, None], [-1.0 * (i % 4), -0.5, -2.0], [i % 2 == 0, False, False], i % 2 == 0) for i in range(50)]
+    cases = spark.createDataFrame(rows, "id int, truth int, p array<double>, kg array<double>, flagged array<boolean>, critical boolean")
+    each = B.weight_sweep(cases, [0.2, 0.7], ["critical"], True).groupBy("critical", "alpha", "rank").count().collect()
+    counted_ranks = B.weight_sweep(cases, [0.2, 0.7], ["critical"], True, counted=True).collect()
+    assert sorted(tuple(r) for r in each) == sorted((r.critical, r.alpha, r["rank"], r.n) for r in counted_ranks) and sum(r.n for r in counted_ranks) == 100
+    tokens = [(i, None if i == 7 else [f"c{j}" for j in range(i % 6)]) for i in range(40)]
+    edges = spark.createDataFrame([("A", "c1", 0.5), ("B", "c1", 0.2), ("A", "c3", 0.95), ("B", "c4", 0.0)], "condition_id string, concept_id string, weight double")
+    got = G.naive_bayes_levels(spark.createDataFrame(tokens, "case_id int, raws array<string>"), ["case_id"], [1.0, 0.4], edges, ["A", "B"]).collect()
+    part = {("A", "c1"): 0.5, ("B", "c1"): 0.2, ("A", "c3"): 0.9}
+    own = dict(tokens)
+    for r in got:
+        for level, scores in r.levels.items():
+            kept = [c for c in own[r.case_id] or [] if int(hashlib.md5(f"{r.case_id}:{c}".encode()).hexdigest()[:8], 16) / 2**32 < level]
+            assert scores == pytest.approx([sum(math.log(part.get((k, c), 0.01)) for c in kept) for k in "AB"], abs=1e-8)
+
+
+def test_bootstrap_makes_no_row_for_each_resample(spark):
+    """200 resamples of a case are summed where it is read: no generator stands in the plan; the draws are resampled()'s."""
+    df = spark.createDataFrame([(i, i % 2, float(i % 7), 1.0 + i % 3) for i in range(90)], "id int, g int, num double, den double")
+    out = T.poisson_bootstrap(df, "id", "num", "den", by=("g",))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    each = T.resampled(df, "id").groupBy("g", "b").agg((F.sum(F.col("w") * F.col("num")) / F.sum(F.col("w") * F.col("den"))).alias("r"))
+    want = {r.g: (r.low, r.high) for r in each.groupBy("g").agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high")).collect()}
+    assert {r.g: (r.low, r.high) for r in out.collect()} == {g: pytest.approx(x) for g, x in want.items()}
+    empty = T.poisson_bootstrap(df.where("false"), "id", "num", "den").collect()
+    assert [tuple(r) for r in empty] == [(None, None, None)]
+
+
+def test_bm25_deals_documents_to_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(X, "DOCS", 10)
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma") for i in range(200)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "alpha"), (1, "beta1"), (2, "gamma")], "query int, term string")
+    out = X.bm25(X.tokenised(docs, "doc_id", "text"), asked)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.query, r.doc): r.n for r in out.collect()} == {(1, i): 1 + (i % 3 == 1) for i in range(200)} | {(2, i): 1 for i in range(200)}

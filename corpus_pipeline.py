@@ -25,6 +25,7 @@ from sextant.llm.quality import score_texts
 from sextant.llm.queries import tokenizer_path
 from sextant.llm.row_keys import with_row_key
 from sextant.llm.shingle_join import similar_groups
+from sextant.llm.simhash import near_duplicates
 from sextant.llm.toxicity import fit_toxicity
 
 
@@ -51,13 +52,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, Jaccard similarity 0.8) one, equal texts included.
+    """Of each group of near copies one: by SimHash as in op6, then by the shingles themselves.
 
-    Pairs are found by a prefix join of shingle sets, not by SimHash, which
-    loses pairs at this similarity (README); op6 is the SimHash."""
+    Rows whose fingerprints (four words, 64 bits) are linked at 4 bits or fewer are
+    one group. SimHash loses pairs of the similarity that is meant (README), so
+    the rows left go through an exact join (five words, Jaccard similarity 0.8)."""
     keyed, key = with_row_key(docs)
-    groups = similar_groups(keyed, words=5, similarity=0.8, id_col=key)
-    return _without(keyed, key, groups.where(F.col(key) != F.col("component_id")), docs.columns)
+    prints = near_duplicates(keyed, words=4, radius=4, id_col=key)
+    left = written(_without(keyed, key, prints.where(F.col(key) != F.col("component_id")), keyed.columns), "simhash-left")
+    groups = similar_groups(left, words=5, similarity=0.8, id_col=key)
+    return _without(left, key, groups.where(F.col(key) != F.col("component_id")), docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ DIMS, STATE, ATTEND, GRAM_BITS = 8, 8, 8, 16
 PER_CLASS = 1000
 #: Documents of the sample that a word must be in to have a place of its own, and the most places.
 SEEN, VOCABULARY = 3, 20_000
+#: Windows that are worked out at once.
+BLOCK = 2048
 
 
 class Tokens:
@@ -177,12 +179,65 @@ class ToxicityModel:
         rows = {"word": _by_row(word, dx[:, :DIMS]), "gram": _by_row(gram, most * np.repeat(dx[:, DIMS:], size, axis=0))}
         return g, rows
 
-    def _logits(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        index, doc = tokens.windows()
-        x = self._inputs(self.places(tokens.hash), tokens.gram, tokens.first)
-        gates = self._gates(x)
-        parts = [self._forward(gates, index[a : a + 1024])[0] for a in range(0, len(index), 1024)]
-        return np.concatenate(parts), index, doc
+    def _sliding(self, gates: dict[str, np.ndarray], word: np.ndarray) -> np.ndarray:
+        """Logits of the windows that begin at each of these words but the last few; gates are by kind of word, word the kinds.
+
+        The same sums as _forward's. Features are rows and windows columns, so a
+        step's words are a slice, not a gather. The halves are those of the sigmoid."""
+        p, half = self.p, np.repeat(np.float32([0.5, 1]), (2 * STATE, STATE))
+        sides = []
+        for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+            g = gates[d] * half
+            started = np.tanh(g[:, 2 * STATE :]) * (0.5 - 0.5 * np.tanh(g[:, :STATE]))  # the state after one word
+            sides.append((order, np.concatenate((g, started), axis=1), np.ascontiguousarray((p[f"rec_{d}"] * half).T)))
+        attend, out = np.ascontiguousarray(p["attend"].T), np.empty(max(0, len(word) - WINDOW + 1), np.float32)
+        for a in range(0, len(out), BLOCK):
+            n = min(BLOCK, len(out) - a)
+            h = np.empty((WINDOW, 2 * STATE, n), np.float32)
+            for side, (order, table, rec) in enumerate(sides):
+                own, state = np.ascontiguousarray(table[word[a : a + n + WINDOW - 1]].T), h[:, side * STATE : (side + 1) * STATE]
+                state[order[0]] = own[3 * STATE :, order[0] : order[0] + n]
+                for before, t in zip(order, order[1:], strict=False):
+                    r = rec @ state[before]
+                    zq, s = r[: 2 * STATE], r[2 * STATE :]
+                    zq += own[: 2 * STATE, t : t + n]
+                    np.tanh(zq, out=zq)
+                    zq *= 0.5
+                    zq += 0.5
+                    s *= zq[STATE:]
+                    s += own[2 * STATE : 3 * STATE, t : t + n]
+                    np.tanh(s, out=s)
+                    np.subtract(state[before], s, out=state[t])
+                    state[t] *= zq[:STATE]
+                    state[t] += s
+            u = attend @ h
+            np.tanh(u, out=u)
+            e = p["query"] @ u
+            e -= e.max(0)
+            np.exp(e, out=e)
+            out[a : a + n] = (e * (p["out"] @ h)).sum(0) / e.sum(0) + p["bias"][0]
+        return out
+
+    def _logits(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """The logit of every window, in the order of windows(), and the text of each."""
+        hashes, some, word = np.unique(tokens.hash, return_index=True, return_inverse=True)
+        size = np.diff(tokens.first)[some]
+        first = np.concatenate(([0], np.cumsum(size)))
+        gates = self._gates(self._inputs(self.places(hashes), tokens.gram[ragged(tokens.first[some], size)], first))
+        n = np.diff(tokens.at)
+        count = np.maximum(1, n - WINDOW + 1)
+        doc = np.repeat(np.arange(len(n)), count)
+        out = np.empty(len(doc), np.float32)
+        # the words of long texts lie end to end: windows over a border are worked out and dropped
+        long = n >= WINDOW
+        begins = ragged((np.cumsum(n * long) - n * long)[long], count[long])
+        out[long[doc]] = self._sliding(gates, word[np.repeat(long, n)])[begins]
+        few = n[~long][:, None] > np.arange(WINDOW)[None, :]
+        index = np.full(few.shape, -1)
+        index[few] = word[np.repeat(~long, n)]
+        short = [self._forward(gates, index[a : a + BLOCK])[0] for a in range(0, len(index), BLOCK)]
+        out[~long[doc]] = np.concatenate([np.zeros(0, np.float32), *short])
+        return out, doc
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int], prior: float = 0.5, seed: int = 11, rounds: int = 12, steps: int = 30, batch: int = 256) -> ToxicityModel:
@@ -277,7 +332,7 @@ class ToxicityModel:
     def score(self, texts: list[str]) -> np.ndarray:
         """The probability of label 1 of each whole text."""
         tokens = Tokens(texts)
-        logit, _, doc = self._logits(tokens)
+        logit, doc = self._logits(tokens)
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, doc, logit)
         return _sigmoid(self.scale * top + self.shift)

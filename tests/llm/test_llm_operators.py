@@ -226,6 +226,22 @@ def test_a_window_begins_at_every_word(make_prose):
         assert [r[r >= 0].tolist() for r in own] == [[2 + j for j in range(i, min(i + size, words))] for i in range(len(own))]
 
 
+def test_sliding_windows_equal_single_ones_and_words_are_read_once(make_prose, monkeypatch):
+    size, seen = toxicity.WINDOW, []
+    lengths = [0, 1, size - 1, size, size + 1, 300, 0, 2, 5000, size, 3]
+    texts = [make_prose(i, n) if n else "" for i, n in enumerate(lengths)]
+    for some in (texts, texts[:3], texts[5:6], [""], texts[5:6] * 3):
+        t = toxicity.Tokens(some)
+        m = toxicity.ToxicityModel(np.unique(t.hash)[::2], seed=5)
+        index, doc = t.windows()
+        want = m._forward(m._gates(m._inputs(m.places(t.hash), t.gram, t.first)), index)[0]
+        gates = m._gates
+        monkeypatch.setattr(m, "_gates", lambda x, g=gates: seen.append(len(x)) or g(x))
+        got, of = m._logits(t)
+        assert of.tolist() == doc.tolist() and np.abs(got - want).max() < 1e-5
+        assert seen.pop() == len(np.unique(t.hash))
+
+
 def test_gradients_equal_finite_differences(make_prose):
     t, m, index = small_network(make_prose)
     word, target, weight = m.places(t.hash), np.array([1, 0, 1.0]), np.full(3, 1 / 3, np.float32)

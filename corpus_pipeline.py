@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm import decontaminate, packing
-from sextant.llm.common import discard, written
+from sextant.llm.common import discard, small_batches, written
 from sextant.llm.exact_dedup import DigestIndex, dedup_batch
 from sextant.llm.labelled import fold
 from sextant.llm.quality import score_texts
 from sextant.llm.queries import tokenizer_path
 from sextant.llm.row_keys import with_row_key
 from sextant.llm.shingle_join import similar_groups
-from sextant.llm.simhash import near_duplicates
+from sextant.llm.simhash import TEXTS, near_duplicates
 from sextant.llm.toxicity import fit_toxicity
 
 
@@ -39,7 +39,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels, fold(5) != 0)
     keyed, key = with_row_key(docs)
-    return _without(keyed, key, score_texts(keyed, model, key).where("score >= 0.5"), docs.columns)
+    with small_batches(spark, TEXTS):
+        return _without(keyed, key, score_texts(keyed, model, key).where("score >= 0.5"), docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

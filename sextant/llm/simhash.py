@@ -22,12 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import ship, text_or_empty, written
+from sextant.llm.common import release, ship, small_batches, text_or_empty, text_slices, written
 from sextant.llm.components import connected_components
 
 SEED = 42
 SMALL = 24
 CHUNK = 4096
+#: Rows of an Arrow batch that hold a text.
+TEXTS = 1000
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -56,9 +58,10 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             prints = [fingerprint(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "fp"])
+        release()
 
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
@@ -135,7 +138,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
     component_id is null only where no row of the component has an id. Repeated
     rows give repeated results. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    with small_batches(docs.sparkSession, TEXTS):
+        prints = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "fingerprint-nodes")
     joined = connected_components(written(links(nodes.select("fp"), radius), "links"))
     rooted = written(nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")

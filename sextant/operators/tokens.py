@@ -96,7 +96,14 @@ def recorded_answers(findings: DataFrame, expanded: DataFrame) -> DataFrame:
 
 def form_problems(present: DataFrame, denied: DataFrame, known: DataFrame) -> DataFrame:
     """(case_id, concept_id, problem) of a form's two lists: concepts in both, and concepts that known(concept_id) hasn't."""
-    both = present.select("case_id", "concept_id").distinct().join(denied.select("case_id", "concept_id").distinct(), ["case_id", "concept_id"])
-    every = present.select("case_id", "concept_id").union(denied.select("case_id", "concept_id")).distinct()
-    unknown = every.join(known.select("concept_id"), "concept_id", "left_anti")
-    return both.select("case_id", "concept_id", F.lit("both present and denied").alias("problem")).union(unknown.select("case_id", "concept_id", F.lit("unknown concept")))
+    side = lambda rows, positive: rows.select("case_id", "concept_id", F.lit(positive).alias("positive"))
+    return stated_problems(side(present, True).union(side(denied, False)), known)
+
+
+def stated_problems(stated: DataFrame, known: DataFrame) -> DataFrame:
+    """The same of one table stated(case_id, concept_id, positive), which is read and grouped once."""
+    both = F.col("yes") & F.col("no") & F.col("case_id").isNotNull() & F.col("concept_id").isNotNull()
+    each = stated.where("positive IS NOT NULL").groupBy("case_id", "concept_id").agg(F.bool_or("positive").alias("yes"), F.bool_or(~F.col("positive")).alias("no"))
+    each = each.join(known.select("concept_id", F.lit(True).alias("_known")).distinct(), "concept_id", "left")
+    found = F.array_compact(F.array(F.when(both, F.lit("both present and denied")), F.when(F.col("_known").isNull(), F.lit("unknown concept"))))
+    return each.select("case_id", "concept_id", F.explode(found).alias("problem"))

@@ -92,7 +92,7 @@ def case_from_form(t):
     """Positive tokens as what a form states, the others as what it denies: concepts in both lists, and unknown ones."""
     rows = judged(t).select("case_id", F.col("code").alias("concept_id"), "positive")
     known = t.rows([("E_1",), ("E_2",), ("E_3",)], "concept_id string")
-    return K.form_problems(rows.where("positive"), rows.where("NOT positive"), known)
+    return K.stated_problems(rows, known)
 
 
 @query("kg24_golden_cases", S.with_outcomes("SELECT e.seg, count(*) AS cases, count(*) FILTER (o.rank <= 3) AS met, count(*) FILTER (o.flagged) AS flags FROM o JOIN (VALUES ('BUILDING', '1-URGENT'), ('MACHINERY', '2-HIGH')) e(seg, want) ON e.seg = o.seg AND e.want = o.condition_id WHERE o.truth = e.want GROUP BY e.seg"))

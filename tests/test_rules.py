@@ -104,3 +104,16 @@ def test_forms_answers_and_digests_by_hand(spark):
     articles = spark.createDataFrame([("p",)], "article string")
     got = {r.check: r.problems for r in I.bundle_problems(passages, articles, vectors, "article", "id", "v", 2).collect()}
     assert got == {"counts differ by": 0, "vectors of another size": 2, "passages without an article": 2, "passages without a vector": 1}
+
+
+def test_stated_problems_read_their_rows_once(spark):
+    rows = [(1, "a", True), (1, "a", True), (1, "b", True), (1, "b", False), (2, "zz", False), (2, None, True), (None, "a", True), (None, "a", False), (3, "zz", True), (3, "zz", False), (4, "a", None)]
+    stated = spark.createDataFrame(rows, "case_id int, concept_id string, positive boolean").repartition(2)
+    known = spark.createDataFrame([("a",), ("b",), ("b",)], "concept_id string")
+    out = K.stated_problems(stated, known)
+    want = {(1, "b", "both present and denied"), (2, "zz", "unknown concept"), (2, None, "unknown concept"), (3, "zz", "both present and denied"), (3, "zz", "unknown concept")}
+    got = list(map(tuple, out.collect()))
+    assert len(got) == len(want) and set(got) == want
+    lists = K.form_problems(stated.where("positive"), stated.where("NOT positive"), known)
+    assert set(map(tuple, lists.collect())) == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [case_id") == 1

@@ -176,6 +176,19 @@ def test_occlusion_is_leaving_one_out(spark):
     assert got == pytest.approx(want)
 
 
+def test_occlusion_goes_through_one_window_and_names_one_condition(spark):
+    rows = [(1, "x", "a"), (1, "y", "a"), (2, "x", "b"), (2, "w", "b"), (3, "x", "none such"), (4, "z", None)]
+    present = spark.createDataFrame(rows, "case_id int, concept_id string, truth string")
+    table = spark.createDataFrame([("a", "x", 0.9), ("b", "x", 0.35), ("b", "y", 0.12)], "condition_id string, concept_id string, weight double")
+    conditions = spark.createDataFrame([("a",), ("b",)], "condition_id string")
+    every = graph.occlusion(present.drop("truth"), table, conditions)
+    assert every._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    want = {(r.case_id, r.concept_id): r.effect for r in every.collect() if (r.case_id, r.condition_id) in {(1, "a"), (2, "b")}}
+    got = graph.occlusion(present, table, conditions, "truth").collect()
+    assert {(r.case_id, r.concept_id): r.effect for r in got} == want and len(got) == len(want) == 4
+    assert {r.condition_id for r in got if r.case_id == 2} == {"b"}
+
+
 def test_kappa_interval_holds_kappa(spark):
     rng = random.Random(4)
     data = [(q, g, g if rng.random() < 0.7 else rng.randrange(3)) for q in range(40) for g in (rng.randrange(3) for _ in range(20))]

@@ -152,7 +152,7 @@ GAIN_SQL = f"""post AS (SELECT case_id, condition_id, exp(kg - max(kg) OVER (PAR
     gains AS (SELECT case_id, concept_id, any_value(q) AS q, round(sum(c), 9) + 0.0 AS gain, sum(c) AS total FROM parts GROUP BY ALL HAVING round(sum(c), 9) > 0)"""
 
 
-def gains(t):
+def gains(t, best: bool = False):
     """What every case's open questions gain: over all codes, without what it has answered.
 
     A condition answers by the share of its own cases that have the concept.
@@ -167,7 +167,7 @@ def gains(t):
     known = F.when(F.col("case_id") % 2 == 0, F.concat(F.array("raw"), F.coalesce("siblings", F.array().cast("array<string>")))).otherwise(F.array("raw"))
     settled = own.select("case_id", known.alias("k")).groupBy("case_id").agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("settled"))
     cases = S.cases(t).select("case_id", F.col("sex").alias("kind")).join(Q.posteriors(S.kg_scores(t)), "case_id").join(settled, "case_id", "left")
-    return Q.question_gains(cases, questions.withColumn("never", never), S.PRIORITIES)
+    return Q.open_gains(cases, questions.withColumn("never", never), best)
 
 
 @query("kg11_question_gain", S.with_graph(f", {GAIN_SQL} SELECT case_id, concept_id, round(q, 6) AS q, gain FROM gains"))
@@ -180,8 +180,7 @@ def question_gain(t):
     SELECT b.case_id, b.concept_id, coalesce(string_agg(condition_id, ';' ORDER BY k) FILTER (yes AND k <= 3), '') AS if_present, coalesce(string_agg(condition_id, ';' ORDER BY k) FILTER (NOT yes AND k <= 3), '') AS if_denied FROM best b LEFT JOIN n USING (case_id, concept_id) GROUP BY ALL"""))
 def separates(t):
     """The conditions that carry the best question's gain, by the answer that favours them."""
-    best = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("gain"), "concept_id"))
-    rows = gains(t).withColumn("k", best).where("k = 1")
+    rows = Q.named(gains(t, best=True), S.PRIORITIES)
     return rows.select("case_id", "concept_id", *[F.array_join(c, ";").alias(c) for c in ("if_present", "if_denied")])
 
 

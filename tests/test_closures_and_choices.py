@@ -200,3 +200,24 @@ def test_articles_are_chosen_as_by_a_loop(spark):
     assert {r.item: r.reason for r in b.collect()} == refused and any(len(v) > 1 for v in taken.values())
     counts = V.licence_counts(a, spark.createDataFrame([(i, f"L{i % 2}") for i in range(60)], "item int, licence string")).collect()
     assert {r.licence: (r.articles, r.uses) for r in counts} == {f"L{x}": (sum(i % 2 == x for i in taken), sum(len(v) for i, v in taken.items() if i % 2 == x)) for x in (0, 1)}
+
+
+def test_open_gains_equal_question_gains_without_a_product(spark):
+    conditions = ["a", "b", "c"]
+    dims = spark.createDataFrame([(i, c) for i, c in enumerate(conditions, 1)], "ord int, condition_id string")
+    edges = spark.createDataFrame([("a", "k0", 0.9), ("b", "k1", 0.35), ("c", "k1", 0.65), ("a", "k2", 0.5), ("b", "k3", 0.5), ("a", "k4", 0.5), ("b", "k4", 0.5), ("c", "k4", 0.5)], "condition_id string, concept_id string, weight double")
+    questions = Q.answers(edges, dims).withColumn("never", F.when(F.col("concept_id") == "k1", F.array(F.lit("m"))))
+    rows = [(1, [0.2, 0.3, 0.5], ["k0", "other"], "f"), (2, [0.2, 0.3, 0.5], None, "m"), (3, [1.0, 0.0, 0.0], [], "f"), (4, [0.4, 0.4, 0.2], ["k0", "k1"], None), (5, [0.4, 0.3, 0.3], ["k0", "k1", "k2", "k3"], "f")]
+    cases = spark.createDataFrame(rows, "case_id int, p array<double>, settled array<string>, kind string")
+    want = {(r.case_id, r.concept_id): r for r in Q.question_gains(cases, questions, conditions).collect()}
+    out = Q.open_gains(cases, questions)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.case_id, r.concept_id): r for r in out.collect()}
+    assert got.keys() == want.keys() and {1, 2, 4} == {k for k, _ in got}
+    for k, r in want.items():
+        assert got[k].q == pytest.approx(r.q) and got[k].gain == pytest.approx(r.gain, abs=1.1e-9)
+    best = {r.case_id: r for r in Q.named(Q.open_gains(cases, questions, best=True), conditions).collect()}
+    for case in (1, 2, 4):
+        least = min((r for k, r in want.items() if k[0] == case), key=lambda r: (-r.gain, r.concept_id))
+        assert (best[case].concept_id, best[case].if_present, best[case].if_denied) == (least.concept_id, least.if_present, least.if_denied)
+    assert len(best) == 3 and Q.open_gains(cases, questions.where("false")).count() == 0

@@ -95,3 +95,20 @@ def test_bm25_deals_documents_to_more_tasks_as_they_grow(spark, monkeypatch):
     out = X.bm25(X.tokenised(docs, "doc_id", "text"), asked)
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.query, r.doc): r.n for r in out.collect()} == {(1, i): 1 + (i % 3 == 1) for i in range(200)} | {(2, i): 1 for i in range(200)}
+
+
+def test_fused_pool_keeps_a_case_one_row(spark, folder):
+    """No window or sort goes over rows of cases and conditions; cases of unknown priority count as in SQL."""
+    at = folder(
+        customer="SELECT k AS c_custkey, 'BUILDING' AS c_mktsegment, 1.0::DOUBLE AS c_acctbal FROM range(12) a(k)",
+        orders="SELECT k AS o_orderkey, k % 13 AS o_custkey, CASE WHEN k % 7 = 3 THEN NULL WHEN k % 11 = 0 THEN 'none' ELSE ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][1 + (k * k) % 5] END AS o_orderpriority, CASE k % 2 WHEN 0 THEN 'F' ELSE 'O' END AS o_orderstatus FROM range(300) a(k)",
+        lineitem="SELECT k // 3 AS l_orderkey, ['A', 'N', 'R'][1 + k % 3] AS l_returnflag, CASE k % 5 WHEN 0 THEN 'O' ELSE 'F' END AS l_linestatus, CASE WHEN k % 17 > 0 THEN k % 50 END::DOUBLE AS l_quantity, (k % 11) / 100.0::DOUBLE AS l_discount FROM range(840) a(k)",
+    )
+    duck = duckdb.connect()
+    for name in ("customer", "orders", "lineitem"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet'")
+    for name in ("fu04_opinion_pool", "fu15_fused_ece"):
+        df = registry.queries()[name](spark, at)
+        assert "Window" not in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join") == 1, name
+        want, got = duck.execute(registry.oracle_sql()[name]).fetchall(), [tuple(r) for r in df.collect()]
+        assert len(got) == len(want) and all(g[:-1] == w[:-1] and g[-1] == pytest.approx(w[-1], abs=2e-6) for g, w in zip(sorted(got), sorted(want), strict=True)), name

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.sources.shared import kept
 
-#: Rows of a chunk.
-CHUNK = 20_000
+#: Rows of a chunk, rows that a task groups at most, and places of a word of a row that only tells which are there.
+CHUNK, PART, WORD = 20_000, 250_000, 32
 
 
 def numbered(rows: DataFrame, order: list[str], number: str) -> DataFrame:
@@ -28,19 +30,44 @@ def vocabulary(entries: DataFrame, token: str = "token") -> DataFrame:
     return numbered(entries.select(F.col(token).alias("token")).where("token IS NOT NULL").distinct(), ["token"], "idx")
 
 
-def sparse_rows(ids: DataFrame, entries: DataFrame, vocab: DataFrame, id_col: str = "id") -> DataFrame:
+def sparse_rows(ids: DataFrame, entries: DataFrame, vocab: DataFrame, id_col: str = "id", binary: bool = False) -> DataFrame:
     """(id, indices, values, unknown) of every id: the places and values that aren't zero, places ascending.
 
     entries is (id, token, value); equal tokens of an id add up, a null value
     counts as 1. Tokens outside the vocabulary are counted in unknown. An id
-    without entries has empty arrays; the ids are distinct."""
-    known = entries.select(F.col(id_col).alias("id"), "token", F.coalesce(F.col("value").cast("double"), F.lit(1.0)).alias("value")).where("token IS NOT NULL")
-    known = known.groupBy("id", "token").agg(F.sum("value").alias("value")).join(vocab, "token", "left")
-    cell = F.when(F.col("idx").isNotNull() & (F.col("value") != 0), F.struct("idx", "value"))
-    rows = known.groupBy("id").agg(F.sort_array(F.collect_list(cell)).alias("c"), F.count_if(F.col("idx").isNull()).alias("unknown"))
-    out = ids.select(F.col(id_col).alias("id")).join(rows, "id", "left")
-    pick = lambda name, kind: F.coalesce(F.transform("c", lambda x: x[name]), F.array().cast(kind)).alias
-    return out.select(F.col("id").alias(id_col), pick("idx", "array<bigint>")("indices"), pick("value", "array<double>")("values"), F.coalesce("unknown", F.lit(0)).alias("unknown"))
+    without entries has empty arrays; the ids are distinct. With binary, entries
+    is (id, token), and a token that is there counts 1, however often."""
+    own, ids = entries.withColumn("id", F.col(id_col)).where("token IS NOT NULL"), ids.select(F.col(id_col).alias("id"))
+    if binary:
+        # words are small, so that parts by their bytes would hold too many ids
+        parts = max(ids.sparkSession.sparkContext.defaultParallelism, math.ceil(ids.count() / PART))
+        rows = _places(own, vocab, parts).withColumn("values", F.transform("indices", lambda _: F.lit(1.0)))
+        ids = ids.repartition(parts, "id")
+    else:
+        known = own.select("id", "token", F.coalesce(F.col("value").cast("double"), F.lit(1.0)).alias("value"))
+        known = known.groupBy("id", "token").agg(F.sum("value").alias("value")).join(vocab, "token", "left")
+        cell = F.when(F.col("idx").isNotNull() & (F.col("value") != 0), F.struct("idx", "value"))
+        rows = known.groupBy("id").agg(F.sort_array(F.collect_list(cell)).alias("c"), F.count_if(F.col("idx").isNull()).alias("unknown"))
+        rows = rows.select("id", F.col("c.idx").alias("indices"), F.col("c.value").alias("values"), "unknown")
+    out = ids.join(rows, "id", "left")
+    pick = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    return out.select(F.col("id").alias(id_col), pick("indices", "array<bigint>"), pick("values", "array<double>"), F.coalesce("unknown", F.lit(0)).alias("unknown"))
+
+
+def _places(entries: DataFrame, vocab: DataFrame, parts: int) -> DataFrame:
+    """(id, indices, unknown): the distinct places of each id's tokens, ascending, in so many parts.
+
+    Places are bits of a word, so a task that groups them holds a number for
+    each of an id's words, and not a row for each of its tokens."""
+    found = entries.select("id", "token").join(vocab, "token", "left")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("idx"), F.lit(WORD)).cast("int"))
+    word, other = F.expr(f"idx div {WORD}"), F.when(F.col("idx").isNull(), F.col("token"))
+    words = found.groupBy("id", word.alias("_word"), other.alias("_other")).agg(F.bit_or(bit).alias("_bits"))
+    cell = F.when(F.col("_word").isNotNull(), F.struct("_word", "_bits"))
+    rows = words.repartition(parts, "id").groupBy("id").agg(F.sort_array(F.collect_list(cell)).alias("c"), F.count("_other").alias("unknown"))
+    bits = F.array(*map(F.lit, range(WORD)))
+    each = F.transform("c", lambda w: F.transform(F.filter(bits, lambda i: F.getbit(w["_bits"], i) == 1), lambda i: w["_word"] * WORD + i))
+    return rows.select("id", F.flatten(each).alias("indices"), "unknown")
 
 
 def csr_chunks(rows: DataFrame, id_col: str = "id", size: int = CHUNK) -> DataFrame:
@@ -48,12 +75,11 @@ def csr_chunks(rows: DataFrame, id_col: str = "id", size: int = CHUNK) -> DataFr
 
     starts has one entry more than ids: row i has the places from starts[i] to starts[i + 1]."""
     at = numbered(rows.select(id_col, "indices", "values"), [id_col], "_row")
-    cell = F.struct("_row", F.col(id_col).alias("id"), "indices", "values")
-    each = at.groupBy(F.floor(F.col("_row") / size).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(F.col("_row"), cell.alias("c")))).alias("r"))
-    each = each.select("chunk", F.transform("r", lambda x: x["c"]).alias("r"))
-    sums = F.aggregate("r", F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(x["indices"]))))
-    flat = lambda name: F.flatten(F.transform("r", lambda x: x[name])).alias(name)
-    return each.select("chunk", F.transform("r", lambda x: x["id"]).alias("ids"), sums.alias("starts"), flat("indices"), flat("values"))
+    at = at.withColumn("chunk", F.floor(F.col("_row") / size))
+    ends = F.sum(F.size("indices")).over(Window.partitionBy("chunk").orderBy("_row"))
+    cell = F.struct("_row", F.col(id_col).alias("id"), ends.alias("end"), "indices", "values")
+    each = at.select("chunk", cell.alias("c")).groupBy("chunk").agg(F.sort_array(F.collect_list("c")).alias("r"))
+    return each.select("chunk", F.col("r.id").alias("ids"), F.concat(F.array(F.lit(0).cast("bigint")), F.col("r.end")).alias("starts"), F.flatten("r.indices").alias("indices"), F.flatten("r.values").alias("values"))
 
 
 def dense(size: int) -> Column:

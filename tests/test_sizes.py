@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sextant.operators import ablation as B
+from sextant.operators import features as Y
 from sextant.operators import graph as G
 from sextant.operators import statistics as T
 from sextant.operators import text as X
@@ -112,3 +114,30 @@ def test_fused_pool_keeps_a_case_one_row(spark, folder):
         assert "Window" not in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join") == 1, name
         want, got = duck.execute(registry.oracle_sql()[name]).fetchall(), [tuple(r) for r in df.collect()]
         assert len(got) == len(want) and all(g[:-1] == w[:-1] and g[-1] == pytest.approx(w[-1], abs=2e-6) for g, w in zip(sorted(got), sorted(want), strict=True)), name
+
+
+def test_places_are_grouped_as_bits(spark, folder, monkeypatch):
+    """Tokens that are there or not: a task groups words of an id, in parts of so many ids, and no row of each token."""
+    rng = np.random.default_rng(2)
+    entries = [(int(i), f"t{int(k):03d}") for i, k in zip(rng.integers(0, 40, 900), rng.integers(0, 105, 900), strict=True)] + [(50, "t031"), (50, "t032"), (50, "t064"), (51, "t104"), (None, "t001"), (3, None), (99, "t002")]
+    vocab = Y.vocabulary(spark.createDataFrame([(f"t{k:03d}",) for k in range(100)], "token string"))
+    monkeypatch.setattr(Y, "PART", 5)
+    rows = Y.sparse_rows(spark.range(60), spark.createDataFrame(entries, "id int, token string"), vocab, binary=True)
+    assert rows.rdd.getNumPartitions() == 12
+    found = {i: {int(t[1:]) for j, t in entries if j == i and t} for i in range(60)}
+    got = {r.id: (r.indices, r["values"], r.unknown) for r in rows.collect()}
+    assert got == {i: (sorted(k for k in own if k < 100), [1.0] * sum(k < 100 for k in own), sum(k > 99 for k in own)) for i, own in found.items()}
+    for r in Y.csr_chunks(rows, "id", 7).collect():
+        assert r.ids == list(range(60))[7 * r.chunk : 7 * r.chunk + 7] and r.starts[0] == 0 and [r.indices[a:b] for a, b in zip(r.starts, r.starts[1:])] == [got[i][0] for i in r.ids]
+    at = folder(
+        customer="SELECT 1 AS c_custkey, 'BUILDING' AS c_mktsegment, 1.0::DOUBLE AS c_acctbal",
+        orders="SELECT k AS o_orderkey, 1 AS o_custkey, '1-URGENT' AS o_orderpriority, 'F' AS o_orderstatus FROM range(9) a(k)",
+        lineitem="SELECT k // 4 AS l_orderkey, 'A' AS l_returnflag, 'O' AS l_linestatus, CASE WHEN k <> 5 THEN k * 20 END::DOUBLE AS l_quantity, 0.03::DOUBLE AS l_discount FROM range(44) a(k)",
+    )
+    df = registry.queries()["ml03_sparse_transform"](spark, at)
+    assert not re.search(r"Aggregate \[id#\d+L?, token", df._jdf.queryExecution().optimizedPlan().toString())
+    duck = duckdb.connect()
+    for name in ("customer", "orders", "lineitem"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet'")
+    for name in ("ml03_sparse_transform", "ml03_csr_chunks"):
+        assert sorted(tuple(r) for r in registry.queries()[name](spark, at).collect()) == sorted(duck.execute(registry.oracle_sql()[name]).fetchall()), name

@@ -15,9 +15,10 @@ anew until none collides.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import hmac
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -59,8 +60,13 @@ PATTERNS = [
     r"\b(?P<title>" + "|".join(TWO_SURNAMES) + r")\.? (?P<name>(?:\p{Lu}\. ?){0,2}" + _SMALL + _WORD + "(?: " + _SMALL + _WORD + r"){0,2})",
     r"\b(?P<title>" + "|".join(_TITLES) + r")\.? (?P<name>(?:\p{Lu}\. ?){0,2}" + _SMALL + _WORD + "(?: " + _SMALL + _WORD + r")?)",
 ]
-#: Whether a text can hold an entity at all: every pattern needs one of these.
-HINT = regex.compile(r"[@\d]|\b(?:" + "|".join(_TITLES) + r")\b|(?i:token|key|secret|password|passwd)|AKIA|gh[oprsu]_")
+#: Where the patterns can start, so a new one needs its own here: at a title or a known kind of key; at digits, maybe with others after one more character; at what ends before a sign, with its most characters.
+HEADS = [regex.compile("(?:" + "|".join(_TITLES) + r")\.? "), regex.compile("AKIA"), regex.compile("gh[oprsu]_")]
+DIGITS = regex.compile(r"(\d++)([ .\-/](?=\d))?")
+_ASSIGNED = regex.compile(r"(?r)(?i:token|key|secret|password|passwd)\s{0,3}")
+SIGNS = [("@", regex.compile(r"(?r)[\p{L}\p{N}._%+\-]+"), 64), ("=", _ASSIGNED, 11), (":", _ASSIGNED, 11)]
+IN_WORD = regex.compile(r"[\p{L}\p{N}]")
+CAPITALISED = regex.compile(r"\p{Lu}[\p{L}\p{N}]*+")
 
 
 class Entity(NamedTuple):
@@ -98,13 +104,67 @@ def _name_parts(text: str, start: int, end: int, kind: str) -> list[tuple[str, s
     return out
 
 
+def _digit_starts(text: str) -> Iterator[int]:
+    """Where patterns of digits can start: at a number, the sign or bracket before it, or the two capitals of an IBAN.
+
+    Those that start at the number itself have 13 digits in one or more numbers."""
+    for m in DIGITS.finditer(text):
+        i, j = m.span(1)
+        before = text[i - 1 : i]
+        if before in ("+", "("):
+            yield i - 1
+        elif before.isupper() and i > 1:
+            yield i - 2
+        if m[2] or j - i > 12:
+            yield i
+
+
+def _sign_starts(text: str, sign: str, ahead: regex.Pattern, most: int) -> Iterator[int]:
+    """Where that starts which ends before a sign."""
+    at = text.find(sign)
+    while at >= 0:
+        if m := ahead.match(text[max(at - most, 0) : at]):
+            yield at - len(m[0])
+        at = text.find(sign, at + 1)
+
+
+def starts(text: str) -> Iterator[int]:
+    """Every place where a pattern can start, in order, and some where none does.
+
+    Quick searches find them, so that the patterns are tried there only and not at every letter."""
+    heads = ((m.start() for m in head.finditer(text)) for head in HEADS)
+    return heapq.merge(_digit_starts(text), *(_sign_starts(text, *x) for x in SIGNS), *heads)
+
+
+def matches(text: str) -> Iterator[regex.Match]:
+    """What finder() finds in a text from left to right."""
+    find, at = finder().match, 0
+    for i in starts(text):
+        if i >= at and (m := find(text, i)):
+            at = m.end()
+            yield m
+
+
+def _known(text: str, names: Iterable[str]) -> Iterator[tuple[int, int]]:
+    """Where names stand as whole words, from left to right, none overlapping, the longest first; each starts with a capital."""
+    by_word: dict[str, list[str]] = {}
+    for name in sorted(names, key=len, reverse=True):
+        by_word.setdefault(CAPITALISED.match(name)[0], []).append(name)
+    end = 0
+    for m in CAPITALISED.finditer(text):
+        i = m.start()
+        if i < end or m[0] not in by_word or (i and IN_WORD.match(text, i - 1)):
+            continue
+        if name := next((x for x in by_word[m[0]] if text.startswith(x, i) and not IN_WORD.match(text, i + len(x))), None):
+            end = i + len(name)
+            yield i, end
+
+
 def spans(text: str) -> list[Entity]:
     """The entities of a text, in order, none overlapping."""
-    if not HINT.search(text):
-        return []
     out, people = [], {}
-    for m in finder().finditer(text):
-        kind = next(k for k in ("secret", "email", "iban", "ip", "card", "ssn", "phone", "name") if k in m.capturesdict() and m.span(k)[0] >= 0)
+    for m in matches(text):
+        kind = next(k for k in ("secret", "email", "iban", "ip", "card", "ssn", "phone", "name") if m.span(k)[0] >= 0)
         i, j = m.span(kind)
         if kind == "name":
             title = m["title"]
@@ -120,14 +180,12 @@ def spans(text: str) -> list[Entity]:
             parts = [(kind, canonical(kind, text[i:j]), i, j)]
         out.append(Entity(i, j, kind, parts))
     if people:  # the same people without a title, whole names first
-        known = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(regex.escape(x) for x in sorted(people, key=lambda x: (-len(x), x))) + r")(?![\p{L}\p{N}])")
         taken, at = sorted((e.start, e.end) for e in out), 0
-        for m in known.finditer(text):
-            i, j = m.span()
+        for i, j in _known(text, people):
             while at < len(taken) and taken[at][1] <= i:
                 at += 1
             if at == len(taken) or j <= taken[at][0]:
-                kind = people[m[0]] or "person"
+                kind = people[text[i:j]] or "person"
                 out.append(Entity(i, j, kind, _name_parts(text, i, j, kind)))
         out.sort()
     return out
